@@ -9,7 +9,7 @@ so there is no join of one-row frames).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from defectlens import config as C
@@ -169,17 +169,16 @@ def js_num_str(x: Column) -> Column:
 def predictions(k: DataFrame, by=None) -> DataFrame:
     """Three prediction rows per group (stack of the KPI record)."""
     by = keys(by)
+    def row(o, metric, value, trend, conf):
+        return F.struct(F.lit(o).alias("ord"), F.lit(metric).alias("metric"), value.alias("value"),
+                        trend.alias("trend"), conf.cast("long").alias("confidence"))
     rows = F.array(
-        F.struct(F.lit(1).alias("ord"), F.lit("Bugs Próximo Sprint").alias("metric"),
-                 F.col("next_sprint_bugs").cast("string").alias("value"),
-                 F.col("next_sprint_trend").alias("trend"),
-                 F.col("prediction_confidence").alias("confidence")),
-        F.struct(F.lit(2), F.lit("Tiempo Resolución"),
-                 F.concat(js_num_str(F.col("avg_resolution_time")), F.lit(" días")),
-                 F.lit("stable"), F.lit(85).cast("long")),
-        F.struct(F.lit(3), F.lit("Quality Index"),
-                 F.concat(F.col("quality_prediction").cast("string"), F.lit("%")),
-                 F.col("quality_direction"), F.col("prediction_confidence")),
+        row(1, "Bugs Próximo Sprint", F.col("next_sprint_bugs").cast("string"),
+            F.col("next_sprint_trend"), F.col("prediction_confidence")),
+        row(2, "Tiempo Resolución", F.concat(js_num_str(F.col("avg_resolution_time")), F.lit(" días")),
+            F.lit("stable"), F.lit(85)),
+        row(3, "Quality Index", F.concat(F.col("quality_prediction").cast("string"), F.lit("%")),
+            F.col("quality_direction"), F.col("prediction_confidence")),
     )
     return k.select(*by, F.inline(rows))
 
@@ -227,3 +226,77 @@ def cycle_time(sprints: DataFrame, priority: DataFrame, by=None) -> DataFrame:
         fb = js_round(F.col("avg_ct") * F.lit(m)).cast("double") if r else F.col("avg_ct")
         cols.append(F.when(res > 0, fixed1((cnt - res) / res * F.lit(f))).otherwise(fb).alias(f"{name}_days"))
     return g.select(*by, *cols)
+
+
+def resolution_days(issues: DataFrame, by=None) -> DataFrame:
+    """Report-to-resolution days, positive durations only (the
+    sanitizer drops non-positive times): count, mean (1 decimal), max, min."""
+    d = F.datediff(F.col("resolved_at"), F.col("created_at"))
+    pos = F.when(d > 0, d)
+    return issues.groupBy(*keys(by)).agg(
+        F.count_if(d > 0).alias("n_resolved"),
+        fixed1(F.avg(pos)).alias("avg_days"),
+        F.max(pos).cast("long").alias("max_days"),
+        F.min(pos).cast("long").alias("min_days"),
+    )
+
+
+def resolution_percentiles(issues: DataFrame, by=None, accuracy: int = 10000) -> DataFrame:
+    """K37 percentiles (p50, p90) with a bounded-memory sketch per group."""
+    d = F.datediff(F.col("resolved_at"), F.col("created_at"))
+    return issues.filter(d > 0).groupBy(*keys(by)).agg(
+        F.percentile_approx(d, [0.5, 0.9], accuracy).alias("p50_p90"))
+
+
+def automation_estimate(sprints: DataFrame, by=None) -> DataFrame:
+    """Estimated automated tests per sprint
+    ``round(cases * (0.35 + (velocity || 15) / 20 * 0.25))``, its percentage,
+    the group mean percentage (``coverage``) and the last-sprint flag (the
+    last sprint carries the automated / manual split)."""
+    by = keys(by)
+    w = Window.partitionBy(*by)
+    tc = F.col("test_cases")
+    auto = js_round(tc * (F.lit(0.35) + truthy_or(F.col("velocity"), F.lit(15)) / F.lit(20) * F.lit(0.25)))
+    x = sprints.select(*by, "sprint", "sprint_num", "test_cases", auto.alias("auto_tests"))
+    ratio = F.when(tc > 0, F.col("auto_tests") / tc * F.lit(100)).otherwise(F.lit(0.0))
+    return x.select(
+        *by, "sprint", "sprint_num", "test_cases", "auto_tests",
+        (tc - F.col("auto_tests")).alias("manual_tests"),
+        F.when(tc > 0, js_round(F.col("auto_tests") / tc * F.lit(100))).otherwise(F.lit(0).cast("long")).alias("auto_pct"),
+        js_round(F.avg(ratio).over(w)).alias("coverage"),
+        (F.col("sprint_num") == F.max("sprint_num").over(w)).alias("is_last"),
+    )
+
+
+def sprint_rollup_document(issues: DataFrame, by=None, cfg: C.Config | None = None) -> DataFrame:
+    """The roll-up document's sprint rows: pending = ``To Do``, resolved =
+    total - pending, estimated velocity ``round(total/7)``, planned
+    ``round(total*1.2/7)``, critical and estimated critical pending
+    ``round(critical/2)`` (the random columns of the dashboard are dropped)."""
+    cfg = cfg or C.Config()
+    g = issues.groupBy(*keys(by), "sprint", "sprint_num").agg(
+        F.count(F.lit(1)).alias("bugs"),
+        F.count_if(F.col("status").isin(C.PENDING_STATUS_SPRINT_VIEW)).alias("pending"),
+        F.count_if(F.col("priority").isin(cfg.critical_labels)).alias("critical_total"),
+    )
+    return g.select(
+        *keys(by), "sprint", "sprint_num", "bugs",
+        (F.col("bugs") - F.col("pending")).alias("bugs_resolved"),
+        F.col("pending").alias("bugs_pending"),
+        js_round(F.col("bugs") / F.lit(7)).alias("velocity_est"),
+        js_round(F.col("bugs") * F.lit(1.2) / F.lit(7)).alias("planned_velocity_est"),
+        "critical_total",
+        js_round(F.col("critical_total") / F.lit(2)).alias("critical_pending_est"),
+    )
+
+
+def sprints_matching(sprints: DataFrame, filtered_issues: DataFrame, sprint_terms=None) -> DataFrame:
+    """Sprint rows whose label contains a requested term OR that have at
+    least one issue left after filtering.  The name set is distinct sprint
+    labels (bounded by the number of sprints), joined as a left lookup."""
+    names = filtered_issues.select("sprint").distinct().withColumn("_hit", F.lit(True))
+    cond = F.col("_hit").isNotNull()
+    if sprint_terms:
+        from defectlens.operators.filters import sprint_contains_any
+        cond = sprint_contains_any([s.lower() for s in sprint_terms]) | cond
+    return sprints.join(names, "sprint", "left").filter(cond).drop("_hit")
