@@ -127,7 +127,8 @@ def kpi_record(inputs: DataFrame, by=None, cfg: C.Config | None = None) -> DataF
     return inputs.select(
         *keys(by),
         F.col("n").alias("n_sprints"),
-        total.alias("total_bugs"), closed.alias("bugs_closed"),
+        total.alias("total_bugs"), closed.alias("bugs_closed"), exe.alias("tc_executed"),
+        c("crit_cfg").alias("critical_total"),
         (F.when(n > 0, js_round(c("sum_cases") / n)).otherwise(F.lit(0).cast("long"))).alias("avg_test_cases_per_sprint"),  # K1
         pct(closed, total).alias("resolution_efficiency"),                                    # K2
         F.when(exe > 0, fixed2(total / exe)).otherwise(F.lit(0.0)).alias("defect_density"),  # K3

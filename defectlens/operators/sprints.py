@@ -17,7 +17,7 @@ from defectlens.operators.rollups import keys
 SPRINT_COLUMNS = [
     "sprint", "sprint_num", "bugs", "bugs_resolved", "bugs_pending", "test_cases", "test_planned",
     "velocity", "planned_velocity", "critical_total", "critical_pending", "production_bugs",
-    "tc_passed", "crit_all", "crit_pending_view", "reopened", "res_days_sum", "res_days_n",
+    "tc_passed", "crit_all", "crit_pending_view", "reopened", "c_mas_alta", "c_alta", "res_days_sum", "res_days_n",
 ]
 
 
@@ -48,6 +48,8 @@ def sprint_frame(issues: DataFrame, by=None, cfg: C.Config | None = None,
         F.count_if(F.col("priority").isin(C.CRITICAL_LABELS_ALL)).alias("crit_all"),
         F.count_if(crit & F.col("status").isin(C.PENDING_STATUS_PRIORITY_VIEW)).alias("crit_pending_view"),
         F.count_if(F.col("status").isin(C.REOPENED_STATUS)).alias("reopened"),
+        F.count_if(F.col("priority") == "Más alta").alias("c_mas_alta"),
+        F.count_if(F.col("priority") == "Alta").alias("c_alta"),
         F.coalesce(F.sum(F.when(pos, days)), F.lit(0)).cast("long").alias("res_days_sum"),
         F.count_if(pos).alias("res_days_n"),
     )
@@ -58,7 +60,7 @@ def sprint_frame(issues: DataFrame, by=None, cfg: C.Config | None = None,
         F.col("bugs_resolved").alias("velocity"),
         F.col("bugs").alias("planned_velocity"),
         "critical_total", "critical_pending", "production_bugs", "tc_passed",
-        "crit_all", "crit_pending_view", "reopened", "res_days_sum", "res_days_n",
+        "crit_all", "crit_pending_view", "reopened", "c_mas_alta", "c_alta", "res_days_sum", "res_days_n",
     )
 
 

@@ -32,6 +32,7 @@ def sprint_cte(by: list[str]) -> str:
     count_if(priority IN ({lst(C.CRITICAL_LABELS_ALL)})) AS crit_all,
     count_if(priority IN ({CRIT}) AND status IN ({lst(C.PENDING_STATUS_PRIORITY_VIEW)})) AS crit_pending_view,
     count_if(status IN ({lst(C.REOPENED_STATUS)})) AS reopened,
+    count_if(priority = 'Más alta') AS c_mas_alta, count_if(priority = 'Alta') AS c_alta,
     CAST(coalesce(sum(CASE WHEN {DAYS} > 0 THEN {DAYS} END), 0) AS BIGINT) AS res_days_sum,
     count_if({DAYS} > 0) AS res_days_n
   FROM issue GROUP BY {b}sprint, sprint_num)"""
@@ -95,7 +96,7 @@ def kpi_cte(by: list[str], cfg: C.Config | None = None) -> str:
     rework = truthy_or("rework_bugs", jr("total_bugs * 0.15::DOUBLE"))
     tot1 = truthy_or("total_bugs", "1")
     return f"""k0 AS (
-  SELECT {b}n AS n_sprints, total_bugs, bugs_closed,
+  SELECT {b}n AS n_sprints, total_bugs, bugs_closed, tc_executed, crit_cfg AS critical_total,
     (CASE WHEN n > 0 THEN {jr('sum_cases / n')} ELSE CAST(0 AS BIGINT) END) AS avg_test_cases_per_sprint,
     {pct('bugs_closed', 'total_bugs')} AS resolution_efficiency,
     (CASE WHEN tc_executed > 0 THEN {f2('total_bugs / tc_executed')} ELSE 0.0::DOUBLE END) AS defect_density,
@@ -171,7 +172,8 @@ def q_maturity_by_module(t):
     return K.maturity(K.kpis(_sprints(t, ["module"]), ["module"]), ["module"])
 
 
-def _cycle_sql() -> str:
+def cycle_cte(by: str = "module") -> str:
+    """``cyc``: K24/K25 per group (operators.kpis.cycle_time) in SQL; needs ``sprint``."""
     levels = [("critical", "Más alta", 5, 0.5, True), ("high", "Alta", 8, 0.8, True),
               ("medium", "Media", 14, 1.0, False), ("low", "Baja", 21, 1.5, True)]
     cols = []
@@ -184,15 +186,18 @@ def _cycle_sql() -> str:
                    f"sum(CASE WHEN priority = '{lab}' THEN c - p END) AS {name}_r"
                    for name, lab, *_ in levels)
     pend = lst(C.PENDING_STATUS_PRIORITY_VIEW)
-    return with_issue(f"""
-SELECT s.module, greatest(avg_ct, 1.0::DOUBLE) AS cycle_time, {", ".join(cols)}
-FROM (SELECT module, n, tb, tr,
+    return f"""cyc AS (
+SELECT s.{by}, greatest(avg_ct, 1.0::DOUBLE) AS cycle_time, {", ".join(cols)}
+FROM (SELECT {by}, n, tb, tr,
         CASE WHEN tr / (n * {C.SPRINT_DAYS}) > 0 THEN {f1(f'(tb / n) / (tr / (n * {C.SPRINT_DAYS}))')}
              ELSE {float(C.SPRINT_DAYS)}::DOUBLE END AS avg_ct
-      FROM (SELECT module, count(*) AS n, sum(bugs) AS tb, sum(bugs_resolved) AS tr FROM sprint GROUP BY module)) s
-JOIN (SELECT module, {pr} FROM (SELECT module, priority, count(*) AS c, count_if(status IN ({pend})) AS p
-      FROM issue GROUP BY module, priority) GROUP BY module) q ON s.module = q.module""",
-        sprint_cte(["module"]))
+      FROM (SELECT {by}, count(*) AS n, sum(bugs) AS tb, sum(bugs_resolved) AS tr FROM sprint GROUP BY {by})) s
+JOIN (SELECT {by}, {pr} FROM (SELECT {by}, priority, count(*) AS c, count_if(status IN ({pend})) AS p
+      FROM issue GROUP BY {by}, priority) GROUP BY {by}) q ON s.{by} = q.{by})"""
+
+
+def _cycle_sql() -> str:
+    return with_issue("SELECT * FROM cyc", sprint_cte(["module"]), cycle_cte("module"))
 
 
 @register("cycle_time_by_priority", "K24 K25 A12", _cycle_sql())
