@@ -332,3 +332,79 @@ LEFT JOIN (VALUES {vals}) AS d(module, weight, critical_threshold) ON m.module =
 @register("module_thresholds", "R21 N9 (config deep merge)", _thresholds_sql())
 def q_module_thresholds(t):
     return RU.module_thresholds(R.module_breakdown(t.issues), C.Config.from_dict(_MODCFG))
+
+
+# ------------------------------------------------------------ verification
+
+from defectlens.operators import verify as V  # noqa: E402
+
+_CRIT_RAW = "o_orderpriority IN ('1-URGENT', '2-HIGH')"
+
+
+def _rec_ctes():
+    raw = f"""b AS (SELECT {'CAST((year(o_orderdate) - 1995) * 12 + month(o_orderdate) AS INTEGER)'} AS sprint_num,
+  count(*) AS total_b, count_if({_CRIT_RAW}) AS critical_b,
+  count_if(NOT (l_linestatus = 'F') AND o_orderstatus NOT IN ('P', 'F')) AS pending_b
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1)"""
+    a = f"""a AS (SELECT sprint_num, count(*) AS total_a, count_if(priority IN ({lst(C.DEFAULT_PRIORITIES['critical'])}))
+  AS critical_a, count_if(status = 'To Do') AS pending_a FROM issue GROUP BY sprint_num)"""
+    rec = """rec AS (SELECT coalesce(a.sprint_num, b.sprint_num) AS sprint_num, total_a, critical_a, pending_a,
+  total_b, critical_b, pending_b,
+  total_a IS NOT DISTINCT FROM total_b AS total_match, critical_a IS NOT DISTINCT FROM critical_b AS critical_match,
+  pending_a IS NOT DISTINCT FROM pending_b AS pending_match,
+  total_a IS NOT NULL AND total_b IS NOT NULL AS in_both
+  FROM a FULL OUTER JOIN b ON a.sprint_num = b.sprint_num)"""
+    return a, raw, rec
+
+
+def _rec_frames(t):
+    iss = t.issues
+    a = V.sprint_counts(iss, F.col("priority").isin(C.DEFAULT_PRIORITIES["critical"]), F.col("status") == "To Do")
+    raw = t.raw_facts
+    b = V.sprint_counts(raw, F.col("is_critical"), F.col("status") == "To Do")
+    return V.reconcile_sprints(a, b)
+
+
+@register("reconcile_sprints", "J1 V2 (issue table vs raw lineitem x orders)", with_issue(
+    "SELECT *, total_match AND critical_match AND pending_match AS all_match FROM rec", *_rec_ctes()))
+def q_reconcile_sprints(t):
+    return _rec_frames(t)
+
+
+@register("match_percentage", "V1 V3 V4", with_issue(f"""
+SELECT total_a, total_b, sprints_a, sprints_b, compared, matched, total_a = total_b AS totals_match,
+  sprints_a = sprints_b AS sprints_match, match_percentage,
+  CASE WHEN match_percentage > 80 THEN 'success' ELSE 'warning' END AS status,
+  concat_ws(' | ',
+    CASE WHEN total_a = total_b THEN 'Total bugs matches'
+         ELSE concat('Total bugs different: A=', CAST(total_a AS VARCHAR), ', B=', CAST(total_b AS VARCHAR)) END,
+    CASE WHEN sprints_a = sprints_b THEN 'Number of sprints matches'
+         ELSE concat('Number of sprints different: A=', CAST(sprints_a AS VARCHAR), ', B=', CAST(sprints_b AS VARCHAR)) END,
+    CASE WHEN match_percentage = 100 THEN 'All sprints match 100%'
+         ELSE concat('Only ', CAST(match_percentage AS VARCHAR), '% of sprints match completely') END) AS messages
+FROM (SELECT CAST(coalesce(sum(total_a), 0) AS BIGINT) AS total_a, CAST(coalesce(sum(total_b), 0) AS BIGINT) AS total_b,
+        count(total_a) AS sprints_a, count(total_b) AS sprints_b, count_if(in_both) AS compared,
+        count_if(in_both AND total_match AND critical_match AND pending_match) AS matched,
+        CASE WHEN count_if(in_both) > 0 THEN
+          {jr('count_if(in_both AND total_match AND critical_match AND pending_match) / count_if(in_both) * 100')}
+          ELSE CAST(100 AS BIGINT) END AS match_percentage
+      FROM rec)""", *_rec_ctes()))
+def q_match_percentage(t):
+    return V.reconciliation_summary(_rec_frames(t))
+
+
+@register("validate_records", "V5 N7 (row-level checks on the sprint roll-up)", with_issue("""
+SELECT sprint, sprint_num, len(errs) = 0 AS is_valid, len(errs) AS n_errors, array_to_string(errs, '; ') AS errors
+FROM (SELECT sprint, sprint_num, list_filter([
+    CASE WHEN sprint IS NULL OR trim(sprint) = '' THEN 'missing sprint label' END,
+    CASE WHEN sprint_num IS NULL THEN 'missing sprint number' END,
+    CASE WHEN bugs IS NULL OR bugs < 0 THEN 'invalid bugs' END,
+    CASE WHEN bugs_resolved > bugs THEN 'resolved exceeds bugs' END,
+    CASE WHEN bugs_pending < 0 THEN 'negative pending' END,
+    CASE WHEN bugs_resolved + bugs_pending <> bugs THEN 'resolved + pending != bugs' END,
+    CASE WHEN test_cases < 0 THEN 'negative executed cases' END,
+    CASE WHEN test_cases > test_planned THEN 'executed exceeds planned' END,
+    CASE WHEN critical_pending > critical_total THEN 'critical pending exceeds critical' END],
+    lambda x: x IS NOT NULL) AS errs FROM sprint)""", sprint_cte([])))
+def q_validate_records(t):
+    return V.validate_sprint_rows(sprint_frame(t.issues))
