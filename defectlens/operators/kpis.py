@@ -81,26 +81,34 @@ def confidence(n, avg_b, std_b) -> Column:
 
 
 def kpi_record(inputs: DataFrame, by=None, cfg: C.Config | None = None) -> DataFrame:
-    """K1-K22 + W1 + K19/K20 from ``kpi_inputs``."""
+    """K1-K22 + W1 + K19/K20 from ``kpi_inputs``.
+
+    Built in two projections: shared intermediates (trend, consistency,
+    confidence, execution rate, ...) are computed once and referenced by name,
+    which keeps every expression tree small for the analyzer and codegen.
+    """
     cfg = cfg or C.Config()
     w = cfg.weights
     c = F.col
-    total, closed, exe = c("total_bugs"), c("bugs_closed"), c("tc_executed")
-    tc_total = truthy_or(c("tc_total"), F.lit(1))
-    n = c("n")
-    trend = sprint_trend(n, c("first_bugs"), c("last_bugs"))
-    cons = consistency(n, c("avg_bugs"), c("std_bugs"), c("avg_velocity"), c("std_velocity"))
-    conf = confidence(n, c("avg_bugs"), c("std_bugs"))
-    exec_rate = js_round(exe / tc_total * F.lit(100))
+    total, closed, exe, n = c("total_bugs"), c("bugs_closed"), c("tc_executed"), c("n")
+    stage = inputs.withColumns({
+        "_tct": truthy_or(c("tc_total"), F.lit(1)),
+        "_trend": sprint_trend(n, c("first_bugs"), c("last_bugs")),
+        "_cons": consistency(n, c("avg_bugs"), c("std_bugs"), c("avg_velocity"), c("std_velocity")),
+        "_conf": confidence(n, c("avg_bugs"), c("std_bugs")),
+        "_avgps": F.when(n > 0, js_round(c("sum_bugs") / n)).otherwise(F.lit(0).cast("long")),
+        "_tot1": truthy_or(total, F.lit(1)),
+    })
+    stage = stage.withColumn("_exec_rate", js_round(exe / c("_tct") * F.lit(100)))
+    trend, cons, conf, exec_rate, avg_bugs_ps = c("_trend"), c("_cons"), c("_conf"), c("_exec_rate"), c("_avgps")
     rr = F.when(total > 0, closed / total * F.lit(100)).otherwise(F.lit(100.0))
-    cov = exe / tc_total * F.lit(100)
+    cov = exe / c("_tct") * F.lit(100)
     dens = F.when(exe > 0, F.greatest(F.lit(0.0), F.lit(100) - total / exe * F.lit(50))).otherwise(F.lit(100.0))
     crit_score = F.when(total > 0, F.greatest(F.lit(0.0), F.lit(100) - c("crit_all") / total * F.lit(100))) \
         .otherwise(F.lit(100.0))
     qi_raw = (rr * F.lit(w["resolutionRate"]) + cov * F.lit(w["testCoverage"])
               + dens * F.lit(w["bugDensity"]) + crit_score * F.lit(w["criticalBugs"]))
     quality_index = js_round(clamp(qi_raw, F.lit(0), F.lit(100)))
-    avg_bugs_ps = F.when(n > 0, js_round(c("sum_bugs") / n)).otherwise(F.lit(0).cast("long"))
     resolution_time = (
         F.when(c("res_days_n") > 0, js_round(c("res_days_sum") / c("res_days_n")).cast("double"))
         .when((n > 0) & (c("sum_resolved") > 0), fixed1(F.lit(C.SPRINT_DAYS) * n / c("sum_resolved")))
@@ -113,9 +121,6 @@ def kpi_record(inputs: DataFrame, by=None, cfg: C.Config | None = None) -> DataF
                          + F.least(efficiency / F.lit(20), F.lit(1.0))
                          + cons
                          + F.lit(1.0 if cfg.count_predictions_in_maturity else 0.0)) / F.lit(5) * F.lit(5))
-    level = F.lit(None).cast("string")
-    for k in sorted(C.MATURITY_LEVELS):
-        level = F.when(maturity == k, F.lit(C.MATURITY_LEVELS[k])).otherwise(level)
     savings = total * F.lit(C.COST_BUG_PRODUCTION - C.COST_BUG_DEVELOPMENT)
     roi = F.when(total > 0, js_round(savings / (total * F.lit(C.COST_BUG_DEVELOPMENT)) * F.lit(100)))
     rework = truthy_or(c("rework_bugs"), js_round(total * F.lit(0.15)))
@@ -124,7 +129,7 @@ def kpi_record(inputs: DataFrame, by=None, cfg: C.Config | None = None) -> DataF
     q_pred = (F.when(trend > 10, F.greatest(q_base - 5, F.lit(0)))
               .when(trend < -10, F.least(q_base + 5, F.lit(100))).otherwise(q_base)).cast("long")
     q_dir = F.when(trend > 10, "down").when(trend < -10, "up").otherwise("stable")
-    return inputs.select(
+    out = stage.select(
         *keys(by),
         F.col("n").alias("n_sprints"),
         total.alias("total_bugs"), closed.alias("bugs_closed"), exe.alias("tc_executed"),
@@ -139,8 +144,8 @@ def kpi_record(inputs: DataFrame, by=None, cfg: C.Config | None = None) -> DataF
         c("crit_pending").alias("critical_pending"),                                          # K8
         resolution_time.alias("avg_resolution_time"),                                         # K9
         exec_rate.alias("test_execution_rate"),                                               # K10
-        js_round(c("production_bugs") / truthy_or(total, F.lit(1)) * F.lit(100)).alias("leakage_rate"),  # K11
-        js_round(c("production_bugs") / (truthy_or(total, F.lit(1)) + c("production_bugs")) * F.lit(100))
+        js_round(c("production_bugs") / c("_tot1") * F.lit(100)).alias("leakage_rate"),      # K11
+        js_round(c("production_bugs") / (c("_tot1") + c("production_bugs")) * F.lit(100))
         .alias("escape_rate"),                                                                # K12
         F.when(total > 0, js_round(rework / total * F.lit(100))).otherwise(F.lit(0).cast("long"))
         .alias("rework_rate"),                                                                # K13
@@ -149,12 +154,16 @@ def kpi_record(inputs: DataFrame, by=None, cfg: C.Config | None = None) -> DataF
         avg_bugs_ps.alias("avg_bugs_per_sprint"),                                             # K16
         fixed6(cons).alias("consistency"),                                                    # K17
         conf.alias("prediction_confidence"),                                                  # K18
-        maturity.alias("maturity_score"), level.alias("maturity_level"),                      # K19
+        maturity.alias("maturity_score"),                                                     # K19
         savings.cast("long").alias("savings"), roi.alias("roi"),                              # K20
         next_bugs.alias("next_sprint_bugs"),                                                  # K21
         F.when(trend > 0, "up").otherwise("down").alias("next_sprint_trend"),
         q_pred.alias("quality_prediction"), q_dir.alias("quality_direction"),                 # K22
     )
+    level = F.lit(None).cast("string")
+    for k in sorted(C.MATURITY_LEVELS):
+        level = F.when(c("maturity_score") == k, F.lit(C.MATURITY_LEVELS[k])).otherwise(level)
+    return out.withColumn("maturity_level", level)
 
 
 def kpis(sprints: DataFrame, by=None, cfg: C.Config | None = None,

@@ -23,6 +23,10 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # Plans here are built from many Column calls; per-call Python call-site
+        # capture costs a py4j round trip each, so it is off (errors still carry
+        # the JVM-side context).
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
