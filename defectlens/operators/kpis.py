@@ -56,6 +56,8 @@ def kpi_inputs(sprints: DataFrame, by=None, summary: DataFrame | None = None) ->
         F.min_by(S("bugs"), S("sprint_num")).alias("first_bugs"),
         F.max_by(S("bugs"), S("sprint_num")).alias("last_bugs"),
     ] + [M(src_col).alias(name) for name, src_col in _SUMMARY_FROM_SPRINT.items()]
+    if summary is not None and "test_automation" in summary.columns:
+        aggs.append(F.max(F.when(is_m, F.col("test_automation"))).alias("test_automation"))
     return src.groupBy(*by).agg(*aggs)
 
 
@@ -116,6 +118,8 @@ def kpi_record(inputs: DataFrame, by=None, cfg: C.Config | None = None) -> DataF
         .otherwise(F.lit(7.0)))
     efficiency = F.when(total > 0, closed / total * F.lit(100)).otherwise(F.lit(0.0))
     automation = F.lit(float(cfg.test_automation))
+    if "test_automation" in inputs.columns:
+        automation = F.coalesce(c("test_automation").cast("double"), automation)
     maturity = js_round((F.least(exec_rate / F.lit(20), F.lit(1.0))
                          + F.least(automation / F.lit(20), F.lit(1.0))
                          + F.least(efficiency / F.lit(20), F.lit(1.0))
