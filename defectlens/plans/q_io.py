@@ -1 +1,120 @@
-"""placeholder"""
+"""Source / sink / snapshot / streaming queries (S*, T*, V7).
+
+Each writes only below ``spark.checkpoint.dir`` (a fresh folder per call)
+and returns a DataFrame read back from what Spark wrote, so the whole
+round trip is checked against the same oracle as the batch query.
+"""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import functions as F
+
+from defectlens import config as C
+from defectlens.operators import rollups as R
+from defectlens.operators.sprints import sprint_frame
+from defectlens.plans.catalog import register
+from defectlens.plans.q_kpis import sprint_cte
+from defectlens.plans.sqlfrag import lst, with_issue
+from defectlens.session import scratch_path
+from defectlens.sources import csv_source as CS
+from defectlens.sources import documents as D
+from defectlens.sources import versions as VS
+from defectlens.streaming import jobs as J
+
+A1_SQL = f"""SELECT sprint, count(*) AS total, count_if(priority IN ({lst(C.SPRINT_VIEW_CRITICAL)})) AS critical,
+       count_if(status IN ({lst(C.PENDING_STATUS_SPRINT_VIEW)})) AS pending,
+       count_if(status IN ({lst(C.CANCELED_STATUS)})) AS canceled"""
+
+# The upload file's header row (Spanish, with accents).
+CSV_HEADERS = {"sprint": "Sprint", "priority": "Prioridad", "status": "Estado", "assignee": "Asignado a",
+               "issue_type": "Tipo Incidencia", "summary": "Resumen", "module": "Módulo",
+               "category": "Categoría", "environment": "Ambiente", "strategy": "Estrategia",
+               "fix_version": "Versión", "tags_text": "Tags"}
+
+
+def _csv_input(t, n_files: int = 4) -> str:
+    """Issues as CSV files whose text has commas, quotes and newlines."""
+    path = scratch_path(t.spark, "csv")
+    iss = t.issues.withColumn("summary", F.concat(F.col("summary"), F.lit(', "'), F.col("status"), F.lit('"\n'),
+                                                  F.col("module"))) \
+        .withColumn("tags_text", F.array_join("tags", "|"))
+    CS.write_issue_csv(iss.repartition(n_files), path, CSV_HEADERS)
+    return path
+
+
+@register("csv_roundtrip", "S1 S2 S3 N4 N16 X7 (CSV with quotes/newlines -> A1)", with_issue(
+    A1_SQL + ", count(*) AS multiline_rows FROM issue GROUP BY sprint"))
+def q_csv_roundtrip(t):
+    rows = CS.read_issue_csv(t.spark, _csv_input(t))
+    iss = CS.canonical_issues(rows)
+    a1 = R.issues_by_sprint(iss.withColumn("_nl", F.col("summary").contains("\n")))
+    nl = iss.groupBy("sprint").agg(F.count_if(F.col("summary").contains("\n")).alias("multiline_rows"))
+    return a1.join(nl, "sprint")
+
+
+@register("json_document_sections", "S11 S4 S5 N1 (documents per module -> sprint rows)", with_issue("""
+SELECT module, sprint, CAST(row_number() OVER (PARTITION BY module ORDER BY sprint_num) AS INTEGER) AS position,
+  bugs, bugs_resolved, bugs_pending, test_cases, test_planned, velocity, planned_velocity FROM sprint""",
+    sprint_cte(["module"])))
+def q_json_document_sections(t):
+    sp = sprint_frame(t.issues, ["module"])
+    docs = D.issues_to_documents(sp, ["module"]).withColumn(
+        "metadata", F.struct(F.col("module").alias("source"))).drop("module")
+    path = scratch_path(t.spark, "docs")
+    D.write_documents(docs, path)
+    back = D.read_documents(t.spark, path, multi_line=False).withColumn("module", F.col("metadata.source"))
+    rows = D.sprint_rows(back, key="module")
+    return rows.select("module", "sprint", F.col("sprint_num").alias("position"), "bugs", "bugs_resolved",
+                       "bugs_pending", "test_cases", "test_planned", "velocity", "planned_velocity")
+
+
+@register("snapshot_versions", "S14 S15 S16 O11 V7 (three versions, keep two)", with_issue("""
+SELECT CAST(r AS INTEGER) AS rank, r = 1 AS active, r <= 2 AS retain, count(*) AS bugs,
+  count(DISTINCT sprint) AS sprints, count(DISTINCT assignee) AS developers,
+  CASE WHEN r = 3 THEN NULL ELSE CAST(0 AS BIGINT) END AS bugs_delta
+FROM issue, (VALUES (1), (2), (3)) AS v(r) GROUP BY r"""))
+def q_snapshot_versions(t):
+    root = scratch_path(t.spark, "versions")
+    iss = t.issues.select("issue_id", "sprint", "assignee", "status")
+    for v in ("2025-01-01T00-00-00-000Z", "2025-01-02T00-00-00-000Z", "2025-01-03T00-00-00-000Z"):
+        VS.write_snapshot(iss, root, v)
+    snaps = t.spark.read.parquet(root)
+    vl = VS.version_list(snaps, keep=2)
+    from defectlens.operators.verify import snapshot_diff
+    return snapshot_diff(vl).select("rank", "active", "retain", "bugs", "sprints", "developers", "bugs_delta")
+
+
+@register("stream_issues_by_sprint", "T1 (file stream, complete mode, availableNow) = A1", with_issue(
+    A1_SQL + " FROM issue GROUP BY sprint"))
+def q_stream_issues_by_sprint(t):
+    d = J.new_dirs(t.spark, "t1")
+    J.split_into_files(t.issues, d["src"], 6, "sprint_num")
+    schema = t.spark.read.parquet(d["src"]).schema
+    J.run_to_completion(J.sprint_rollup_stream(t.spark, d["src"], schema, d["sink"], d["ckpt"]))
+    return t.spark.read.parquet(d["sink"])
+
+
+@register("stream_csv_ingest", "T2 S10 U6 (CSV drop folder -> table + dimension) = A1", with_issue(
+    A1_SQL + ", (SELECT count(DISTINCT sprint) FROM issue) AS dim_sprints FROM issue GROUP BY sprint"))
+def q_stream_csv_ingest(t):
+    d = J.new_dirs(t.spark, "t2")
+    src = _csv_input(t)
+    J.run_to_completion(J.csv_ingest_stream(t.spark, src, d["table"], d["dim"], d["ckpt"]))
+    table = t.spark.read.parquet(d["table"])
+    dim = t.spark.read.parquet(d["dim"])
+    return R.issues_by_sprint(table).withColumn("dim_sprints", dim.select(F.count(F.lit(1))).scalar())
+
+
+@register("stream_alert_cooldown", "T3 (error events, 3600 s cooldown windows, watermark, update mode)",
+          f"""SELECT 'error-events' AS rule, user_id AS key,
+  time_bucket(INTERVAL '{C.ALERT_COOLDOWN['critical']} seconds', ts) AS window_start, min(ts) AS first_ts,
+  count(*) - 1 AS suppressed
+FROM events WHERE event_type = 'error' GROUP BY ALL""")
+def q_stream_alert_cooldown(t):
+    d = J.new_dirs(t.spark, "t3")
+    J.replay_in_order(t.table("events"), d["src"], 6, "ts")
+    schema = t.spark.read.parquet(d["src"]).schema
+    J.run_to_completion(J.cooldown_stream(t.spark, d["src"], schema, d["table"], d["ckpt"]))
+    return J.current_alerts(t.spark, d["table"])

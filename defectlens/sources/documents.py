@@ -53,9 +53,11 @@ DOC_SCHEMA = T.StructType([
 ])
 
 
-def read_documents(spark: SparkSession, path) -> DataFrame:
-    """S4 + S6: one row per document file, with its path and mtime."""
-    df = (spark.read.schema(DOC_SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE")
+def read_documents(spark: SparkSession, path, multi_line: bool = True) -> DataFrame:
+    """S4 + S6: one row per document (a pretty-printed file holds one
+    document: ``multi_line``; JSON Lines written by ``write_documents`` hold
+    one per line), with its file path and mtime."""
+    df = (spark.read.schema(DOC_SCHEMA).option("multiLine", multi_line).option("mode", "PERMISSIVE")
           .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
     return df.withColumns({"doc_path": F.col("_metadata.file_path"),
                            "doc_mtime": F.col("_metadata.file_modification_time")})
