@@ -8,6 +8,8 @@ issue fields are resolved from Spanish / English aliases (N4).
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,9 +23,17 @@ def read_issue_csv(spark: SparkSession, path, encoding: str = "UTF-8") -> DataFr
     raw = (spark.read.option("header", True).option("multiLine", True).option("quote", '"')
            .option("escape", '"').option("mode", "PERMISSIVE").option("encoding", encoding)
            .option("inferSchema", False).csv(path))
+    # Spark already de-duplicates repeated header names by appending the
+    # column index; undo that so the S2 rule (``_2``, ``_3``) applies.
+    cands = []
+    for i, c in enumerate(raw.columns):
+        s = str(i)
+        cands.append(c[:-len(s)] if c.endswith(s) and len(c) > len(s) else None)
+    dup = Counter(c.lower() for c in cands if c is not None)
+    originals = [b if b is not None and dup[b.lower()] >= 2 else c for b, c in zip(cands, raw.columns)]
     seen: dict[str, int] = {}
     names = []
-    for c in raw.columns:
+    for c in originals:
         n = normalize_header(c)
         seen[n] = seen.get(n, 0) + 1
         names.append(n if seen[n] == 1 else f"{n}_{seen[n]}")

@@ -26,15 +26,21 @@ def write_snapshot(df: DataFrame, root: str, version: str) -> None:
     df.withColumn("version", F.lit(version)).write.mode("overwrite").partitionBy("version").parquet(root)
 
 
+def read_snapshots(spark: SparkSession, root: str) -> DataFrame:
+    """All versions; the partition value is kept as text (type inference
+    would turn ``2025-01-03`` into a date)."""
+    return spark.read.parquet(root).withColumn("version", F.col("version").cast("string"))
+
+
 def read_version(spark: SparkSession, root: str, version: str) -> DataFrame:
     """S17 read side: one version (partition pruning on ``version``)."""
-    return spark.read.parquet(root).filter(F.col("version") == version)
+    return read_snapshots(spark, root).filter(F.col("version") == version)
 
 
 def version_list(snapshots: DataFrame, keep: int | None = None) -> DataFrame:
     """S16 + O11: per version the bug, sprint and developer counts, rank by
     recency, ``active`` = newest; with ``keep`` also the retention flag (S15)."""
-    g = snapshots.groupBy("version").agg(
+    g = snapshots.groupBy(F.col("version").cast("string").alias("version")).agg(
         F.count(F.lit(1)).alias("bugs"),
         F.count_distinct("sprint").alias("sprints"),
         F.count_distinct("assignee").alias("developers"),
