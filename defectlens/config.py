@@ -123,6 +123,17 @@ class Config:
         return cls(weights=merged["weights"], thresholds=merged["thresholds"],
                    priorities=merged["priorities"], modules=merged["modules"], **extra)
 
+    def key(self) -> str:
+        """Stable text form (memoization key for expression builders)."""
+        import json
+        from dataclasses import asdict
+        return json.dumps(asdict(self), sort_keys=True, ensure_ascii=False)
+
+    @classmethod
+    def from_key(cls, key: str) -> "Config":
+        import json
+        return cls(**json.loads(key))
+
     @property
     def critical_labels(self) -> list[str]:
         return list(self.priorities.get("critical", []))

@@ -9,6 +9,8 @@ so there is no join of one-row frames).
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,12 +90,21 @@ def kpi_record(inputs: DataFrame, by=None, cfg: C.Config | None = None) -> DataF
     Built in two projections: shared intermediates (trend, consistency,
     confidence, execution rate, ...) are computed once and referenced by name,
     which keeps every expression tree small for the analyzer and codegen.
+    The expressions depend only on the config and are built once per config.
     """
     cfg = cfg or C.Config()
+    stage1, stage2, final, level = _kpi_exprs(cfg.key(), "test_automation" in inputs.columns)
+    out = inputs.withColumns(stage1).withColumns(stage2).select(*keys(by), *final)
+    return out.withColumn("maturity_level", level)
+
+
+@lru_cache(maxsize=64)
+def _kpi_exprs(cfg_key: str, has_automation: bool):
+    cfg = C.Config.from_key(cfg_key)
     w = cfg.weights
     c = F.col
     total, closed, exe, n = c("total_bugs"), c("bugs_closed"), c("tc_executed"), c("n")
-    stage = inputs.withColumns({
+    stage1 = ({
         "_tct": truthy_or(c("tc_total"), F.lit(1)),
         "_trend": sprint_trend(n, c("first_bugs"), c("last_bugs")),
         "_cons": consistency(n, c("avg_bugs"), c("std_bugs"), c("avg_velocity"), c("std_velocity")),
@@ -101,7 +112,7 @@ def kpi_record(inputs: DataFrame, by=None, cfg: C.Config | None = None) -> DataF
         "_avgps": F.when(n > 0, js_round(c("sum_bugs") / n)).otherwise(F.lit(0).cast("long")),
         "_tot1": truthy_or(total, F.lit(1)),
     })
-    stage = stage.withColumn("_exec_rate", js_round(exe / c("_tct") * F.lit(100)))
+    stage2 = {"_exec_rate": js_round(exe / c("_tct") * F.lit(100))}
     trend, cons, conf, exec_rate, avg_bugs_ps = c("_trend"), c("_cons"), c("_conf"), c("_exec_rate"), c("_avgps")
     rr = F.when(total > 0, closed / total * F.lit(100)).otherwise(F.lit(100.0))
     cov = exe / c("_tct") * F.lit(100)
@@ -118,7 +129,7 @@ def kpi_record(inputs: DataFrame, by=None, cfg: C.Config | None = None) -> DataF
         .otherwise(F.lit(7.0)))
     efficiency = F.when(total > 0, closed / total * F.lit(100)).otherwise(F.lit(0.0))
     automation = F.lit(float(cfg.test_automation))
-    if "test_automation" in inputs.columns:
+    if has_automation:
         automation = F.coalesce(c("test_automation").cast("double"), automation)
     maturity = js_round((F.least(exec_rate / F.lit(20), F.lit(1.0))
                          + F.least(automation / F.lit(20), F.lit(1.0))
@@ -133,8 +144,7 @@ def kpi_record(inputs: DataFrame, by=None, cfg: C.Config | None = None) -> DataF
     q_pred = (F.when(trend > 10, F.greatest(q_base - 5, F.lit(0)))
               .when(trend < -10, F.least(q_base + 5, F.lit(100))).otherwise(q_base)).cast("long")
     q_dir = F.when(trend > 10, "down").when(trend < -10, "up").otherwise("stable")
-    out = stage.select(
-        *keys(by),
+    final = [
         F.col("n").alias("n_sprints"),
         total.alias("total_bugs"), closed.alias("bugs_closed"), exe.alias("tc_executed"),
         c("crit_cfg").alias("critical_total"),
@@ -163,11 +173,11 @@ def kpi_record(inputs: DataFrame, by=None, cfg: C.Config | None = None) -> DataF
         next_bugs.alias("next_sprint_bugs"),                                                  # K21
         F.when(trend > 0, "up").otherwise("down").alias("next_sprint_trend"),
         q_pred.alias("quality_prediction"), q_dir.alias("quality_direction"),                 # K22
-    )
+    ]
     level = F.lit(None).cast("string")
     for k in sorted(C.MATURITY_LEVELS):
         level = F.when(c("maturity_score") == k, F.lit(C.MATURITY_LEVELS[k])).otherwise(level)
-    return out.withColumn("maturity_level", level)
+    return stage1, stage2, final, level
 
 
 def kpis(sprints: DataFrame, by=None, cfg: C.Config | None = None,

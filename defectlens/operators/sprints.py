@@ -8,6 +8,8 @@ projects), never on the issue table again.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,22 +23,16 @@ SPRINT_COLUMNS = [
 ]
 
 
-def sprint_frame(issues: DataFrame, by=None, cfg: C.Config | None = None,
-                 done_status: str = "Done") -> DataFrame:
-    """Sprint roll-up (FIXTURES.md): bugs, resolved (``Done``), pending,
-    executed / planned cases, velocity = resolved, planned velocity = bugs,
-    critical = configured critical labels, critical pending = critical and
-    not done.  Extra counters for the KPI record ride in the same pass:
-    ``crit_all`` (the five critical labels of K6), ``crit_pending_view``
-    (critical in the To Do / In Development sense of the priority view, K8),
-    reopened issues (K33) and positive report-to-resolution days (K9/K37).
-    """
-    cfg = cfg or C.Config()
+@lru_cache(maxsize=64)
+def _sprint_exprs(cfg_key: str, done_status: str):
+    """Aggregate and projection expressions of the roll-up (unresolved
+    Columns depend only on the config, so they are built once)."""
+    cfg = C.Config.from_key(cfg_key)
     crit = F.col("priority").isin(cfg.critical_labels)
     done = F.col("status") == done_status
     days = F.datediff(F.col("resolved_at"), F.col("created_at"))
     pos = days > 0
-    agg = issues.groupBy(*keys(by), "sprint", "sprint_num").agg(
+    aggs = [
         F.count(F.lit(1)).alias("bugs"),
         F.count_if(done).alias("bugs_resolved"),
         F.sum("cases_executed").cast("long").alias("test_cases"),
@@ -52,16 +48,31 @@ def sprint_frame(issues: DataFrame, by=None, cfg: C.Config | None = None,
         F.count_if(F.col("priority") == "Alta").alias("c_alta"),
         F.coalesce(F.sum(F.when(pos, days)), F.lit(0)).cast("long").alias("res_days_sum"),
         F.count_if(pos).alias("res_days_n"),
-    )
-    return agg.select(
-        *keys(by), "sprint", "sprint_num", "bugs", "bugs_resolved",
-        (F.col("bugs") - F.col("bugs_resolved")).alias("bugs_pending"),
-        "test_cases", "test_planned",
-        F.col("bugs_resolved").alias("velocity"),
+    ]
+    proj = [
+        "bugs", "bugs_resolved", (F.col("bugs") - F.col("bugs_resolved")).alias("bugs_pending"),
+        "test_cases", "test_planned", F.col("bugs_resolved").alias("velocity"),
         F.col("bugs").alias("planned_velocity"),
         "critical_total", "critical_pending", "production_bugs", "tc_passed",
         "crit_all", "crit_pending_view", "reopened", "c_mas_alta", "c_alta", "res_days_sum", "res_days_n",
-    )
+    ]
+    return aggs, proj
+
+
+def sprint_frame(issues: DataFrame, by=None, cfg: C.Config | None = None,
+                 done_status: str = "Done") -> DataFrame:
+    """Sprint roll-up (FIXTURES.md): bugs, resolved (``Done``), pending,
+    executed / planned cases, velocity = resolved, planned velocity = bugs,
+    critical = configured critical labels, critical pending = critical and
+    not done.  Extra counters for the KPI record ride in the same pass:
+    ``crit_all`` (the five critical labels of K6), ``crit_pending_view``
+    (critical in the To Do / In Development sense of the priority view, K8),
+    reopened issues (K33) and positive report-to-resolution days (K9/K37).
+    """
+    cfg = cfg or C.Config()
+    aggs, proj = _sprint_exprs(cfg.key(), done_status)
+    agg = issues.groupBy(*keys(by), "sprint", "sprint_num").agg(*aggs)
+    return agg.select(*keys(by), "sprint", "sprint_num", *proj)
 
 
 def summary_frame(sprints: DataFrame, by=None) -> DataFrame:

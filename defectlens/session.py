@@ -16,7 +16,7 @@ from pyspark.sql import SparkSession
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
-                  app: str = "defectlens") -> SparkSession:
+                  app: str = "defectlens", broadcast_bytes: int = 4 * 1024 * 1024) -> SparkSession:
     """Session tuned for the library: AQE on, UI off, UTC, Arrow on."""
     spark = (
         SparkSession.builder.master(master)
@@ -31,6 +31,10 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Broadcast only sides Spark measures below this size (static file
+        # statistics, then AQE runtime statistics); the fact side must stay
+        # the streamed side so its scan parallelism carries the join.
+        .config("spark.sql.autoBroadcastJoinThreshold", str(broadcast_bytes))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")

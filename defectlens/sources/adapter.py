@@ -33,55 +33,75 @@ def _sprint_num(ts):
     return ((F.year(ts) - F.lit(1995)) * F.lit(12) + F.month(ts)).cast("int")
 
 
+def input_bytes(spark: SparkSession, paths: list[str]) -> int:
+    """Total size of input files (a metadata listing, no data read)."""
+    jvm = spark._jvm
+    conf = spark._jsc.hadoopConfiguration()
+    total = 0
+    for p in paths:
+        hp = jvm.org.apache.hadoop.fs.Path(p)
+        total += hp.getFileSystem(conf).getContentSummary(hp).getLength()
+    return int(total)
+
+
 def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The issue frame with the canonical schema (see ``ISSUE_COLUMNS``)."""
+    """The issue frame with the canonical schema (see ``ISSUE_COLUMNS``).
+
+    Every field that depends on one dimension only is derived on that
+    dimension before the join (tags and labels on part, the assignee rule on
+    supplier, the environment on region, sprint and priority on orders), so
+    the lineitem-sized side only carries finished columns and the
+    interpreted higher-order tag functions run once per part, not per issue.
+    """
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_returnflag", "l_linestatus", "l_shipdate")
+    op = F.col("o_orderpriority")
     orders = read_table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
-    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
-    cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+        "o_orderkey", "o_custkey", "o_orderstatus", F.col("o_orderdate").alias("created_at"),
+        _sprint_num(F.col("o_orderdate")).alias("sprint_num"),
+        F.when(op == "1-URGENT", "Más alta").when(op == "2-HIGH", "Alta").when(op == "3-MEDIUM", "Media")
+         .when(op == "5-LOW", "Baja").otherwise("Más baja").alias("priority"))
+    part = read_table(spark, sf_dir, "part").select(
+        "p_partkey", F.col("p_type").alias("module"), F.col("p_brand").alias("category"),
+        F.col("p_brand").alias("fix_version"),
+        split_tags(F.regexp_replace(F.col("p_name"), " ", ";")).alias("tags"),
+        F.col("p_name").alias("summary"))
+    cust = read_table(spark, sf_dir, "customer").select(
+        "c_custkey", "c_nationkey", F.col("c_mktsegment").alias("strategy"))
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    region = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    supp = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    rn = F.col("r_name")
+    region = read_table(spark, sf_dir, "region").select(
+        "r_regionkey",
+        F.when(rn == "EUROPE", "PROD").when(rn == "ASIA", "UAT").when(rn == "MIDDLE EAST", "UAT")
+         .when(rn == "AMERICA", "SIT").otherwise("DEV").alias("environment"))
+    # l_suppkey = s_suppkey on a match, and an unmatched row has no name
+    # either way, so the "every tenth supplier is unassigned" rule is a
+    # supplier-side column.
+    supp = read_table(spark, sf_dir, "supplier").select(
+        "s_suppkey", F.when(F.col("s_suppkey") % 10 == 0, F.lit(None).cast("string"))
+        .otherwise(F.col("s_name")).alias("assignee"))
 
     geo = (cust.join(nation, cust.c_nationkey == nation.n_nationkey)
            .join(region, F.col("n_regionkey") == region.r_regionkey)
-           .select("c_custkey", "c_mktsegment", "r_name"))
+           .select("c_custkey", "strategy", "environment"))
     o = orders.join(geo, orders.o_custkey == geo.c_custkey)
     x = (li.join(o, li.l_orderkey == o.o_orderkey)
          .join(part, li.l_partkey == part.p_partkey)
          .join(supp, li.l_suppkey == supp.s_suppkey, "left"))
 
-    sprint_num = _sprint_num(F.col("o_orderdate"))
     done = F.col("l_linestatus") == "F"
     qty = F.col("l_quantity").cast("long")
     return x.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("issue_id"),
-        F.concat(F.lit("Sprint "), sprint_num.cast("string")).alias("sprint"),
-        sprint_num.alias("sprint_num"),
+        F.concat(F.lit("Sprint "), F.col("sprint_num").cast("string")).alias("sprint"),
+        "sprint_num",
         F.when(F.col("l_returnflag") == "R", "Bug").when(F.col("l_returnflag") == "A", "Sugerencia")
          .otherwise("Tarea").alias("issue_type"),
         F.when(done, "Done").when(F.col("o_orderstatus") == "P", "In Development")
          .when(F.col("o_orderstatus") == "F", "Canceled").otherwise("To Do").alias("status"),
-        F.when(F.col("o_orderpriority") == "1-URGENT", "Más alta")
-         .when(F.col("o_orderpriority") == "2-HIGH", "Alta")
-         .when(F.col("o_orderpriority") == "3-MEDIUM", "Media")
-         .when(F.col("o_orderpriority") == "5-LOW", "Baja")
-         .otherwise("Más baja").alias("priority"),
-        F.col("p_type").alias("module"),
-        F.col("p_brand").alias("category"),
-        F.when(F.col("l_suppkey") % 10 == 0, F.lit(None).cast("string"))
-         .otherwise(F.col("s_name")).alias("assignee"),
-        F.when(F.col("r_name") == "EUROPE", "PROD").when(F.col("r_name") == "ASIA", "UAT")
-         .when(F.col("r_name") == "MIDDLE EAST", "UAT").when(F.col("r_name") == "AMERICA", "SIT")
-         .otherwise("DEV").alias("environment"),
-        F.col("c_mktsegment").alias("strategy"),
-        F.col("p_brand").alias("fix_version"),
-        split_tags(F.regexp_replace(F.col("p_name"), " ", ";")).alias("tags"),
-        F.col("p_name").alias("summary"),
-        F.col("o_orderdate").alias("created_at"),
+        "priority", "module", "category", "assignee", "environment", "strategy", "fix_version", "tags",
+        "summary", "created_at",
         F.when(done, F.col("l_shipdate")).alias("resolved_at"),
         qty.alias("cases_planned"),
         F.when(F.col("l_returnflag") != "N", qty).otherwise(F.lit(0).cast("long")).alias("cases_executed"),
@@ -133,14 +153,21 @@ class Tables:
         return raw_issue_facts(self.spark, self.sf_dir)
 
 
-def materialize_issues(spark: SparkSession, sf_dir: str, path: str) -> str:
-    """Bulk load (S9): write the issue frame once, clustered by sprint.
+def materialize_issues(spark: SparkSession, sf_dir: str, path: str,
+                       target_bytes: int = 128 * 1024 * 1024) -> str:
+    """Bulk load (S9): write the issue frame once, range-clustered by sprint.
 
-    Sorting within partitions by ``sprint_num`` lets Parquet min/max stats
-    prune row groups for sprint-range filters; the write is an atomic job
-    commit, so a lost executor only re-runs its tasks.
+    The output is range-partitioned on (sprint_num, issue_id) into one file
+    per ~``target_bytes`` of input (at least one per core): files hold
+    contiguous sprints, so Parquet min/max statistics prune sprint filters,
+    and a hot sprint is split across files by ``issue_id`` instead of landing
+    in one task.  The write is one atomic job commit; a lost executor only
+    re-runs its tasks.
     """
+    size = input_bytes(spark, [os.path.join(sf_dir, f"{t}.parquet") for t in ("lineitem", "orders", "part")])
+    n = max(spark.sparkContext.defaultParallelism, -(-size // target_bytes))
     df = issues(spark, sf_dir)
-    (df.sortWithinPartitions("sprint_num")
+    (df.repartitionByRange(n, "sprint_num", "issue_id")
+       .sortWithinPartitions("sprint_num", "issue_id")
        .write.mode("overwrite").parquet(path))
     return path
