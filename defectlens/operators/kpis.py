@@ -324,3 +324,39 @@ def sprints_matching(sprints: DataFrame, filtered_issues: DataFrame, sprint_term
         from defectlens.operators.filters import sprint_contains_any
         cond = sprint_contains_any([s.lower() for s in sprint_terms]) | cond
     return sprints.join(names, "sprint", "left").filter(cond).drop("_hit")
+
+
+def legacy_kpis(inputs: DataFrame, by=None) -> DataFrame:
+    """K36 (legacy KPI record) + K5 (quality index without the clamp and
+    with critical = the two configured labels) + K33 (regression estimate:
+    reopened / closed) + K38 (critical split: 40 % top, 60 % high)."""
+    c = F.col
+    total, closed, exe = c("total_bugs"), c("bugs_closed"), c("tc_executed")
+    tct = truthy_or(c("tc_total"), F.lit(1))
+    rr = F.when(total > 0, closed / total * F.lit(100)).otherwise(F.lit(100.0))
+    cov = exe / tct * F.lit(100)
+    dens = F.when(exe > 0, F.greatest(F.lit(0.0), F.lit(100) - total / exe * F.lit(50))).otherwise(F.lit(100.0))
+    cs = F.when(total > 0, F.greatest(F.lit(0.0), F.lit(100) - c("crit_cfg") / total * F.lit(100))) \
+        .otherwise(F.lit(100.0))
+    w = C.DEFAULT_WEIGHTS
+    qi = (rr * F.lit(w["resolutionRate"]) + cov * F.lit(w["testCoverage"]) + dens * F.lit(w["bugDensity"])
+          + cs * F.lit(w["criticalBugs"]))
+    return inputs.select(
+        *keys(by),
+        js_round(exe / tct * F.lit(100)).alias("test_coverage"),
+        pct(closed, total).alias("resolution_efficiency"),
+        js_round(qi).alias("quality_index_legacy"),
+        sprint_trend(c("n"), c("first_bugs"), c("last_bugs")).alias("sprint_trend"),
+        F.when(exe > 0, fixed2(total / exe)).otherwise(F.lit(0.0)).alias("defect_density"),
+        pct(c("crit_cfg"), total).alias("critical_ratio"),
+        F.when(closed > 0, fixed2(c("rework_bugs") / closed * F.lit(100))).otherwise(F.lit(0.0))
+        .alias("regression_rate"),
+        js_round(c("crit_cfg") * F.lit(0.4)).alias("critical_top"),
+        js_round(c("crit_cfg") * F.lit(0.6)).alias("critical_high"),
+    )
+
+
+def roi_text(k: DataFrame, by=None) -> DataFrame:
+    """K20 display: savings with thousands separators."""
+    return k.select(*keys(by), "savings", F.format_number(F.col("savings").cast("double"), 0).alias("early_detection"),
+                    "roi")

@@ -368,3 +368,40 @@ def severity_share(issues: DataFrame, by=None, dim: str = "priority") -> DataFra
 
 def empty_like(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
+
+
+def team_overview(issues: DataFrame, by=None, pending_status=C.PENDING_STATUS_PRIORITY_VIEW) -> DataFrame:
+    """A22 + A23: developers, pending, assigned, overall efficiency and the
+    unassigned remainder ``max(0, total - assigned)`` per group, in one pass."""
+    assigned = is_assigned()
+    g = issues.groupBy(*keys(by)).agg(
+        F.count(F.lit(1)).alias("total"),
+        F.count_distinct(F.when(assigned, F.col("assignee"))).alias("developers"),
+        F.count_if(assigned).alias("assigned"),
+        F.count_if(assigned & F.col("status").isin(list(pending_status))).alias("pending"),
+    )
+    return g.select(*keys(by), "total", "developers", "assigned", "pending",
+                    pct(F.col("assigned") - F.col("pending"), F.col("assigned")).alias("efficiency"),
+                    F.greatest(F.lit(0), F.col("total") - F.col("assigned")).cast("long").alias("unassigned"))
+
+
+def source_statistics(sprints: DataFrame, by=None) -> DataFrame:
+    """Totals, sprints, critical and pending from sprint rows whose
+    column names vary (first present alias wins)."""
+    cols = set(sprints.columns)
+
+    def pick(*names):
+        got = [F.col(n) for n in names if n in cols]
+        return F.coalesce(*got, F.lit(0)) if got else F.lit(0)
+    return sprints.groupBy(*keys(by)).agg(
+        F.sum(pick("bugs", "total", "total_bugs")).cast("long").alias("total_bugs"),
+        F.count(F.lit(1)).alias("total_sprints"),
+        F.sum(pick("critical_total", "critical", "critical_bugs")).cast("long").alias("critical_bugs"),
+        F.sum(pick("bugs_pending", "pending", "pending_bugs")).cast("long").alias("pending_bugs"),
+    )
+
+
+def top2_priority_sum(priority_map) -> Column:
+    """Sum of the two largest counts of a priority -> count map."""
+    top = F.slice(F.sort_array(F.map_values(priority_map), asc=False), 1, 2)
+    return F.aggregate(top, F.lit(0).cast("long"), lambda a, b: a + b.cast("long"))

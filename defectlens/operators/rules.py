@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from defectlens import config as C
-from defectlens.functions import fixed2, js_round, truthy_or
+from defectlens.functions import fixed2, js_round, pct, truthy_or
 from defectlens.operators.rollups import keys
 from defectlens.operators.rule_table import (DEFAULT_ICON, DEFAULT_RULES, METRIC_NAME_MAP,
                                              PRIORITY_ICONS)
@@ -468,3 +468,64 @@ def module_thresholds(modules: DataFrame, cfg: C.Config | None = None, default_w
     th = F.coalesce(F.col("critical_threshold"), F.lit(default_threshold))
     return x.select("*").withColumn("weight", F.coalesce(F.col("weight"), F.lit(default_weight))) \
         .withColumn("critical_threshold", th).withColumn("over_threshold", F.col("percentage") > th)
+
+
+def team_findings(devs: DataFrame, by=None, threshold: int = 15) -> DataFrame:
+    """Per group, the most loaded developer (pending desc, then name)
+    and whether it exceeds the threshold, how many developers have a low
+    workload, and the overall efficiency.  ``devs``: assignee, assigned,
+    resolved, pending, workload."""
+    by = keys(by)
+    c = F.col
+    g = devs.groupBy(*by).agg(
+        F.count_if(F.lower(F.coalesce(c("workload"), F.lit(""))).contains("bajo")).alias("low_load_developers"),
+        pct(F.sum("resolved"), F.sum("assigned")).alias("overall_efficiency"),
+    )
+    top = first_over(devs, by, [F.desc("pending"), F.asc("assignee")]).select(
+        *by, c("assignee").alias("top_assignee"), c("pending").alias("top_pending"))
+    out = attach(g, top, by)
+    return out.withColumn("overloaded", F.coalesce(c("top_pending") > threshold, F.lit(False)))
+
+
+def module_findings(modules: DataFrame, by=None, critical_pct: int = 60, good_rate: float = 0.8) -> DataFrame:
+    """Per group, the critical module (first with share >= 60 %, by
+    share desc then name) and the modules resolving >= 80 % of their issues
+    (names joined by ', ' in name order; bounded by the module count).
+    ``modules``: module, total, resolved, percentage."""
+    by = keys(by)
+    c = F.col
+    crit = first_over(modules.filter(c("percentage") >= critical_pct), by,
+                      [F.desc("percentage"), F.asc("module")]).select(
+        *by, c("module").alias("critical_module"), c("percentage").alias("critical_percentage"))
+    good = (c("total") > 0) & (c("resolved") / c("total") >= good_rate)
+    g = modules.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("modules"),
+        F.array_join(F.array_sort(F.collect_list(F.when(good, c("module")))), ", ").alias("high_resolution_modules"),
+    )
+    return attach(g, crit, by)
+
+
+def legacy_alerts(priority: DataFrame, devs: DataFrame, modules: DataFrame, by=None,
+                  labels=("Más alta", "Alta"), module_label: str = "POS") -> DataFrame:
+    """Critical pending (two labels) > 20, the developer with the
+    largest pending (> 15; first by name on ties), a named module's share
+    > 60.  ``priority``: priority, pending; ``devs``: assignee, pending;
+    ``modules``: module, percentage."""
+    by = keys(by)
+    c = F.col
+    cp = priority.filter(c("priority").isin(list(labels))).groupBy(*by).agg(
+        F.sum("pending").cast("long").alias("v"))
+    a1 = cp.filter(c("v") > 20).select(*by, F.lit("critical").alias("type"),
+                                       F.lit("Bugs Críticos Elevados").alias("title"),
+                                       F.concat(c("v").cast("string"),
+                                                F.lit(" bugs críticos pendientes requieren atención inmediata"))
+                                       .alias("message"))
+    top = first_over(devs, by, [F.desc("pending"), F.asc("assignee")]).filter(c("pending") > 15)
+    a2 = top.select(*by, F.lit("warning").alias("type"), F.lit("Concentración de Bugs").alias("title"),
+                    F.concat(c("assignee"), F.lit(" tiene "), c("pending").cast("string"),
+                             F.lit(" bugs pendientes")).alias("message"))
+    m = modules.filter((c("module") == module_label) & (c("percentage") > 60))
+    a3 = m.select(*by, F.lit("warning").alias("type"), F.lit(f"Módulo {module_label} Crítico").alias("title"),
+                  F.concat(F.lit(f"El módulo {module_label} concentra "), c("percentage").cast("string"),
+                           F.lit("% de los bugs")).alias("message"))
+    return a1.unionByName(a2).unionByName(a3)

@@ -39,8 +39,13 @@ def developers_by_pending(issues: DataFrame, n: int = 10, by=None) -> DataFrame:
     by = keys(by)
     agg = issues.filter(is_assigned()).groupBy(*by, "assignee").agg(
         F.count_if(F.col("status").isin(C.PENDING_STATUS_PRIORITY_VIEW)).alias("pending"))
-    w = Window.partitionBy(*by).orderBy(F.desc("pending"), F.asc_nulls_first("assignee"))
-    return agg.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    order = [F.desc("pending"), F.asc_nulls_first("assignee")]
+    if by:
+        return top_k(agg, order, n, by)
+    # Global: per-partition top-n then an n-row merge; only the n survivors
+    # are numbered (an unpartitioned window over all assignees is avoided).
+    top = agg.orderBy(*order).limit(n)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
 def max_pending_developer(devs: DataFrame, by=None) -> DataFrame:
