@@ -30,12 +30,21 @@ def kpi_inputs(sprints: DataFrame, by=None, summary: DataFrame | None = None) ->
     """Per group: sprint-level sums/moments and summary-level totals."""
     by = keys(by)
     if summary is None:
-        src, is_s, is_m = sprints, F.lit(True), F.lit(True)
-    else:
-        src = (sprints.withColumn("_kind", F.lit("s"))
-               .unionByName(summary.withColumn("_kind", F.lit("m")), allowMissingColumns=True))
-        is_s, is_m = F.col("_kind") == "s", F.col("_kind") == "m"
+        return sprints.groupBy(*by).agg(*_input_aggs_issue_path())
+    src = (sprints.withColumn("_kind", F.lit("s"))
+           .unionByName(summary.withColumn("_kind", F.lit("m")), allowMissingColumns=True))
+    is_s, is_m = F.col("_kind") == "s", F.col("_kind") == "m"
+    return src.groupBy(*by).agg(*_input_aggs(is_s, is_m, tuple(summary.columns)))
 
+
+@lru_cache(maxsize=1)
+def _input_aggs_issue_path():
+    """``kpi_inputs`` aggregates when the summary is the sum of the sprints."""
+    t = F.lit(True)
+    return _input_aggs(t, t, None)
+
+
+def _input_aggs(is_s, is_m, summary_cols):
     def S(c):  # noqa: N802 - sprint-level value
         return F.when(is_s, c if isinstance(c, Column) else F.col(c))
 
@@ -58,9 +67,9 @@ def kpi_inputs(sprints: DataFrame, by=None, summary: DataFrame | None = None) ->
         F.min_by(S("bugs"), S("sprint_num")).alias("first_bugs"),
         F.max_by(S("bugs"), S("sprint_num")).alias("last_bugs"),
     ] + [M(src_col).alias(name) for name, src_col in _SUMMARY_FROM_SPRINT.items()]
-    if summary is not None and "test_automation" in summary.columns:
+    if summary_cols is not None and "test_automation" in summary_cols:
         aggs.append(F.max(F.when(is_m, F.col("test_automation"))).alias("test_automation"))
-    return src.groupBy(*by).agg(*aggs)
+    return aggs
 
 
 def sprint_trend(n: Column, first: Column, last: Column) -> Column:

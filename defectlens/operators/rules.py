@@ -12,7 +12,7 @@ and compiled into ONE Spark ``CASE`` expression (one branch per rule) -- no
 from __future__ import annotations
 
 import re
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -71,7 +71,15 @@ def alerts(kpi: DataFrame, devs: DataFrame, modules: DataFrame, by=None,
     th = cfg.thresholds
     by = keys(by)
     c = F.col
-    k_rows = _rows(kpi, by, [
+    k_rows = _rows(kpi, by, _kpi_alert_candidates(cfg.key()))
+    return _alerts_rest(k_rows, devs, modules, by, th)
+
+
+@lru_cache(maxsize=32)
+def _kpi_alert_candidates(cfg_key: str):
+    th = C.Config.from_key(cfg_key).thresholds
+    c = F.col
+    return [
         (c("critical_pending") > th["criticalBugsAlert"],
          _alert("critical-bugs-high", "critical", "High Critical Bugs",
                 F.concat(_s(c("critical_pending")), F.lit(" pending critical bugs require immediate attention")),
@@ -85,7 +93,11 @@ def alerts(kpi: DataFrame, devs: DataFrame, modules: DataFrame, by=None,
          _alert("negative-trend", "warning", "Negative Bug Trend",
                 F.concat(F.lit("Bugs have increased "), _s(c("sprint_trend")), F.lit("% in recent sprints")),
                 "Review development and testing process", 3, "process-improvement")),
-    ])
+    ]
+
+
+def _alerts_rest(k_rows: DataFrame, devs: DataFrame, modules: DataFrame, by, th) -> DataFrame:
+    c = F.col
     dev = first_over(devs.filter(c("pending") > th["maxBugsDeveloper"]), by,
                      [F.desc("pending"), F.asc("assignee")])
     d_rows = dev.select(*by, _alert("developer-overload", "warning", "Bug Concentration",
@@ -401,20 +413,30 @@ def evaluate_rules(metrics: DataFrame, rules: list[tuple], by=None) -> DataFrame
     """
     by = keys(by)
     spark = metrics.sparkSession
-    avail = set(metrics.columns)
-    rf = rules_frame(spark, rules)
+    rules = tuple(tuple(r) for r in rules)
+    check, icon, bold = _rule_exprs(rules, tuple(sorted(metrics.columns)))
+    rf = rules_frame(spark, list(rules))
+    j = metrics.join(F.broadcast(rf), "metric", "inner").filter(check)
+    return j.select(*by, "metric", "rule_id", "text", F.coalesce(F.col("priority"), F.lit("media")).alias("priority"),
+                    icon.alias("icon"), bold.alias("emphasis"))
+
+
+@lru_cache(maxsize=32)
+def _rule_exprs(rules: tuple, columns: tuple):
+    """The compiled rule CASE, icon and emphasis expressions (built once per
+    rule table and metric schema)."""
+    avail = set(columns)
     check = None
     for i, (_m, cond, _t, _p) in enumerate(rules):
         br = compile_condition(cond, avail)
         check = F.when(F.col("rule_id") == i, br) if check is None else check.when(F.col("rule_id") == i, br)
-    j = metrics.join(F.broadcast(rf), "metric", "inner").filter(check.otherwise(F.lit(False)))
+    check = check.otherwise(F.lit(False))
     pr = F.lower(F.col("priority"))
     icon = F.lit(DEFAULT_ICON)
     for p, ic in reversed(list(PRIORITY_ICONS.items())):
         icon = F.when(pr == p, F.lit(ic)).otherwise(icon)
     bold = F.when(F.col("text").contains(":"), F.split_part(F.col("text"), F.lit(":"), F.lit(1))).otherwise(F.lit(""))
-    return j.select(*by, "metric", "rule_id", "text", F.coalesce(F.col("priority"), F.lit("media")).alias("priority"),
-                    icon.alias("icon"), bold.alias("emphasis"))
+    return check, icon, bold
 
 
 def metric_fields(kpi: DataFrame, cycle: DataFrame, by=None) -> DataFrame:
