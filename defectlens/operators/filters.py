@@ -46,9 +46,14 @@ def sprint_contains_any(sprints: list[str], col: str = "sprint") -> Column:
     return _any(_str(col).contains(s.lower()) for s in sprints)
 
 
-def ci_in(col: str, values: list[str]) -> Column:
-    """``lower(col) IN values`` (missing -> '')."""
-    return _str(col).isin([v.lower() for v in values])
+def ci_in(col: str, values: list[str], columns=None) -> Column:
+    """``lower(col) IN values`` (missing -> '').  When the table stores
+    the lower-cased key ``<col>_lc`` (bulk load), the test is on that column
+    so it is pushed down to the Parquet scan."""
+    vals = [v.lower() for v in values]
+    if columns is not None and f"{col}_lc" in columns:
+        return F.col(f"{col}_lc").isin(vals)
+    return _str(col).isin(vals)
 
 
 def tags_overlap(tags: list[str], col: str = "tags") -> Column:
@@ -62,8 +67,9 @@ def tags_overlap_text(tags: list[str], col: str) -> Column:
 
 
 def issue_filter(sprints=None, status=None, priority=None, tags=None, environment=None,
-                 strategy=None, fix_version=None) -> Column:
-    """AND of the list parameters given; each list is parsed by F1."""
+                 strategy=None, fix_version=None, columns=None) -> Column:
+    """AND of the list parameters given; each list is parsed by F1.
+    Pass ``columns=df.columns`` to use stored lower-cased keys (pushdown)."""
     conds = []
     sprints, status, priority = parse_list(sprints), parse_list(status), parse_list(priority)
     tags, environment = parse_list(tags), parse_list(environment)
@@ -71,17 +77,17 @@ def issue_filter(sprints=None, status=None, priority=None, tags=None, environmen
     if sprints:
         conds.append(sprint_contains_any(sprints))
     if status:
-        conds.append(ci_in("status", status))
+        conds.append(ci_in("status", status, columns))
     if priority:
-        conds.append(ci_in("priority", priority))
+        conds.append(ci_in("priority", priority, columns))
     if tags:
         conds.append(tags_overlap(tags))
     if environment:
-        conds.append(ci_in("environment", environment))
+        conds.append(ci_in("environment", environment, columns))
     if strategy:
-        conds.append(ci_in("strategy", strategy))
+        conds.append(ci_in("strategy", strategy, columns))
     if fix_version:
-        conds.append(ci_in("fix_version", fix_version))
+        conds.append(ci_in("fix_version", fix_version, columns))
     return _all(conds)
 
 

@@ -248,7 +248,8 @@ SELECT count(*) AS total_bugs,
 FROM issue WHERE lower(status) IN ('done', 'to do') AND lower(priority) IN ('más alta', 'alta')
   AND lower(environment) IN ('prod', 'uat', 'sit')"""))
 def q_filtered_summary(t):
-    iss = t.issues.filter(FL.issue_filter(**_SEL))
+    src = t.issues
+    iss = src.filter(FL.issue_filter(columns=src.columns, **_SEL))
     return iss.agg(F.count(F.lit(1)).alias("total_bugs"), F.count_if(FL.closed_exact()).alias("bugs_closed"))
 
 
@@ -261,7 +262,7 @@ WHERE contains(lower(s.sprint), 'sprint 7')
                    AND len(list_intersect(tags, ['green'])) > 0)""", sprint_cte([])))
 def q_filtered_sprints(t):
     iss = t.issues
-    sel = iss.filter(FL.issue_filter(tags="green", **_SEL))
+    sel = iss.filter(FL.issue_filter(tags="green", columns=iss.columns, **_SEL))
     return K.sprints_matching(sprint_frame(iss), sel, ["sprint 7"]).select(
         "sprint", "sprint_num", "bugs", "bugs_resolved", "test_cases")
 

@@ -84,7 +84,7 @@ def filtered_issues(issues: DataFrame, sprints_df: DataFrame | None = None, incl
                     **filters) -> dict[str, DataFrame]:
     """List filters (F1-F4) -> filtered summary (A18), the sprints that
     match or have issues left (J2), and optionally the issues themselves."""
-    f = issues.filter(FL.issue_filter(**filters))
+    f = issues.filter(FL.issue_filter(columns=issues.columns, **filters))
     summary = f.agg(F.count(F.lit(1)).alias("total_bugs"), F.count_if(FL.closed_exact()).alias("bugs_closed"))
     sp = sprints_df if sprints_df is not None else sprint_frame(issues)
     terms = FL.parse_list(filters.get("sprints"))

@@ -127,6 +127,18 @@ def raw_issue_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Label columns the list filters compare case-insensitively.
+FILTER_KEY_COLUMNS = ("status", "priority", "environment", "strategy", "fix_version")
+
+
+def with_filter_keys(df: DataFrame) -> DataFrame:
+    """Stored lower-cased copies of the filterable labels (``status_lc``
+    ...): ``lower(status) IN (...)`` cannot reach the Parquet reader, while
+    ``status_lc IN (...)`` is a pushed filter (dictionary / statistics
+    skipping).  Low-cardinality, so they cost little after encoding."""
+    return df.withColumns({f"{c}_lc": F.lower(F.coalesce(F.col(c), F.lit(""))) for c in FILTER_KEY_COLUMNS})
+
+
 class Tables:
     """Lazy access to the inputs of one scale-factor directory.
 
@@ -166,7 +178,7 @@ def materialize_issues(spark: SparkSession, sf_dir: str, path: str,
     """
     size = input_bytes(spark, [os.path.join(sf_dir, f"{t}.parquet") for t in ("lineitem", "orders", "part")])
     n = max(spark.sparkContext.defaultParallelism, -(-size // target_bytes))
-    df = issues(spark, sf_dir)
+    df = with_filter_keys(issues(spark, sf_dir))
     (df.repartitionByRange(n, "sprint_num", "issue_id")
        .sortWithinPartitions("sprint_num", "issue_id")
        .write.mode("overwrite").parquet(path))
