@@ -109,3 +109,27 @@ def test_corrupt_document_quarantined(spark):
 def test_latest_document(spark):
     r = D.latest_document(spark, FIXTURE_DIR).collect()[0]
     assert r.path.endswith(".json")
+
+
+def test_empty_document(spark, tmp_path):
+    """Golden for the empty input (processed output of the empty document):
+    quality index 75, resolution time 7, maturity 1/5 Inicial, confidence 60,
+    one alert (low-test-coverage), two recommendations, ROI null."""
+    from defectlens.operators import rules as RU
+    p = tmp_path / "empty.json"
+    p.write_text("{}")
+    doc = D.read_documents(spark, str(p))
+    sprints = D.sprint_rows(doc).withColumns({"critical_pending": F.lit(0), "res_days_sum": F.lit(0),
+                                              "res_days_n": F.lit(0)})
+    summ = D.summary_row(doc, C.DEFAULT_PRIORITIES["critical"], C.CRITICAL_LABELS_ALL)
+    k = K.kpis(sprints, ["doc_path"], summary=summ)
+    r = k.collect()[0]
+    assert (r.quality_index, r.avg_resolution_time, r.maturity_score, r.maturity_level) == (75, 7.0, 1, "Inicial")
+    assert r.prediction_confidence == 60 and r.roi is None and r.total_bugs == 0
+    devs = spark.createDataFrame([], "doc_path string, assignee string, pending long")
+    mods = spark.createDataFrame([], "doc_path string, module string, percentage long")
+    al = RU.alerts(k, devs, mods, ["doc_path"]).collect()
+    assert [a.alert_id for a in al] == ["low-test-coverage"]
+    ov = spark.createDataFrame([], "doc_path string, overloaded_assignee string")
+    recs = RU.recommendations(k, ov, ["doc_path"]).orderBy("rank").collect()
+    assert [x.rec_id for x in recs] == ["improve-test-coverage", "increase-automation"]
