@@ -36,8 +36,27 @@ def _trigger(writer, available_now: bool):
     return writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=REFRESH)
 
 
+def _start(spark: SparkSession, writer, state_partitions: int | None):
+    """Start a query with ``state_partitions`` state-store partitions.
+
+    A stateful query fixes its partition count from
+    ``spark.sql.shuffle.partitions`` at first start and records it in the
+    checkpoint; the session value is set only around ``start()`` and then
+    restored.  Default: the cluster's parallelism (one partition per core).
+    """
+    n = state_partitions or spark.sparkContext.defaultParallelism
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(key, old)
+
+
 def sprint_rollup_stream(spark: SparkSession, source_dir: str, schema: T.StructType, sink: str,
-                         checkpoint: str, available_now: bool = True, max_files: int = 1):
+                         checkpoint: str, available_now: bool = True, max_files: int = 1,
+                         state_partitions: int | None = None):
     """A1 over an issue file stream; each micro-batch overwrites the
     sink with the current roll-up (complete mode; state = sprints)."""
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source_dir))
@@ -47,7 +66,7 @@ def sprint_rollup_stream(spark: SparkSession, source_dir: str, schema: T.StructT
         batch.write.mode("overwrite").parquet(sink)
 
     w = agg.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(publish)
-    return _trigger(w, available_now).start()
+    return _start(spark, _trigger(w, available_now), state_partitions)
 
 
 def csv_ingest_stream(spark: SparkSession, source_dir: str, table: str, dim: str, checkpoint: str,
@@ -101,7 +120,7 @@ def cooldown_alerts(signals: DataFrame, cooldown_s: int) -> DataFrame:
 
 def cooldown_stream(spark: SparkSession, source_dir: str, schema: T.StructType, table: str, checkpoint: str,
                     cooldown_s: int = C.ALERT_COOLDOWN["critical"], available_now: bool = True,
-                    max_files: int = 1):
+                    max_files: int = 1, state_partitions: int | None = None):
     """T3 as a stream: update-mode windowed aggregate appended to a change
     log ``table`` with its epoch (O(batch) work per trigger; a replayed
     epoch rewrites identical rows).  ``current_alerts`` resolves the log to
@@ -113,7 +132,7 @@ def cooldown_stream(spark: SparkSession, source_dir: str, schema: T.StructType,
         batch.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("append").parquet(table)
 
     w = alerts.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(append)
-    return _trigger(w, available_now).start()
+    return _start(spark, _trigger(w, available_now), state_partitions)
 
 
 def current_alerts(spark: SparkSession, table: str) -> DataFrame:
