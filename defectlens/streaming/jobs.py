@@ -99,9 +99,14 @@ def csv_ingest_stream(spark: SparkSession, source_dir: str, table: str, dim: str
 
 def alert_signals(events: DataFrame, signal_type: str = "error", rule: str = "error-events") -> DataFrame:
     """T3 input: events of the signal type as alert signals keyed by user."""
+    ts = F.col("ts")
+    # Event time as an instant read from the wall-clock fields as UTC, so the
+    # windows do not depend on the session time zone (watermarks need TIMESTAMP).
+    instant = F.make_timestamp(F.year(ts), F.month(ts), F.dayofmonth(ts), F.hour(ts), F.minute(ts),
+                               F.second(ts).cast("decimal(8,6)"), F.lit("UTC"))
     return events.filter(F.col("event_type") == signal_type).select(
-        F.lit(rule).alias("rule"), F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"),
-        F.col("event_id"))
+        F.lit(rule).alias("rule"), F.col("user_id").alias("key"), instant.alias("ts"),
+        ts.alias("ts_local"), F.col("event_id"))
 
 
 def cooldown_alerts(signals: DataFrame, cooldown_s: int) -> DataFrame:
@@ -111,10 +116,17 @@ def cooldown_alerts(signals: DataFrame, cooldown_s: int) -> DataFrame:
     if signals.isStreaming:
         signals = signals.withWatermark("ts", f"{cooldown_s} seconds")
     g = signals.groupBy("rule", "key", F.window("ts", f"{cooldown_s} seconds").alias("w")).agg(
-        F.min("ts").alias("first_ts"), F.count(F.lit(1)).alias("signals"))
-    # Watermarks need TIMESTAMP; outputs go back to wall-clock TIMESTAMP_NTZ.
-    return g.select("rule", "key", F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-                    F.col("first_ts").cast("timestamp_ntz").alias("first_ts"),
+        F.min("ts_local").alias("first_ts"), F.count(F.lit(1)).alias("signals"))
+    # Back to wall-clock TIMESTAMP_NTZ: the window start is the first signal's
+    # time floored to the cooldown (windows are epoch-aligned in UTC, i.e.
+    # whole multiples of the cooldown since midnight when it divides a day).
+    first = F.col("first_ts")
+    secs = F.hour(first) * 3600 + F.minute(first) * 60 + F.second(first)
+    start = F.timestamp_add("SECOND", (F.floor(secs / cooldown_s) * cooldown_s).cast("int"),
+                            F.date_trunc("day", first).cast("timestamp_ntz"))
+    if 86400 % cooldown_s != 0:
+        raise ValueError("cooldown must divide a day (e.g. 3600, 7200 seconds)")
+    return g.select("rule", "key", start.alias("window_start"), "first_ts",
                     (F.col("signals") - 1).alias("suppressed"))
 
 
