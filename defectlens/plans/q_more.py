@@ -150,3 +150,41 @@ def q_sprint_fallback(t):
     iss = t.issues
     per = lambda df: df.groupBy("module", "sprint").agg(F.count(F.lit(1)).alias("total"))
     return fallback(per(iss.filter(F.col("issue_type") == "Sugerencia")), per(iss), ["module", "sprint"])
+
+
+@register("roi_by_module", "K20 X10 (savings with thousands separators)", with_issue(f"""
+SELECT module, CAST(total_bugs * 4500 AS BIGINT) AS savings, format('{{:,}}', CAST(total_bugs * 4500 AS BIGINT))
+  AS early_detection, CASE WHEN total_bugs > 0 THEN {jr('total_bugs * 4500 / (total_bugs * 500) * 100')} END AS roi
+FROM (SELECT module, count(*) AS total_bugs FROM issue GROUP BY module)"""))
+def q_roi_by_module(t):
+    by = ["module"]
+    return K.roi_text(K.kpis(sprint_frame(t.issues, by), by), by)
+
+
+def _initials_sql(c: str) -> str:
+    return (f"substring(array_to_string(list_transform(list_filter(regexp_split_to_array(trim({c}), '\\s+'), "
+            f"lambda x: x <> ''), lambda x: left(x, 1)), ''), 1, 2)")
+
+
+@register("developer_bands", "R12 N13 N14 (developers derived from issues)", with_issue(f"""
+SELECT assignee, {_initials_sql('assignee')} AS initials, efficiency, pending,
+  CASE WHEN efficiency >= 80 THEN 'high' WHEN efficiency >= 60 THEN 'medium' ELSE 'low' END AS efficiency_band,
+  CASE WHEN pending > 15 THEN 'overloaded' WHEN pending > 10 THEN 'busy' ELSE 'normal' END AS pending_band
+FROM (SELECT assignee, {pct('resolved', 'total')} AS efficiency, total - resolved AS pending
+      FROM (SELECT coalesce(nullif(trim(assignee), ''), 'Sin asignar') AS assignee, count(*) AS total,
+              count_if(""" + " OR ".join(f"contains(lower(coalesce(status, '')), '{w}')"
+                                         for w in C.CLOSED_STATUS_KEYWORDS) + """) AS resolved
+            FROM issue WHERE lower(issue_type) = 'bug' GROUP BY 1))"""))
+def q_developer_bands(t):
+    from defectlens.functions.text import initials
+    devs = R.developers_from_issues(t.issues)
+    return RU.developer_bands(devs).withColumn("initials", initials("assignee"))
+
+
+@register("first_sprints", "O13 (first 12 sprints by number: a sample feature)", with_issue("""
+SELECT sprint, sprint_num, bugs FROM (SELECT sprint, sprint_num, count(*) AS bugs FROM issue GROUP BY sprint, sprint_num)
+ORDER BY sprint_num, sprint LIMIT 12"""))
+def q_first_sprints(t):
+    from defectlens.operators.topk import first_n_sprints
+    sp = t.issues.groupBy("sprint", "sprint_num").agg(F.count(F.lit(1)).alias("bugs"))
+    return first_n_sprints(sp, 12)
