@@ -405,3 +405,9 @@ def top2_priority_sum(priority_map) -> Column:
     """Sum of the two largest counts of a priority -> count map."""
     top = F.slice(F.sort_array(F.map_values(priority_map), asc=False), 1, 2)
     return F.aggregate(top, F.lit(0).cast("long"), lambda a, b: a + b.cast("long"))
+
+
+def assignee_pending(issues: DataFrame, by=None, pending_status=C.PENDING_STATUS_PRIORITY_VIEW) -> DataFrame:
+    """Pending issues per non-blank assignee (the input of R2 / R8 / R19)."""
+    return issues.filter(is_assigned()).groupBy(*keys(by), "assignee").agg(
+        F.count_if(_isin("status", pending_status)).alias("pending"))

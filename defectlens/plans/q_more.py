@@ -120,7 +120,7 @@ def q_legacy_alerts(t):
     by = ["environment"]
     iss = t.issues
     prio = R.issues_by_priority(iss, by)
-    devs = R.assignee_rollup(iss, by).select("environment", "assignee", "pending")
+    devs = R.assignee_pending(iss, by)
     return RU.legacy_alerts(prio, devs, _mods_env(t), by, module_label="STANDARD")
 
 

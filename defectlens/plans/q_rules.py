@@ -68,8 +68,9 @@ UNION ALL {head}concat('module-critical-', module), 'warning', concat(module, '
 def _alerts_frames(t, by):
     iss = t.issues
     kpi = K.kpis(sprint_frame(iss, [by]), [by])
-    devs = R.assignee_rollup(iss, [by]).select(by, "assignee", "pending")
-    mods = R.module_breakdown(iss, [by]).select(by, "module", "percentage")
+    devs = R.assignee_pending(iss, [by])
+    mods = R.share_breakdown(iss, "module", C.DEFAULT_MODULE_LABEL, [by], with_pending=False) \
+        .select(by, F.col("key").alias("module"), "percentage")
     return kpi, devs, mods
 
 
@@ -121,7 +122,7 @@ def q_recommendations(t):
     iss = t.issues
     by = ["environment"]
     kpi = K.kpis(sprint_frame(iss, by), by)
-    devs = R.assignee_rollup(iss, by).select("environment", "assignee", "pending")
+    devs = R.assignee_pending(iss, by)
     ov = RU.first_over(devs.filter(F.col("pending") > TH["maxBugsDeveloper"]), by,
                        [F.desc("pending"), F.asc("assignee")]).select("environment",
                                                                       F.col("assignee").alias("overloaded_assignee"))

@@ -50,7 +50,7 @@ class QualityReport:
         return R.module_breakdown(self.issues, self.by)
 
     def alerts(self) -> DataFrame:
-        devs = self.developers().select(*self.by, "assignee", "pending")
+        devs = R.assignee_pending(self.issues, self.by)
         if "module" in self.by:
             # R3 ranks modules inside a group; a module group has no sub-modules.
             mods = self.kpis().select(*self.by, F.lit(0).cast("long").alias("percentage")).filter(F.lit(False))
@@ -60,7 +60,7 @@ class QualityReport:
 
     def recommendations(self) -> DataFrame:
         th = self.cfg.thresholds["maxBugsDeveloper"]
-        devs = self.developers().select(*self.by, "assignee", "pending")
+        devs = R.assignee_pending(self.issues, self.by)
         ov = RU.first_over(devs.filter(F.col("pending") > th), self.by, [F.desc("pending"), F.asc("assignee")]) \
             .select(*self.by, F.col("assignee").alias("overloaded_assignee"))
         return RU.recommendations(self.kpis(), ov, self.by, self.cfg)
