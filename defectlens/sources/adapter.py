@@ -33,17 +33,6 @@ def _sprint_num(ts):
     return ((F.year(ts) - F.lit(1995)) * F.lit(12) + F.month(ts)).cast("int")
 
 
-def input_bytes(spark: SparkSession, paths: list[str]) -> int:
-    """Total size of input files (a metadata listing, no data read)."""
-    jvm = spark._jvm
-    conf = spark._jsc.hadoopConfiguration()
-    total = 0
-    for p in paths:
-        hp = jvm.org.apache.hadoop.fs.Path(p)
-        total += hp.getFileSystem(conf).getContentSummary(hp).getLength()
-    return int(total)
-
-
 def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The issue frame with the canonical schema (see ``ISSUE_COLUMNS``).
 
@@ -157,7 +146,11 @@ class Tables:
     @property
     def issues(self) -> DataFrame:
         if self.issue_path:
-            return self.spark.read.parquet(self.issue_path)
+            # Read (and list the sprint folders) once; the DataFrame keeps its
+            # file index, so every query built from it skips the listing.
+            if getattr(self, "_issue_df", None) is None:
+                self._issue_df = self.spark.read.parquet(self.issue_path)
+            return self._issue_df
         return issues(self.spark, self.sf_dir)
 
     @property
@@ -165,21 +158,19 @@ class Tables:
         return raw_issue_facts(self.spark, self.sf_dir)
 
 
-def materialize_issues(spark: SparkSession, sf_dir: str, path: str,
-                       target_bytes: int = 128 * 1024 * 1024) -> str:
-    """Bulk load (S9): write the issue frame once, range-clustered by sprint.
+def materialize_issues(spark: SparkSession, sf_dir: str, path: str) -> str:
+    """Bulk load (S9): write the issue frame once, one folder per sprint.
 
-    The output is range-partitioned on (sprint_num, issue_id) into one file
-    per ~``target_bytes`` of input (at least one per core): files hold
-    contiguous sprints, so Parquet min/max statistics prune sprint filters,
-    and a hot sprint is split across files by ``issue_id`` instead of landing
-    in one task.  The write is one atomic job commit; a lost executor only
-    re-runs its tasks.
+    ``partitionBy("sprint_num")`` gives directory-level pruning for sprint
+    filters.  The ``rebalance`` hint lets AQE size the write tasks from
+    runtime statistics (``spark.sql.adaptive.advisoryPartitionSizeInBytes``)
+    and split a skewed sprint into several tasks/files; unlike
+    ``repartitionByRange`` it needs no sampling job, so the star join runs
+    once.  The write is one atomic job commit; a lost executor only re-runs
+    its tasks.
     """
-    size = input_bytes(spark, [os.path.join(sf_dir, f"{t}.parquet") for t in ("lineitem", "orders", "part")])
-    n = max(spark.sparkContext.defaultParallelism, -(-size // target_bytes))
     df = with_filter_keys(issues(spark, sf_dir))
-    (df.repartitionByRange(n, "sprint_num", "issue_id")
+    (df.hint("rebalance", "sprint_num")
        .sortWithinPartitions("sprint_num", "issue_id")
-       .write.mode("overwrite").parquet(path))
+       .write.mode("overwrite").partitionBy("sprint_num").parquet(path))
     return path
