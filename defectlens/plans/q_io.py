@@ -102,8 +102,8 @@ def q_stream_csv_ingest(t):
     d = J.new_dirs(t.spark, "t2")
     src = _csv_input(t)
     J.run_to_completion(J.csv_ingest_stream(t.spark, src, d["table"], d["dim"], d["ckpt"]))
-    table = t.spark.read.parquet(d["table"])
-    dim = t.spark.read.parquet(d["dim"])
+    table = J.read_epochs(t.spark, d["table"])
+    dim = J.read_latest_epoch(t.spark, d["dim"])
     return R.issues_by_sprint(table).withColumn("dim_sprints", dim.select(F.count(F.lit(1))).scalar())
 
 

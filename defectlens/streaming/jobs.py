@@ -69,11 +69,37 @@ def sprint_rollup_stream(spark: SparkSession, source_dir: str, schema: T.StructT
     return _start(spark, _trigger(w, available_now), state_partitions)
 
 
+def _write_epoch(df: DataFrame, root: str, epoch: int) -> None:
+    """Idempotent micro-batch sink: the batch lands in its own ``epoch=N``
+    partition with dynamic overwrite, so a replayed epoch replaces exactly
+    its own rows and never touches earlier epochs."""
+    (df.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite")
+       .option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(root))
+
+
+def read_epochs(spark: SparkSession, root: str) -> DataFrame:
+    """All rows of an epoch-partitioned sink (the epoch column dropped)."""
+    return spark.read.parquet(root).drop("epoch")
+
+
+def read_latest_epoch(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
+    """The newest version of an epoch-versioned table (optionally the newest
+    written before ``before``); the version is picked by a scalar subquery."""
+    df = spark.read.parquet(root)
+    if before is not None:
+        df = df.filter(F.col("epoch") < before)
+    latest = df.select(F.max("epoch")).scalar()
+    return df.filter(F.col("epoch") == latest).drop("epoch")
+
+
 def csv_ingest_stream(spark: SparkSession, source_dir: str, table: str, dim: str, checkpoint: str,
                       available_now: bool = True, max_files: int = 1):
-    """CSV drop folder -> canonical issues appended to ``table``;
-    sprint dimension upserted into ``dim`` (read, merge, rewrite via a new
-    folder, as the dimension is small: one row per sprint)."""
+    """CSV drop folder -> canonical issues appended to ``table``; the
+    sprint dimension is upserted (S10) into a new version of ``dim`` per
+    epoch.  Both sinks are epoch-partitioned and written idempotently, so a
+    replayed batch after a failure neither duplicates issues nor loses
+    dimension rows (the previous version stays intact until the next one is
+    committed)."""
     header = spark.read.option("header", True).csv(source_dir).schema
     stream = (spark.readStream.schema(header).option("header", True).option("multiLine", True)
               .option("quote", '"').option("escape", '"').option("maxFilesPerTrigger", max_files).csv(source_dir))
@@ -82,16 +108,14 @@ def csv_ingest_stream(spark: SparkSession, source_dir: str, table: str, dim: str
 
     def load(batch: DataFrame, epoch: int) -> None:
         issues = canonical_issues(batch)
-        issues.write.mode("append").parquet(table)
+        _write_epoch(issues, table, epoch)
         new_dim = sprint_dimension(issues)
         try:
-            cur = spark.read.parquet(dim)
+            cur = read_latest_epoch(spark, dim, before=epoch)
+            cur.schema  # noqa: B018 - resolve now: no earlier version -> first batch
         except Exception:  # noqa: BLE001 - first batch: no dimension yet
             cur = None
-        merged = upsert_dimension(cur, new_dim)
-        tmp = f"{dim}.epoch{epoch}"
-        merged.write.mode("overwrite").parquet(tmp)
-        spark.read.parquet(tmp).write.mode("overwrite").parquet(dim)
+        _write_epoch(upsert_dimension(cur, new_dim), dim, epoch)
 
     w = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(load)
     return _trigger(w, available_now).start()
@@ -133,15 +157,15 @@ def cooldown_alerts(signals: DataFrame, cooldown_s: int) -> DataFrame:
 def cooldown_stream(spark: SparkSession, source_dir: str, schema: T.StructType, table: str, checkpoint: str,
                     cooldown_s: int = C.ALERT_COOLDOWN["critical"], available_now: bool = True,
                     max_files: int = 1, state_partitions: int | None = None):
-    """T3 as a stream: update-mode windowed aggregate appended to a change
-    log ``table`` with its epoch (O(batch) work per trigger; a replayed
-    epoch rewrites identical rows).  ``current_alerts`` resolves the log to
-    the latest row per (rule, key, window_start)."""
+    """T3 as a stream: update-mode windowed aggregate written to a change
+    log ``table`` partitioned by epoch (O(batch) work per trigger; a replayed
+    epoch overwrites its own partition).  ``current_alerts`` resolves the log
+    to the latest row per (rule, key, window_start)."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source_dir)
     alerts = cooldown_alerts(alert_signals(stream), cooldown_s)
 
     def append(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("append").parquet(table)
+        _write_epoch(batch, table, epoch)
 
     w = alerts.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(append)
     return _start(spark, _trigger(w, available_now), state_partitions)
