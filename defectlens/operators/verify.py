@@ -89,26 +89,27 @@ def validate_sprint_rows(sprints: DataFrame, by=None) -> DataFrame:
         F.size("_e").alias("n_errors"), F.array_join("_e", "; ").alias("errors"))
 
 
-def validate_document(doc: DataFrame) -> DataFrame:
+def validate_document(docs: DataFrame, key: str = "doc_path") -> DataFrame:
     """V5 at document level: summary present with numeric totalBugs and
-    testCasesTotal, sprintData and developerData arrays present."""
+    testCasesTotal, sprintData and developerData arrays present; one row per
+    document with its error list and ``is_valid``."""
     c = F.col
-    fields = set(doc.columns)
+    fields = set(docs.columns)
 
-    def has(name):
-        return c(name).isNotNull() if name in fields else F.lit(False)
-    summ = has("summary")
+    def missing(name):
+        return c(name).isNull() if name in fields else F.lit(True)
+
+    def missing_in_summary(name):
+        return (c("summary").isNotNull() & c(f"summary.{name}").isNull()) if "summary" in fields else F.lit(False)
     checks = [
-        (~summ, "Missing summary data"),
-        (summ & c("summary.totalBugs").isNull() if "summary" in fields else F.lit(False),
-         "Invalid totalBugs in summary"),
-        (summ & c("summary.testCasesTotal").isNull() if "summary" in fields else F.lit(False),
-         "Invalid testCasesTotal in summary"),
-        (~has("sprintData"), "SprintData should be an array"),
-        (~has("developerData"), "DeveloperData should be an array"),
+        (missing("summary"), "Missing summary data"),
+        (missing_in_summary("totalBugs"), "Invalid totalBugs in summary"),
+        (missing_in_summary("testCasesTotal"), "Invalid testCasesTotal in summary"),
+        (missing("sprintData"), "SprintData should be an array"),
+        (missing("developerData"), "DeveloperData should be an array"),
     ]
     errs = F.array_compact(F.array(*[F.when(cond, F.lit(m)) for cond, m in checks]))
-    return doc.select(errs.alias("errors")).select((F.size("errors") == 0).alias("is_valid"), "errors")
+    return docs.select(key, errs.alias("errors")).withColumn("is_valid", F.size("errors") == 0)
 
 
 def sanitize_sprints(sprints: DataFrame) -> DataFrame:

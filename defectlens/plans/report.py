@@ -126,23 +126,11 @@ def process_documents(docs: DataFrame, cfg: C.Config | None = None) -> dict[str,
     being silently replaced by an empty record."""
     cfg = cfg or C.Config()
     good, corrupt = D.split_corrupt(docs)
-    errs = _doc_errors(good)
-    valid = good.join(errs.filter(F.size("errors") == 0).select("doc_path"), "doc_path", "left_semi")
-    invalid = errs.filter(F.size("errors") > 0)
+    errs = V.validate_document(good)
+    valid = good.join(errs.filter("is_valid").select("doc_path"), "doc_path", "left_semi")
+    invalid = errs.filter(~F.col("is_valid")).select("doc_path", "errors")
     sprints = V.sanitize_sprints(D.sprint_rows(valid))
     sprints = sprints.withColumns({"critical_pending": F.lit(0), "res_days_sum": F.lit(0), "res_days_n": F.lit(0)})
     summ = D.summary_row(valid, cfg.critical_labels, C.CRITICAL_LABELS_ALL)
     quarantine = corrupt.select("doc_path", F.array(F.lit("corrupt JSON")).alias("errors")).unionByName(invalid)
     return {"kpis": K.kpis(sprints, ["doc_path"], cfg, summary=summ), "sprints": sprints, "quarantine": quarantine}
-
-
-def _doc_errors(docs: DataFrame) -> DataFrame:
-    c = F.col
-    checks = [
-        (c("summary").isNull(), "Missing summary data"),
-        (c("summary").isNotNull() & c("summary.totalBugs").isNull(), "Invalid totalBugs in summary"),
-        (c("summary").isNotNull() & c("summary.testCasesTotal").isNull(), "Invalid testCasesTotal in summary"),
-        (c("sprintData").isNull(), "SprintData should be an array"),
-        (c("developerData").isNull(), "DeveloperData should be an array"),
-    ]
-    return docs.select("doc_path", F.array_compact(F.array(*[F.when(x, F.lit(m)) for x, m in checks])).alias("errors"))

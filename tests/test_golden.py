@@ -133,3 +133,15 @@ def test_empty_document(spark, tmp_path):
     ov = spark.createDataFrame([], "doc_path string, overloaded_assignee string")
     recs = RU.recommendations(k, ov, ["doc_path"]).orderBy("rank").collect()
     assert [x.rec_id for x in recs] == ["improve-test-coverage", "increase-automation"]
+
+
+def test_validate_document(spark, tmp_path):
+    p = tmp_path / "partial.json"
+    p.write_text('{"summary": {"bugsClosed": 1}, "sprintData": []}')
+    docs = D.read_documents(spark, [FIXTURE_DOC, str(p)])
+    from defectlens.operators.verify import validate_document
+    res = {os.path.basename(r.doc_path): r for r in validate_document(docs).collect()}
+    assert res[os.path.basename(FIXTURE_DOC)].is_valid
+    bad = res["partial.json"]
+    assert not bad.is_valid and bad.errors == ["Invalid totalBugs in summary", "Invalid testCasesTotal in summary",
+                                               "DeveloperData should be an array"]
