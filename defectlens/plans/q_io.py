@@ -34,13 +34,14 @@ CSV_HEADERS = {"sprint": "Sprint", "priority": "Prioridad", "status": "Estado",
                "fix_version": "Versión", "tags_text": "Tags"}
 
 
-def _csv_input(t, n_files: int = 4) -> str:
-    """Issues as CSV files whose text has commas, quotes and newlines."""
+def _csv_input(t) -> str:
+    """Issues as CSV files (written in parallel, one per task) whose text has
+    commas, quotes and newlines."""
     path = scratch_path(t.spark, "csv")
     iss = t.issues.withColumn("summary", F.concat(F.col("summary"), F.lit(', "'), F.col("status"), F.lit('"\n'),
                                                   F.col("module"))) \
         .withColumn("tags_text", F.array_join("tags", "|"))
-    CS.write_issue_csv(iss.repartition(n_files), path, CSV_HEADERS)
+    CS.write_issue_csv(iss, path, CSV_HEADERS)
     return path
 
 
@@ -90,9 +91,10 @@ def q_snapshot_versions(t):
     A1_SQL + " FROM issue GROUP BY sprint"))
 def q_stream_issues_by_sprint(t):
     d = J.new_dirs(t.spark, "t1")
-    J.split_into_files(t.issues, d["src"], 6, "sprint_num")
+    J.write_for_replay(t.issues, d["src"])
     schema = t.spark.read.parquet(d["src"]).schema
-    J.run_to_completion(J.sprint_rollup_stream(t.spark, d["src"], schema, d["sink"], d["ckpt"]))
+    per = J.files_per_trigger(J.count_files(t.spark, d["src"]))
+    J.run_to_completion(J.sprint_rollup_stream(t.spark, d["src"], schema, d["sink"], d["ckpt"], max_files=per))
     return t.spark.read.parquet(d["sink"])
 
 
@@ -101,7 +103,8 @@ def q_stream_issues_by_sprint(t):
 def q_stream_csv_ingest(t):
     d = J.new_dirs(t.spark, "t2")
     src = _csv_input(t)
-    J.run_to_completion(J.csv_ingest_stream(t.spark, src, d["table"], d["dim"], d["ckpt"]))
+    per = J.files_per_trigger(J.count_files(t.spark, src, ".csv"))
+    J.run_to_completion(J.csv_ingest_stream(t.spark, src, d["table"], d["dim"], d["ckpt"], max_files=per))
     table = J.read_epochs(t.spark, d["table"])
     dim = J.read_latest_epoch(t.spark, d["dim"])
     return R.issues_by_sprint(table).withColumn("dim_sprints", dim.select(F.count(F.lit(1))).scalar())
@@ -114,7 +117,7 @@ def q_stream_csv_ingest(t):
 FROM events WHERE event_type = 'error' GROUP BY ALL""")
 def q_stream_alert_cooldown(t):
     d = J.new_dirs(t.spark, "t3")
-    J.replay_in_order(t.table("events"), d["src"], 6, "ts")
+    per = J.replay_in_order(t.table("events"), d["src"], 6, "ts")
     schema = t.spark.read.parquet(d["src"]).schema
-    J.run_to_completion(J.cooldown_stream(t.spark, d["src"], schema, d["table"], d["ckpt"]))
+    J.run_to_completion(J.cooldown_stream(t.spark, d["src"], schema, d["table"], d["ckpt"], max_files=per))
     return J.current_alerts(t.spark, d["table"])

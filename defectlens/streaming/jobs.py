@@ -185,18 +185,38 @@ def dedup_signals_stream(signals: DataFrame, cooldown_s: int) -> DataFrame:
             .dropDuplicatesWithinWatermark(["rule", "key"]))
 
 
-def split_into_files(df: DataFrame, out_dir: str, n_files: int, order_col: str) -> str:
-    """Write a frame as ``n_files`` parquet files, range-partitioned on
-    ``order_col`` (replay input for streams without event-time state)."""
-    df.repartitionByRange(n_files, order_col).write.mode("overwrite").parquet(out_dir)
+def count_files(spark: SparkSession, path: str, suffix: str = ".parquet") -> int:
+    """Number of data files in a folder (a metadata listing)."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sum(1 for st in fs.listStatus(p) if st.getPath().getName().endswith(suffix))
+
+
+def files_per_trigger(n_files: int, batches: int = 6) -> int:
+    """``maxFilesPerTrigger`` that replays a folder in about ``batches``
+    micro-batches whatever its size."""
+    return max(1, -(-n_files // batches))
+
+
+def write_for_replay(df: DataFrame, out_dir: str) -> str:
+    """Replay input for streams without event-time state: the frame written
+    with its own partitioning (parallel, one file per task)."""
+    df.write.mode("overwrite").parquet(out_dir)
     return out_dir
 
 
-def replay_in_order(df: DataFrame, out_dir: str, n_slices: int, order_col: str) -> str:
+def replay_in_order(df: DataFrame, out_dir: str, n_slices: int, order_col: str,
+                    files_per_slice: int | None = None) -> int:
     """Replay input for event-time streams: ``n_slices`` slices of
-    ``order_col`` written one after another, so the file source (which
-    orders files by modification time) sees event time advance as a live
-    feed would.  Slice bounds come from ``approxQuantile`` (n-1 values)."""
+    ``order_col`` written one after another (the file source orders files by
+    modification time, so event time advances as in a live feed), each slice
+    as ``files_per_slice`` parallel files (default: one per core).  Returns
+    the files per slice: with ``maxFilesPerTrigger`` set to it, every
+    micro-batch is exactly one slice.  Slice bounds come from
+    ``approxQuantile`` (n-1 values)."""
+    spark = df.sparkSession
+    k = files_per_slice or spark.sparkContext.defaultParallelism
     num = F.col(order_col).cast("timestamp").cast("double") if dict(df.dtypes)[order_col].startswith("timestamp") \
         else F.col(order_col).cast("double")
     x = df.withColumn("_k", num)
@@ -209,8 +229,11 @@ def replay_in_order(df: DataFrame, out_dir: str, n_slices: int, order_col: str)
             cond = cond & (F.col("_k") >= lo)
         if hi is not None:
             cond = cond & (F.col("_k") < hi)
-        x.filter(cond).drop("_k").coalesce(1).write.mode("append").parquet(out_dir)
-    return out_dir
+        x.filter(cond).drop("_k").repartition(k).write.mode("append").parquet(out_dir)
+    n = count_files(spark, out_dir)
+    # A slice smaller than k rows yields fewer than k files: then replay in
+    # one batch (no late data either way).
+    return k if n == k * (len(edges) - 1) else n
 
 
 def run_to_completion(query) -> None:

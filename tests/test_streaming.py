@@ -17,8 +17,10 @@ def _rows(df, order):
 def test_t1_stream_equals_batch(spark):
     t = Tables(spark, SF_SMALL)
     d = J.new_dirs(spark, "t1-test")
-    J.split_into_files(t.issues, d["src"], 4, "sprint_num")
-    q = J.sprint_rollup_stream(spark, d["src"], spark.read.parquet(d["src"]).schema, d["sink"], d["ckpt"])
+    J.write_for_replay(t.issues, d["src"])
+    per = J.files_per_trigger(J.count_files(spark, d["src"]), batches=3)
+    q = J.sprint_rollup_stream(spark, d["src"], spark.read.parquet(d["src"]).schema, d["sink"], d["ckpt"],
+                               max_files=per)
     J.run_to_completion(q)
     got = spark.read.parquet(d["sink"])
     assert _rows(got, ["sprint"]) == _rows(R.issues_by_sprint(t.issues), ["sprint"])
@@ -28,9 +30,10 @@ def test_t3_cooldown_stream_equals_batch(spark):
     t = Tables(spark, SF_SMALL)
     d = J.new_dirs(spark, "t3-test")
     ev = t.table("events")
-    J.replay_in_order(ev, d["src"], 3, "ts")
+    per = J.replay_in_order(ev, d["src"], 3, "ts", files_per_slice=2)
+    assert per == 2                                   # one micro-batch per time slice
     q = J.cooldown_stream(spark, d["src"], spark.read.parquet(d["src"]).schema, d["table"], d["ckpt"],
-                          cooldown_s=3600)
+                          cooldown_s=3600, max_files=per)
     J.run_to_completion(q)
     got = J.current_alerts(spark, d["table"])
     batch = J.cooldown_alerts(J.alert_signals(ev), 3600)
