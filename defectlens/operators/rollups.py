@@ -165,7 +165,8 @@ def density_with_without_suggestions(issues: DataFrame, by=None,
     )
     if by:
         return per.join(stats, by, "left")
-    return per.withColumns({c: stats.select(c).scalar() for c in stats.columns})
+    one = stats.select(F.struct(*stats.columns).alias("_s")).scalar()
+    return per.withColumns({c: one[c] for c in stats.columns})
 
 
 def issue_type_distribution(issues: DataFrame, by=None) -> DataFrame:

@@ -30,7 +30,8 @@ def attach(left: DataFrame, right: DataFrame, by) -> DataFrame:
     by = keys(by)
     if by:
         return left.join(right, by, "left")
-    return left.withColumns({c: right.select(c).scalar() for c in right.columns})
+    one = right.select(F.struct(*right.columns).alias("_s")).scalar()   # one subquery for all columns
+    return left.withColumns({c: one[c] for c in right.columns})
 
 
 def _rows(df: DataFrame, by, candidates: list[tuple[Column, Column]]) -> DataFrame:

@@ -327,8 +327,11 @@ def severity_counts_observed(sprints: DataFrame, shares: DataFrame, by=None) ->
     levels = ["critical", "high", "medium", "low"]
     sh = shares.select(*by, *[F.when(tot > 0, c(l) / tot).otherwise(F.lit(0.25)).alias(f"{l}_share")
                               for l in levels])
-    x = sprints.join(sh, by, "inner") if by else sprints.withColumns(
-        {f"{l}_share": sh.select(f"{l}_share").scalar() for l in levels})
+    if by:
+        x = sprints.join(sh, by, "inner")
+    else:
+        one = sh.select(F.struct(*[f"{l}_share" for l in levels]).alias("_s")).scalar()
+        x = sprints.withColumns({f"{l}_share": one[f"{l}_share"] for l in levels})
     rows = [F.struct(F.lit(l).alias("severity"), js_round(F.coalesce(c("bugs"), F.lit(0)) * c(f"{l}_share"))
                      .alias("count")) for l in levels]
     return x.select(*by, "sprint", "sprint_num", F.inline(F.array(*rows)))

@@ -21,9 +21,8 @@ def version_id(now: _dt.datetime | None = None) -> str:
 def write_snapshot(df: DataFrame, root: str, version: str) -> None:
     """Append one version partition (dynamic partition overwrite, so a
     re-run of the same version replaces only that partition)."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    df.withColumn("version", F.lit(version)).write.mode("overwrite").partitionBy("version").parquet(root)
+    (df.withColumn("version", F.lit(version)).write.mode("overwrite")
+       .option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(root))
 
 
 def read_snapshots(spark: SparkSession, root: str) -> DataFrame:
