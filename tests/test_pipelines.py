@@ -52,3 +52,14 @@ def test_process_documents_quarantines(spark):
     out = RP.process_documents(docs)
     assert out["kpis"].count() == 1 and out["kpis"].first().quality_index == 59
     assert out["quarantine"].count() == 1
+
+
+def test_quality_report_without_keys(spark):
+    """by=[]: global totals via scalar subqueries, no grouping keys."""
+    rep = RP.QualityReport(Tables(spark, SF_SMALL).issues, by=[])
+    out = rep.all()
+    assert out["kpis"].count() == 1 and out["predictions"].count() == 3
+    recs = [r.rec_id for r in out["recommendations"].orderBy("rank").collect()]
+    assert "increase-automation" in recs
+    alerts = out["alerts"].collect()
+    assert all(a.rank >= 1 for a in alerts)
