@@ -49,9 +49,10 @@ def developers_by_pending(issues: DataFrame, n: int = 10, by=None) -> DataFrame:
 
 
 def max_pending_developer(devs: DataFrame, by=None) -> DataFrame:
-    """``max_by(name, pending)`` per group, name as tiebreak."""
+    """The developer with the most pending issues per group (ties: the
+    first name in order) -- ``min_by`` over (-pending, name), one aggregate."""
     return devs.groupBy(*keys(by)).agg(
-        F.max_by("assignee", F.struct(F.col("pending"), F.lit(0) - F.length("assignee"))).alias("assignee"),
+        F.min_by("assignee", F.struct(-F.col("pending"), F.col("assignee"))).alias("assignee"),
         F.max("pending").alias("pending"))
 
 
