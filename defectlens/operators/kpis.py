@@ -224,7 +224,7 @@ def maturity(k: DataFrame, by=None) -> DataFrame:
 
 
 def cycle_time(sprints: DataFrame, priority: DataFrame, by=None) -> DataFrame:
-    """K24 + K25: pipeline cycle-time estimate and per-priority cycle times.
+    """K24 + K25: cycle-time estimate and per-priority cycle times.
 
     K24: ``(bugs/n) / (resolved/(n*14))`` with one decimal, else 14, floor 1.
     K25: per level (Más alta 5, Alta 8, Media 14, Baja 21 days):

@@ -1 +1 @@
-"""Query plans: the named query registry, the DuckDB oracles, report pipelines."""
+"""Query plans: the named query registry, the DuckDB oracles, report entry points."""

@@ -1,4 +1,4 @@
-"""Whole-pipeline entry points (E1-E5): each returns a dict of lazy
+"""Whole-report entry points (E1-E5): each returns a dict of lazy
 DataFrames that share one sprint roll-up, so a report costs one pass over
 the issue table plus small passes over roll-ups.
 
