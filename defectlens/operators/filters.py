@@ -142,6 +142,21 @@ def sprint_filter(sprints=None, version=None, test_type_value: str | None = None
     return _all(conds)
 
 
+def sprint_row_filter(tags=None, strategy=None, environment=None, tags_col: str = "tags") -> Column:
+    """F8 (older copy): sprint rows by tag overlap and by strategy /
+    environment (case-insensitive, ``All`` disables)."""
+    conds = []
+    t = _sel(tags)
+    if t:
+        conds.append(F.arrays_overlap(F.transform(F.coalesce(F.col(tags_col), F.array().cast("array<string>")),
+                                                  lambda x: F.lower(F.trim(x))), F.array(*[F.lit(x) for x in t])))
+    for col, vals in (("strategy", strategy), ("environment", environment)):
+        v = _sel(vals)
+        if v:
+            conds.append(F.lower(F.trim(F.coalesce(F.col(col), F.lit("")))).isin(v))
+    return _all(conds)
+
+
 def is_bug(col: str = "issue_type") -> Column:
     """F9."""
     return F.lower(F.col(col)) == "bug"

@@ -412,3 +412,29 @@ def assignee_pending(issues: DataFrame, by=None, pending_status=C.PENDING_STATUS
     """Pending issues per non-blank assignee (the input of R2 / R8 / R19)."""
     return issues.filter(is_assigned()).groupBy(*keys(by), "assignee").agg(
         F.count_if(_isin("status", pending_status)).alias("pending"))
+
+
+def card_totals(selected: DataFrame, summary: DataFrame, by=None) -> DataFrame:
+    """Bugs / executed / planned for the metric cards: sums over the
+    selected sprint rows (each with its alias chain), or the summary totals
+    when no sprint is selected.  ``summary``: one row per group with
+    total_bugs, tc_executed, tc_total.  One union + conditional aggregate."""
+    by = keys(by)
+    cols = set(selected.columns)
+
+    def chain(*names):
+        got = [F.col(n) for n in names if n in cols]
+        return first_truthy(*got) if got else F.lit(0)
+    s = selected.select(*by, F.lit(1).alias("_sel"), chain("bugs", "bugs_found").alias("b"),
+                        chain("test_cases", "test_cases_executed").alias("e"),
+                        chain("test_planned", "test_cases_planned", "test_cases").alias("p"))
+    m = summary.select(*by, F.lit(0).alias("_sel"), F.col("total_bugs").alias("b"),
+                       F.col("tc_executed").alias("e"), F.col("tc_total").alias("p"))
+    g = s.unionByName(m).groupBy(*by).agg(
+        F.count_if(F.col("_sel") == 1).alias("selected_sprints"),
+        *[F.sum(F.when(F.col("_sel") == 1, F.col(x))).cast("long").alias(f"s_{x}") for x in "bep"],
+        *[F.max(F.when(F.col("_sel") == 0, F.col(x))).cast("long").alias(f"m_{x}") for x in "bep"])
+    use = F.col("selected_sprints") > 0
+    return g.select(*by, "selected_sprints",
+                    *[F.when(use, F.col(f"s_{x}")).otherwise(F.coalesce(F.col(f"m_{x}"), F.lit(0))).alias(n)
+                      for x, n in (("b", "bugs"), ("e", "executed"), ("p", "planned"))])

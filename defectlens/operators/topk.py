@@ -100,3 +100,10 @@ def first_n_sprints(sprints: DataFrame, n: int) -> DataFrame:
 def sprints_by_suffix(df: DataFrame, col: str = "sprint") -> DataFrame:
     """Order by the numeric suffix of the label (last two characters)."""
     return df.orderBy(F.trim(F.substring(F.col(col), -2, 2)).try_cast("int"), F.col(col))
+
+
+def sorted_options(options: DataFrame) -> DataFrame:
+    """U3 display order: per option, values in locale order (``localeCompare``
+    -> ``UNICODE`` collation), with the position as a column."""
+    w = Window.partitionBy("option").orderBy(F.collate(F.col("value"), "UNICODE"))
+    return options.withColumn("position", F.row_number().over(w))

@@ -45,9 +45,10 @@ def sprint_trends(sprints: DataFrame, by=None) -> DataFrame:
     by = keys(by)
     c = F.col
     planned = first_truthy("planned_velocity", "velocity")
+    extra = [F.coalesce(c("change"), F.lit(0)).cast("long").alias("change")] if "change" in sprints.columns else []
     return sprints.select(
         *by, sprint_label(by).alias("sprint"), "sprint_num",
-        c("bugs"), c("bugs_resolved").alias("resolved"), c("bugs_pending").alias("pending"),
+        c("bugs"), *extra, c("bugs_resolved").alias("resolved"), c("bugs_pending").alias("pending"),
         resolution_rate(c("bugs_resolved"), c("bugs_pending")).alias("resolution_rate"),   # W3
         quality_score(c("bugs"), c("test_cases"), c("bugs_resolved")).alias("quality"),    # W4
         c("velocity"), planned.alias("planned"),                                          # W5

@@ -57,3 +57,32 @@ def test_sanitize_and_team_totals(spark):
                                                         "velocity long")
     s = V.sanitize_sprints(sp).first()
     assert (s.bugs, s.velocity) == (0, 0)
+
+
+def test_sorted_options_and_sprint_row_filter(spark):
+    opts = spark.createDataFrame([("module", "b"), ("module", "Á"), ("module", "a")], "option string, value string")
+    got = [r.value for r in TK.sorted_options(opts).orderBy("position").collect()]
+    assert got == ["a", "Á", "b"]
+    from defectlens.operators.filters import sprint_row_filter
+    sp = spark.createDataFrame([("S1", ["UAT", "x"], "Web", "PROD"), ("S2", ["y"], "Mobile", "DEV"), ("S3", None, "web", "uat")],
+                               "sprint string, tags array<string>, strategy string, environment string")
+    assert [r.sprint for r in sp.filter(sprint_row_filter(tags=["uat"])).collect()] == ["S1"]
+    assert [r.sprint for r in sp.filter(sprint_row_filter(strategy=["WEB"], environment=["All"])).orderBy("sprint")
+            .collect()] == ["S1", "S3"]
+
+
+def test_card_totals_fallback(spark):
+    summ = spark.createDataFrame([("g", 100, 80, 90), ("h", 7, 5, 6)], "grp string, total_bugs long, tc_executed long, "
+                                                                       "tc_total long")
+    sel = spark.createDataFrame([("g", 3, 0, 4, 5)], "grp string, bugs long, bugs_found long, test_cases long, "
+                                                      "test_planned long")
+    got = {r.grp: (r.selected_sprints, r.bugs, r.executed, r.planned) for r in R.card_totals(sel, summ, ["grp"]).collect()}
+    assert got == {"g": (1, 3, 4, 5), "h": (0, 7, 5, 6)}
+
+
+def test_bug_series_change_field(spark):
+    from defectlens.operators import trends as TR
+    sp = spark.createDataFrame([("d", "Sprint 1", 1, 5, 2, 3, 5, 5, 2, 5, 7)],
+                               "d string, sprint string, sprint_num int, bugs long, bugs_resolved long, bugs_pending long, "
+                               "test_cases long, test_planned long, velocity long, planned_velocity long, change long")
+    assert TR.sprint_trends(sp, ["d"]).first().change == 7
