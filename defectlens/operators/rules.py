@@ -190,6 +190,15 @@ def actionable_recommendations(inputs: DataFrame, by=None) -> DataFrame:
     """R16 + O8: recommendation set B with exclusive tiers per category,
     ordered high -> medium -> low (stable)."""
     by = keys(by)
+    c = F.col
+    rows = _rows(inputs, by, _actionable_candidates())
+    po = F.when(c("priority") == "high", 0).when(c("priority") == "medium", 1).otherwise(2)
+    w = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy(po, c("seq"))
+    return rows.withColumn("rank", F.row_number().over(w)).drop("seq")
+
+
+@lru_cache(maxsize=1)
+def _actionable_candidates():
     c = F.col
     eff, dens, ct = c("resolution_efficiency"), c("defects_per_unit"), c("cycle_time")
     cp, tc = c("critical_pct"), c("avg_test_cases")
@@ -198,7 +207,7 @@ def actionable_recommendations(inputs: DataFrame, by=None) -> DataFrame:
         return F.struct(F.lit(i).alias("seq"), F.lit(cat).alias("category"), F.lit(prio).alias("priority"),
                         F.lit(title).alias("title"), F.lit(impact).alias("impact"), F.lit(effort).alias("effort"),
                         value.cast("double").alias("value"))
-    rows = _rows(inputs, by, [
+    return [
         (ct > 10, rec(1, "velocity", "high", "Reduce Critical Cycle Time", "High", "Medium", ct)),
         ((ct <= 10) & (ct > 7), rec(2, "velocity", "medium", "Optimize Resolution Velocity", "Medium", "Low", ct)),
         (dens > 2.0, rec(3, "quality", "high", "Urgent Code Quality Improvement", "Very High", "High", fixed2(dens))),
@@ -211,10 +220,7 @@ def actionable_recommendations(inputs: DataFrame, by=None) -> DataFrame:
         (tc < 150, rec(9, "testing", "medium", "Increase Test Coverage", "High", "High", tc)),
         ((eff >= 80) & (dens <= 1.0) & (ct <= 7),
          rec(10, "excellence", "low", "Excellent Performance - Maintain Practices", "Medium", "Low", eff)),
-    ])
-    po = F.when(c("priority") == "high", 0).when(c("priority") == "medium", 1).otherwise(2)
-    w = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy(po, c("seq"))
-    return rows.withColumn("rank", F.row_number().over(w)).drop("seq")
+    ]
 
 
 def recommendations_by_horizon(recs: DataFrame, by=None, type_col: str = "category") -> DataFrame:

@@ -8,6 +8,8 @@ nothing here touches the issue table.  Whole-partition frames use
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -157,14 +159,18 @@ COMPARISON_METRICS = [("bugs", True), ("bugs_resolved", False), ("test_cases", F
 
 def comparison_long(sprints: DataFrame, by=None) -> DataFrame:
     """The comparison metrics per sprint in long form (metric, value)."""
+    return sprints.select(*keys(by), "sprint", "sprint_num", F.inline(_comparison_array()))
+
+
+@lru_cache(maxsize=1)
+def _comparison_array() -> Column:
     c = F.col
     vals = {
         "bugs": c("bugs"), "bugs_resolved": c("bugs_resolved"), "test_cases": c("test_cases"),
         "resolution_rate": pct(c("bugs_resolved"), c("bugs")), "critical_bugs": c("critical_total"),
     }
-    arr = F.array(*[F.struct(F.lit(k).alias("metric"), F.lit(inv).alias("inverse"),
-                             vals[k].cast("long").alias("value")) for k, inv in COMPARISON_METRICS])
-    return sprints.select(*keys(by), "sprint", "sprint_num", F.inline(arr))
+    return F.array(*[F.struct(F.lit(k).alias("metric"), F.lit(inv).alias("inverse"),
+                              vals[k].cast("long").alias("value")) for k, inv in COMPARISON_METRICS])
 
 
 def sprint_comparison(sprints: DataFrame, by=None) -> DataFrame:
@@ -223,6 +229,11 @@ def comparison_findings(comparison: DataFrame, by=None) -> DataFrame:
 
 def metric_series(sprints: DataFrame, by=None) -> DataFrame:
     """W14 + W15: per sprint, the sparkline metrics in long form."""
+    return sprints.select(*keys(by), "sprint", "sprint_num", F.inline(_metric_series_array()))
+
+
+@lru_cache(maxsize=1)
+def _metric_series_array() -> Column:
     c = F.col
     planned = first_truthy("test_planned", "test_cases")
     eff = F.when(c("bugs") > 0, js_round(c("bugs_resolved") / c("bugs") * F.lit(100)))
@@ -243,8 +254,7 @@ def metric_series(sprints: DataFrame, by=None) -> DataFrame:
         ("bug_leakage", js_round(c("production_bugs") / truthy_or(c("bugs"), F.lit(1)) * F.lit(100))),
         ("resolution_time", res_time),
     ]
-    arr = F.array(*[F.struct(F.lit(k).alias("metric"), v.cast("double").alias("value")) for k, v in vals])
-    return sprints.select(*keys(by), "sprint", "sprint_num", F.inline(arr))
+    return F.array(*[F.struct(F.lit(k).alias("metric"), v.cast("double").alias("value")) for k, v in vals])
 
 
 def series_change(series: DataFrame, by=None) -> DataFrame:
@@ -274,6 +284,13 @@ def priority_resolution_series(sprints: DataFrame, by=None) -> DataFrame:
     """W18 + W19: estimated resolution days per sprint and priority level,
     ``clamp(round(base + f*bugs/(velocity||1) - g*resolved/(bugs||1)))``,
     with the level target, whether it is met and the gap."""
+    c = F.col
+    x = sprints.select(*keys(by), "sprint", "sprint_num", F.inline(_resolution_rows()))
+    return x.withColumn("meets_target", c("days") <= c("target")).withColumn("gap", c("days") - c("target"))
+
+
+@lru_cache(maxsize=1)
+def _resolution_rows() -> Column:
     c = F.col
     rate = c("bugs_resolved") / truthy_or(c("bugs"), F.lit(1))
     cx = c("bugs") / truthy_or(c("velocity"), F.lit(1))
@@ -283,8 +300,7 @@ def priority_resolution_series(sprints: DataFrame, by=None) -> DataFrame:
         days = F.greatest(F.lit(lo), F.least(F.lit(hi), js_round(F.lit(base) + cxf - rate * F.lit(g))))
         rows.append(F.struct(F.lit(lvl).alias("level"), days.cast("long").alias("days"),
                              F.lit(target).cast("long").alias("target")))
-    x = sprints.select(*keys(by), "sprint", "sprint_num", F.inline(F.array(*rows)))
-    return x.withColumn("meets_target", c("days") <= c("target")).withColumn("gap", c("days") - c("target"))
+    return F.array(*rows)
 
 
 # Fixed severity shares of a sprint's bugs.
@@ -293,6 +309,11 @@ SEVERITY_SHARES = [("Más alta", 0.05), ("Alta", 0.30), ("Media", 0.55), ("Baja"
 
 def severity_efficiency(sprints: DataFrame, by=None) -> DataFrame:
     """Bugs split by fixed shares, resolved in proportion, efficiency %."""
+    return sprints.select(*keys(by), "sprint", "sprint_num", F.inline(_severity_rows()))
+
+
+@lru_cache(maxsize=1)
+def _severity_rows() -> Column:
     c = F.col
     ratio = c("bugs_resolved") / truthy_or(c("bugs"), F.lit(1))
     rows = []
@@ -302,7 +323,7 @@ def severity_efficiency(sprints: DataFrame, by=None) -> DataFrame:
         rows.append(F.struct(F.lit(lab).alias("severity"), tot.alias("total"), res.alias("resolved"),
                              F.when(tot > 0, js_round(res / tot * F.lit(100))).otherwise(F.lit(0).cast("long"))
                              .alias("efficiency")))
-    return sprints.select(*keys(by), "sprint", "sprint_num", F.inline(F.array(*rows)))
+    return F.array(*rows)
 
 
 def severity_counts_fixed(sprints: DataFrame, by=None, count_cols: dict[str, str] | None = None) -> DataFrame:
