@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from defectlens import config as C
 from defectlens.functions import js_round
 from defectlens.operators.rollups import keys
 

@@ -7,8 +7,6 @@ round trip is checked against the same oracle as the batch query.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
 from defectlens import config as C

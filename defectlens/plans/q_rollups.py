@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from defectlens import config as C
 from defectlens.operators import filters as FL
 from defectlens.operators import rollups as R
 from defectlens.operators import topk as TK
-from defectlens.operators.sprints import sprint_frame
 from defectlens.plans.catalog import register
 from defectlens.plans.sqlfrag import jr, lst, pct, f1, with_issue, strip_accents
 

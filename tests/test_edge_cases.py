@@ -2,7 +2,6 @@
 
 import json
 
-from pyspark.sql import functions as F
 
 from defectlens.operators import filters as FL
 from defectlens.operators import kpis as K

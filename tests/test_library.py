@@ -3,7 +3,6 @@
 import datetime as dt
 import tempfile
 
-from pyspark.sql import functions as F
 
 from defectlens.operators import kpis as K
 from defectlens.operators import rollups as R

@@ -3,7 +3,6 @@ and the aggregation is partial before the shuffle (no raw rows move)."""
 
 import math
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from defectlens.operators import kpis as K

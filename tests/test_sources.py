@@ -3,7 +3,6 @@
 import os
 import tempfile
 
-from pyspark.sql import functions as F
 
 from defectlens.sources import csv_source as CS
 from defectlens.sources import versions as VS

@@ -2,7 +2,6 @@
 
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from defectlens.operators import rollups as R
 from defectlens.sources.adapter import Tables
