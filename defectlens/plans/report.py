@@ -68,6 +68,21 @@ class QualityReport:
     def predictions(self) -> DataFrame:
         return K.predictions(self.kpis(), self.by)
 
+    def rule_recommendations(self, rules=None, user_rules: DataFrame | None = None) -> DataFrame:
+        """The rule table evaluated on this report's metrics.
+        ``user_rules`` (metric, condition, text, priority; old or new metric
+        names) replace the defaults of the metrics they mention.  The merged
+        rule table is code-sized (tens of rows), so it is brought to the
+        driver once and compiled into one CASE."""
+        from defectlens.operators.rule_table import DEFAULT_RULES
+        table = list(rules or DEFAULT_RULES)
+        if user_rules is not None:
+            eff = RU.effective_rules(RU.rules_frame(self.issues.sparkSession, table), user_rules)
+            table = [(r.metric, r.condition, r.text, r.priority) for r in eff.orderBy("rule_id").collect()]
+        cyc = K.cycle_time(self.sprints, R.priority_breakdown(self.issues, self.by), self.by) \
+            .select(*self.by, "cycle_time", "critical_days")
+        return RU.evaluate_rules(RU.metric_fields(self.kpis(), cyc, self.by), table, self.by)
+
     def maturity(self) -> DataFrame:
         return K.maturity(self.kpis(), self.by)
 
@@ -77,7 +92,8 @@ class QualityReport:
     def all(self) -> dict[str, DataFrame]:
         return {"kpis": self.kpis(), "trends": self.trends(), "velocity": self.velocity(),
                 "alerts": self.alerts(), "recommendations": self.recommendations(),
-                "predictions": self.predictions(), "maturity": self.maturity(), "roi": self.roi()}
+                "predictions": self.predictions(), "maturity": self.maturity(), "roi": self.roi(),
+                "rule_recommendations": self.rule_recommendations()}
 
 
 def filtered_issues(issues: DataFrame, sprints_df: DataFrame | None = None, include_bugs: bool = False,

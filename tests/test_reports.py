@@ -63,3 +63,15 @@ def test_quality_report_without_keys(spark):
     assert "increase-automation" in recs
     alerts = out["alerts"].collect()
     assert all(a.rank >= 1 for a in alerts)
+
+
+def test_rule_recommendations_with_override(spark):
+    rep = RP.QualityReport(Tables(spark, SF_SMALL).issues, by=["module"])
+    base = rep.rule_recommendations()
+    assert base.filter(F.col("metric") == "testCases").count() >= 3 * rep.kpis().count()
+    user = spark.createDataFrame([(0, "mediaCasosEjecutados", "avg >= 0", "Custom: always", "alta")],
+                                 "rule_id int, metric string, condition string, text string, priority string")
+    over = rep.rule_recommendations(user_rules=user)
+    tc = over.filter(F.col("metric") == "testCases").select("text").distinct().collect()
+    assert [r.text for r in tc] == ["Custom: always"]
+    assert over.filter(F.col("metric") == "cycleTime").count() == base.filter(F.col("metric") == "cycleTime").count()
