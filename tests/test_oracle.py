@@ -16,7 +16,8 @@ from tools.compare import TABLES, digest
 SUBSET = ["issues_by_sprint", "priority_breakdown", "assignee_rollup", "team_summary", "top_assignees",
           "filter_options", "module_breakdown", "kpis_by_module", "predictions_by_module", "cycle_time_by_priority",
           "sprint_trends", "half_split_trend", "sprint_comparison", "alerts_by_environment", "rule_table_eval",
-          "metric_cards", "reconcile_sprints", "validate_records", "severity_series", "density_series"]
+          "metric_cards", "reconcile_sprints", "validate_records", "severity_series", "density_series",
+          "roi_by_module", "developer_bands", "sprint_source_priority", "legacy_kpis"]
 FULL = os.environ.get("DEFECTLENS_FULL_ORACLE") == "1"
 
 
