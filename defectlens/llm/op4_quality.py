@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 from defectlens.llm.common import text_or_empty
 
 SPACES = "[ \\t-\\r]+"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 SEPARATORS = "[ \\t][|\u2022\u00b7\u00bb][ \\t]"
-PHRASES = ("all rights reserved|licensed under|released under the|this work is licensed|cookie policy|"
-           "privacy policy|terms of use|terms of service|click here|sign up|log in")
+PHRASES = ("(?:^|[^a-z])(?:all rights reserved|licensed under|released under the|this work is licensed|"
+           "cookie policy|privacy policy|terms of use|terms of service|click here|sign up|log in)")
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -38,20 +38,25 @@ MIN_SEPARATORS = 3
 MAX_LOST_PERCENT = 50
 
 
-def _without(c: Column, chars: str) -> Column:
-    return F.translate(c, chars, "")
+def _count(c: Column, pattern: str) -> Column:
+    return F.regexp_count(c, F.lit(pattern))
+
+
+def _solid(c: Column) -> Column:
+    """Characters that are not ASCII white space."""
+    return F.length(c) - _count(c, "[ \\t-\\r]")
 
 
 def line_fails(line: Column) -> Column:
     """Verdict of the three line rules; lines without a word pass."""
-    solid = F.length(_without(line, " \t\n\u000b\f\r"))
-    symbols = F.length(line) - F.length(_without(line, SYMBOLS))
-    marks = F.length(line) - F.length(_without(line, "!?"))
-    punctuation = ((symbols * 100 > solid * SYMBOL_PERCENT)
+    solid = _solid(line)
+    symbols = _count(line, SYMBOLS)
+    marks = _count(line, "[!?]")
+    punctuation = (((symbols > 0) & (symbols * 100 > solid * SYMBOL_PERCENT))
                    | ((marks >= MARKS) & (marks * 100 > solid * MARK_PERCENT)))
-    navigation = F.regexp_count(line, F.lit(SEPARATORS)) >= MIN_SEPARATORS
+    navigation = _count(line, SEPARATORS) >= MIN_SEPARATORS
     boilerplate = F.lower(line).rlike(PHRASES)
-    return (solid > 0) & (punctuation | navigation | boilerplate)
+    return punctuation | navigation | boilerplate  # each needs a word character
 
 
 def _repeat_words(h: Column) -> Column:
@@ -68,11 +73,12 @@ def judged(docs: DataFrame, text: str = "text") -> DataFrame:
     """``row`` (all input columns) with the base counts and the verdict."""
     df = docs.select(F.struct("*").alias("row"), text_or_empty(text).alias("t"))
     df = df.withColumn("words", F.array_remove(F.split("t", SPACES, -1), F.lit("")))
-    df = df.withColumn("lines", F.filter(F.split("t", "\n", -1), lambda x: F.length(F.trim(_plain(x))) > 0))
+    df = df.withColumn("lines", F.filter(F.split("t", "\n", -1), lambda x: x.rlike("[^ \\t-\\r]")))
+    df = df.withColumn("wh", F.transform("words", lambda x: F.xxhash64(x)))
     n = F.size("words")
     df = df.withColumn("h", F.when(n >= WINDOW, F.transform(
-        F.sequence(F.lit(1), F.greatest(n - (WINDOW - 1), F.lit(1))),
-        lambda i: F.xxhash64(F.slice("words", i, WINDOW)))).otherwise(F.array().cast("array<bigint>")))
+        F.slice("wh", 1, n - (WINDOW - 1)),
+        lambda x, i: F.xxhash64(x, *[F.get("wh", i + k) for k in range(1, WINDOW)]))).otherwise(F.array().cast("array<bigint>")))
     df = df.withColumn("repeats", F.size(F.array_distinct("h")) < F.size("h"))
     df = df.withColumn("ranked", F.when(F.col("repeats"), _repeat_words(F.col("h"))))
     df = df.withColumn("at", F.when(F.col("repeats"), F.sort_array(F.transform(
@@ -82,13 +88,13 @@ def judged(docs: DataFrame, text: str = "text") -> DataFrame:
     covered = F.aggregate(
         F.transform("at", lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get("at", i + 1) - p, F.lit(WINDOW)))),
         F.lit(0), lambda a, x: a + x)
-    failing = F.filter("lines", line_fails)
-    df = df.withColumn("lost", F.length(_without(F.array_join(failing, ""), " \t\n\u000b\f\r")))
+    df = df.withColumn("failing", F.filter("lines", line_fails))
+    df = df.withColumn("lost", _solid(F.array_join("failing", "")))
     df = df.select(
         "row", "t",
         n.cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        (F.length("t") - F.length(_without(F.col("t"), SYMBOLS))).cast("long").alias("n_symbols"),
+        _count(F.col("t"), SYMBOLS).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(F.when(F.col("repeats"), covered), F.lit(0)).cast("long").alias("n_repeat_words"),
         F.col("lost").cast("long").alias("lost_chars"))
@@ -98,10 +104,6 @@ def judged(docs: DataFrame, text: str = "text") -> DataFrame:
                          & (F.col("lost_chars") * 100 <= F.col("word_chars") * MAX_LOST_PERCENT))
 
 
-def _plain(x: Column) -> Column:
-    return F.translate(x, "\t\u000b\f\r", "    ")
-
-
 def cleaned(text: Column) -> Column:
     """The text without the lines that fail; its other lines are unchanged."""
     return F.array_join(F.filter(F.split(text, "\n", -1), lambda x: ~line_fails(x)), "\n")
@@ -140,7 +142,7 @@ WITH d AS (
     length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) AS n_sym,
     length(line) - length(regexp_replace(line, '[!?]', '', 'g')) AS n_mark,
     len(regexp_extract_all(line, '[ \t][|•·»][ \t]')) AS n_sep,
-    regexp_matches(lower(line), 'all rights reserved|licensed under|released under the|this work is licensed|cookie policy|privacy policy|terms of use|terms of service|click here|sign up|log in') AS phrase
+    regexp_matches(lower(line), '(?:^|[^a-z])(?:all rights reserved|licensed under|released under the|this work is licensed|cookie policy|privacy policy|terms of use|terms of service|click here|sign up|log in)') AS phrase
   FROM ln
 ), l AS (
   SELECT rid, count(*) - count(DISTINCT line) AS n_dup,
