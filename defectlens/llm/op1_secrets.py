@@ -212,7 +212,7 @@ WITH d AS (
   UNION ALL SELECT rid, 2, string_split_regex(t, '[0-9a-f]+'), regexp_extract_all(t, '[0-9a-f]+') FROM d
   UNION ALL SELECT rid, 3, string_split_regex(t, '[A-Za-z0-9+/_-]+'), regexp_extract_all(t, '[A-Za-z0-9+/_-]+') FROM d
 ), m1 AS (
-  SELECT rid, k, unnest(range(1, len(h) + 1)) AS i, unnest(list_transform(g[1:len(h)], x -> length(x))) AS gap, unnest(h) AS v FROM m0
+  SELECT rid, k, unnest(range(1, len(h) + 1)) AS i, unnest(list_transform(g[1:len(h)], lambda x: length(x))) AS gap, unnest(h) AS v FROM m0
 ), m2 AS (
   SELECT rid, k, v, sum(gap + length(v)) OVER (PARTITION BY rid, k ORDER BY i) AS e FROM m1
 ), sp AS (
@@ -226,10 +226,10 @@ WITH d AS (
     AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = r.rid AND b.s < r.e AND r.s < b.e)
 ), found AS (
   SELECT DISTINCT val AS v FROM base ORDER BY md5(val) LIMIT 50000
-), some AS (
+), chosen AS (
   SELECT t FROM d ORDER BY md5(coalesce(doc_id::VARCHAR, '')), t LIMIT 2000
 ), words AS (
-  SELECT v FROM (SELECT DISTINCT unnest(regexp_extract_all(t, '[A-Za-z0-9+/_-]+')) AS v FROM some)
+  SELECT v FROM (SELECT DISTINCT unnest(regexp_extract_all(t, '[A-Za-z0-9+/_-]+')) AS v FROM chosen)
   WHERE length(v) >= 4 AND v NOT IN (SELECT v FROM found) ORDER BY md5(v) LIMIT 50000
 ), gen AS (
   SELECT sha256('random string ' || i::VARCHAR) AS hx FROM range(2000) r(i)
