@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from defectlens.llm import op1_secrets, op4_quality
+from defectlens.llm import op1_secrets, op2_huffman, op4_quality
+from defectlens.llm import op10_packing as packing
 from defectlens.llm.common import read_table
 
 
@@ -10,11 +11,27 @@ def op1_secret_scan(spark, sf_dir):
     return op1_secrets.secret_report(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_huffman_ids(spark, sf_dir):
+    return op2_huffman.huffman_report(read_table(spark, sf_dir, "documents", "doc_id", "text"), _vocabulary("byte_bpe_50k.json"))
+
+
+def op10_packing(spark, sf_dir):
+    return packing.packing_report(read_table(spark, sf_dir, "documents", "doc_id", "text"), _vocabulary("word_bpe_49k.json"))
+
+
 def op4_quality_rules(spark, sf_dir):
     return op4_quality.quality_report(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 QUERIES = {
     "op1_secret_scan": (op1_secret_scan, op1_secrets.ORACLE),
+    "op2_huffman_ids": (op2_huffman_ids, None),
     "op4_quality_rules": (op4_quality_rules, op4_quality.ORACLE),
+    "op10_packing": (op10_packing, None),
 }
