@@ -102,21 +102,20 @@ def in_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
 # Rolling fingerprints: prefix sums of byte * B^i modulo 2^64, B odd, so that
 # any substring's value is (P[e] - P[s]) * B^-s, all in numpy.
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_POWERS: list[np.ndarray] = []
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, int(n).bit_length())
-    if size not in _POWERS:
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
+def _powers(n: int) -> list[np.ndarray]:
+    """B^i and B^-i for i < n, kept for the worker's next batches."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = 1 << max(16, int(n).bit_length())
         out = []
-        for b in (_BASE, inverse):
-            p = np.ones(size, np.uint64)
-            p[1:] = b
+        for b in (_BASE, np.uint64(pow(int(_BASE), -1, 1 << 64))):
+            p = np.full(size, b, np.uint64)
+            p[0] = 1
             out.append(np.multiply.accumulate(p))
-        _POWERS.clear()
-        _POWERS[size] = (out[0], out[1])
-    return _POWERS[size]
+        _POWERS[:] = out
+    return _POWERS
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -130,7 +129,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def prefix_hash(values: np.ndarray) -> np.ndarray:
     """Prefix sums for :func:`span_hash` over bytes or 64-bit symbols."""
-    power, _ = _powers(len(values) + 1)
+    power = _powers(len(values) + 1)[0]
     out = np.zeros(len(values) + 1, np.uint64)
     np.cumsum((values.astype(np.uint64) + np.uint64(1)) * power[: len(values)], out=out[1:])
     return out
@@ -138,5 +137,36 @@ def prefix_hash(values: np.ndarray) -> np.ndarray:
 
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit fingerprints of the spans [start, end); equal spans, equal values."""
-    _, inverse = _powers(len(prefix))
+    inverse = _powers(len(prefix))[1]
     return mix64((prefix[end] - prefix[start]) * inverse[start])
+
+
+def doc_slices(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of documents of at most ``limit`` bytes together, one at least."""
+    n, a = len(offsets) - 1, 0
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + limit, side="right")) - 1)
+        yield a, b
+        a = b
+
+
+def runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each run of true values."""
+    edge = np.diff(np.concatenate([[0], flags.view(np.int8), [0]]))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+def byte_words(data: np.ndarray, offsets: np.ndarray, word_byte: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of every word, and the first word of each document.
+
+    ``word_byte`` says for each byte value whether it belongs to words; a word
+    never crosses a document's end.
+    """
+    flags = np.zeros(len(data) + len(offsets), bool)  # one gap after each document
+    shift = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    flags[np.arange(len(data)) + shift] = word_byte[data]
+    start, end = runs_of(flags)
+    gaps = offsets[1:] + np.arange(len(offsets) - 1)
+    doc = np.searchsorted(gaps, start)
+    first = np.searchsorted(doc, np.arange(len(offsets)))
+    return start - doc, end - doc, first

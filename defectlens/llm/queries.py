@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from defectlens.llm import op1_secrets, op2_huffman, op4_quality
+from defectlens.llm import op1_secrets, op2_huffman, op4_quality, op7_decontamination
 from defectlens.llm import op10_packing as packing
 from defectlens.llm.common import read_table
 
@@ -21,6 +21,11 @@ def op2_huffman_ids(spark, sf_dir):
     return op2_huffman.huffman_report(read_table(spark, sf_dir, "documents", "doc_id", "text"), _vocabulary("byte_bpe_50k.json"))
 
 
+def op7_decontamination_join(spark, sf_dir):
+    return op7_decontamination.contamination_report(
+        read_table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op10_packing(spark, sf_dir):
     return packing.packing_report(read_table(spark, sf_dir, "documents", "doc_id", "text"), _vocabulary("word_bpe_49k.json"))
 
@@ -33,5 +38,6 @@ QUERIES = {
     "op1_secret_scan": (op1_secret_scan, op1_secrets.ORACLE),
     "op2_huffman_ids": (op2_huffman_ids, None),
     "op4_quality_rules": (op4_quality_rules, op4_quality.ORACLE),
+    "op7_decontamination_join": (op7_decontamination_join, op7_decontamination.ORACLE),
     "op10_packing": (op10_packing, None),
 }
