@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from defectlens.llm import op1_secrets, op2_huffman, op4_quality, op7_decontamination
+from defectlens.llm import op1_secrets, op2_huffman, op4_quality, op6_urls, op7_decontamination, op8_warc
 from defectlens.llm import op10_packing as packing
 from defectlens.llm.common import read_table
 
@@ -21,11 +21,19 @@ def op2_huffman_ids(spark, sf_dir):
     return op2_huffman.huffman_report(read_table(spark, sf_dir, "documents", "doc_id", "text"), _vocabulary("byte_bpe_50k.json"))
 
 
+def op6_url_trees(spark, sf_dir):
+    return op6_urls.url_report(read_table(spark, sf_dir, "pages", "page_id", "url"))
+
+
 def op7_decontamination_join(spark, sf_dir):
     return op7_decontamination.contamination_report(
         read_table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+def op8_warc_segments(spark, sf_dir):
+    return op8_warc.warc_report(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op10_packing(spark, sf_dir):
     return packing.packing_report(read_table(spark, sf_dir, "documents", "doc_id", "text"), _vocabulary("word_bpe_49k.json"))
 
@@ -38,6 +46,8 @@ QUERIES = {
     "op1_secret_scan": (op1_secret_scan, op1_secrets.ORACLE),
     "op2_huffman_ids": (op2_huffman_ids, None),
     "op4_quality_rules": (op4_quality_rules, op4_quality.ORACLE),
+    "op6_url_trees": (op6_url_trees, None),
     "op7_decontamination_join": (op7_decontamination_join, op7_decontamination.ORACLE),
+    "op8_warc_segments": (op8_warc_segments, op8_warc.ORACLE),
     "op10_packing": (op10_packing, None),
 }
