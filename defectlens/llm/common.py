@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -94,8 +97,24 @@ def keyed_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
         yield pa.Table.from_batches(held)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a Spark application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_defectlens_shipped", False):
+        return
+    root = Path(__file__).resolve().parent.parent
+    archive = Path(tempfile.mkdtemp(prefix="defectlens-")) / "defectlens.zip"  # read by the driver's file server only
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    sc.addPyFile(str(archive))
+    sc._defectlens_shipped = True
+
+
 def in_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` with bounded batches and this package on the workers."""
     small_batches(df.sparkSession)
+    ship_package(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 

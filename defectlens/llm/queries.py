@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from defectlens.llm import op1_secrets, op2_huffman, op4_quality, op6_urls, op7_decontamination, op8_warc
+from defectlens.llm import op1_secrets, op2_huffman, op3_jaccard, op4_quality, op6_urls, op7_decontamination, op8_warc
 from defectlens.llm import op10_packing as packing
 from defectlens.llm.common import read_table
 
@@ -38,6 +38,10 @@ def op10_packing(spark, sf_dir):
     return packing.packing_report(read_table(spark, sf_dir, "documents", "doc_id", "text"), _vocabulary("word_bpe_49k.json"))
 
 
+def op3_jaccard_join(spark, sf_dir):
+    return op3_jaccard.jaccard_report(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op4_quality_rules(spark, sf_dir):
     return op4_quality.quality_report(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -45,6 +49,7 @@ def op4_quality_rules(spark, sf_dir):
 QUERIES = {
     "op1_secret_scan": (op1_secret_scan, op1_secrets.ORACLE),
     "op2_huffman_ids": (op2_huffman_ids, None),
+    "op3_jaccard_join": (op3_jaccard_join, None),
     "op4_quality_rules": (op4_quality_rules, op4_quality.ORACLE),
     "op6_url_trees": (op6_url_trees, None),
     "op7_decontamination_join": (op7_decontamination_join, op7_decontamination.ORACLE),
