@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from defectlens.llm import op1_secrets, op2_huffman, op3_jaccard, op4_quality, op6_urls, op7_decontamination, op8_warc
+from defectlens.llm import op1_secrets, op2_huffman, op3_jaccard, op4_quality, op6_urls, op7_decontamination, op8_warc, op9_suffixes
 from defectlens.llm import op10_packing as packing
 from defectlens.llm.common import read_table
 
@@ -34,6 +34,10 @@ def op8_warc_segments(spark, sf_dir):
     return op8_warc.warc_report(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
+def op9_suffix_dedup(spark, sf_dir):
+    return op9_suffixes.suffix_report(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_packing(spark, sf_dir):
     return packing.packing_report(read_table(spark, sf_dir, "documents", "doc_id", "text"), _vocabulary("word_bpe_49k.json"))
 
@@ -54,5 +58,6 @@ QUERIES = {
     "op6_url_trees": (op6_url_trees, None),
     "op7_decontamination_join": (op7_decontamination_join, op7_decontamination.ORACLE),
     "op8_warc_segments": (op8_warc_segments, op8_warc.ORACLE),
+    "op9_suffix_dedup": (op9_suffix_dedup, None),
     "op10_packing": (op10_packing, None),
 }
