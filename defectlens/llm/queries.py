@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from defectlens.llm import op1_secrets, op2_huffman, op3_jaccard, op4_quality, op6_urls, op7_decontamination, op8_warc, op9_suffixes
+from defectlens.llm import op1_secrets, op2_huffman, op3_jaccard, op4_quality, op5_surrogates, op6_urls, op7_decontamination, op8_warc, op9_suffixes
 from defectlens.llm import op10_packing as packing
 from defectlens.llm.common import read_table
 
@@ -11,14 +11,18 @@ def op1_secret_scan(spark, sf_dir):
     return op1_secrets.secret_report(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
 def op2_huffman_ids(spark, sf_dir):
-    return op2_huffman.huffman_report(read_table(spark, sf_dir, "documents", "doc_id", "text"), _vocabulary("byte_bpe_50k.json"))
+    return op2_huffman.huffman_report(read_table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary("byte_bpe_50k.json"))
+
+
+def op5_surrogates_pii(spark, sf_dir):
+    return op5_surrogates.surrogate_report(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op6_url_trees(spark, sf_dir):
@@ -39,7 +43,7 @@ def op9_suffix_dedup(spark, sf_dir):
 
 
 def op10_packing(spark, sf_dir):
-    return packing.packing_report(read_table(spark, sf_dir, "documents", "doc_id", "text"), _vocabulary("word_bpe_49k.json"))
+    return packing.packing_report(read_table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary("word_bpe_49k.json"))
 
 
 def op3_jaccard_join(spark, sf_dir):
@@ -55,6 +59,7 @@ QUERIES = {
     "op2_huffman_ids": (op2_huffman_ids, None),
     "op3_jaccard_join": (op3_jaccard_join, None),
     "op4_quality_rules": (op4_quality_rules, op4_quality.ORACLE),
+    "op5_surrogates_pii": (op5_surrogates_pii, None),
     "op6_url_trees": (op6_url_trees, None),
     "op7_decontamination_join": (op7_decontamination_join, op7_decontamination.ORACLE),
     "op8_warc_segments": (op8_warc_segments, op8_warc.ORACLE),
