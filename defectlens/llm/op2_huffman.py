@@ -37,7 +37,7 @@ from defectlens.llm.tokens import encoder, with_end
 
 MAX_BITS = 18
 BLOCK_IDS = 1 << 17
-STEP = 256
+STEP = 128
 IDS_SCHEMA = "doc_id bigint, part int, seq bigint, at bigint, n bigint, ids binary"
 BLOCK_SCHEMA = ("part int, block int, start bigint, n_ids bigint, doc_ids array<bigint>, doc_sizes array<bigint>, "
                 "checkpoints binary, bits binary")
@@ -49,6 +49,16 @@ def binary_column(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(data.tobytes())])
 
 
+def binary_values(column: pa.Array, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a binary column one after another, and their offsets in them."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+    size = np.dtype(dtype).itemsize
+    if not len(column) or offsets[0] == offsets[-1]:
+        return np.zeros(0, dtype), offsets - offsets[:1]
+    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]
+    return data.view(dtype), (offsets - offsets[0]) // size
+
+
 def token_ids(docs: DataFrame, path: str, cut: str, end_id: int) -> DataFrame:
     """Ids per document, in ascending doc_id order by (part, seq)."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
@@ -77,11 +87,10 @@ def id_counts(ids: DataFrame, dtype: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in batches:
-            for x in b.column("ids"):
-                found = np.bincount(np.frombuffer(x.as_buffer(), dtype))
-                if len(found) > len(total):
-                    total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
-                total[:len(found)] += found
+            found = np.bincount(binary_values(b.column("ids"), dtype)[0])
+            if len(found) > len(total):
+                total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
+            total[:len(found)] += found
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(total[at])], ["id", "n"])
 
@@ -139,43 +148,44 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
-def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbol and length for each value of the next ``MAX_BITS`` bits."""
-    symbol, size = np.zeros(1 << MAX_BITS, np.uint32), np.ones(1 << MAX_BITS, np.uint8)
+def decode_table(lengths: np.ndarray) -> np.ndarray:
+    """Symbol * 32 + length for each value of the next ``MAX_BITS`` bits."""
+    table = np.ones(1 << MAX_BITS, np.uint32)
     order = np.lexsort((np.arange(len(lengths)), lengths))
     order = order[lengths[order] > 0]
     step = np.left_shift(np.int64(1), MAX_BITS - lengths[order].astype(np.int64))
-    full = int(step.sum())
-    symbol[:full], size[:full] = np.repeat(order, step), np.repeat(lengths[order], step)
-    return symbol, size
+    table[:int(step.sum())] = np.repeat(order.astype(np.uint32) * np.uint32(32) + lengths[order], step)
+    return table
 
 
 def pack_bits(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes, np.ndarray]:
     """The ids' codes one after another, and the bit offset of every STEP-th id."""
+    if not len(ids):
+        return b"", np.zeros(0, np.uint32)
     size = lengths[ids].astype(np.int64)
-    end = np.cumsum(size)
-    at = end - size
+    at = np.cumsum(size) - size
     word = at >> 5
     shifted = codes[ids].astype(np.uint64) << (64 - (at & 31) - size).astype(np.uint64)
-    n = int(end[-1] >> 5) + 2 if len(end) else 1
-    # the codes' bits are disjoint, so sums are unions; each sum is below 2^32 and exact
-    total = np.bincount(word, (shifted >> np.uint64(32)).astype(np.float64), n)
-    total[1:] += np.bincount(word, (shifted & np.uint64(0xFFFFFFFF)).astype(np.float64), n)[:-1]
+    # codes are shorter than 32 bits, so one begins in every word; their bits are disjoint, so sums are unions
+    begin = np.flatnonzero(np.diff(word, prepend=-1))
+    total = np.zeros(len(begin) + 1, np.uint64)
+    total[:-1] = np.add.reduceat(shifted >> np.uint64(32), begin)
+    total[1:] += np.add.reduceat(shifted & np.uint64(0xFFFFFFFF), begin)
     return total.astype(">u4").tobytes(), at[::STEP].astype(np.uint32)
 
 
-def unpack_bits(bits: bytes, checkpoints: np.ndarray, n: int, symbol: np.ndarray, size: np.ndarray) -> np.ndarray:
+def unpack_bits(bits: bytes, checkpoints: np.ndarray, n: int, table: np.ndarray) -> np.ndarray:
     """All ids of a block; every checkpoint advances by one id a step."""
-    raw = np.frombuffer(bits + b"\0" * 8, np.uint8).astype(np.uint32)
+    raw = np.frombuffer(bits + b"\0" * 64, np.uint8).astype(np.uint32)
     ahead = (raw[:-3] << np.uint32(24)) | (raw[1:-2] << np.uint32(16)) | (raw[2:-1] << np.uint32(8)) | raw[3:]
-    at = checkpoints.astype(np.int64)
+    at = checkpoints.copy()
     out = np.zeros((STEP, len(at)), np.uint32)
-    mask, top = np.uint32((1 << MAX_BITS) - 1), 32 - MAX_BITS
-    last = len(ahead) - 1
+    mask, top, last = np.uint32((1 << MAX_BITS) - 1), np.uint32(32 - MAX_BITS), np.uint32(len(ahead) - 1)
+    three, seven, five, low = np.uint32(3), np.uint32(7), np.uint32(5), np.uint32(31)
     for k in range(STEP):
-        seen = (ahead[np.minimum(at >> 3, last)] >> (top - (at & 7)).astype(np.uint32)) & mask
-        out[k] = symbol[seen]
-        at = at + size[seen]
+        found = table[(ahead[np.minimum(at >> three, last)] >> (top - (at & seven))) & mask]
+        np.right_shift(found, five, out=out[k])
+        at += found & low
     return out.T.reshape(-1)[:n]
 
 
@@ -183,48 +193,69 @@ def encode_blocks(ids: DataFrame, lengths: np.ndarray, bases: dict[int, int], dt
     """The file rows: independent blocks of whole documents in ascending order."""
     lengths_, codes = lengths, canonical_codes(lengths)
 
+    schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("n_ids", pa.int64()),
+                        ("doc_ids", pa.list_(pa.int64())), ("doc_sizes", pa.list_(pa.int64())),
+                        ("checkpoints", pa.binary()), ("bits", pa.binary())])
+
+    def block(part: int, held: list[tuple]) -> pa.RecordBatch:
+        all_ids = np.concatenate([x[0] for x in held])
+        bits, checkpoints = pack_bits(all_ids, lengths_, codes)
+        row = {"part": part, "block": held[0][3], "start": bases[part] + held[0][4], "n_ids": len(all_ids),
+               "doc_ids": [d for x in held for d in x[1]], "doc_sizes": [n for x in held for n in x[2]],
+               "checkpoints": checkpoints.tobytes(), "bits": bits}
+        return pa.RecordBatch.from_pylist([row], schema=schema)
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[tuple] = []  # runs of documents: ids, doc_ids, sizes, first seq, first place
         part, size = -1, 0
-
-        def block() -> pa.RecordBatch:
-            all_ids = np.concatenate([np.frombuffer(x[3], dtype) for x in held])
-            bits, checkpoints = pack_bits(all_ids, lengths_, codes)
-            row = {"part": part, "block": held[0][1], "start": bases[part] + held[0][2], "n_ids": len(all_ids),
-                   "doc_ids": [x[0] for x in held], "doc_sizes": [len(x[3]) // np.dtype(dtype).itemsize for x in held],
-                   "checkpoints": checkpoints.tobytes(), "bits": bits}
-            return pa.RecordBatch.from_pylist([row], schema=schema)
-
-        schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("n_ids", pa.int64()),
-                            ("doc_ids", pa.list_(pa.int64())), ("doc_sizes", pa.list_(pa.int64())),
-                            ("checkpoints", pa.binary()), ("bits", pa.binary())])
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("doc_id", "seq", "at", "ids", "part", "n")]
-            for doc_id, seq, at, data, p, n in zip(*cols):
-                if held and (p != part or size + n > BLOCK_IDS):
-                    yield block()
+            values, offsets = binary_values(b.column("ids"), dtype)
+            parts, seqs, places = (b.column(c).to_numpy() for c in ("part", "seq", "at"))
+            a = 0
+            while a < len(parts):
+                if held and parts[a] != part:
+                    yield block(part, held)
+                    held, size = [], 0
+                part = int(parts[a])
+                same = a + int(np.searchsorted(-(parts[a:] == part).astype(np.int8), 0))
+                z = int(np.searchsorted(offsets, offsets[a] + BLOCK_IDS - size, side="right")) - 1
+                z = min(max(z, a + (not held)), same)
+                if z > a:
+                    held.append((values[offsets[a]:offsets[z]], b.column("doc_id")[a:z].to_pylist(),
+                                 np.diff(offsets[a:z + 1]).tolist(), int(seqs[a]), int(places[a])))
+                    size += int(offsets[z] - offsets[a])
+                if z < same:  # the next document does not fit
+                    yield block(part, held)
                     held, size = [], 0
-                part, size = p, size + n
-                held.append((doc_id, seq, at, data))
+                a = z
         if held:
-            yield block()
+            yield block(part, held)
 
     return in_arrow(ids, encode, BLOCK_SCHEMA)
 
 
-def decode_blocks(blocks: DataFrame, lengths: np.ndarray) -> DataFrame:
-    """(doc_id, start, ids): every document back from the files."""
+def decode_blocks(blocks: DataFrame, lengths: np.ndarray, digest: bool = False) -> DataFrame:
+    """(doc_id, start, ids): every document back from the files, as little-endian 32-bit ids.
+
+    With ``digest`` n_tokens and the ids' checksum take the place of the ids.
+    """
+
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbol, size = decode_table(lengths)
+        table = decode_table(lengths)
         for b in batches:
             for r in b.to_pylist():
-                ids = unpack_bits(r["bits"], np.frombuffer(r["checkpoints"], np.uint32), r["n_ids"], symbol, size)
+                ids = unpack_bits(r["bits"], np.frombuffer(r["checkpoints"], np.uint32), r["n_ids"], table).astype("<u4")
                 offsets = np.concatenate([[0], np.cumsum(r["doc_sizes"])]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(r["doc_ids"], pa.int64()), pa.array(r["start"] + offsets[:-1]),
-                    binary_column(ids.astype("<u4"), offsets)], ["doc_id", "start", "ids"])
+                own = [pa.array(r["doc_ids"], pa.int64()), pa.array(r["start"] + offsets[:-1])]
+                if digest:
+                    data = memoryview(ids.tobytes())
+                    crc = [zlib.crc32(data[4 * a:4 * z]) for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(offsets)), pa.array(crc, pa.int64())],
+                                                     ["doc_id", "start", "n_tokens", "ids_crc32"])
+                else:
+                    yield pa.RecordBatch.from_arrays([*own, binary_column(ids, offsets)], ["doc_id", "start", "ids"])
 
-    return in_arrow(blocks, decode, "doc_id bigint, start bigint, ids binary")
+    return in_arrow(blocks, decode, "doc_id bigint, start bigint, " + ("n_tokens bigint, ids_crc32 bigint" if digest else "ids binary"))
 
 
 def write_huffman(docs: DataFrame, path: str, cut: str = "space", end_id: int = 2) -> tuple[DataFrame, np.ndarray]:
@@ -244,12 +275,4 @@ def write_huffman(docs: DataFrame, path: str, cut: str = "space", end_id: int =
 def huffman_report(docs: DataFrame, path: str) -> DataFrame:
     """Per document, from the files: its start, its ids and their checksum."""
     blocks, lengths = write_huffman(docs, path)
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data = [x.as_buffer() for x in b.column("ids")]
-            yield pa.RecordBatch.from_arrays([
-                b.column("doc_id"), b.column("start"), pa.array([len(x) // 4 for x in data], pa.int64()),
-                pa.array([zlib.crc32(x) for x in data], pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return in_arrow(decode_blocks(blocks, lengths), digest, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return decode_blocks(blocks, lengths, digest=True)

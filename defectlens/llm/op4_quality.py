@@ -111,10 +111,11 @@ def cleaned(text: Column) -> Column:
 
 def keep_clean(docs: DataFrame, text: str = "text") -> DataFrame:
     """Rows of ``docs`` that the rules keep, failing lines removed; same columns."""
-    df = judged(docs, text).filter("kept")
+    df = judged(docs, text)
     fields = [F.when(F.col("lost_chars") > 0, cleaned(F.col("t"))).otherwise(F.col(f"row.`{c}`")).alias(c)
               if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
-    return df.select(*fields)
+    # a generator, not a filter: a filter would be moved below the projections and their steps computed again inside it
+    return df.select(F.inline(F.when(F.col("kept"), F.array(F.struct(*fields)))))
 
 
 def quality_report(docs: DataFrame) -> DataFrame:

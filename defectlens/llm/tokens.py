@@ -9,6 +9,11 @@ may be cut where such a boundary is certain and equal pieces encoded once:
 * ``"blank"`` (vocabularies that drop white space): at every space and line
   feed.
 
+Pieces made of plain letters and marks are whole words of both kinds of
+vocabulary (a run of letters or of marks, with the space before it), so they
+go to the library's merges without its search for words; any other piece goes
+through the whole tokenizer.
+
 The memo of pieces is thinned (pieces seen once go) when it holds
 ``MEMO_PIECES`` pieces or ``MEMO_CHARS`` characters; that bounds memory and
 changes no result.
@@ -17,12 +22,21 @@ changes no result.
 from __future__ import annotations
 
 import os
+import re
 from itertools import repeat
+from operator import itemgetter
 
 import numpy as np
 
-MEMO_PIECES = 300_000
-MEMO_CHARS = 12_000_000
+#: Letters whose word boundaries need no tables, and ASCII marks but the apostrophe.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_MARKS = r"!-&(-/:-@\[-`{-~"
+_PLAIN = rf" ?[{_LETTERS}]+| ?[{_MARKS}]+|\n"
+#: Marks of this module (texts that hold one are encoded whole): between words sent to the merges, between pieces, before a text's first piece.
+_CUT, _STOP, _FIRST = "\x00", "\x01", "\x02"
+
+MEMO_PIECES = 500_000
+MEMO_CHARS = 16_000_000
 
 
 class PieceEncoder:
@@ -35,8 +49,37 @@ class PieceEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.cut = cut
+        self._tokens = re.compile(f"{_PLAIN}|{_STOP}|[^{_STOP}]", re.S)
+        self._plain = re.compile(_PLAIN)
+        self._merges_only()
         self._forget()
 
+    def _merges_only(self) -> None:
+        """The same merges without the search for words: words come cut and in byte letters."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # fixed values: bytes that stand for themselves
+        self.letter = np.zeros(256, np.uint32)
+        hidden = [b for b in range(256) if b not in shown]
+        self.letter[shown], self.letter[hidden] = shown, 256 + np.arange(len(hidden))
+        cut = chr(int(self.letter[0]))
+        self.merges = Tokenizer(self.library.model)
+        self.merges.pre_tokenizer = pre_tokenizers.Split(cut, "isolated")
+        self.cut_id = self.merges.encode(cut, add_special_tokens=False).ids[0]
+
+    def _word_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of words that are whole units of the tokenizer, and their offsets."""
+        if self.cut == "blank":
+            words = [w.lower() for w in words]
+        texts = []
+        for k in range(0, len(words), 500):
+            raw = np.frombuffer((_CUT.join(words[k:k + 500]) + _CUT).encode(), np.uint8)
+            texts.append(self.letter[raw].tobytes().decode("utf-32-le"))
+        encoded = self.merges.encode_batch_fast(texts, add_special_tokens=False)
+        flat = np.concatenate([np.zeros(0, np.uint32), *[np.array(x.ids, np.uint32) for x in encoded]])
+        ends = np.flatnonzero(flat == self.cut_id)
+        return np.delete(flat, ends), np.concatenate([[0], ends - np.arange(len(ends))])
+
     @property
     def dtype(self) -> str:
         return "<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
@@ -55,7 +98,11 @@ class PieceEncoder:
     def _pieces(self, text: str) -> list[str]:
         if self.cut == "blank":
             return text.replace("\n", " ").split(" ")
-        return text.replace(" ", "\0 ").split("\0")
+        return (_FIRST + text).split(" ")
+
+    def _full(self, pieces: list[str]) -> list[str]:
+        """The pieces as they stand in the text, with the space before them."""
+        return pieces if self.cut == "blank" else [p[1:] if p[:1] == _FIRST else " " + p for p in pieces]
 
     def _sound(self, piece: str) -> bool:
         """Whether the cuts at both ends of this piece are certain boundaries."""
@@ -65,18 +112,45 @@ class PieceEncoder:
         return bool(body) and not body[0].isspace() and not body[-1].isspace()
 
     def _learn(self, new: list[str]) -> None:
-        sound = [self._sound(p) for p in new]
-        ids = self._library_ids(new)
-        size = np.fromiter((len(x) if ok else -1 for x, ok in zip(ids, sound)), np.int64, len(new))
-        used = [x for x, ok in zip(ids, sound) if ok]
-        flat = np.fromiter((i for x in used for i in x), np.uint32, int(size[size > 0].sum()))
-        step = np.maximum(size, 0)
-        first = np.cumsum(step) - step + len(self.flat)
+        """Pieces of plain words only go straight to the merges, the others to the library."""
+        names, new = new, self._full(new)
+        tokens = self._tokens.findall(_STOP.join(new))
+        unique = list(dict.fromkeys(tokens))
+        at = {t: k for k, t in enumerate(unique)}
+        row = np.fromiter(map(at.__getitem__, tokens), np.int64, len(tokens))
+        # whatever is not plain was found character by character
+        plain = np.fromiter(map(len, unique), np.int64, len(unique)) > 1
+        for k in np.flatnonzero(~plain).tolist():
+            plain[k] = self._plain.fullmatch(unique[k]) is not None
+        # a line feed is a word of its own only right before letters or marks
+        initial = np.fromiter(map(ord, map(itemgetter(0), unique)), np.int64, len(unique))
+        follows = np.append(plain & (initial != 32) & (initial != 10), False)
+        lone = (row == at.get("\n", -1)) & ~follows[np.append(row[1:], len(unique))]
+        stop = row == at.get(_STOP, -1)
+        piece = np.cumsum(stop)[~stop]
+        row, lone = row[~stop], lone[~stop]
+        odd = np.zeros(len(new), bool)
+        odd[piece[~plain[row] | lone]] = True
+        words = np.flatnonzero(plain)
+        word_ids, ends = self._word_ids([unique[k] for k in words.tolist()])
+        first, size = np.zeros(len(unique), np.int64), np.zeros(len(unique), np.int64)
+        first[words], size[words] = ends[:-1], np.diff(ends)
+        row = row[~odd[piece]]
+        sizes = np.bincount(piece[~odd[piece]], size[row], len(new)).astype(np.int64)
+        take = size[row]
+        flat = word_ids[np.repeat(first[row] - (np.cumsum(take) - take), take) + np.arange(int(take.sum()))]
+        place = np.cumsum(sizes) - sizes
+        if odd.any():
+            others = np.flatnonzero(odd).tolist()
+            ids = self._library_ids([new[k] for k in others])
+            place[others] = len(flat) + np.cumsum([0, *map(len, ids)])[:-1]
+            sizes[others] = [len(x) if self._sound(new[k]) else -1 for k, x in zip(others, ids)]
+            flat = np.concatenate([flat, np.fromiter((i for x in ids for i in x), np.uint32)])
         base = len(self.size)
-        self.row.update(zip(new, range(base, base + len(new))))
+        self.row.update(zip(names, range(base, base + len(new))))
         self.chars += sum(map(len, new))
         self.size, self.first, self.flat, self.seen = (np.concatenate(x) for x in (
-            (self.size, size), (self.first, first), (self.flat, flat), (self.seen, np.zeros(len(new), np.int64))))
+            (self.size, sizes), (self.first, place + len(self.flat)), (self.flat, flat), (self.seen, np.zeros(len(new), np.int64))))
 
     def _rows(self, pieces: list[str]) -> np.ndarray:
         """Row of each piece in the memo; unknown ones are encoded first."""
@@ -112,7 +186,7 @@ class PieceEncoder:
         ends = [0]
         whole: list[int] = []
         for k, t in enumerate(texts):
-            if self.cut == "space" and "\0" in t:
+            if _CUT in t or _STOP in t or _FIRST in t:
                 whole.append(k)
             else:
                 pieces += self._pieces(t)
