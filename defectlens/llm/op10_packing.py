@@ -45,7 +45,7 @@ def token_pieces(docs: DataFrame, path: str, cut: str, end_id: int, size: int, k
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lib, part, seen = encoder(path, cut), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         for b in batches:
-            ids, offsets = with_end(*lib.encode(b.column("text").to_pylist()), end_id)
+            ids, offsets = with_end(*lib.encode(b.column("text")), end_id)
             n = np.diff(offsets)
             parts = (n + size - 1) // size
             doc = np.repeat(np.arange(len(n)), parts)

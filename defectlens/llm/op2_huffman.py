@@ -70,7 +70,7 @@ def token_ids(docs: DataFrame, path: str, cut: str, end_id: int) -> DataFrame:
         part, seq, at = TaskContext.get().partitionId(), 0, 0
         lib = encoder(path, cut)
         for b in batches:
-            ids, offsets = with_end(*lib.encode(b.column("text").to_pylist()), end_id)
+            ids, offsets = with_end(*lib.encode(b.column("text")), end_id)
             n = np.diff(offsets)
             yield pa.RecordBatch.from_arrays([
                 b.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(seq + np.arange(len(n))),

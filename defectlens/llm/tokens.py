@@ -27,6 +27,8 @@ from itertools import repeat
 from operator import itemgetter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Letters whose word boundaries need no tables, and ASCII marks but the apostrophe.
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
@@ -95,11 +97,6 @@ class PieceEncoder:
     def _library_ids(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, text: str) -> list[str]:
-        if self.cut == "blank":
-            return text.replace("\n", " ").split(" ")
-        return (_FIRST + text).split(" ")
-
     def _full(self, pieces: list[str]) -> list[str]:
         """The pieces as they stand in the text, with the space before them."""
         return pieces if self.cut == "blank" else [p[1:] if p[:1] == _FIRST else " " + p for p in pieces]
@@ -154,16 +151,37 @@ class PieceEncoder:
 
     def _rows(self, pieces: list[str]) -> np.ndarray:
         """Row of each piece in the memo; unknown ones are encoded first."""
-        get = self.row.get
-        rows = np.fromiter(map(get, pieces, repeat(-1)), np.int64, len(pieces))
+        rows = np.fromiter(map(self.row.get, pieces, repeat(-1)), np.int64, len(pieces))
         missing = np.flatnonzero(rows < 0)
         if len(missing):
             lost = [pieces[i] for i in missing.tolist()]
             self._learn(list(dict.fromkeys(lost)))
             rows[missing] = np.fromiter(map(self.row.__getitem__, lost), np.int64, len(lost))
-        self.seen += np.bincount(rows, minlength=len(self.seen))
         return rows
 
+    def _all_rows(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Row of every piece of the texts, and the texts' offsets in them.
+
+        Each distinct piece of the batch is looked up once.
+        """
+        if self.cut == "blank":
+            texts = pc.replace_substring(texts, "\n", " ")
+        split = pc.split_pattern(texts, " ")
+        ends = split.offsets.to_numpy().astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy()
+        names = coded.dictionary.to_pylist()
+        if self.cut == "blank":
+            rows = self._rows(names)[codes]
+        else:  # a text's first piece has no space before it
+            begin = ends[:-1]
+            firsts = [_FIRST + names[k] for k in codes[begin].tolist()]
+            found = self._rows(names + firsts)
+            rows = found[codes]
+            rows[begin] = found[len(names):]
+        self.seen += np.bincount(rows, minlength=len(self.seen))
+        return rows, ends
+
     def _thin(self) -> None:
         """Keep the pieces seen more than once since the last time, if they are few enough."""
         keep = np.flatnonzero(self.seen > 1)
@@ -178,35 +196,31 @@ class PieceEncoder:
         self.flat = self.flat[np.repeat(self.first[keep] - first, step) + np.arange(int(step.sum()))]
         self.size, self.first, self.seen = size, first, np.zeros(len(keep), np.int64)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the offsets of the texts in them."""
         if len(self.row) > MEMO_PIECES or self.chars > MEMO_CHARS:
             self._thin()
-        pieces: list[str] = []
-        ends = [0]
-        whole: list[int] = []
-        for k, t in enumerate(texts):
-            if _CUT in t or _STOP in t or _FIRST in t:
-                whole.append(k)
-            else:
-                pieces += self._pieces(t)
-            ends.append(len(pieces))
-        rows = self._rows(pieces)
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        marked = np.zeros(len(texts), bool)
+        for mark in (_CUT, _STOP, _FIRST):
+            marked |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        rows, ends = self._all_rows(pc.if_else(pa.array(marked), "", texts) if marked.any() else texts)
         size = self.size[rows]
-        ends_ = np.array(ends)
-        if len(size) and size.min() < 0:
-            bad = np.unique(np.searchsorted(ends_, np.flatnonzero(size < 0), side="right") - 1)
-            whole = sorted({*whole, *bad.tolist()})
-            for k in whole:
-                size[ends[k]:ends[k + 1]] = 0
+        doubt = np.flatnonzero(size < 0)
+        marked[np.searchsorted(ends, doubt, side="right") - 1] = True
+        whole = np.flatnonzero(marked).tolist()
+        for k in whole:
+            size[ends[k]:ends[k + 1]] = 0
         total = np.zeros(len(size) + 1, np.int64)
         np.cumsum(size, out=total[1:])
         take = np.repeat(self.first[rows] - total[:-1], size) + np.arange(total[-1])
-        ids, offsets = self.flat[take], total[ends_]
+        ids, offsets = self.flat[take], total[ends]
         if whole:
             parts, n = [], 0
             sizes = np.diff(offsets)
-            for k, x in zip(whole, self._library_ids([texts[k] for k in whole])):
+            for k, x in zip(whole, self._library_ids([texts[k].as_py() for k in whole])):
                 parts += [ids[n:offsets[k]], np.array(x, np.uint32)]
                 n, sizes[k] = offsets[k], len(x)
             ids = np.concatenate([*parts, ids[n:]])
