@@ -4,13 +4,13 @@ Three patterns give the base spans (assignments, access keys, hex strings).
 The method adds long runs of key characters whose log-likelihood ratio under
 two character Markov models, random strings against ordinary identifiers,
 reaches a threshold.  Both models are bigram counts over 67 characters,
-trained from labelled samples with additive smoothing; the ratio is kept in
+trained from labelled samples and smoothed by the class's single characters; the ratio is kept in
 whole thousandths of a bit, so a score is an exact integer sum.
 
 Labelled samples: random are the values that the base patterns find in all
 texts (distinct, the first ``MAX_SAMPLES`` in md5 order) and
-``GENERATED`` seeded digests in three alphabets; ordinary are the other words
-of the first ``SAMPLE_DOCS`` documents in md5 order of their id (distinct, the
+``GENERATED`` seeded digests in three alphabets; ordinary are the other words,
+too short to be judged themselves, of the first ``SAMPLE_DOCS`` documents in md5 order of their id (distinct, the
 first ``MAX_SAMPLES`` in md5 order).  The bounds limit the fit only: every
 document is scanned.
 
@@ -40,8 +40,8 @@ KINDS = ("assign", "access", "hex", "markov")
 SAMPLE_DOCS = 2000
 MAX_SAMPLES = 50000
 GENERATED = 2000
-#: Additive smoothing in counts, and the least ratio in thousandths of a bit.
-SMOOTHING = 1
+#: Pairs are smoothed by this many counts of the class's single characters; the least ratio in thousandths of a bit.
+SMOOTHING = 20
 THRESHOLD = 20000
 MASK = "[REDACTED]"
 _SPAN = "array<struct<s:int,k:int,e:int,v:string>>"
@@ -116,7 +116,7 @@ def labelled_samples(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     some = docs.select(text_or_empty().alias("t"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("o"))
     some = first_by_digest(some, "o", SAMPLE_DOCS, docs.count())
     words = (some.select(F.explode(F.regexp_extract_all("t", F.lit(f"[{RUN_CHARS}]+"), F.lit(0))).alias("value"))
-             .filter(F.length("value") >= 4).distinct()
+             .filter(F.length("value").between(4, MIN_RUN - 1)).distinct()
              .join(found, "value", "left_anti").orderBy(F.md5(F.col("value").cast("binary"))).limit(MAX_SAMPLES))
     return (found.withColumn("label", F.lit(1)).unionByName(words.withColumn("label", F.lit(0)))
             .unionByName(generated_samples(docs.sparkSession)))
@@ -137,13 +137,15 @@ def train(samples: DataFrame) -> DataFrame:
         .select("label", "p.*").filter((F.col("a") >= 0) & (F.col("b") >= 0))
         .groupBy("label", "a", "b").agg(F.count("*").alias("n")))
     # At most 2 * 67 * 67 rows from here on.
-    totals = pairs.groupBy("label", "a").agg(F.sum("n").alias("total"))
     cells = pairs.groupBy("a", "b").agg(*[F.sum(F.when(F.col("label") == k, F.col("n"))).alias(f"n{k}") for k in (0, 1)])
-    firsts = totals.groupBy("a").agg(*[F.sum(F.when(F.col("label") == k, F.col("total"))).alias(f"t{k}") for k in (0, 1)])
+    firsts = pairs.groupBy("a").agg(*[F.sum(F.when(F.col("label") == k, F.col("n"))).alias(f"t{k}") for k in (0, 1)])
+    seconds = pairs.groupBy("b").agg(*[F.sum(F.when(F.col("label") == k, F.col("n"))).alias(f"u{k}") for k in (0, 1)])
+    total = pairs.agg(F.struct(*[F.sum(F.when(F.col("label") == k, F.col("n"))).alias(f"s{k}") for k in (0, 1)]).alias("s"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     grid = (samples.sparkSession.range(n * n).select((F.col("id") / n).cast("int").alias("a"), (F.col("id") % n).cast("int").alias("b"))
-            .join(cells, ["a", "b"], "left").join(firsts, "a", "left"))
-    log = lambda k: F.log2((zero(f"n{k}") + SMOOTHING) / (zero(f"t{k}") + SMOOTHING * n))
+            .join(cells, ["a", "b"], "left").join(firsts, "a", "left").join(seconds, "b", "left").withColumn("s", total.scalar()))
+    single = lambda k: (zero(f"u{k}") + 0.5) / (zero(f"s.s{k}") + 0.5 * n)
+    log = lambda k: F.log2((zero(f"n{k}") + SMOOTHING * single(k)) / (zero(f"t{k}") + SMOOTHING))
     weight = F.floor(F.lit(1000) * (log(1) - log(0)) + F.lit(0.5)).cast("long")
     return (grid.select((F.col("a") * n + F.col("b")).alias("i"), weight.alias("w"))
             .agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda x: x["w"]).alias("w")))
@@ -243,7 +245,7 @@ WITH d AS (
   SELECT t FROM d ORDER BY md5(coalesce(doc_id::VARCHAR, '')), t LIMIT 2000
 ), words AS (
   SELECT v FROM (SELECT DISTINCT unnest(regexp_extract_all(t, '[A-Za-z0-9+/_-]+')) AS v FROM chosen)
-  WHERE length(v) >= 4 AND v NOT IN (SELECT v FROM found) ORDER BY md5(v) LIMIT 50000
+  WHERE length(v) BETWEEN 4 AND 19 AND v NOT IN (SELECT v FROM found) ORDER BY md5(v) LIMIT 50000
 ), gen AS (
   SELECT sha256('random string ' || i::VARCHAR) AS hx FROM range(2000) r(i)
 ), mixed AS (
@@ -260,13 +262,19 @@ WITH d AS (
   SELECT * FROM pairs WHERE a >= 0 AND b >= 0
 ), totals AS (
   SELECT label, a, sum(n) AS t FROM known GROUP BY ALL
+), seconds AS (
+  SELECT label, b, sum(n) AS u FROM known GROUP BY ALL
+), sums AS (
+  SELECT coalesce(sum(n) FILTER (label = 0), 0) AS s0, coalesce(sum(n) FILTER (label = 1), 0) AS s1 FROM known
 ), grid AS (
-  SELECT x.a, y.b, coalesce(n0.n, 0) AS n0, coalesce(n1.n, 0) AS n1, coalesce(t0.t, 0) AS t0, coalesce(t1.t, 0) AS t1
-  FROM range(67) x(a), range(67) y(b)
+  SELECT x.a, y.b, coalesce(n0.n, 0) AS n0, coalesce(n1.n, 0) AS n1, coalesce(t0.t, 0) AS t0, coalesce(t1.t, 0) AS t1,
+    (coalesce(u0.u, 0) + 0.5::DOUBLE) / (s0 + 33.5::DOUBLE) AS p0, (coalesce(u1.u, 0) + 0.5::DOUBLE) / (s1 + 33.5::DOUBLE) AS p1
+  FROM range(67) x(a), range(67) y(b), sums
   LEFT JOIN known n0 ON n0.label = 0 AND n0.a = x.a AND n0.b = y.b LEFT JOIN known n1 ON n1.label = 1 AND n1.a = x.a AND n1.b = y.b
   LEFT JOIN totals t0 ON t0.label = 0 AND t0.a = x.a LEFT JOIN totals t1 ON t1.label = 1 AND t1.a = x.a
+  LEFT JOIN seconds u0 ON u0.label = 0 AND u0.b = y.b LEFT JOIN seconds u1 ON u1.label = 1 AND u1.b = y.b
 ), model AS (
-  SELECT a, b, floor(1000 * (log2((n1 + 1) / (t1 + 67)) - log2((n0 + 1) / (t0 + 67))) + 0.5)::BIGINT AS w FROM grid
+  SELECT a, b, floor(1000 * (log2((n1 + 20 * p1) / (t1 + 20)) - log2((n0 + 20 * p0) / (t0 + 20))) + 0.5)::BIGINT AS w FROM grid
 ), scored AS (
   SELECT r.rid, r.s, r.e, sum(w) AS score
   FROM (SELECT rid, s, e, v, unnest(range(1, length(v))) AS i FROM runs) r, al, model
