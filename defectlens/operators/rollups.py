@@ -9,6 +9,8 @@ with five measures still reads the issue table once.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,6 +46,14 @@ def sum_flag(cond: Column) -> Column:
     return F.sum(F.when(cond, F.lit(1)).otherwise(F.lit(0))).cast("long")
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, by, how: str = "left") -> DataFrame:
+    """Equi-join on the keys where a NULL key meets the NULL key; keys once."""
+    names = {k: f"{k}__right" for k in by}
+    r = right.withColumnsRenamed(names)
+    cond = [left[k].eqNullSafe(r[names[k]]) for k in by]
+    return left.join(r, reduce(lambda a, b: a & b, cond), how).drop(*names.values())
+
+
 def with_group_total(df: DataFrame, value: str, by, alias: str) -> DataFrame:
     """Attach the per-group (or global) total of ``value`` to every row.
 
@@ -54,7 +64,7 @@ def with_group_total(df: DataFrame, value: str, by, alias: str) -> DataFrame:
     by = keys(by)
     if by:
         tot = df.groupBy(*by).agg(F.sum(value).cast("long").alias(alias))
-        return df.join(tot, by, "left")
+        return join_null_safe(df, tot, by)
     return df.withColumn(alias, df.select(F.sum(value).cast("long")).scalar())
 
 
@@ -164,7 +174,7 @@ def density_with_without_suggestions(issues: DataFrame, by=None,
                / F.count_if(F.col("total_without_suggestions") > 0)).alias("mean_without_suggestions"),
     )
     if by:
-        return per.join(stats, by, "left")
+        return join_null_safe(per, stats, by)
     one = stats.select(F.struct(*stats.columns).alias("_s")).scalar()
     return per.withColumns({c: one[c] for c in stats.columns})
 

@@ -193,7 +193,7 @@ FROM (SELECT {by}, n, tb, tr,
              ELSE {float(C.SPRINT_DAYS)}::DOUBLE END AS avg_ct
       FROM (SELECT {by}, count(*) AS n, sum(bugs) AS tb, sum(bugs_resolved) AS tr FROM sprint GROUP BY {by})) s
 JOIN (SELECT {by}, {pr} FROM (SELECT {by}, priority, count(*) AS c, count_if(status IN ({pend})) AS p
-      FROM issue GROUP BY {by}, priority) GROUP BY {by}) q ON s.{by} = q.{by})"""
+      FROM issue GROUP BY {by}, priority) GROUP BY {by}) q ON s.{by} IS NOT DISTINCT FROM q.{by})"""
 
 
 def _cycle_sql() -> str:

@@ -68,25 +68,29 @@ ISSUE_CTE = f"""issue AS (
     l_orderkey * 10 + l_linenumber AS issue_id,
     concat('Sprint ', CAST({SPRINT_NUM} AS VARCHAR)) AS sprint,
     {SPRINT_NUM} AS sprint_num,
-    CASE l_returnflag WHEN 'R' THEN 'Bug' WHEN 'A' THEN 'Sugerencia' ELSE 'Tarea' END AS issue_type,
-    CASE WHEN l_linestatus = 'F' THEN 'Done' WHEN o_orderstatus = 'P' THEN 'In Development'
-         WHEN o_orderstatus = 'F' THEN 'Canceled' ELSE 'To Do' END AS status,
-    CASE o_orderpriority WHEN '1-URGENT' THEN 'Más alta' WHEN '2-HIGH' THEN 'Alta'
-         WHEN '3-MEDIUM' THEN 'Media' WHEN '5-LOW' THEN 'Baja' ELSE 'Más baja' END AS priority,
-    p_type AS module,
+    CASE WHEN (l_orderkey * 10 + l_linenumber) % 37 = 0 THEN NULL WHEN (l_orderkey * 10 + l_linenumber) % 37 = 1 THEN ''
+         WHEN l_returnflag = 'R' THEN 'Bug' WHEN l_returnflag = 'A' THEN 'Sugerencia' ELSE 'Tarea' END AS issue_type,
+    CASE (l_orderkey * 10 + l_linenumber) % 29 WHEN 0 THEN 'Reopened' WHEN 1 THEN 'Resolved' WHEN 2 THEN 'Tareas por hacer' WHEN 3 THEN NULL
+    ELSE CASE WHEN l_linestatus = 'F' THEN 'Done' WHEN o_orderstatus = 'P' THEN 'In Development'
+         WHEN o_orderstatus = 'F' THEN 'Canceled' ELSE 'To Do' END END AS status,
+    CASE WHEN o_orderkey % 13 = 0 THEN 'Major' WHEN o_orderpriority = '1-URGENT' THEN 'Más alta' WHEN o_orderpriority = '2-HIGH' THEN 'Alta'
+         WHEN o_orderpriority = '3-MEDIUM' THEN 'Media' WHEN o_orderpriority = '5-LOW' THEN 'Baja' ELSE 'Más baja' END AS priority,
+    CASE WHEN r_name NOT IN ('EUROPE', 'ASIA', 'MIDDLE EAST', 'AMERICA') AND p_partkey % 10 < 7 THEN 'CORE'
+         WHEN p_partkey % 31 = 0 THEN NULL WHEN p_partkey % 31 = 1 THEN '' ELSE p_type END AS module,
     p_brand AS category,
-    CASE WHEN l_suppkey % 10 = 0 THEN NULL ELSE s_name END AS assignee,
+    CASE WHEN l_suppkey % 10 = 0 THEN NULL WHEN l_suppkey % 10 = 1 THEN '' ELSE s_name END AS assignee,
     CASE r_name WHEN 'EUROPE' THEN 'PROD' WHEN 'ASIA' THEN 'UAT' WHEN 'MIDDLE EAST' THEN 'UAT'
          WHEN 'AMERICA' THEN 'SIT' ELSE 'DEV' END AS environment,
     c_mktsegment AS strategy,
     p_brand AS fix_version,
     list_filter(list_transform(regexp_split_to_array(replace(p_name, ' ', ';'), '[;,|]'),
                                lambda x: lower(trim(x))), lambda x: x <> '') AS tags,
-    p_name AS summary,
+    CASE WHEN p_partkey % 17 = 0 THEN p_name || ' test case' ELSE p_name END AS summary,
     o_orderdate AS created_at,
     CASE WHEN l_linestatus = 'F' THEN l_shipdate END AS resolved_at,
     CAST(l_quantity AS BIGINT) AS cases_planned,
-    CASE WHEN l_returnflag <> 'N' THEN CAST(l_quantity AS BIGINT) ELSE 0 END AS cases_executed
+    CASE WHEN ((year(o_orderdate) - 1995) * 12 + month(o_orderdate)) % 7 = 3 THEN CAST(l_quantity AS BIGINT) + 3
+         WHEN l_returnflag <> 'N' THEN CAST(l_quantity AS BIGINT) ELSE 0 END AS cases_executed
   FROM lineitem
   JOIN orders ON l_orderkey = o_orderkey
   JOIN part ON l_partkey = p_partkey

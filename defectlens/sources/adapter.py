@@ -49,13 +49,15 @@ def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", F.col("o_orderdate").alias("created_at"),
         _sprint_num(F.col("o_orderdate")).alias("sprint_num"),
-        F.when(op == "1-URGENT", "Más alta").when(op == "2-HIGH", "Alta").when(op == "3-MEDIUM", "Media")
+        F.when(F.col("o_orderkey") % 13 == 0, "Major")
+         .when(op == "1-URGENT", "Más alta").when(op == "2-HIGH", "Alta").when(op == "3-MEDIUM", "Media")
          .when(op == "5-LOW", "Baja").otherwise("Más baja").alias("priority"))
     part = read_table(spark, sf_dir, "part").select(
-        "p_partkey", F.col("p_type").alias("module"), F.col("p_brand").alias("category"),
+        "p_partkey", F.when(F.col("p_partkey") % 31 == 0, F.lit(None).cast("string"))
+        .when(F.col("p_partkey") % 31 == 1, "").otherwise(F.col("p_type")).alias("module"), F.col("p_brand").alias("category"),
         F.col("p_brand").alias("fix_version"),
         split_tags(F.regexp_replace(F.col("p_name"), " ", ";")).alias("tags"),
-        F.col("p_name").alias("summary"))
+        F.when(F.col("p_partkey") % 17 == 0, F.concat("p_name", F.lit(" test case"))).otherwise(F.col("p_name")).alias("summary"))
     cust = read_table(spark, sf_dir, "customer").select(
         "c_custkey", "c_nationkey", F.col("c_mktsegment").alias("strategy"))
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
@@ -69,7 +71,7 @@ def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     # supplier-side column.
     supp = read_table(spark, sf_dir, "supplier").select(
         "s_suppkey", F.when(F.col("s_suppkey") % 10 == 0, F.lit(None).cast("string"))
-        .otherwise(F.col("s_name")).alias("assignee"))
+        .when(F.col("s_suppkey") % 10 == 1, "").otherwise(F.col("s_name")).alias("assignee"))
 
     geo = (cust.join(nation, cust.c_nationkey == nation.n_nationkey)
            .join(region, F.col("n_regionkey") == region.r_regionkey)
@@ -81,19 +83,26 @@ def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     done = F.col("l_linestatus") == "F"
     qty = F.col("l_quantity").cast("long")
+    iid = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    no_label = F.lit(None).cast("string")
     return x.select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("issue_id"),
+        iid.alias("issue_id"),
         F.concat(F.lit("Sprint "), F.col("sprint_num").cast("string")).alias("sprint"),
         "sprint_num",
-        F.when(F.col("l_returnflag") == "R", "Bug").when(F.col("l_returnflag") == "A", "Sugerencia")
+        F.when(iid % 37 == 0, no_label).when(iid % 37 == 1, "")
+         .when(F.col("l_returnflag") == "R", "Bug").when(F.col("l_returnflag") == "A", "Sugerencia")
          .otherwise("Tarea").alias("issue_type"),
-        F.when(done, "Done").when(F.col("o_orderstatus") == "P", "In Development")
+        F.when(iid % 29 == 0, "Reopened").when(iid % 29 == 1, "Resolved").when(iid % 29 == 2, "Tareas por hacer")
+         .when(iid % 29 == 3, no_label).when(done, "Done").when(F.col("o_orderstatus") == "P", "In Development")
          .when(F.col("o_orderstatus") == "F", "Canceled").otherwise("To Do").alias("status"),
-        "priority", "module", "category", "assignee", "environment", "strategy", "fix_version", "tags",
+        "priority",
+        # one module holds most issues of one environment
+        F.when((F.col("environment") == "DEV") & (F.col("l_partkey") % 10 < 7), "CORE").otherwise(F.col("module")).alias("module"), "category", "assignee", "environment", "strategy", "fix_version", "tags",
         "summary", "created_at",
         F.when(done, F.col("l_shipdate")).alias("resolved_at"),
         qty.alias("cases_planned"),
-        F.when(F.col("l_returnflag") != "N", qty).otherwise(F.lit(0).cast("long")).alias("cases_executed"),
+        F.when(F.col("sprint_num") % 7 == 3, qty + 3)  # more executed than planned in some sprints
+         .when(F.col("l_returnflag") != "N", qty).otherwise(F.lit(0).cast("long")).alias("cases_executed"),
     )
 
 

@@ -43,7 +43,7 @@ def test_verify(spark):
     v = RP.verify(t.issues, t.raw_facts, F.col("priority").isin("Más alta", "Alta"), F.col("status") == "To Do",
                   F.col("is_critical"), F.col("status") == "To Do")
     s = v["summary"].first()
-    assert s.total_a == s.total_b and s.match_percentage == 100 and s.status == "success"
+    assert s.total_a == s.total_b and 0 < s.match_percentage < 100 and s.status == "warning"
 
 
 @pytest.mark.skipif(not os.path.exists(FIXTURE_DOC), reason="fixture not present")
