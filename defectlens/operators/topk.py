@@ -34,18 +34,17 @@ def top_assignees(issues: DataFrame, n: int = 5, by=None) -> DataFrame:
     return top_k(agg, [F.desc("total"), F.asc_nulls_first("assignee")], n, by)
 
 
-def developers_by_pending(issues: DataFrame, n: int = 10, by=None) -> DataFrame:
-    """O4 + O12: developers ordered by pending desc, ranked; rank 1 = max pending."""
+def developers_by_pending(issues: DataFrame, by=None) -> DataFrame:
+    """Every developer with the pending issues, ordered by pending desc.
+
+    One aggregate and one range-partitioned sort; nothing is numbered, since a
+    rank over all developers would need them in one task (O12 is its own
+    aggregate, ``max_pending_developer``).
+    """
     by = keys(by)
     agg = issues.filter(is_assigned()).groupBy(*by, "assignee").agg(
         F.count_if(F.col("status").isin(C.PENDING_STATUS_PRIORITY_VIEW)).alias("pending"))
-    order = [F.desc("pending"), F.asc_nulls_first("assignee")]
-    if by:
-        return top_k(agg, order, n, by)
-    # Global: per-partition top-n then an n-row merge; only the n survivors
-    # are numbered (an unpartitioned window over all assignees is avoided).
-    top = agg.orderBy(*order).limit(n)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    return agg.orderBy(*by, F.desc("pending"), F.asc_nulls_first("assignee"))
 
 
 def max_pending_developer(devs: DataFrame, by=None) -> DataFrame:

@@ -172,13 +172,19 @@ def q_top_assignees_per_module(t):
     return TK.top_assignees(t.issues, n=5, by=["module"])
 
 
-@register("developers_by_pending", "O4 O12", with_issue(f"""
-SELECT assignee, pending, CAST(row_number() OVER (ORDER BY pending DESC, assignee ASC NULLS FIRST) AS INTEGER) AS rank
-FROM (SELECT assignee, count_if(status IN ({PEND2})) AS pending FROM issue
-      WHERE assignee IS NOT NULL AND assignee <> '' GROUP BY assignee)
-QUALIFY rank <= 10"""))
+@register("developers_by_pending", "O4", with_issue(f"""
+SELECT assignee, count_if(status IN ({PEND2})) AS pending FROM issue
+WHERE assignee IS NOT NULL AND assignee <> '' GROUP BY assignee"""))
 def q_developers_by_pending(t):
-    return TK.developers_by_pending(t.issues, n=10)
+    return TK.developers_by_pending(t.issues)
+
+
+@register("max_pending_developer", "O12", with_issue(f"""
+SELECT module, assignee, pending FROM (SELECT module, assignee, count_if(status IN ({PEND2})) AS pending FROM issue
+  WHERE assignee IS NOT NULL AND assignee <> '' GROUP BY module, assignee)
+QUALIFY row_number() OVER (PARTITION BY module ORDER BY pending DESC, assignee) = 1"""))
+def q_max_pending_developer(t):
+    return TK.max_pending_developer(TK.developers_by_pending(t.issues, ["module"]), ["module"])
 
 
 @register("distinct_statuses", "U1", with_issue("SELECT DISTINCT status FROM issue"))
