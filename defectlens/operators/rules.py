@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from defectlens import config as C
 from defectlens.functions import fixed2, js_round, pct, truthy_or
-from defectlens.operators.rollups import keys
+from defectlens.operators.rollups import join_null_safe, keys
 from defectlens.operators.rule_table import (DEFAULT_ICON, DEFAULT_RULES, METRIC_NAME_MAP,
                                              PRIORITY_ICONS)
 
@@ -29,7 +29,7 @@ def attach(left: DataFrame, right: DataFrame, by) -> DataFrame:
     on the keys, or (no keys) scalar subqueries -- never a cross join."""
     by = keys(by)
     if by:
-        return left.join(right, by, "left")
+        return join_null_safe(left, right, by)
     one = right.select(F.struct(*right.columns).alias("_s")).scalar()   # one subquery for all columns
     return left.withColumns({c: one[c] for c in right.columns})
 
@@ -51,11 +51,11 @@ def _s(x) -> Column:
     return x.cast("string")
 
 
-def _alert(aid, typ, title, message, action, prio, area) -> Column:
+def _alert(seq, aid, typ, title, message, action, prio, area) -> Column:
     lit = lambda v: v if isinstance(v, Column) else F.lit(v)
     return F.struct(lit(aid).alias("alert_id"), lit(typ).alias("type"), lit(title).alias("title"),
                     lit(message).alias("message"), lit(action).alias("action"),
-                    F.lit(prio).alias("priority"), lit(area).alias("area"))
+                    F.lit(prio).alias("priority"), lit(area).alias("area"), F.lit(seq).alias("_seq"))
 
 
 def alerts(kpi: DataFrame, devs: DataFrame, modules: DataFrame, by=None,
@@ -82,16 +82,16 @@ def _kpi_alert_candidates(cfg_key: str):
     c = F.col
     return [
         (c("critical_pending") > th["criticalBugsAlert"],
-         _alert("critical-bugs-high", "critical", "High Critical Bugs",
+         _alert(1, "critical-bugs-high", "critical", "High Critical Bugs",
                 F.concat(_s(c("critical_pending")), F.lit(" pending critical bugs require immediate attention")),
                 "Review and prioritize resolution", 1, "quality-control")),
         (c("test_execution_rate") < th["minTestCoverage"],
-         _alert("low-test-coverage", "warning", "Low Test Coverage",
+         _alert(4, "low-test-coverage", "warning", "Low Test Coverage",
                 F.concat(F.lit("Test coverage is "), _s(c("test_execution_rate")),
                          F.lit(f"%, below minimum required ({th['minTestCoverage']}%)")),
                 "Increase test cases and automation", 2, "test-coverage")),
         (c("sprint_trend") > th["maxBugTrendIncrease"],
-         _alert("negative-trend", "warning", "Negative Bug Trend",
+         _alert(5, "negative-trend", "warning", "Negative Bug Trend",
                 F.concat(F.lit("Bugs have increased "), _s(c("sprint_trend")), F.lit("% in recent sprints")),
                 "Review development and testing process", 3, "process-improvement")),
     ]
@@ -101,23 +101,23 @@ def _alerts_rest(k_rows: DataFrame, devs: DataFrame, modules: DataFrame, by, th)
     c = F.col
     dev = first_over(devs.filter(c("pending") > th["maxBugsDeveloper"]), by,
                      [F.desc("pending"), F.asc("assignee")])
-    d_rows = dev.select(*by, _alert("developer-overload", "warning", "Bug Concentration",
+    d_rows = dev.select(*by, _alert(2, "developer-overload", "warning", "Bug Concentration",
                                     F.concat(c("assignee"), F.lit(" has "), _s(c("pending")), F.lit(" pending bugs")),
                                     "Consider load redistribution", 2, "team-management").alias("_r")).select(*by, "_r.*")
     mod = first_over(modules.filter(c("percentage") > th["criticalModulePercentage"]), by,
                      [F.desc("percentage"), F.asc("module")])
-    m_rows = mod.select(*by, _alert(F.concat(F.lit("module-critical-"), c("module")), "warning",
+    m_rows = mod.select(*by, _alert(3, F.concat(F.lit("module-critical-"), c("module")), "warning",
                                     F.concat(c("module"), F.lit(" Module Critical")),
                                     F.concat(F.lit("Module "), c("module"), F.lit(" concentrates "),
                                              _s(c("percentage")), F.lit("% of bugs")),
                                     F.concat(F.lit("Plan refactoring of "), c("module"), F.lit(" module")),
                                     2, "architecture").alias("_r")).select(*by, "_r.*")
     allr = k_rows.unionByName(d_rows).unionByName(m_rows)
-    w = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy("priority", "alert_id")
+    w = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy("priority", "_seq")  # stable: ties keep rule order
     n = F.count(F.lit(1)).over(Window.partitionBy(*by) if by else Window.partitionBy())
     return (allr.withColumn("rank", F.row_number().over(w))
             .withColumn("shown", c("rank") <= 3)
-            .withColumn("overflow", F.greatest(n - 3, F.lit(0)).cast("long")))
+            .withColumn("overflow", F.greatest(n - 3, F.lit(0)).cast("long")).drop("_seq"))
 
 
 def alerts_by_type(alert_rows: DataFrame, by=None) -> DataFrame:
@@ -139,6 +139,9 @@ def recommendations(kpi: DataFrame, overload: DataFrame, by=None, cfg: C.Config
     c = F.col
     x = attach(kpi, overload, by)
     density = c("total_bugs") / truthy_or(c("tc_executed"), F.lit(1))
+    automation = F.lit(cfg.test_automation)
+    if "test_automation" in kpi.columns:  # documents carry it; the issue path has none
+        automation = truthy_or(c("test_automation"), automation)
 
     def rec(i, rid, typ, title, impact, effort, days, cat):
         return F.struct(F.lit(i).alias("seq"), F.lit(rid).alias("rec_id"), F.lit(typ).alias("type"),
@@ -151,7 +154,7 @@ def recommendations(kpi: DataFrame, overload: DataFrame, by=None, cfg: C.Config
          rec(2, "address-bug-trend", "process", "Address Bug Trend", "high", "high", 30, "process-improvement")),
         (density > th["maxDefectDensity"],
          rec(3, "reduce-defect-density", "quality", "Reduce Defect Density", "medium", "medium", 21, "code-quality")),
-        (F.lit(cfg.test_automation) < 60,
+        (automation < 60,
          rec(4, "increase-automation", "efficiency", "Increase Automation", "high", "high", 45, "automation")),
         (c("overloaded_assignee").isNotNull(),
          rec(5, "balance-workload", "team", "Balance Workload", "medium", "low", 3, "team-management")),
@@ -400,10 +403,14 @@ def effective_rules(defaults: DataFrame, user: DataFrame | None) -> DataFrame:
     (user tables may use the old or the new metric name)."""
     if user is None:
         return defaults
-    m = F.col("metric")
+    # A metric's rules come from its new name if the user table has it, else from the old name.
+    m, has_new = F.col("metric"), F.lit(False)
     for old, new in METRIC_NAME_MAP.items():
         m = F.when(F.col("metric") == new, F.lit(old)).otherwise(m)
-    u = user.withColumn("metric", m)
+        has_new = has_new | (F.col("metric") == new)
+    u = user.withColumn("_new", has_new).withColumn("metric", m)
+    first = u.groupBy("metric").agg(F.max("_new").alias("_any_new"))
+    u = u.join(first, "metric").filter(F.col("_new") == F.col("_any_new")).drop("_new", "_any_new")
     kept = defaults.join(u.select("metric").distinct(), "metric", "left_anti")
     return kept.unionByName(u)
 

@@ -75,8 +75,8 @@ def _alerts_frames(t, by):
 
 
 @register("alerts_by_environment", "R1-R5 O6 O9 K8 K10 W1", kq("environment", """
-SELECT *, CAST(row_number() OVER (PARTITION BY environment ORDER BY priority, alert_id) AS INTEGER) AS rank,
-  row_number() OVER (PARTITION BY environment ORDER BY priority, alert_id) <= 3 AS shown,
+SELECT *, CAST(row_number() OVER (PARTITION BY environment ORDER BY priority, CASE WHEN alert_id = 'developer-overload' THEN 1 WHEN alert_id LIKE 'module-critical-%' THEN 2 ELSE 3 END) AS INTEGER) AS rank,
+  row_number() OVER (PARTITION BY environment ORDER BY priority, CASE WHEN alert_id = 'developer-overload' THEN 1 WHEN alert_id LIKE 'module-critical-%' THEN 2 ELSE 3 END) <= 3 AS shown,
   greatest(count(*) OVER (PARTITION BY environment) - 3, 0) AS overflow
 FROM alerts_all""", _devs_cte("environment"), _mods_cte("environment"),
     "alerts_all AS (SELECT * FROM (" + _alerts_sql().replace("WITH_ALERTS AS (", "", 1).rstrip()[:-1] + "))"))
@@ -108,7 +108,7 @@ def _recs_sql(by="environment"):
          "overloaded_assignee IS NOT NULL"),
     ]
     parts = [f"SELECT k.{by}, {i} AS seq, '{rid}' AS rec_id, '{typ}' AS type, '{title}' AS title, '{imp}' AS impact, "
-             f"'{eff}' AS effort, {days} AS estimated_days, '{cat}' AS category FROM kpi k LEFT JOIN ov ON k.{by} = ov.{by} "
+             f"'{eff}' AS effort, {days} AS estimated_days, '{cat}' AS category FROM kpi k LEFT JOIN ov ON k.{by} IS NOT DISTINCT FROM ov.{by} "
              f"WHERE {cond}" for i, rid, typ, title, imp, eff, days, cat, cond in rows]
     return kq(by, f"""
 SELECT {by}, rec_id, type, title, impact, effort, estimated_days, category,
@@ -269,7 +269,7 @@ def _rules_sql():
     def row(metric, **f):
         return ("SELECT k.module, '" + metric + "' AS metric, " +
                 ", ".join(f"CAST({f.get(n, 'NULL')} AS DOUBLE) AS {n}" for n in _FIELDS) +
-                " FROM kpi k LEFT JOIN cyc ON k.module = cyc.module")
+                " FROM kpi k LEFT JOIN cyc ON k.module IS NOT DISTINCT FROM cyc.module")
     crit_share = "CASE WHEN total_bugs > 0 THEN critical_total / total_bugs ELSE 0.0::DOUBLE END"
     metrics = " UNION ALL ".join([
         row("testCases", avg="avg_test_cases_per_sprint"),
