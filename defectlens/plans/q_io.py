@@ -36,8 +36,8 @@ def _csv_input(t) -> str:
     """Issues as CSV files (written in parallel, one per task) whose text has
     commas, quotes and newlines."""
     path = scratch_path(t.spark, "csv")
-    iss = t.issues.withColumn("summary", F.concat(F.col("summary"), F.lit(', "'), F.col("status"), F.lit('"\n'),
-                                                  F.col("module"))) \
+    iss = t.issues.withColumn("summary", F.concat(F.col("summary"), F.lit(', "'), F.coalesce("status", F.lit("")),
+                                                  F.lit('"\n'), F.coalesce(F.nullif("module", F.lit("")), F.lit("-")))) \
         .withColumn("tags_text", F.array_join("tags", "|"))
     CS.write_issue_csv(iss, path, CSV_HEADERS)
     return path
@@ -89,10 +89,9 @@ def q_snapshot_versions(t):
     A1_SQL + " FROM issue GROUP BY sprint"))
 def q_stream_issues_by_sprint(t):
     d = J.new_dirs(t.spark, "t1")
-    J.write_for_replay(t.issues, d["src"])
-    schema = t.spark.read.parquet(d["src"]).schema
-    per = J.files_per_trigger(J.count_files(t.spark, d["src"]))
-    J.run_to_completion(J.sprint_rollup_stream(t.spark, d["src"], schema, d["sink"], d["ckpt"], max_files=per))
+    src = t.issue_path or J.write_for_replay(t.issues, d["src"])
+    schema = t.spark.read.parquet(src).schema
+    J.run_to_completion(J.sprint_rollup_stream(t.spark, src, schema, d["sink"], d["ckpt"], max_files=J.FILES_PER_TRIGGER))
     return t.spark.read.parquet(d["sink"])
 
 
@@ -101,21 +100,31 @@ def q_stream_issues_by_sprint(t):
 def q_stream_csv_ingest(t):
     d = J.new_dirs(t.spark, "t2")
     src = _csv_input(t)
-    per = J.files_per_trigger(J.count_files(t.spark, src, ".csv"))
-    J.run_to_completion(J.csv_ingest_stream(t.spark, src, d["table"], d["dim"], d["ckpt"], max_files=per))
+    J.run_to_completion(J.csv_ingest_stream(t.spark, src, d["table"], d["dim"], d["ckpt"], max_files=J.FILES_PER_TRIGGER))
     table = J.read_epochs(t.spark, d["table"])
     dim = J.read_latest_epoch(t.spark, d["dim"])
     return R.issues_by_sprint(table).withColumn("dim_sprints", dim.select(F.count(F.lit(1))).scalar())
 
 
-@register("stream_alert_cooldown", "T3 (error events, 3600 s cooldown windows, watermark, update mode)",
-          f"""SELECT 'error-events' AS rule, user_id AS key,
-  time_bucket(INTERVAL '{C.ALERT_COOLDOWN['critical']} seconds', ts) AS window_start, min(ts) AS first_ts,
-  count(*) - 1 AS suppressed
-FROM events WHERE event_type = 'error' GROUP BY ALL""")
+# (rule, event type, severity) of the alert stream.
+ALERT_RULES = [("error-events", "error", "critical"), ("signup-events", "signup", "warning")]
+
+
+@register("stream_alert_cooldown", "T3 (cooldown of 3,600 s and 7,200 s from the last alert, state per rule and user)", """
+WITH RECURSIVE sig AS (
+  SELECT 'error-events' AS rule, user_id AS key, ts, 3600 AS cd FROM events WHERE event_type = 'error'
+  UNION ALL SELECT 'signup-events', user_id, ts, 7200 FROM events WHERE event_type = 'signup'
+), a AS (
+  SELECT rule, key, min(ts) AS t, cd FROM sig WHERE ts IS NOT NULL GROUP BY rule, key, cd
+  UNION ALL
+  SELECT a.rule, a.key, min(s.ts), a.cd FROM a JOIN sig s ON s.rule = a.rule AND s.key = a.key AND s.ts >= a.t + to_seconds(a.cd)
+  GROUP BY a.rule, a.key, a.t, a.cd
+)
+SELECT a.rule, a.key, a.t AS alert_ts, count(*) - 1 AS suppressed
+FROM sig s ASOF JOIN a ON s.rule = a.rule AND s.key = a.key AND s.ts >= a.t GROUP BY a.rule, a.key, a.t
+UNION ALL SELECT rule, key, NULL, count(*) - 1 FROM sig WHERE ts IS NULL GROUP BY rule, key""")
 def q_stream_alert_cooldown(t):
     d = J.new_dirs(t.spark, "t3")
-    per = J.replay_in_order(t.table("events"), d["src"], 6, "ts")
-    schema = t.spark.read.parquet(d["src"]).schema
-    J.run_to_completion(J.cooldown_stream(t.spark, d["src"], schema, d["table"], d["ckpt"], max_files=per))
+    events = J.table_stream(t.spark, t.sf_dir, "events")
+    J.run_to_completion(J.cooldown_stream(t.spark, events, d["table"], d["ckpt"], ALERT_RULES))
     return J.current_alerts(t.spark, d["table"])

@@ -4,11 +4,10 @@ T1  auto-refresh: issue files arriving in a folder -> the A1 sprint roll-up,
     kept current with ``complete`` output (state = one row per sprint).
 T2  upload -> load -> rebuild: CSV files arriving in a folder are parsed
     (S1-S3, N4), appended to the issue table and the sprint dimension is
-    upserted (S10) inside ``foreachBatch``; the roll-up is rebuilt from the
-    table after each batch.
-T3  alert cooldown: error events become alert signals; one alert per
-    (rule, key, cooldown window) with a watermark of one cooldown, so state
-    is bounded; results are upserted into a table in ``update`` mode.
+    upserted (S10) inside ``foreachBatch``.
+T3  alert cooldown: events become alert signals; after an alert its
+    (rule, key) is silent for the cooldown of its severity.  The state is the
+    time of the last alert.
 
 All checkpoints and sinks live below ``spark.checkpoint.dir`` (shared
 storage), so a restarted query resumes exactly-once from its offsets.  Tests
@@ -20,7 +19,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +28,8 @@ from defectlens.operators import rollups as R
 from defectlens.session import scratch_path
 from defectlens.sources.csv_source import canonical_issues, sprint_dimension, upsert_dimension
 
+#: Files of one micro-batch; fixed, so that a batch does not grow with the folder.
+FILES_PER_TRIGGER = 16
 REFRESH = f"{C.REFRESH_INTERVAL_MS // 1000} seconds"
 
 
@@ -107,14 +108,12 @@ def csv_ingest_stream(spark: SparkSession, source_dir: str, table: str, dim: str
     stream = stream.toDF(*[normalize_header(c) for c in stream.columns])
 
     def load(batch: DataFrame, epoch: int) -> None:
-        issues = canonical_issues(batch)
-        _write_epoch(issues, table, epoch)
+        _write_epoch(canonical_issues(batch), table, epoch)
+        # the dimension reads the rows just written, so the CSV is parsed once
+        issues = spark.read.parquet(table).filter(F.col("epoch") == epoch).drop("epoch")
         new_dim = sprint_dimension(issues)
-        try:
-            cur = read_latest_epoch(spark, dim, before=epoch)
-            cur.schema  # noqa: B018 - resolve now: no earlier version -> first batch
-        except Exception:  # noqa: BLE001 - first batch: no dimension yet
-            cur = None
+        # Only a table that does not exist yet is a first batch; any other error fails it.
+        cur = read_latest_epoch(spark, dim, before=epoch) if path_exists(spark, dim) else None
         _write_epoch(upsert_dimension(cur, new_dim), dim, epoch)
 
     w = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(load)
@@ -133,36 +132,50 @@ def alert_signals(events: DataFrame, signal_type: str = "error", rule: str = "er
         ts.alias("ts_local"), F.col("event_id"))
 
 
-def cooldown_alerts(signals: DataFrame, cooldown_s: int) -> DataFrame:
-    """One alert per (rule, key, cooldown window): first signal time and
-    the number of signals the cooldown suppressed.  Works on a static or a
-    streaming frame (a watermark of one cooldown bounds the state)."""
-    if signals.isStreaming:
-        signals = signals.withWatermark("ts", f"{cooldown_s} seconds")
-    g = signals.groupBy("rule", "key", F.window("ts", f"{cooldown_s} seconds").alias("w")).agg(
-        F.min("ts_local").alias("first_ts"), F.count(F.lit(1)).alias("signals"))
-    # Back to wall-clock TIMESTAMP_NTZ: the window start is the first signal's
-    # time floored to the cooldown (windows are epoch-aligned in UTC, i.e.
-    # whole multiples of the cooldown since midnight when it divides a day).
-    first = F.col("first_ts")
-    secs = F.hour(first) * 3600 + F.minute(first) * 60 + F.second(first)
-    start = F.timestamp_add("SECOND", (F.floor(secs / cooldown_s) * cooldown_s).cast("int"),
-                            F.date_trunc("day", first).cast("timestamp_ntz"))
-    if 86400 % cooldown_s != 0:
-        raise ValueError("cooldown must divide a day (e.g. 3600, 7200 seconds)")
-    return g.select("rule", "key", start.alias("window_start"), "first_ts",
-                    (F.col("signals") - 1).alias("suppressed"))
-
-
-def cooldown_stream(spark: SparkSession, source_dir: str, schema: T.StructType, table: str, checkpoint: str,
-                    cooldown_s: int = C.ALERT_COOLDOWN["critical"], available_now: bool = True,
-                    max_files: int = 1, state_partitions: int | None = None):
-    """T3 as a stream: update-mode windowed aggregate written to a change
-    log ``table`` partitioned by epoch (O(batch) work per trigger; a replayed
-    epoch overwrites its own partition).  ``current_alerts`` resolves the log
-    to the latest row per (rule, key, window_start)."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source_dir)
-    alerts = cooldown_alerts(alert_signals(stream), cooldown_s)
+def cooldown_alerts(signals: DataFrame, cooldowns: dict[str, int]) -> DataFrame:
+    """Signals grouped into the alerts they raise or are suppressed by.
+
+    The cooldown of a (rule, key) runs from its last raised alert; the next
+    signal at or after its end raises a new one.  The state is one timestamp a
+    (rule, key).  Rows: (rule, key, alert_ts, signals) for every alert touched
+    by the micro-batch; signals without a time form one alert of their own.
+    Within a batch a key's signals are ordered by time, whatever their files.
+    """
+    import pandas as pd
+
+    seconds = dict(cooldowns)
+
+    def raised(key, chunks, state):
+        rule, user = key
+        times = pd.concat([c["ts_local"] for c in chunks], ignore_index=True)
+        last = state.get[0] if state.exists else None
+        step, counts = seconds[rule] * 1_000_000, {}
+        timed = times.dropna().sort_values()
+        for micros in (timed.astype("datetime64[us]").astype("int64")).tolist():
+            if last is None or micros >= last + step:
+                last = micros
+            counts[last] = counts.get(last, 0) + 1
+        if last is not None:
+            state.update((last,))
+        rows = [(rule, user, pd.Timestamp(t, unit="us"), n) for t, n in counts.items()]
+        if times.isna().any():
+            rows.append((rule, user, pd.NaT, int(times.isna().sum())))
+        yield pd.DataFrame(rows, columns=["rule", "key", "alert_ts", "signals"])
+
+    return signals.select("rule", "key", "ts_local").groupBy("rule", "key").applyInPandasWithState(
+        raised, "rule string, key bigint, alert_ts timestamp_ntz, signals bigint", "last bigint", "update", "NoTimeout")
+
+
+def cooldown_stream(spark: SparkSession, stream: DataFrame, table: str, checkpoint: str, rules: list[tuple[str, str, str]],
+                    available_now: bool = True, state_partitions: int | None = None):
+    """T3 as a stream over events: ``rules`` are (rule, event type, severity);
+    a severity's cooldown is the configured one.  Each micro-batch is written
+    to its own epoch of the log ``table``."""
+    signals = None
+    for rule, event_type, _severity in rules:
+        one = alert_signals(stream, event_type, rule)
+        signals = one if signals is None else signals.unionByName(one)
+    alerts = cooldown_alerts(signals, {rule: C.ALERT_COOLDOWN[severity] for rule, _, severity in rules})
 
     def append(batch: DataFrame, epoch: int) -> None:
         _write_epoch(batch, table, epoch)
@@ -172,70 +185,35 @@ def cooldown_stream(spark: SparkSession, source_dir: str, schema: T.StructType,
 
 
 def current_alerts(spark: SparkSession, table: str) -> DataFrame:
-    """Merge-on-read of the T3 change log: latest epoch per key."""
-    log = spark.read.parquet(table)
-    w = Window.partitionBy("rule", "key", "window_start").orderBy(F.desc("epoch"))
-    return log.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "epoch")
+    """The T3 log resolved: one row an alert with the signals it suppressed."""
+    return read_epochs(spark, table).groupBy("rule", "key", "alert_ts").agg(
+        (F.sum("signals") - 1).cast("long").alias("suppressed"))
 
 
-def dedup_signals_stream(signals: DataFrame, cooldown_s: int) -> DataFrame:
-    """T3 variant: drop repeated (rule, key) signals while the first one's
-    state lives (``dropDuplicatesWithinWatermark``, watermark = cooldown)."""
-    return (signals.withWatermark("ts", f"{cooldown_s} seconds")
-            .dropDuplicatesWithinWatermark(["rule", "key"]))
+def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
+    """A driver table as a file stream, whether it is one file or a folder."""
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    schema = spark.read.parquet(path).schema
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files or FILES_PER_TRIGGER)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
-def count_files(spark: SparkSession, path: str, suffix: str = ".parquet") -> int:
-    """Number of data files in a folder (a metadata listing)."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    return sum(1 for st in fs.listStatus(p) if st.getPath().getName().endswith(suffix))
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def files_per_trigger(n_files: int, batches: int = 6) -> int:
-    """``maxFilesPerTrigger`` that replays a folder in about ``batches``
-    micro-batches whatever its size."""
-    return max(1, -(-n_files // batches))
 
 
 def write_for_replay(df: DataFrame, out_dir: str) -> str:
-    """Replay input for streams without event-time state: the frame written
-    with its own partitioning (parallel, one file per task)."""
+    """Stream input for a frame that is no written table yet."""
     df.write.mode("overwrite").parquet(out_dir)
     return out_dir
 
 
-def replay_in_order(df: DataFrame, out_dir: str, n_slices: int, order_col: str,
-                    files_per_slice: int | None = None) -> int:
-    """Replay input for event-time streams: ``n_slices`` slices of
-    ``order_col`` written one after another (the file source orders files by
-    modification time, so event time advances as in a live feed), each slice
-    as ``files_per_slice`` parallel files (default: one per core).  Returns
-    the files per slice: with ``maxFilesPerTrigger`` set to it, every
-    micro-batch is exactly one slice.  Slice bounds come from
-    ``approxQuantile`` (n-1 values)."""
-    spark = df.sparkSession
-    k = files_per_slice or spark.sparkContext.defaultParallelism
-    num = F.col(order_col).cast("timestamp").cast("double") if dict(df.dtypes)[order_col].startswith("timestamp") \
-        else F.col(order_col).cast("double")
-    x = df.withColumn("_k", num)
-    bounds = x.approxQuantile("_k", [i / n_slices for i in range(1, n_slices)], 0.001)
-    edges = [None] + sorted(set(bounds)) + [None]
-    for i in range(len(edges) - 1):
-        lo, hi = edges[i], edges[i + 1]
-        cond = F.lit(True)
-        if lo is not None:
-            cond = cond & (F.col("_k") >= lo)
-        if hi is not None:
-            cond = cond & (F.col("_k") < hi)
-        x.filter(cond).drop("_k").repartition(k).write.mode("append").parquet(out_dir)
-    n = count_files(spark, out_dir)
-    # A slice smaller than k rows yields fewer than k files: then replay in
-    # one batch (no late data either way).
-    return k if n == k * (len(edges) - 1) else n
-
-
 def run_to_completion(query) -> None:
     query.awaitTermination()
     if query.exception() is not None:

@@ -1,9 +1,11 @@
 """Structured Streaming jobs: the final table equals the batch result."""
 
 import datetime as dt
+import time
 
-
+from defectlens import config as C
 from defectlens.operators import rollups as R
+from defectlens.plans.q_io import ALERT_RULES
 from defectlens.sources.adapter import Tables
 from defectlens.streaming import jobs as J
 from tests.conftest import SF_SMALL
@@ -17,42 +19,58 @@ def test_t1_stream_equals_batch(spark):
     t = Tables(spark, SF_SMALL)
     d = J.new_dirs(spark, "t1-test")
     J.write_for_replay(t.issues, d["src"])
-    per = J.files_per_trigger(J.count_files(spark, d["src"]), batches=3)
     q = J.sprint_rollup_stream(spark, d["src"], spark.read.parquet(d["src"]).schema, d["sink"], d["ckpt"],
-                               max_files=per)
+                               max_files=2)
     J.run_to_completion(q)
     got = spark.read.parquet(d["sink"])
     assert _rows(got, ["sprint"]) == _rows(R.issues_by_sprint(t.issues), ["sprint"])
 
 
-def test_t3_cooldown_stream_equals_batch(spark):
-    t = Tables(spark, SF_SMALL)
-    d = J.new_dirs(spark, "t3-test")
-    ev = t.table("events")
-    per = J.replay_in_order(ev, d["src"], 3, "ts", files_per_slice=2)
-    assert per == 2                                   # one micro-batch per time slice
-    q = J.cooldown_stream(spark, d["src"], spark.read.parquet(d["src"]).schema, d["table"], d["ckpt"],
-                          cooldown_s=3600, max_files=per)
-    J.run_to_completion(q)
-    got = J.current_alerts(spark, d["table"])
-    batch = J.cooldown_alerts(J.alert_signals(ev), 3600)
-    cols = ["rule", "key", "window_start", "first_ts", "suppressed"]
-    assert _rows(got.select(*cols), cols) == _rows(batch.select(*cols), cols)
+SIGNALS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+
 
+def _by_hand(rows, rules):
+    """Alerts worked out one signal at a time."""
+    out = {}
+    for rule, event_type, severity in rules:
+        step = dt.timedelta(seconds=C.ALERT_COOLDOWN[severity])
+        for key in {r[2] for r in rows}:
+            times = [r[1] for r in rows if r[2] == key and r[3] == event_type]
+            last = None
+            for t in sorted(x for x in times if x is not None):
+                if last is None or t >= last + step:
+                    last = t
+                    out[rule, key, t] = -1
+                out[rule, key, last] += 1
+            if None in times:
+                out[rule, key, None] = times.count(None) - 1
+    return out
 
-def test_dedup_within_watermark_keeps_first(spark):
-    d = J.new_dirs(spark, "dedup-test")
+
+def test_t3_cooldown_runs_from_the_last_alert(spark):
+    """Across full hours, over several micro-batches, with both severities and signals without a time."""
     base = dt.datetime(2024, 1, 1)
-    rows = [(1, base + dt.timedelta(minutes=m), 7, "error", 0.0, "{}") for m in (0, 10, 20)]
-    df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, "
-                                     "value double, props string")
-    df.write.parquet(d["src"])
-    stream = spark.readStream.schema(df.schema).parquet(d["src"])
-    out = J.dedup_signals_stream(J.alert_signals(stream), 3600)
-    q = (out.writeStream.format("memory").queryName("dedup_t").option("checkpointLocation", d["ckpt"])
-         .trigger(availableNow=True).start())
-    J.run_to_completion(q)
-    assert spark.table("dedup_t").count() == 1
+    at = lambda s: base + dt.timedelta(seconds=s)
+    rows = [(1, at(3599), 7, "error", 0.0, ""), (2, at(3601), 7, "error", 0.0, ""), (3, at(7198), 7, "error", 0.0, ""),
+            (4, at(7199), 7, "error", 0.0, ""), (5, at(7300), 7, "signup", 0.0, ""), (6, at(11000), 7, "signup", 0.0, ""),
+            (7, at(14500), 7, "signup", 0.0, ""), (8, None, 8, "error", 0.0, ""), (9, None, 8, "error", 0.0, ""),
+            (10, at(5), 8, "error", 0.0, ""), (11, at(20000), 7, "error", 0.0, ""), (12, at(20000), 7, "error", 0.0, "")]
+    d = J.new_dirs(spark, "t3-test")
+    for part in (rows[:5], rows[5:9], rows[9:]):
+        spark.createDataFrame(part, SIGNALS).coalesce(1).write.mode("append").parquet(d["src"])
+        time.sleep(1.1)  # files are taken by modification time
+    stream = spark.readStream.schema(SIGNALS).option("maxFilesPerTrigger", 1).parquet(d["src"])
+    J.run_to_completion(J.cooldown_stream(spark, stream, d["table"], d["ckpt"], ALERT_RULES))
+    got = {(r.rule, r.key, r.alert_ts): r.suppressed for r in J.current_alerts(spark, d["table"]).collect()}
+    assert got == _by_hand(rows, ALERT_RULES)
+    assert got["error-events", 7, at(3599)] == 2 and ("error-events", 7, at(7199)) in got
+
+
+def test_t2_dimension_error_is_not_a_first_batch(spark):
+    d = J.new_dirs(spark, "t2-test")
+    assert not J.path_exists(spark, d["dim"])
+    J._write_epoch(spark.createDataFrame([("Sprint 1", 1)], "sprint string, sprint_num int"), d["dim"], 0)
+    assert J.path_exists(spark, d["dim"])
 
 
 def test_epoch_sink_is_idempotent(spark):
