@@ -124,6 +124,17 @@ def rollup_document(issues: DataFrame, by=None, as_json: bool = False) -> DataFr
     by = list(by or [])
     sp = sprint_frame(issues, by)
     docs = D.issues_to_documents(sp, by, R.priority_breakdown(issues, by))
+    share = lambda d: F.struct("count", "percentage")
+    modules = R.share_breakdown(issues, "module", C.DEFAULT_MODULE_LABEL, by)
+    categories = R.share_breakdown(issues, "category", C.DEFAULT_CATEGORY_LABEL, by, with_pending=False)
+    # maps and lists bounded by the modules, categories and developers of a group
+    for name, frame, value in (("bugsByModule", modules, F.struct("count", "percentage", "pending")),
+                               ("bugsByCategory", categories, share(categories))):
+        docs = D.with_section(docs, frame.groupBy(*by).agg(
+            F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("key"), value.alias("v"))))).alias(name)), by)
+    developers = TK.developers_by_pending(issues, by).groupBy(*by).agg(
+        F.sort_array(F.collect_list(F.struct(F.col("assignee").alias("name"), F.col("pending")))).alias("developerData"))
+    docs = D.with_section(docs, developers, by)
     if as_json:
         return docs.select(*by, F.to_json(F.struct(*[c for c in docs.columns if c not in by])).alias("document"))
     return docs

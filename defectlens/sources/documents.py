@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from defectlens.operators.rollups import join_null_safe
 from defectlens.sources.aliases import (DEVELOPER_ALIASES, DEVELOPER_TEXT, SPRINT_ALIASES, SPRINT_TEXT,
                                          resolve)
 
@@ -140,6 +141,14 @@ def latest_document(spark: SparkSession, folder: str) -> DataFrame:
                      F.max("modificationTime").alias("modificationTime"))
 
 
+def with_section(docs: DataFrame, section: DataFrame, by: list[str]) -> DataFrame:
+    """Attach one-row-per-group sections; without keys the single row comes as a scalar subquery."""
+    if by:
+        return join_null_safe(docs, section, by)
+    one = section.select(F.struct(*section.columns).alias("_s")).scalar()
+    return docs.withColumns({c: one[c] for c in section.columns})
+
+
 def issues_to_documents(sprints: DataFrame, by: list[str], priority: DataFrame | None = None) -> DataFrame:
     """S11 producer: one nested document per group: summary totals and the
     ordered ``sprintData`` array (one element per sprint, so the array is
@@ -165,5 +174,5 @@ def issues_to_documents(sprints: DataFrame, by: list[str], priority: DataFrame |
         pm = priority.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct(
             "priority", F.struct(F.col("count").cast("long").alias("count"),
                                  F.col("pending").cast("long").alias("pending"))))).alias("bugsByPriority"))
-        docs = docs.join(pm, by, "left")
+        docs = with_section(docs, pm, by)
     return docs

@@ -10,6 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def version_id(now: _dt.datetime | None = None) -> str:
@@ -28,7 +29,9 @@ def write_snapshot(df: DataFrame, root: str, version: str) -> None:
 def read_snapshots(spark: SparkSession, root: str) -> DataFrame:
     """All versions; the partition value is kept as text (type inference
     would turn ``2025-01-03`` into a date)."""
-    return spark.read.parquet(root).withColumn("version", F.col("version").cast("string"))
+    inferred = spark.read.parquet(root).schema
+    schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name == "version" else f for f in inferred])
+    return spark.read.schema(schema).parquet(root)
 
 
 def read_version(spark: SparkSession, root: str, version: str) -> DataFrame:
@@ -70,6 +73,8 @@ def drop_versions(spark: SparkSession, root: str, versions: list[str]) -> None:
 def switch_version(spark: SparkSession, root: str, current_path: str, version: str) -> DataFrame:
     """Back up the current table as a new version, then make the chosen
     version the current table."""
+    if not read_version(spark, root, version).take(1):
+        raise ValueError(f"unknown or empty version {version!r}")
     cur = spark.read.parquet(current_path)
     write_snapshot(cur, root, version_id())
     chosen = read_version(spark, root, version).drop("version")
