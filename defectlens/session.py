@@ -15,9 +15,13 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
+def build_session(master: str = "local[*]", shuffle_partitions: int | None = None,
                   app: str = "defectlens", broadcast_bytes: int = 4 * 1024 * 1024) -> SparkSession:
-    """Session tuned for the library: AQE on, UI off, UTC, Arrow on."""
+    """Session tuned for the library: AQE on, UI off, UTC, Arrow on.
+
+    Off a single machine the initial shuffle partitions are many; AQE merges
+    the small ones, but would not cut large ones evenly.
+    """
     spark = (
         SparkSession.builder.master(master)
         .appName(app)
@@ -27,7 +31,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
         # capture costs a py4j round trip each, so it is off (errors still carry
         # the JVM-side context).
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config("spark.sql.shuffle.partitions", str(shuffle_partitions or (8 if master.startswith("local") else 4000)))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -49,6 +53,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a local one only if unset."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="defectlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     try:

@@ -1,26 +1,16 @@
 """Spark queries vs their DuckDB oracles on the smallest driver tables.
 
-A representative subset runs by default; ``DEFECTLENS_FULL_ORACLE=1`` runs
-every registered query with an oracle (the driver's own check uses sf0.01).
+Every query of the library runs (the driver's own check uses sf0.01).
 """
 
-import os
-
 import duckdb
 import pytest
 
 import __spark_entry__ as E
+from defectlens.plans.catalog import load_all
 from tests.conftest import SF_SMALL
 from tools.compare import TABLES, digest
 
-SUBSET = ["issues_by_sprint", "priority_breakdown", "assignee_rollup", "team_summary", "top_assignees",
-          "filter_options", "module_breakdown", "kpis_by_module", "predictions_by_module", "cycle_time_by_priority",
-          "sprint_trends", "half_split_trend", "sprint_comparison", "alerts_by_environment", "rule_table_eval",
-          "metric_cards", "reconcile_sprints", "validate_records", "severity_series", "density_series",
-          "roi_by_module", "developer_bands", "sprint_source_priority", "legacy_kpis"]
-FULL = os.environ.get("DEFECTLENS_FULL_ORACLE") == "1"
-
-
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
@@ -31,7 +21,7 @@ def con():
 
 def _names():
     sqls = E.oracle_sql()
-    return [n for n in E.queries() if n in sqls and (FULL or n in SUBSET)]
+    return [n for n in load_all() if n in sqls]
 
 
 @pytest.mark.parametrize("name", _names())
@@ -46,7 +36,7 @@ def test_query_matches_oracle(spark, con, name):
 
 
 def test_every_query_has_oracle_or_is_documented():
-    q, s = E.queries(), E.oracle_sql()
+    q, s = load_all(), E.oracle_sql()
     missing = [n for n in q if n not in s]
     assert missing == []
 
