@@ -17,9 +17,38 @@ from defectlens.functions.text import normalize_header, sprint_number, split_tag
 from defectlens.sources.aliases import ISSUE_ALIASES
 
 
+def header_groups(spark: SparkSession, path, encoding: str = "UTF-8") -> list[list[str]]:
+    """Files of a folder grouped by their header line (one pass over the first blocks).
+
+    The first line of a file is its row with the least row id in the block
+    that starts at 0.  The lists are bounded by the number of files.
+    """
+    lines = (spark.read.option("encoding", encoding).text(path)
+             .select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"),
+                     F.monotonically_increasing_id().alias("i")).filter("b = 0"))
+    firsts = lines.groupBy("f").agg(F.min_by("value", "i").alias("header"))
+    rows = firsts.groupBy("header").agg(F.sort_array(F.collect_list("f")).alias("files")).orderBy("header").collect()
+    return [r.files for r in rows]
+
+
 def read_issue_csv(spark: SparkSession, path, encoding: str = "UTF-8") -> DataFrame:
     """S1 + S2 + S3: every column a string, headers normalized, duplicate
-    names suffixed ``_2``, ``_3``... (the dashboard would fail on them)."""
+    names suffixed ``_2``, ``_3``... (the dashboard would fail on them).
+
+    Files with different headers are read apart, each by its own, and joined
+    by column name.  Quoted newlines make a file one task (``multiLine``).
+    """
+    groups = header_groups(spark, path, encoding)
+    if len(groups) <= 1:
+        return _read_one_header(spark, path, encoding)
+    out = None
+    for files in groups:
+        one = _read_one_header(spark, files, encoding)
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
+
+
+def _read_one_header(spark: SparkSession, path, encoding: str) -> DataFrame:
     raw = (spark.read.option("header", True).option("multiLine", True).option("quote", '"')
            .option("escape", '"').option("mode", "PERMISSIVE").option("encoding", encoding)
            .option("inferSchema", False).csv(path))
@@ -86,8 +115,3 @@ def write_issue_csv(df: DataFrame, path: str, header_names: dict[str, str]) -> N
     out = df.select(*[F.col(c).alias(h) for c, h in header_names.items()])
     out.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"') \
         .option("quoteAll", False).csv(path)
-
-
-def bulk_load(df: DataFrame, path: str) -> None:
-    """Overwrite the issue table (atomic job commit)."""
-    df.write.mode("overwrite").parquet(path)

@@ -45,7 +45,10 @@ def view_sprint_rows(rows: DataFrame, label_cols=("sprint", "sprint_name"), num_
     safe (``try_cast`` to double, non-numbers -> 0)."""
     present = set(rows.columns)
     nums = [F.col(c).cast("string").try_cast("int") for c in num_cols if c in present]
-    pos = F.row_number().over(Window.orderBy(order_col or F.monotonically_increasing_id()))
+    if not nums and not order_col:
+        raise ValueError("rows without a number column need order_col for their position")
+    # sprint rows only: one row a sprint of a view, so one task can number them
+    pos = F.row_number().over(Window.orderBy(order_col)) if order_col else F.lit(None).cast("int")
     labels = [F.nullif(F.col(c).cast("string"), F.lit("")) for c in label_cols if c in present]
     out = rows.withColumn("sprint_num", F.coalesce(*nums, pos) if nums else pos)
     return out.withColumn("sprint", F.coalesce(*labels, F.concat(F.lit("Sprint "),

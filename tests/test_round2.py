@@ -57,3 +57,11 @@ def test_unknown_version_changes_nothing(spark):
         VS.switch_version(spark, root, current, "nope")
     assert spark.read.parquet(current).count() == 2
     assert VS.read_version(spark, root, "001").count() == 1
+
+
+def test_csv_files_of_two_column_orders(spark, tmp_path):
+    from defectlens.sources import csv_source as CS
+    (tmp_path / "a.csv").write_text('Sprint,Estado,Resumen\nSprint 1,Done,"x, ""y""\nz"\n')
+    (tmp_path / "b.csv").write_text("Estado,Sprint\nTo Do,Sprint 2\n")
+    rows = CS.canonical_issues(CS.read_issue_csv(spark, str(tmp_path))).collect()
+    assert {(r.sprint, r.status) for r in rows} == {("Sprint 1", "Done"), ("Sprint 2", "To Do")}
