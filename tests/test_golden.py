@@ -1,5 +1,5 @@
-"""Golden values worked out by hand from the reference's saved document
-(FIXTURES.md section 1), computed here through the document path."""
+"""Golden values worked out by hand from a whole document
+(tests/golden_data.py), computed here through the document path."""
 
 import os
 
@@ -12,8 +12,6 @@ from defectlens.operators import trends as TR
 from defectlens.sources import documents as D
 from tests.conftest import CORRUPT_DOC, FIXTURE_DIR, FIXTURE_DOC
 
-pytestmark = pytest.mark.skipif(not os.path.exists(FIXTURE_DOC), reason="fixture not present")
-
 
 @pytest.fixture(scope="module")
 def doc(spark):

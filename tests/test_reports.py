@@ -46,7 +46,6 @@ def test_verify(spark):
     assert s.total_a == s.total_b and 0 < s.match_percentage < 100 and s.status == "warning"
 
 
-@pytest.mark.skipif(not os.path.exists(FIXTURE_DOC), reason="fixture not present")
 def test_process_documents_quarantines(spark):
     docs = D.read_documents(spark, [FIXTURE_DOC, CORRUPT_DOC])
     out = RP.process_documents(docs)
