@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import repeat
 from operator import itemgetter
 
 import numpy as np
@@ -37,7 +36,7 @@ _PLAIN = rf" ?[{_LETTERS}]+| ?[{_MARKS}]+|\n"
 #: Marks of this module (texts that hold one are encoded whole): between words sent to the merges, between pieces, before a text's first piece.
 _CUT, _STOP, _FIRST = "\x00", "\x01", "\x02"
 
-MEMO_PIECES = 500_000
+MEMO_PIECES = 400_000
 MEMO_CHARS = 16_000_000
 
 
@@ -87,8 +86,7 @@ class PieceEncoder:
         return "<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
 
     def _forget(self) -> None:
-        self.row: dict[str, int] = {}
-        self.chars = 0
+        self.names = pa.array([], pa.string())  # the known pieces, by row
         self.size = np.zeros(0, np.int64)
         self.first = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
@@ -143,21 +141,20 @@ class PieceEncoder:
             place[others] = len(flat) + np.cumsum([0, *map(len, ids)])[:-1]
             sizes[others] = [len(x) if self._sound(new[k]) else -1 for k, x in zip(others, ids)]
             flat = np.concatenate([flat, np.fromiter((i for x in ids for i in x), np.uint32)])
-        base = len(self.size)
-        self.row.update(zip(names, range(base, base + len(new))))
-        self.chars += sum(map(len, new))
+        self.names = pa.concat_arrays([self.names, pa.array(names, pa.string())])
         self.size, self.first, self.flat, self.seen = (np.concatenate(x) for x in (
             (self.size, sizes), (self.first, place + len(self.flat)), (self.flat, flat), (self.seen, np.zeros(len(new), np.int64))))
 
-    def _rows(self, pieces: list[str]) -> np.ndarray:
+    def _rows(self, pieces: pa.Array) -> np.ndarray:
         """Row of each piece in the memo; unknown ones are encoded first."""
-        rows = np.fromiter(map(self.row.get, pieces, repeat(-1)), np.int64, len(pieces))
+        coded = pieces.dictionary_encode()
+        unique = coded.dictionary
+        rows = pc.fill_null(pc.index_in(unique, value_set=self.names), -1).to_numpy().astype(np.int64)
         missing = np.flatnonzero(rows < 0)
         if len(missing):
-            lost = [pieces[i] for i in missing.tolist()]
-            self._learn(list(dict.fromkeys(lost)))
-            rows[missing] = np.fromiter(map(self.row.__getitem__, lost), np.int64, len(lost))
-        return rows
+            rows[missing] = len(self.names) + np.arange(len(missing))
+            self._learn(unique.take(pa.array(missing)).to_pylist())
+        return rows[coded.indices.to_numpy()]
 
     def _all_rows(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Row of every piece of the texts, and the texts' offsets in them.
@@ -170,13 +167,13 @@ class PieceEncoder:
         ends = split.offsets.to_numpy().astype(np.int64)
         coded = split.flatten().dictionary_encode()
         codes = coded.indices.to_numpy()
-        names = coded.dictionary.to_pylist()
+        names = coded.dictionary
         if self.cut == "blank":
             rows = self._rows(names)[codes]
         else:  # a text's first piece has no space before it
             begin = ends[:-1]
-            firsts = [_FIRST + names[k] for k in codes[begin].tolist()]
-            found = self._rows(names + firsts)
+            firsts = pc.binary_join_element_wise(_FIRST, names.take(pa.array(codes[begin])), "")
+            found = self._rows(pa.concat_arrays([names, firsts]))
             rows = found[codes]
             rows[begin] = found[len(names):]
         self.seen += np.bincount(rows, minlength=len(self.seen))
@@ -185,11 +182,10 @@ class PieceEncoder:
     def _thin(self) -> None:
         """Keep the pieces seen more than once since the last time, if they are few enough."""
         keep = np.flatnonzero(self.seen > 1)
-        if len(keep) > MEMO_PIECES * 3 // 4 or self.chars > MEMO_CHARS:
+        names = self.names.take(pa.array(keep))
+        if len(keep) > MEMO_PIECES * 3 // 4 or len(names) and pc.sum(pc.binary_length(names)).as_py() > MEMO_CHARS:
             return self._forget()
-        names = list(self.row)
-        self.row = {names[i]: k for k, i in enumerate(keep.tolist())}
-        self.chars = sum(map(len, self.row))
+        self.names = names
         size = self.size[keep]
         step = np.maximum(size, 0)
         first = np.cumsum(step) - step
@@ -198,7 +194,7 @@ class PieceEncoder:
 
     def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the offsets of the texts in them."""
-        if len(self.row) > MEMO_PIECES or self.chars > MEMO_CHARS:
+        if len(self.names) > MEMO_PIECES or len(self.names) and pc.sum(pc.binary_length(self.names)).as_py() > MEMO_CHARS:
             self._thin()
         texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
         if not len(texts):
