@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from defectlens import config as C
 from defectlens.operators import rollups as R
 from defectlens.operators.sprints import sprint_frame
-from defectlens.plans.catalog import register
+from defectlens.plans import q_rollups  # noqa: F401 - registers the batch roll-ups first
+from defectlens.plans.catalog import REGISTRY, register
 from defectlens.plans.q_kpis import sprint_cte
 from defectlens.plans.sqlfrag import lst, with_issue
 from defectlens.session import scratch_path
@@ -88,13 +89,30 @@ def q_snapshot_versions(t):
 @register("stream_issues_by_sprint", "T1 (file stream, complete mode, availableNow) = A1", with_issue(
     A1_SQL + " FROM issue GROUP BY sprint"))
 def q_stream_issues_by_sprint(t):
+    return _streamed(t, R.issues_by_sprint)
+
+
+def _streamed(t, rollup):
+    """The issue table replayed as a file stream into a roll-up."""
     d = J.new_dirs(t.spark, "t1")
     src = t.issue_path or J.write_for_replay(t.issues, d["src"])
     schema = t.spark.read.parquet(src).schema
-    J.run_to_completion(J.sprint_rollup_stream(t.spark, src, schema, d["sink"], d["ckpt"], max_files=J.FILES_PER_TRIGGER))
+    J.run_to_completion(J.sprint_rollup_stream(t.spark, src, schema, d["sink"], d["ckpt"], max_files=J.FILES_PER_TRIGGER,
+                                               rollup=rollup))
     return t.spark.read.parquet(d["sink"])
 
 
+@register("stream_issues_by_priority", "T1 (A2 kept current)", with_issue("""
+SELECT priority, count(*) AS total, count_if(status IN ('To Do', 'In Development')) AS pending FROM issue GROUP BY priority"""))
+def q_stream_issues_by_priority(t):
+    return _streamed(t, R.issues_by_priority)
+
+
+@register("stream_assignee_summary", "T1 (A8 kept current)", REGISTRY["assignee_summary"].sql)
+def q_stream_assignee_summary(t):
+    return _streamed(t, R.assignee_summary)
+
+
 @register("stream_csv_ingest", "T2 S10 U6 (CSV drop folder -> table + dimension) = A1", with_issue(
     A1_SQL + ", (SELECT count(DISTINCT sprint) FROM issue) AS dim_sprints FROM issue GROUP BY sprint"))
 def q_stream_csv_ingest(t):

@@ -57,11 +57,12 @@ def _start(spark: SparkSession, writer, state_partitions: int | None):
 
 def sprint_rollup_stream(spark: SparkSession, source_dir: str, schema: T.StructType, sink: str,
                          checkpoint: str, available_now: bool = True, max_files: int = 1,
-                         state_partitions: int | None = None):
-    """A1 over an issue file stream; each micro-batch overwrites the
-    sink with the current roll-up (complete mode; state = sprints)."""
+                         state_partitions: int | None = None, rollup=R.issues_by_sprint):
+    """A1 (or another one-aggregate ``rollup``: A2, A8) over an issue file
+    stream; each micro-batch overwrites the sink with the current roll-up
+    (complete mode; state = the roll-up's groups)."""
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source_dir))
-    agg = R.issues_by_sprint(stream)
+    agg = rollup(stream)
 
     def publish(batch: DataFrame, _epoch: int) -> None:
         batch.write.mode("overwrite").parquet(sink)
