@@ -27,9 +27,11 @@ def _isin(col: str, values) -> Column:
     return F.col(col).isin(list(values))
 
 
-def is_bug() -> Column:
-    """``LOWER(tipo_incidencia) = 'bug'``."""
-    return F.lower(F.col("issue_type")) == "bug"
+def bug_rows(df: DataFrame) -> DataFrame:
+    """F9 as a row filter: on a loaded table by the stored lower-cased label, which the reader can skip by."""
+    if "issue_type_lc" in df.columns:
+        return df.filter(F.col("issue_type_lc") == "bug")
+    return df.filter(F.lower(F.col("issue_type")) == "bug")
 
 
 def is_assigned(col: str = "assignee") -> Column:
@@ -126,7 +128,7 @@ def resolution_stats(issues: DataFrame, by=None, closed_status=C.CLOSED_STATUS_S
 def team_summary(issues: DataFrame, by=None, pending_status=C.PENDING_STATUS_TEAM,
                  critical_labels=C.DEFAULT_PRIORITIES["critical"]) -> DataFrame:
     """Bugs, distinct developers, pending and critical (bugs only)."""
-    return issues.filter(is_bug()).groupBy(*keys(by)).agg(
+    return bug_rows(issues).groupBy(*keys(by)).agg(
         F.count(F.lit(1)).alias("total_bugs"),
         F.count_distinct("assignee").alias("total_developers"),
         sum_flag(_isin("status", pending_status)).alias("total_pending"),
@@ -140,7 +142,7 @@ def assignee_summary(issues: DataFrame, by=None, closed_status=C.CLOSED_STATUS_S
     ``NOT IN`` keeps SQL three-valued logic: a NULL status is neither.
     """
     closed = _isin("status", closed_status)
-    return issues.filter(is_bug()).groupBy(*keys(by), "assignee").agg(
+    return bug_rows(issues).groupBy(*keys(by), "assignee").agg(
         F.count(F.lit(1)).alias("total"),
         sum_flag(closed).alias("resolved"),
         sum_flag(~closed).alias("pending"),
@@ -150,7 +152,7 @@ def assignee_summary(issues: DataFrame, by=None, closed_status=C.CLOSED_STATUS_S
 def assignment_split(issues: DataFrame, by=None) -> DataFrame:
     """Assigned vs unassigned bugs."""
     a = is_assigned()
-    return issues.filter(is_bug()).groupBy(*keys(by)).agg(
+    return bug_rows(issues).groupBy(*keys(by)).agg(
         sum_flag(a).alias("assigned_bugs"),
         sum_flag(F.col("assignee").isNull() | (F.col("assignee") == "")).alias("unassigned_bugs"),
     )
@@ -275,7 +277,7 @@ def developers_from_issues(issues: DataFrame, by=None, threshold: int = 15,
     closed = None
     for w in closed_keywords:
         closed = st.contains(w) if closed is None else (closed | st.contains(w))
-    per = (issues.filter(is_bug())
+    per = (bug_rows(issues)
            .groupBy(*by, label_or("assignee", C.DEFAULT_ASSIGNEE_LABEL).alias("assignee"))
            .agg(F.count(F.lit(1)).alias("total"), F.count_if(closed).alias("resolved")))
     pending = F.col("total") - F.col("resolved")

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from defectlens import config as C
 from defectlens.functions.text import canonical_priority, label_or
-from defectlens.operators.filters import is_assigned, is_bug
-from defectlens.operators.rollups import keys
+from defectlens.operators.filters import is_assigned
+from defectlens.operators.rollups import bug_rows, keys
 
 
 def top_k(df: DataFrame, order, n: int, by=None, rank_col: str = "rank") -> DataFrame:
@@ -30,7 +30,7 @@ def top_k(df: DataFrame, order, n: int, by=None, rank_col: str = "rank") -> Data
 def top_assignees(issues: DataFrame, n: int = 5, by=None) -> DataFrame:
     """O1/O2: top developers by bug count (NULL assignee kept as a group)."""
     by = keys(by)
-    agg = issues.filter(is_bug()).groupBy(*by, "assignee").agg(F.count(F.lit(1)).alias("total"))
+    agg = bug_rows(issues).groupBy(*by, "assignee").agg(F.count(F.lit(1)).alias("total"))
     return top_k(agg, [F.desc("total"), F.asc_nulls_first("assignee")], n, by)
 
 

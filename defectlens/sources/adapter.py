@@ -126,7 +126,7 @@ def raw_issue_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Label columns the list filters compare case-insensitively.
-FILTER_KEY_COLUMNS = ("status", "priority", "environment", "strategy", "fix_version")
+FILTER_KEY_COLUMNS = ("status", "priority", "environment", "strategy", "fix_version", "issue_type")
 
 
 def with_filter_keys(df: DataFrame) -> DataFrame:
