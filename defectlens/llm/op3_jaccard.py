@@ -49,7 +49,7 @@ BANDS, ROWS = 24, 4
 HASHES = BANDS * ROWS
 STEP = 8
 TOLERANCE = 1e-6
-BLOCK = 384
+BLOCK = 256
 
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
@@ -75,6 +75,16 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return values[fresh], np.concatenate([[0], np.cumsum(np.bincount(doc[fresh], minlength=len(n)))])
 
 
+def _sets_in_slices(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`shingle_sets` of many texts, a bounded number of bytes at a time."""
+    parts, sizes = [], []
+    for a, z in doc_slices(offsets):
+        values, ends = shingle_sets(data[offsets[a]:offsets[z]], offsets[a:z + 1] - offsets[a])
+        parts.append(values)
+        sizes.append(np.diff(ends))
+    return np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+
+
 def signatures(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """MinHash values of non-empty sets, one row a set."""
     out = np.empty((len(offsets) - 1, HASHES), np.uint32)
@@ -195,8 +205,7 @@ def shared_counts(values: np.ndarray, ends: np.ndarray, i: np.ndarray, j: np.nda
 def _compared(rows: pa.Table) -> pa.RecordBatch:
     """Links and the smallest reached class of each class of one or two blocks."""
     ids, weight, side = (rows.column(c).to_numpy() for c in ("id", "n_docs", "side"))
-    data, offsets = text_buffers(rows.column("text"))
-    values, ends = shingle_sets(data, offsets)
+    values, ends = _sets_in_slices(*text_buffers(rows.column("text")))
     sizes = np.diff(ends)
     signature = signatures(values, ends)
     left = np.flatnonzero(side == 0)
@@ -256,7 +265,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                      .withColumnRenamed("node", "id"), "jaccard-members")
     # one text of each class: by its key, then checked against the class (keys may repeat or be null)
     source = docs.select(F.col(key).cast("long").alias("rep"), F.lower(text_or_empty(text)).alias("text"))
-    texts = members.join(source, members["rep"].eqNullSafe(source["rep"])).select("id", "comp", "size", "n_docs", "f1", "f2", "text")
+    # always a sorted merge: the members grow with the documents, and the plan is the same at every size
+    texts = members.join(source.hint("merge"), members["rep"].eqNullSafe(source["rep"])).select("id", "comp", "size", "n_docs", "f1", "f2", "text")
     texts = _of_class(texts).dropDuplicates(["id"]) if _repeats(rows) else texts.drop("f1", "f2")
     tasks = _one_or_two_blocks(texts)
     dealt = tasks.repartition(wide_parallelism(spark), "comp", "x", "y").sortWithinPartitions("comp", "x", "y")
@@ -317,4 +327,4 @@ def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
     keyed = docs if unique else staged(docs.withColumn(key, F.monotonically_increasing_id()), "jaccard-keyed")
     name = "doc_id" if unique else key
     gone = staged(join(keyed, name, text).filter("key <> class_id").select(F.col("key").alias("__gone")), "jaccard-gone")
-    return keyed.join(gone, keyed[name] == gone["__gone"], "left_anti").select(*[keyed[f"`{c}`"] for c in columns])
+    return keyed.hint("merge").join(gone, keyed[name] == gone["__gone"], "left_anti").select(*[keyed[f"`{c}`"] for c in columns])

@@ -51,7 +51,7 @@ def near_copies(rng):
     return rows + short + [(5, rows[5][1]), (None, rows[7][1]), (None, "alone here"), (9, "other text of a repeated id")]
 
 
-@pytest.mark.parametrize("block", [4, 384])
+@pytest.mark.parametrize("block", [4, 256])
 def test_join_equals_all_pairs(make_docs, monkeypatch, block):
     monkeypatch.setattr(jaccard, "BLOCK", block)
     rows = near_copies(random.Random(1))
