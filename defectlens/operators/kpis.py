@@ -226,7 +226,9 @@ def maturity(k: DataFrame, by=None) -> DataFrame:
 def cycle_time(sprints: DataFrame, priority: DataFrame, by=None) -> DataFrame:
     """K24 + K25: cycle-time estimate and per-priority cycle times.
 
-    K24: ``(bugs/n) / (resolved/(n*14))`` with one decimal, else 14, floor 1.
+    K24: the rounded mean of the sprints' own ``avg_resolution_time`` where the
+    frame has such values, else ``(bugs/n) / (resolved/(n*14))`` with one
+    decimal, else 14; floor 1.
     K25: per level (Más alta 5, Alta 8, Media 14, Baja 21 days):
     ``fixed1((count-resolved)/resolved*f)`` when resolved > 0, else the
     average times 0.5 / 0.8 / 1 / 1.5 (rounded except the medium level).
@@ -236,14 +238,17 @@ def cycle_time(sprints: DataFrame, priority: DataFrame, by=None) -> DataFrame:
     by = keys(by)
     levels = [("critical", "Más alta", 5, 0.5, True), ("high", "Alta", 8, 0.8, True),
               ("medium", "Media", 14, 1.0, False), ("low", "Baja", 21, 1.5, True)]
-    s = sprints.select(*by, F.lit("s").alias("_k"), "bugs", "bugs_resolved",
+    real = F.col("avg_resolution_time").cast("double") if "avg_resolution_time" in sprints.columns \
+        else F.lit(None).cast("double")
+    s = sprints.select(*by, F.lit("s").alias("_k"), real.alias("_real"), "bugs", "bugs_resolved",
                        F.lit(None).cast("string").alias("priority"),
                        F.lit(None).cast("long").alias("count"), F.lit(None).cast("long").alias("resolved"))
-    p = priority.select(*by, F.lit("p").alias("_k"), F.lit(None).cast("long").alias("bugs"),
+    p = priority.select(*by, F.lit("p").alias("_k"), F.lit(None).cast("double").alias("_real"),
+                        F.lit(None).cast("long").alias("bugs"),
                         F.lit(None).cast("long").alias("bugs_resolved"), "priority", "count", "resolved")
     u = s.unionByName(p)
     is_s = F.col("_k") == "s"
-    aggs = [F.count_if(is_s).alias("n"), F.sum("bugs").alias("tb"), F.sum("bugs_resolved").alias("tr")]
+    aggs = [F.count_if(is_s).alias("n"), F.sum("bugs").alias("tb"), F.sum("bugs_resolved").alias("tr"), F.avg("_real").alias("real")]
     for name, lab, _f, _m, _r in levels:
         aggs.append(F.sum(F.when(F.col("priority") == lab, F.col("count"))).alias(f"{name}_c"))
         aggs.append(F.sum(F.when(F.col("priority") == lab, F.col("resolved"))).alias(f"{name}_r"))
@@ -251,6 +256,7 @@ def cycle_time(sprints: DataFrame, priority: DataFrame, by=None) -> DataFrame:
     n = F.col("n")
     per_day = F.col("tr") / (n * F.lit(C.SPRINT_DAYS))
     avg = F.when(per_day > 0, fixed1((F.col("tb") / n) / per_day)).otherwise(F.lit(float(C.SPRINT_DAYS)))
+    avg = F.when(F.col("real").isNotNull(), js_round(F.col("real")).cast("double")).otherwise(avg)
     g = g.filter(n > 0).withColumn("avg_ct", avg)
     cols = [F.greatest(F.col("avg_ct"), F.lit(1.0)).alias("cycle_time")]
     for name, _lab, f, m, r in levels:

@@ -8,6 +8,7 @@ from defectlens.operators import filters as FL
 from defectlens.operators import kpis as K
 from defectlens.operators import rollups as R
 from defectlens.operators import topk as TK
+from defectlens.operators.sprints import sprint_frame
 from defectlens.plans import report as RP
 from defectlens.plans.catalog import register
 from defectlens.plans.sqlfrag import with_issue
@@ -138,3 +139,17 @@ def q_default_record(t):
     # an all-zero record, made from the table itself: one row whatever the table holds
     zero = t.issues.agg((F.count(F.lit(1)) * 0).alias("issues")).select(F.lit("none").alias("environment"), "issues")
     return M.default_if_empty(counts("Reopened"), zero).unionByName(M.default_if_empty(counts("no such status"), zero))
+
+
+@register("cycle_time_real", "K24 (mean of the sprints' real resolution times)", with_issue("""
+SELECT module, greatest(coalesce(floor(avg(a) + 0.5), 14.0), 1.0)::DOUBLE AS cycle_time
+FROM (SELECT module, sprint, avg(CASE WHEN d > 0 THEN d END) AS a
+      FROM (SELECT module, sprint, datediff('day', created_at, resolved_at) AS d FROM issue) GROUP BY module, sprint)
+GROUP BY module HAVING count(a) > 0"""))
+def q_cycle_time_real(t):
+    days = F.datediff("resolved_at", "created_at")
+    real = t.issues.groupBy("module", "sprint").agg(F.avg(F.when(days > 0, days)).alias("avg_resolution_time"))
+    sprints = R.join_null_safe(sprint_frame(t.issues, ["module"]), real, ["module", "sprint"])
+    out = K.cycle_time(sprints, R.priority_breakdown(t.issues, ["module"]), ["module"])
+    known = real.filter("avg_resolution_time IS NOT NULL").select("module").distinct()
+    return R.join_null_safe(out, known.withColumn("known", F.lit(True)), ["module"]).filter("known").select("module", "cycle_time")

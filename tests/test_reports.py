@@ -1,8 +1,6 @@
 """Pipeline entry points E1-E5 and V6 on the smallest tables / fixtures."""
 
-import os
 
-import pytest
 from pyspark.sql import functions as F
 
 from defectlens.plans import report as RP
