@@ -138,7 +138,8 @@ def assign(pieces: DataFrame, size: int) -> DataFrame:
     offsets = staged(counts.withColumn("before", before), "pack-ranks")
     histogram = {r["length"]: r["n"] for r in offsets.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `size` rows
     table = places(pack_histogram(histogram, size))
-    ranked = pieces.join(offsets.select("part", "length", "before"), ["part", "length"]).select(
+    # a sorted merge at every size: the offsets grow with the tasks
+    ranked = pieces.hint("merge").join(offsets.select("part", "length", "before"), ["part", "length"]).select(
         *[c for c in pieces.columns if c not in ("part", "rank")], (F.col("before") + F.col("rank")).alias("rank"))
     names = [c for c in ranked.columns if c != "rank"]
 

@@ -21,6 +21,7 @@ changes no result.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 from operator import itemgetter
@@ -36,8 +37,21 @@ _PLAIN = rf" ?[{_LETTERS}]+| ?[{_MARKS}]+|\n"
 #: Marks of this module (texts that hold one are encoded whole): between words sent to the merges, between pieces, before a text's first piece.
 _CUT, _STOP, _FIRST = "\x00", "\x01", "\x02"
 
-MEMO_PIECES = 400_000
-MEMO_CHARS = 16_000_000
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018 - other C libraries have none
+except (OSError, AttributeError):
+    _LIBC = None
+
+MEMO_PIECES = 300_000
+MEMO_CHARS = 12_000_000
+
+
+def _give_back() -> None:
+    """Return what earlier batches have freed to the system; a worker lives through many tasks."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
 
 
 class PieceEncoder:
@@ -72,12 +86,14 @@ class PieceEncoder:
         """ids of words that are whole units of the tokenizer, and their offsets."""
         if self.cut == "blank":
             words = [w.lower() for w in words]
-        texts = []
-        for k in range(0, len(words), 500):
-            raw = np.frombuffer((_CUT.join(words[k:k + 500]) + _CUT).encode(), np.uint8)
-            texts.append(self.letter[raw].tobytes().decode("utf-32-le"))
-        encoded = self.merges.encode_batch_fast(texts, add_special_tokens=False)
-        flat = np.concatenate([np.zeros(0, np.uint32), *[np.array(x.ids, np.uint32) for x in encoded]])
+        parts = [np.zeros(0, np.uint32)]
+        for a in range(0, len(words), 5_000):  # the library's results are large; few at a time
+            texts = []
+            for k in range(a, min(a + 5_000, len(words)), 500):
+                raw = np.frombuffer((_CUT.join(words[k:k + 500]) + _CUT).encode(), np.uint8)
+                texts.append(self.letter[raw].tobytes().decode("utf-32-le"))
+            parts += [np.array(x.ids, np.uint32) for x in self.merges.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.concatenate(parts)
         ends = np.flatnonzero(flat == self.cut_id)
         return np.delete(flat, ends), np.concatenate([[0], ends - np.arange(len(ends))])
 
@@ -194,6 +210,7 @@ class PieceEncoder:
 
     def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the offsets of the texts in them."""
+        _give_back()
         if len(self.names) > MEMO_PIECES or len(self.names) and pc.sum(pc.binary_length(self.names)).as_py() > MEMO_CHARS:
             self._thin()
         texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
