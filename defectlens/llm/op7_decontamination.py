@@ -25,7 +25,6 @@ columns are carried by :func:`drop_contaminated` unchanged.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from defectlens.llm.common import byte_words, doc_slices, in_arrow, mix64, prefix_hash, span_hash, text_buffers, text_or_empty
+from defectlens.llm.common import byte_words, doc_slices, in_arrow, prefix_hash, span_hash, text_buffers, text_or_empty
 
 WINDOW = 10
 SHINGLE = 3
