@@ -26,9 +26,22 @@ class QuerySpec:
 REGISTRY: dict[str, QuerySpec] = {}
 
 
+def counted(sql: str) -> str:
+    """``count_if(x)`` as ``count(CASE WHEN x THEN 1 END)``: DuckDB's own is NULL, not 0, where every x is NULL."""
+    out, at = [], 0
+    while (i := sql.find("count_if(", at)) >= 0:
+        end, depth = i + len("count_if("), 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        out += [sql[at:i], "count(CASE WHEN ", counted(sql[i + len("count_if("):end - 1]), " THEN 1 END)"]
+        at = end
+    return "".join(out) + sql[at:]
+
+
 def register(name: str, operators: str, sql: str | None = None):
     def deco(fn):
-        REGISTRY[name] = QuerySpec(name, fn, sql, operators)
+        REGISTRY[name] = QuerySpec(name, fn, counted(sql) if sql else None, operators)
         return fn
     return deco
 
