@@ -78,18 +78,16 @@ def segments_of(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> t
     print_ = span_hash(prefix, at, at + gram)
     # the place breaks ties from the left, the same way in every copy
     least = sliding_least((print_ & ~_PLACE) | at.astype(np.uint64), length - gram + 1)
-    anchor = (least & _PLACE).astype(np.int64)
-    start = np.arange(len(anchor))
-    doc = np.repeat(np.arange(len(ends) - 1), np.diff(ends))[:len(start)]
-    inside = start + length <= ends[1:][doc]
-    start, anchor, doc = start[inside], anchor[inside], doc[inside]
-    if not len(start):
+    # runs of windows with one anchor, cut where a document begins or can hold no further window
+    change = np.flatnonzero(least[1:] != least[:-1]) + 1
+    lo = np.unique(np.concatenate([[0], change, ends[:-1][ends[:-1] < len(least)]]))
+    doc = np.searchsorted(ends, lo, side="right") - 1
+    hi = np.minimum(np.append(lo[1:], len(least)) - 1, ends[doc + 1] - length)
+    some = hi >= lo
+    lo, hi, doc = lo[some], hi[some], doc[some]
+    if not len(lo):
         return (none,) * 6
-    new = np.ones(len(start), bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
-    first = np.flatnonzero(new)
-    lo, hi = start[first], start[np.append(first[1:], len(start)) - 1]
-    anchor, doc = anchor[first], doc[first]
+    anchor = (least[lo] & _PLACE).astype(np.int64)
     whole = span_hash(prefix, lo, hi + length)
     digest = mix64(whole + (anchor - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (hi - lo).astype(np.uint64))
     return doc, anchor, lo, hi, print_[anchor], digest
@@ -131,11 +129,17 @@ def prefix_ranks(data: np.ndarray, length: int) -> np.ndarray:
         key = (key << np.uint64(8)) | word[k:k + n]
     rank, have = np.unique(key, return_inverse=True)[1], 8
     while have < length:
-        step = min(have, length - have)  # the second half may overlap the first
-        after = np.zeros(n, np.uint64)
-        after[:n - step] = rank[step:].astype(np.uint64) + np.uint64(1)
-        rank = np.unique((rank.astype(np.uint64) << np.uint64(32)) | after, return_inverse=True)[1]
-        have += step
+        if n < 1 << 21:  # three ranks fit in one key
+            last = min(2 * have, length - have)
+            offsets, bits, have = (min(have, last), last), 21, have + last
+        else:
+            last = min(have, length - have)
+            offsets, bits, have = (last,), 32, have + last
+        key = rank.astype(np.uint64)
+        for step in offsets:  # the parts may overlap
+            key <<= np.uint64(bits)
+            key[:n - step] |= rank[step:].astype(np.uint64) + np.uint64(1)
+        rank = np.unique(key, return_inverse=True)[1]
     return rank
 
 
