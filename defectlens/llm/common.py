@@ -111,9 +111,9 @@ def ship_package(spark: SparkSession) -> None:
     sc._defectlens_shipped = True
 
 
-def in_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+def in_arrow(df: DataFrame, fn: Callable, schema: str, rows: int = 1500) -> DataFrame:
     """``mapInArrow`` with bounded batches and this package on the workers."""
-    small_batches(df.sparkSession)
+    small_batches(df.sparkSession, rows)
     ship_package(df.sparkSession)
     return df.mapInArrow(fn, schema)
 

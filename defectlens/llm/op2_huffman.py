@@ -78,7 +78,7 @@ def token_ids(docs: DataFrame, path: str, cut: str, end_id: int) -> DataFrame:
                 ["doc_id", "part", "seq", "at", "n", "ids"])
             seq, at = seq + len(n), at + int(offsets[-1])
 
-    return in_arrow(ordered, encode, IDS_SCHEMA)
+    return in_arrow(ordered, encode, IDS_SCHEMA, rows=3000)
 
 
 def id_counts(ids: DataFrame, dtype: str) -> DataFrame:
@@ -162,12 +162,14 @@ def pack_bits(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[
     """The ids' codes one after another, and the bit offset of every STEP-th id."""
     if not len(ids):
         return b"", np.zeros(0, np.uint32)
-    size = lengths[ids].astype(np.int64)
+    size = lengths.astype(np.uint64)[ids]
     at = np.cumsum(size) - size
-    word = at >> 5
-    shifted = codes[ids].astype(np.uint64) << (64 - (at & 31) - size).astype(np.uint64)
+    word = at >> np.uint64(5)
+    # codes at the upper end of 64 bits, moved to their place in the word
+    upper = codes.astype(np.uint64) << (np.uint64(64) - np.maximum(lengths, 1).astype(np.uint64))
+    shifted = upper[ids] >> (at & np.uint64(31))
     # codes are shorter than 32 bits, so one begins in every word; their bits are disjoint, so sums are unions
-    begin = np.flatnonzero(np.diff(word, prepend=-1))
+    begin = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
     total = np.zeros(len(begin) + 1, np.uint64)
     total[:-1] = np.add.reduceat(shifted >> np.uint64(32), begin)
     total[1:] += np.add.reduceat(shifted & np.uint64(0xFFFFFFFF), begin)

@@ -67,6 +67,7 @@ class PieceEncoder:
         self._tokens = re.compile(f"{_PLAIN}|{_STOP}|[^{_STOP}]", re.S)
         self._plain = re.compile(_PLAIN)
         self._merges_only()
+        self._forget_words()
         self._forget()
 
     def _merges_only(self) -> None:
@@ -101,6 +102,28 @@ class PieceEncoder:
     def dtype(self) -> str:
         return "<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
 
+    def _forget_words(self) -> None:
+        self.words = pa.array([], pa.string())
+        self.word_first = np.zeros(0, np.int64)
+        self.word_size = np.zeros(0, np.int64)
+        self.word_flat = np.zeros(0, np.uint32)
+
+    def _word_rows(self, words: list[str]) -> np.ndarray:
+        """Rows of distinct plain words in their own memo: pieces differ by a mark more often than by their words."""
+        if len(self.words) > MEMO_PIECES:
+            self._forget_words()
+        names = pa.array(words, pa.string())
+        rows = pc.fill_null(pc.index_in(names, value_set=self.words), -1).to_numpy().astype(np.int64)
+        missing = np.flatnonzero(rows < 0)
+        if len(missing):
+            rows[missing] = len(self.words) + np.arange(len(missing))
+            ids, ends = self._word_ids([words[k] for k in missing.tolist()])
+            self.words = pa.concat_arrays([self.words, names.take(pa.array(missing))])
+            self.word_first = np.concatenate([self.word_first, ends[:-1] + len(self.word_flat)])
+            self.word_size = np.concatenate([self.word_size, np.diff(ends)])
+            self.word_flat = np.concatenate([self.word_flat, ids])
+        return rows
+
     def _forget(self) -> None:
         self.names = pa.array([], pa.string())  # the known pieces, by row
         self.size = np.zeros(0, np.int64)
@@ -143,13 +166,13 @@ class PieceEncoder:
         odd = np.zeros(len(new), bool)
         odd[piece[~plain[row] | lone]] = True
         words = np.flatnonzero(plain)
-        word_ids, ends = self._word_ids([unique[k] for k in words.tolist()])
+        at_word = self._word_rows([unique[k] for k in words.tolist()])
         first, size = np.zeros(len(unique), np.int64), np.zeros(len(unique), np.int64)
-        first[words], size[words] = ends[:-1], np.diff(ends)
+        first[words], size[words] = self.word_first[at_word], self.word_size[at_word]
         row = row[~odd[piece]]
         sizes = np.bincount(piece[~odd[piece]], size[row], len(new)).astype(np.int64)
         take = size[row]
-        flat = word_ids[np.repeat(first[row] - (np.cumsum(take) - take), take) + np.arange(int(take.sum()))]
+        flat = self.word_flat[np.repeat(first[row] - (np.cumsum(take) - take), take) + np.arange(int(take.sum()))]
         place = np.cumsum(sizes) - sizes
         if odd.any():
             others = np.flatnonzero(odd).tolist()
