@@ -9,6 +9,7 @@ from defectlens.operators import kpis as K
 from defectlens.operators import rollups as R
 from defectlens.operators import trends as TR
 from defectlens.operators.sprints import sprint_frame
+from defectlens import config as C
 from defectlens.sources.adapter import Tables
 from tests.conftest import SF_SMALL
 
@@ -32,7 +33,7 @@ def test_hot_key_matches_brute_force(spark):
     # Per assignee (NULL group kept), bugs only
     bugs = pdf[pdf.issue_type.str.lower() == "bug"]
     closed = bugs.status.isin(["Done", "Resolved", "Closed"])
-    exp = bugs.assign(res=closed.astype(int), pend=(~closed).astype(int)).groupby(
+    exp = bugs.assign(res=closed.astype(int), pend=(~closed & bugs.status.notna()).astype(int)).groupby(  # a NULL status is neither
         bugs.assignee.fillna("<null>")).agg(total=("issue_id", "size"), resolved=("res", "sum"), pending=("pend", "sum"))
     got = R.assignee_summary(df).toPandas()
     got.index = got.assignee.fillna("<null>")
@@ -40,7 +41,7 @@ def test_hot_key_matches_brute_force(spark):
     assert got.to_dict() == exp.sort_index()[["total", "resolved", "pending"]].astype("int64").to_dict()
 
     # Module shares with the hot module
-    cnt = pdf.groupby("module").size()
+    cnt = pdf.groupby(pdf.module.fillna("").str.strip().replace("", C.DEFAULT_MODULE_LABEL)).size()
     exp13 = {m: js_round(c / cnt.sum() * 100) for m, c in cnt.items()}
     got13 = {r.module: r.percentage for r in R.module_breakdown(df).collect()}
     assert got13 == exp13
