@@ -5,14 +5,16 @@
 2. An entity's surrogate is derived from a keyed hash of its normal form and
    an attempt number: letters for letters, digits for digits, valid octets,
    a valid check digit where the original has one, names of the same script
-   and, by the title before them, the same gender.
+   and, by the title before them, the same gender.  A given name after a title
+   that tells none ("Dr") is the entity of its gender elsewhere in the texts,
+   if there is exactly one.
 3. Collision checks over all entities: of those with one surrogate the
    smallest keeps it, and a surrogate that is an original of its kind is not
    used; the others go to their next attempt until all are distinct.
 4. The texts are written again, each mention in its own format (spacing,
    brackets, case).  Equal entities get equal surrogates in all documents.
 
-Only entities beyond their first attempt must be looked up.  Up to
+Only entities beyond their first attempt or of a gender found elsewhere must be looked up.  Up to
 ``SENT_EXCEPTIONS`` of them are sent to the tasks; more are joined to the
 documents that mention them.
 
@@ -27,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -44,22 +47,50 @@ TITLES = {"Mr": "m", "Mister": "m", "Herr": "m", "Monsieur": "m", "Señor": "m",
           "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Señora": "f", "Sra": "f", "Doña": "f", "госпожа": "f",
           "Dr": "n", "Prof": "n"}
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-_CAPITAL = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё'’-]+"
+_LETTER = r"(?:[^\W\d_]|[\u0300-\u036f])"  # of any script, or a combining accent
+
+
+def _capitals() -> str:
+    """The upper and title case letters of all scripts as the inside of a character class."""
+    runs: list[list[int]] = []
+    for c in (c for c in range(0x1E944) if chr(c).isupper() or chr(c).istitle()):
+        if chr(c).isalpha():
+            if runs and runs[-1][1] == c - 1:
+                runs[-1][1] = c
+            else:
+                runs.append([c, c])
+    return "".join(f"{chr(a)}-{chr(z)}" for a, z in runs)
+
+
+#: A whole word: inner capitals, apostrophes and hyphens; an 's at its end stays outside.
+_CAPITAL = rf"[{_capitals()}](?:{_LETTER}|['’](?![sS](?!{_LETTER})){_LETTER}|[-‐‑]{_LETTER})+(?!{_LETTER})"
+#: One separator at most between the digits; a number without any has the digits of a national or international one.
+_PHONES = (r"(?<![\w+])\+1[ .-]?(?:\([2-9][0-9]{2}\)|[2-9][0-9]{2})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])",
+           r"(?<![\w+])\+[1-9][0-9]{9,14}(?![0-9])",
+           r"(?<![\w+])\+[1-9](?:[ .-]?\(?[0-9](?:\)(?=[ .-]?[0-9]))?){6,14}(?![0-9])",
+           r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])",
+           r"(?<![0-9])(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{7}(?![0-9])",
+           r"(?<![0-9])(?<![0-9][.-])0[1-9](?:[ .-][0-9]{2}){4}(?![0-9])",
+           r"(?<!\w)(?<![0-9][.-])(?:1?[2-9][0-9]{2}[2-9][0-9]{6}|0[1-9][0-9]{8,9}|00[1-9][0-9]{7,12})(?!\w|[.-][0-9])")
+#: Country codes of one and two digits; all others have three.
+_COUNTRY = re.compile(r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})")
 PATTERNS = {
     "email": re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
     "ip": re.compile(rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9])(?!\.[0-9])"),
     "card": re.compile(r"(?<![0-9])[3-6](?:[ -]?[0-9]){12,18}(?![0-9])"),
     "ssn": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
-    "phone": re.compile(r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])"),
+    "phone": re.compile("|".join(_PHONES)),
     "name": re.compile(rf"\b(?:{'|'.join(TITLES)})\.? ({_CAPITAL}(?: {_CAPITAL}){{0,2}})"),
 }
 _DIGITS = re.compile(r"[0-9][0-9. -]*[0-9]")
 _TITLE = re.compile("|".join(f"{t}[. ]" for t in TITLES))
 _ONSETS = {"latin": ["b", "br", "c", "d", "f", "g", "gr", "h", "j", "k", "l", "m", "n", "p", "r", "s", "st", "t", "v", "w"],
-           "cyrillic": ["б", "в", "г", "д", "ж", "з", "к", "л", "м", "н", "п", "р", "с", "т", "ф", "х"]}
-_VOWELS = {"latin": ["a", "e", "i", "o", "u"], "cyrillic": ["а", "е", "и", "о", "у"]}
+           "cyrillic": ["б", "в", "г", "д", "ж", "з", "к", "л", "м", "н", "п", "р", "с", "т", "ф", "х"],
+           "greek": ["β", "γ", "δ", "ζ", "κ", "λ", "μ", "ν", "π", "ρ", "σ", "τ", "φ", "χ"]}
+_VOWELS = {"latin": ["a", "e", "i", "o", "u"], "cyrillic": ["а", "е", "и", "о", "у"], "greek": ["α", "ε", "ι", "ο", "υ"]}
 _ENDINGS = {"latin": {"m": ["rd", "n", "us", "l"], "f": ["na", "ra", "lia", "ssa"], "n": ["n", "l", "s", "x"], "surname": ["son", "man", "ler", "ett", "ov", "ini"]},
-            "cyrillic": {"m": ["н", "р", "л", "слав"], "f": ["на", "ра", "лия", "сса"], "n": ["н", "л", "р", "с"], "surname": ["ский", "енко", "ин", "ов"]}}
+            "cyrillic": {"m": ["н", "р", "л", "слав"], "f": ["на", "ра", "лия", "сса"], "n": ["н", "л", "р", "с"], "surname": ["ский", "енко", "ин", "ов"]},
+            "greek": {"m": ["νος", "ρης", "λος", "σης"], "f": ["να", "ρα", "λία", "ση"], "n": ["ν", "ξ", "ρ", "λι"], "surname": ["ίδης", "άκης", "όπουλος", "έας"]}}
 
 
 class Stream:
@@ -106,7 +137,7 @@ def normal(kind: str, mention: str) -> str:
     if kind == "email":
         return mention.lower()
     if kind in ("card", "ssn", "phone"):
-        country = re.match(r"\+[0-9]{1,3}(?=[ .(-])", mention) if kind == "phone" else None
+        country = re.match(r"\+[0-9]{1,3}(?=[ .(-])", mention) or _COUNTRY.match(mention) if kind == "phone" else None
         return (country[0] if country else "") + "/" * bool(country) + re.sub("[^0-9]", "", mention[country.end() if country else 0:])
     return mention
 
@@ -115,9 +146,9 @@ def entities_of(kind: str, form: str) -> list[tuple[str, str]]:
     """(kind, normal form) of what gets a surrogate of its own: the parts of a name, else the whole."""
     if not kind.startswith("name"):
         return [(kind, form)]
-    parts = form.split(" ")
-    script = "cyrillic" if re.search("[А-Яа-яЁё]", form) else "latin"
-    return [(f"given:{kind[5:]}:{script}", p.casefold()) for p in parts[:-1]] + [(f"surname:{script}", parts[-1].casefold())]
+    parts = [p.casefold() for p in unicodedata.normalize("NFC", form).replace("’", "'").split(" ")]
+    script = "cyrillic" if re.search("[Ѐ-ԯ]", form) else "greek" if re.search("[Ͱ-Ͽἀ-῾]", form) else "latin"
+    return [(f"given:{kind[5:]}:{script}", p) for p in parts[:-1]] + [(f"surname:{script}", parts[-1])]
 
 
 def surrogate(key: str, kind: str, form: str, attempt: int) -> str:
@@ -139,7 +170,9 @@ def surrogate(key: str, kind: str, form: str, attempt: int) -> str:
         return body + (last if check_digit(form[:-1]) == form[-1] else str((int(last) + 1 + s.below(9)) % 10))
     if kind in ("ssn", "phone"):
         country, slash, rest = form.rpartition("/")  # a country's code stays
-        return country + slash + "".join(digit(c) for c in rest)
+        # a long phone number's areas may not begin with any digit: 0 and 1 stay and the others become neither
+        edge = lambda c: c if c in "01" else str(2 + s.below(8))
+        return country + slash + "".join(edge(c) if len(rest) >= 10 and kind == "phone" and i in (0, 1, 3, 4) else digit(c) for i, c in enumerate(rest))
     kind, _, rest = kind.partition(":")
     gender, script = rest.split(":") if kind == "given" else ("surname", rest)
     syllables = "".join(_ONSETS[script][s.below(len(_ONSETS[script]))] + _VOWELS[script][s.below(5)] for _ in range(2 + attempt // 4))
@@ -160,14 +193,15 @@ def in_format(kind: str, mention: str, forms: list[str]) -> str:
     return form
 
 
-def rewritten(text: str, key: str, attempts: dict[tuple[str, str], int], memo: dict) -> tuple[str, list[str]]:
-    """The text with its surrogates, and the kinds of its mentions."""
+def rewritten(text: str, key: str, exceptions: dict[tuple[str, str], tuple[str, int]], memo: dict) -> tuple[str, list[str]]:
+    """The text with its surrogates, and the kinds of its mentions; ``exceptions`` has the kind and attempt of later ones."""
     out, at, kinds = [], 0, []
     for a, z, kind, form in mentions(text):
         forms = []
         for e in entities_of(kind, form):
             if e not in memo:
-                memo[e] = surrogate(key, *e, attempts.get(e, 0))
+                kind_as, attempt = exceptions.get(e, (e[0], 0))
+                memo[e] = surrogate(key, kind_as, e[1], attempt)
             forms.append(memo[e])
         out += [text[at:a], in_format(kind, text[a:z], forms)]
         at = z
@@ -186,6 +220,17 @@ def entities(texts: DataFrame) -> DataFrame:
     return in_arrow(texts.select("text"), run, "kind string, form string").distinct()
 
 
+def gendered(found: DataFrame) -> DataFrame:
+    """(kind, form, kind_as) of given names without a gender that have exactly one elsewhere."""
+    part = lambda i: F.split_part("kind", F.lit(":"), F.lit(i))
+    given = found.filter(F.col("kind").startswith("given:")).select("form", part(2).alias("gender"), part(3).alias("script"))
+    is_n = F.col("gender") == "n"
+    one = given.groupBy("script", "form").agg(F.max(is_n).alias("n"), F.min(F.when(~is_n, F.col("gender"))).alias("a"),
+                                              F.max(F.when(~is_n, F.col("gender"))).alias("z")).filter("n AND a = z")
+    return one.select(F.concat(F.lit("given:n:"), "script").alias("kind"), "form",
+                      F.concat(F.lit("given:"), "a", F.lit(":"), "script").alias("kind_as"))
+
+
 def resolved(found: DataFrame, key: str) -> DataFrame:
     """(kind, form, attempt, surrogate), all surrogates of a kind distinct and none an original of it."""
 
@@ -214,11 +259,15 @@ def resolved(found: DataFrame, key: str) -> DataFrame:
 def replace(docs: DataFrame, key: str = KEY, text: str = "text", sent: int = SENT_EXCEPTIONS) -> DataFrame:
     """``row`` (all input columns), ``new_text`` and ``kinds`` of its mentions."""
     source = docs.select(F.struct("*").alias("row"), text_or_empty(text).alias("text"))
-    table = resolved(staged(entities(source), "pii-entities"), key)
-    later = staged(table.filter("attempt > 0").select("kind", "form", "attempt"), "pii-later")
+    found = staged(entities(source), "pii-entities")
+    same = staged(gendered(found), "pii-gendered")
+    table = resolved(staged(found.join(same, ["kind", "form"], "left_anti"), "pii-own"), key)
+    own_kind = table.filter("attempt > 0").select("kind", "form", F.col("kind").alias("kind_as"), "attempt")
+    other_kind = same.join(table.select(F.col("kind").alias("kind_as"), "form", "attempt"), ["kind_as", "form"])
+    later = staged(own_kind.unionByName(other_kind), "pii-later")
     some = later.limit(sent + 1).collect() if later.count() <= sent else None
     schema = source.select("row").schema[0].dataType.simpleString()
-    known = {(r["kind"], r["form"]): r["attempt"] for r in some or []}
+    known = {(r["kind"], r["form"]): (r["kind_as"], r["attempt"]) for r in some or []}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict = {}
@@ -229,7 +278,7 @@ def replace(docs: DataFrame, key: str = KEY, text: str = "text", sent: int = SEN
             texts, kinds = [], []
             for i, t in enumerate(b.column("text").to_pylist()):
                 if own and own[i]:
-                    new, kind = rewritten(t, key, {(x["kind"], x["form"]): x["attempt"] for x in own[i]}, {})
+                    new, kind = rewritten(t, key, {(x["kind"], x["form"]): (x["kind_as"], x["attempt"]) for x in own[i]}, {})
                 else:
                     new, kind = rewritten(t, key, known, memo if own is None else {})
                 texts.append(new)
@@ -247,7 +296,7 @@ def replace(docs: DataFrame, key: str = KEY, text: str = "text", sent: int = SEN
 
         pairs = in_arrow(source.select(digest.alias("digest"), "text"), mentioned, "digest string, kind string, form string").distinct()
         lists = (pairs.join(later, ["kind", "form"]).groupBy("digest")
-                 .agg(F.collect_list(F.struct("kind", "form", "attempt")).alias("later")))
+                 .agg(F.collect_list(F.struct("kind", "form", "kind_as", "attempt")).alias("later")))
         source = source.withColumn("digest", digest).join(lists, "digest", "left").drop("digest")
     return in_arrow(source, run, f"row {schema}, new_text string, kinds array<string>")
 
