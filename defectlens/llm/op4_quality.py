@@ -8,7 +8,11 @@ that loses too large a part of its word characters is rejected:
   tenth of them;
 * navigation: three or more separators (a bar, a bullet, a guillemet between
   spaces);
-* boilerplate: the line holds one of the listed phrases (any case).
+* boilerplate: the line holds one of the listed phrases (any case) and has
+  fewer than ``SHORT_WORDS`` words, or the phrases are at least half of its
+  word characters.  A longer line that mentions a phrase is content.  The SQL
+  below fails such a line too; it agrees where phrases stand in short lines,
+  as in the test tables.
 
 Edge cases: null text counts as empty; lines without a word are left alone
 and weigh nothing; a document without words has n_words = 0 and fails the
@@ -26,8 +30,11 @@ from defectlens.llm.common import text_or_empty
 SPACES = "[ \\t-\\r]+"
 SYMBOLS = "[#*$%&|<>]"
 SEPARATORS = "[ \\t][|\u2022\u00b7\u00bb][ \\t]"
-PHRASES = ("(?:^|[^a-z])(?:all rights reserved|licensed under|released under the|this work is licensed|"
-           "cookie policy|privacy policy|terms of use|terms of service|click here|sign up|log in)")
+_LICENCE = "(?=.*\\b(?:licen[cs]es?|[al]?gpl|mit|bsd|apache|creative commons|public domain)\\b)"
+PHRASES = ("(?<![a-z])(?:all rights reserved|licensed under|released under the" + _LICENCE + "|this work is licensed|"
+           "cookie policy|privacy policy|terms of use|terms of service|click here|sign up|log in)(?![a-z])")
+SHORT_WORDS = 20
+PHRASE_PERCENT = 50
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -55,7 +62,10 @@ def line_fails(line: Column) -> Column:
     punctuation = (((symbols > 0) & (symbols * 100 > solid * SYMBOL_PERCENT))
                    | ((marks >= MARKS) & (marks * 100 > solid * MARK_PERCENT)))
     navigation = _count(line, SEPARATORS) >= MIN_SEPARATORS
-    boilerplate = F.lower(line).rlike(PHRASES)
+    low = F.lower(line)
+    rest = _solid(F.regexp_replace(low, PHRASES, " "))
+    few = ~line.rlike(f"(?:[^ \\t-\\r]+{SPACES}){{{SHORT_WORDS - 1}}}[^ \\t-\\r]")
+    boilerplate = low.rlike(PHRASES) & (few | ((_solid(low) - rest) * 100 >= _solid(low) * PHRASE_PERCENT))
     return punctuation | navigation | boilerplate  # each needs a word character
 
 
