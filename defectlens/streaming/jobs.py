@@ -7,7 +7,7 @@ T2  upload -> load -> rebuild: CSV files arriving in a folder are parsed
     upserted (S10) inside ``foreachBatch``.
 T3  alert cooldown: events become alert signals; after an alert its
     (rule, key) is silent for the cooldown of its severity.  The state is the
-    time of the last alert.
+    times of its signals and alerts, so that late signals are placed in order.
 
 All checkpoints and sinks live below ``spark.checkpoint.dir`` (shared
 storage), so a restarted query resumes exactly-once from its offsets.  Tests
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -137,34 +137,48 @@ def cooldown_alerts(signals: DataFrame, cooldowns: dict[str, int]) -> DataFrame:
     """Signals grouped into the alerts they raise or are suppressed by.
 
     The cooldown of a (rule, key) runs from its last raised alert; the next
-    signal at or after its end raises a new one.  The state is one timestamp a
-    (rule, key).  Rows: (rule, key, alert_ts, signals) for every alert touched
-    by the micro-batch; signals without a time form one alert of their own.
-    Within a batch a key's signals are ordered by time, whatever their files.
+    signal at or after its end raises a new one.  The state holds the times of
+    all signals and alerts of a (rule, key), eight bytes each: a signal earlier
+    than others seen before may move every alert after it, so the alerts from
+    the one before it on are resolved again.  Rows: (rule, key, alert_ts,
+    signals, since) for these alerts; they replace all rows of earlier
+    micro-batches from ``since`` on.  Signals without a time form one alert of
+    their own, which only grows (``since`` is null).
     """
+    import numpy as np
     import pandas as pd
 
     seconds = dict(cooldowns)
 
     def raised(key, chunks, state):
         rule, user = key
-        times = pd.concat([c["ts_local"] for c in chunks], ignore_index=True)
-        last = state.get[0] if state.exists else None
-        step, counts = seconds[rule] * 1_000_000, {}
-        timed = times.dropna().sort_values()
-        for micros in (timed.astype("datetime64[us]").astype("int64")).tolist():
-            if last is None or micros >= last + step:
-                last = micros
-            counts[last] = counts.get(last, 0) + 1
-        if last is not None:
-            state.update((last,))
-        rows = [(rule, user, pd.Timestamp(t, unit="us"), n) for t, n in counts.items()]
-        if times.isna().any():
-            rows.append((rule, user, pd.NaT, int(times.isna().sum())))
-        yield pd.DataFrame(rows, columns=["rule", "key", "alert_ts", "signals"])
+        held, alerts = (np.frombuffer(x, np.int64) for x in (state.get if state.exists else (b"", b"")))
+        fresh, untimed = [], 0
+        for c in chunks:
+            timed = c["ts_local"].dropna()
+            untimed += len(c) - len(timed)
+            fresh.append(timed.astype("datetime64[us]").astype("int64").to_numpy())
+        times, rows = np.concatenate(fresh), []
+        if len(times):
+            before = np.searchsorted(alerts, times.min(), "right")  # alerts up to the earliest new signal stay
+            since = int(alerts[before - 1] if before else times.min())
+            alerts, step = alerts[:max(before - 1, 0)].tolist(), seconds[rule] * 1_000_000
+            times = np.sort(np.concatenate([held, times]))
+            at = int(np.searchsorted(times, since))
+            while at < len(times):
+                first = int(times[at])
+                end = int(np.searchsorted(times, first + step))
+                rows.append((rule, user, pd.Timestamp(first, unit="us"), end - at, pd.Timestamp(since, unit="us")))
+                alerts.append(first)
+                at = end
+            state.update((times.tobytes(), np.array(alerts, np.int64).tobytes()))
+        if untimed:
+            rows.append((rule, user, pd.NaT, untimed, pd.NaT))
+        yield pd.DataFrame(rows, columns=["rule", "key", "alert_ts", "signals", "since"])
 
     return signals.select("rule", "key", "ts_local").groupBy("rule", "key").applyInPandasWithState(
-        raised, "rule string, key bigint, alert_ts timestamp_ntz, signals bigint", "last bigint", "update", "NoTimeout")
+        raised, "rule string, key bigint, alert_ts timestamp_ntz, signals bigint, since timestamp_ntz", "times binary, alerts binary",
+        "update", "NoTimeout")
 
 
 def cooldown_stream(spark: SparkSession, stream: DataFrame, table: str, checkpoint: str, rules: list[tuple[str, str, str]],
@@ -186,8 +200,13 @@ def cooldown_stream(spark: SparkSession, stream: DataFrame, table: str, checkpoi
 
 
 def current_alerts(spark: SparkSession, table: str) -> DataFrame:
-    """The T3 log resolved: one row an alert with the signals it suppressed."""
-    return read_epochs(spark, table).groupBy("rule", "key", "alert_ts").agg(
+    """The T3 log resolved: one row an alert with the signals it suppressed.
+
+    Rows that a later epoch resolved again are left out."""
+    later = Window.partitionBy("rule", "key").orderBy("epoch").rangeBetween(1, Window.unboundedFollowing)
+    log = spark.read.parquet(table).withColumn("epoch", F.col("epoch").cast("long")).withColumn("again", F.min("since").over(later))
+    valid = log.filter(F.col("alert_ts").isNull() | F.col("again").isNull() | (F.col("alert_ts") < F.col("again")))
+    return valid.groupBy("rule", "key", "alert_ts").agg(
         (F.sum("signals") - 1).cast("long").alias("suppressed"))
 
 
