@@ -22,7 +22,7 @@ other columns are not read.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,8 +75,8 @@ def token_pieces(docs: DataFrame, path: str, cut: str, end_id: int, size: int, k
 def pack_histogram(histogram: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
     """(lengths, count) of each packing pattern for a histogram of lengths.
 
-    Open patterns are kept by the room they leave; the shortest fitting pack,
-    the one left with the least room, takes the next length.
+    Open patterns are kept by the room they leave; the shortest pack, the one
+    with the most room, takes the next length if it fits.
     """
     rooms: list[int] = []  # the distinct rooms of the open patterns, ascending
     open_: dict[int, list[list]] = {}
@@ -94,8 +94,7 @@ def pack_histogram(histogram: dict[int, int], size: int) -> list[tuple[tuple[int
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
         while left:
-            at = bisect_left(rooms, length)
-            if at == len(rooms):
+            if not rooms or rooms[-1] < length:
                 fits = size // length  # as many copies of the length as a pack holds
                 whole, rest = divmod(left, fits)
                 if whole:
@@ -103,10 +102,10 @@ def pack_histogram(histogram: dict[int, int], size: int) -> list[tuple[tuple[int
                 if rest:
                     put((length,) * rest, size - rest * length, 1)
                 break
-            room = rooms[at]
+            room = rooms[-1]
             pattern, count = open_[room].pop()
             if not open_[room]:
-                del open_[room], rooms[at]
+                del open_[room], rooms[-1]
             n = min(left, count)
             left -= n
             if count > n:
