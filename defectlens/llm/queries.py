@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from defectlens.llm import op1_secrets, op2_huffman, op3_jaccard, op4_quality, op5_surrogates, op6_urls, op7_decontamination, op8_warc, op9_suffixes
-from defectlens.llm import op10_packing as packing
+from defectlens.llm import op10_packing as packing, op11_merkle, op12_middle, op13_attention
 from defectlens.llm.common import read_table
 
 
@@ -54,6 +54,19 @@ def op4_quality_rules(spark, sf_dir):
     return op4_quality.quality_report(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_merkle_manifest(spark, sf_dir):
+    return op11_merkle.merkle_report(read_table(spark, sf_dir, "documents", *op11_merkle.FIELDS))
+
+
+def op12_fill_in_middle(spark, sf_dir):
+    return op12_middle.middle_report(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op13_attention_quality(spark, sf_dir):
+    return op13_attention.quality_report(read_table(spark, sf_dir, "documents", "doc_id", "text"),
+                                         read_table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
 QUERIES = {
     "op1_secret_scan": (op1_secret_scan, op1_secrets.ORACLE),
     "op2_huffman_ids": (op2_huffman_ids, None),
@@ -65,4 +78,7 @@ QUERIES = {
     "op8_warc_segments": (op8_warc_segments, op8_warc.ORACLE),
     "op9_suffix_dedup": (op9_suffix_dedup, None),
     "op10_packing": (op10_packing, None),
+    "op11_merkle_manifest": (op11_merkle_manifest, op11_merkle.ORACLE),
+    "op12_fill_in_middle": (op12_fill_in_middle, op12_middle.ORACLE),
+    "op13_attention_quality": (op13_attention_quality, None),
 }
