@@ -128,7 +128,7 @@ def q_stream_csv_ingest(t):
 ALERT_RULES = [("error-events", "error", "critical"), ("signup-events", "signup", "warning")]
 
 
-@register("stream_alert_cooldown", "T3 (cooldown of 3,600 s and 7,200 s from the last alert, state per rule and user)", """
+@register("stream_alert_cooldown", "T3 (cooldown of 3,600 s and 7,200 s from the last alert; watermark, timers, late signals settled at read)", """
 WITH RECURSIVE sig AS (
   SELECT 'error-events' AS rule, user_id AS key, ts, 3600 AS cd FROM events WHERE event_type = 'error'
   UNION ALL SELECT 'signup-events', user_id, ts, 7200 FROM events WHERE event_type = 'signup'
@@ -145,4 +145,5 @@ def q_stream_alert_cooldown(t):
     d = J.new_dirs(t.spark, "t3")
     events = J.table_stream(t.spark, t.sf_dir, "events")
     J.run_to_completion(J.cooldown_stream(t.spark, events, d["table"], d["ckpt"], ALERT_RULES))
-    return J.current_alerts(t.spark, d["table"])
+    signals = J.rule_signals(t.table("events"), ALERT_RULES)
+    return J.settled_alerts(t.spark, d["table"], signals, J.rule_cooldowns(ALERT_RULES))

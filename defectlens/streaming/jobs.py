@@ -6,8 +6,8 @@ T2  upload -> load -> rebuild: CSV files arriving in a folder are parsed
     (S1-S3, N4), appended to the issue table and the sprint dimension is
     upserted (S10) inside ``foreachBatch``.
 T3  alert cooldown: events become alert signals; after an alert its
-    (rule, key) is silent for the cooldown of its severity.  The state is the
-    times of its signals and alerts, so that late signals are placed in order.
+    (rule, key) is silent for the cooldown of its severity.  The state is
+    bounded by the lateness allowed (``cooldown.py``).
 
 All checkpoints and sinks live below ``spark.checkpoint.dir`` (shared
 storage), so a restarted query resumes exactly-once from its offsets.  Tests
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +27,8 @@ from defectlens import config as C
 from defectlens.operators import rollups as R
 from defectlens.session import scratch_path
 from defectlens.sources.csv_source import canonical_issues, sprint_dimension, upsert_dimension
+from defectlens.streaming.cooldown import (LATENESS, ROCKSDB, alert_signals, cooldown_alerts, current_alerts, late_signals,  # noqa: F401
+                                           rule_signals, settled_alerts)
 
 #: Files of one micro-batch; fixed, so that a batch does not grow with the folder.
 FILES_PER_TRIGGER = 16
@@ -37,22 +39,25 @@ def _trigger(writer, available_now: bool):
     return writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=REFRESH)
 
 
-def _start(spark: SparkSession, writer, state_partitions: int | None):
+def _start(spark: SparkSession, writer, state_partitions: int | None, settings: dict[str, str] | None = None):
     """Start a query with ``state_partitions`` state-store partitions.
 
     A stateful query fixes its partition count from
     ``spark.sql.shuffle.partitions`` at first start and records it in the
-    checkpoint; the session value is set only around ``start()`` and then
-    restored.  Default: the cluster's parallelism (one partition per core).
+    checkpoint, like other ``settings`` of its state; the session values are
+    set only around ``start()`` and then restored.  Default: the cluster's
+    parallelism (one partition per core).
     """
     n = state_partitions or spark.sparkContext.defaultParallelism
-    key = "spark.sql.shuffle.partitions"
-    old = spark.conf.get(key)
-    spark.conf.set(key, str(n))
+    wanted = {"spark.sql.shuffle.partitions": str(n), **(settings or {})}
+    old = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         return writer.start()
     finally:
-        spark.conf.set(key, old)
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def sprint_rollup_stream(spark: SparkSession, source_dir: str, schema: T.StructType, sink: str,
@@ -121,93 +126,23 @@ def csv_ingest_stream(spark: SparkSession, source_dir: str, table: str, dim: str
     return _trigger(w, available_now).start()
 
 
-def alert_signals(events: DataFrame, signal_type: str = "error", rule: str = "error-events") -> DataFrame:
-    """T3 input: events of the signal type as alert signals keyed by user."""
-    ts = F.col("ts")
-    # Event time as an instant read from the wall-clock fields as UTC, so the
-    # windows do not depend on the session time zone (watermarks need TIMESTAMP).
-    instant = F.make_timestamp(F.year(ts), F.month(ts), F.dayofmonth(ts), F.hour(ts), F.minute(ts),
-                               F.second(ts).cast("decimal(8,6)"), F.lit("UTC"))
-    return events.filter(F.col("event_type") == signal_type).select(
-        F.lit(rule).alias("rule"), F.col("user_id").alias("key"), instant.alias("ts"),
-        ts.alias("ts_local"), F.col("event_id"))
-
-
-def cooldown_alerts(signals: DataFrame, cooldowns: dict[str, int]) -> DataFrame:
-    """Signals grouped into the alerts they raise or are suppressed by.
-
-    The cooldown of a (rule, key) runs from its last raised alert; the next
-    signal at or after its end raises a new one.  The state holds the times of
-    all signals and alerts of a (rule, key), eight bytes each: a signal earlier
-    than others seen before may move every alert after it, so the alerts from
-    the one before it on are resolved again.  Rows: (rule, key, alert_ts,
-    signals, since) for these alerts; they replace all rows of earlier
-    micro-batches from ``since`` on.  Signals without a time form one alert of
-    their own, which only grows (``since`` is null).
-    """
-    import numpy as np
-    import pandas as pd
-
-    seconds = dict(cooldowns)
-
-    def raised(key, chunks, state):
-        rule, user = key
-        held, alerts = (np.frombuffer(x, np.int64) for x in (state.get if state.exists else (b"", b"")))
-        fresh, untimed = [], 0
-        for c in chunks:
-            timed = c["ts_local"].dropna()
-            untimed += len(c) - len(timed)
-            fresh.append(timed.astype("datetime64[us]").astype("int64").to_numpy())
-        times, rows = np.concatenate(fresh), []
-        if len(times):
-            before = np.searchsorted(alerts, times.min(), "right")  # alerts up to the earliest new signal stay
-            since = int(alerts[before - 1] if before else times.min())
-            alerts, step = alerts[:max(before - 1, 0)].tolist(), seconds[rule] * 1_000_000
-            times = np.sort(np.concatenate([held, times]))
-            at = int(np.searchsorted(times, since))
-            while at < len(times):
-                first = int(times[at])
-                end = int(np.searchsorted(times, first + step))
-                rows.append((rule, user, pd.Timestamp(first, unit="us"), end - at, pd.Timestamp(since, unit="us")))
-                alerts.append(first)
-                at = end
-            state.update((times.tobytes(), np.array(alerts, np.int64).tobytes()))
-        if untimed:
-            rows.append((rule, user, pd.NaT, untimed, pd.NaT))
-        yield pd.DataFrame(rows, columns=["rule", "key", "alert_ts", "signals", "since"])
-
-    return signals.select("rule", "key", "ts_local").groupBy("rule", "key").applyInPandasWithState(
-        raised, "rule string, key bigint, alert_ts timestamp_ntz, signals bigint, since timestamp_ntz", "times binary, alerts binary",
-        "update", "NoTimeout")
-
-
 def cooldown_stream(spark: SparkSession, stream: DataFrame, table: str, checkpoint: str, rules: list[tuple[str, str, str]],
-                    available_now: bool = True, state_partitions: int | None = None):
+                    available_now: bool = True, state_partitions: int | None = None, lateness: str = LATENESS):
     """T3 as a stream over events: ``rules`` are (rule, event type, severity);
     a severity's cooldown is the configured one.  Each micro-batch is written
     to its own epoch of the log ``table``."""
-    signals = None
-    for rule, event_type, _severity in rules:
-        one = alert_signals(stream, event_type, rule)
-        signals = one if signals is None else signals.unionByName(one)
-    alerts = cooldown_alerts(signals, {rule: C.ALERT_COOLDOWN[severity] for rule, _, severity in rules})
+    alerts = cooldown_alerts(rule_signals(stream, rules), rule_cooldowns(rules), lateness)
 
     def append(batch: DataFrame, epoch: int) -> None:
         _write_epoch(batch, table, epoch)
 
     w = alerts.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(append)
-    return _start(spark, _trigger(w, available_now), state_partitions)
-
+    return _start(spark, _trigger(w, available_now), state_partitions, {"spark.sql.streaming.stateStore.providerClass": ROCKSDB})
 
-def current_alerts(spark: SparkSession, table: str) -> DataFrame:
-    """The T3 log resolved: one row an alert with the signals it suppressed.
 
-    Rows that a later epoch resolved again are left out."""
-    later = Window.partitionBy("rule", "key").orderBy("epoch").rangeBetween(1, Window.unboundedFollowing)
-    log = spark.read.parquet(table).withColumn("epoch", F.col("epoch").cast("long")).withColumn("again", F.min("since").over(later))
-    valid = log.filter(F.col("alert_ts").isNull() | F.col("again").isNull() | (F.col("alert_ts") < F.col("again")))
-    return valid.groupBy("rule", "key", "alert_ts").agg(
-        (F.sum("signals") - 1).cast("long").alias("suppressed"))
+def rule_cooldowns(rules: list[tuple[str, str, str]]) -> dict[str, int]:
+    """Seconds of silence after an alert of each rule."""
+    return {rule: C.ALERT_COOLDOWN[severity] for rule, _, severity in rules}
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
