@@ -71,12 +71,18 @@ def _resolver():
 
 def _processor(seconds: dict[str, int]):
     """The stateful processor; made inside so that it travels to the workers by value."""
+    from collections import Counter
+    from datetime import datetime, timedelta
+
     import numpy as np
-    import pandas as pd
+    from pyspark.sql import Row
     from pyspark.sql.streaming import StatefulProcessor
 
-    raised, columns = _resolver(), [c.split()[0] for c in LOG.split(", ")]
-    stamp = lambda us: pd.NaT if us is None else pd.Timestamp(us, unit="us")
+    raised, start, columns = _resolver(), datetime(1970, 1, 1), [c.split()[0] for c in LOG.split(", ")]
+    log = Row(*columns)
+
+    def stamp(us):
+        return start + timedelta(microseconds=us)
 
     class Cooldown(StatefulProcessor):
         def init(self, handle):
@@ -84,30 +90,33 @@ def _processor(seconds: dict[str, int]):
             self.open = handle.getValueState("open", "last bigint, signals bigint, times binary, counts binary, timer bigint")
 
         def _held(self):
-            if not self.open.exists():
+            """(last, signals, times, counts, timer) of the key; the timer is null without a state."""
+            held = self.open.get()
+            if held is None:
                 return None, 0, np.zeros(0, np.int64), np.zeros(0, np.int64), None
-            last, signals, times, counts, timer = self.open.get()
+            last, signals, times, counts, timer = held
             return last, signals, np.frombuffer(times, np.int64), np.frombuffer(counts, np.int64), timer
 
-        def _settle(self, held, horizon, step):
+        def _settle(self, held, horizon, step, fired=False):
             """Keep what the watermark has not passed; a timer for when it will."""
             last, signals, times, counts, timer = held
             k = int(np.searchsorted(times, horizon))
             for alert in raised(last, signals, times[:k], counts[:k], step):
                 last, signals = alert
             times, counts = times[k:], counts[k:]
-            if timer is not None:
-                self.handle.deleteTimer(timer)
             ends = [int(times[-1])] if len(times) else []
             if last is not None and last + step > horizon:
                 ends.append(last + step)
-            if not ends:
-                if self.open.exists():
-                    self.open.clear()
-                return
-            timer = max(ends) // 1000 + 1
-            self.handle.registerTimer(timer)
-            self.open.update((last, signals, times.tobytes(), counts.tobytes(), timer))
+            due = max(ends) // 1000 + 1 if ends else None
+            if due != timer or fired:
+                if timer is not None and not fired:
+                    self.handle.deleteTimer(timer)
+                if due is not None:
+                    self.handle.registerTimer(due)
+            if due is not None:
+                self.open.update((last, signals, times.tobytes(), counts.tobytes(), due))
+            elif timer is not None:
+                self.open.clear()
 
         @staticmethod
         def _horizon(timerValues):
@@ -117,30 +126,27 @@ def _processor(seconds: dict[str, int]):
         def handleInputRows(self, key, rows, timerValues):
             rule, user = key
             step, horizon = seconds[rule] * 1_000_000, self._horizon(timerValues)
-            times, counts, untimed = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-            for chunk in rows:  # equal times are one entry with a count
-                timed = chunk["micros"].dropna().astype("int64").to_numpy()
-                untimed += len(chunk) - len(timed)
-                t, at = np.unique(np.concatenate([times, timed]), return_inverse=True)
-                counts = np.bincount(at, np.concatenate([counts, np.ones(len(timed), np.int64)]), len(t)).astype(np.int64)
-                times = t
+            seen = Counter(r.micros for r in rows)  # equal times are one entry with a count
+            untimed = seen.pop(None, 0)
+            times = np.array(sorted(seen), np.int64)
+            counts = np.array([seen[t] for t in times.tolist()], np.int64)
             k = int(np.searchsorted(times, horizon))
-            out = [(rule, user, stamp(int(t)), int(n), pd.NaT, seconds[rule], True) for t, n in zip(times[:k], counts[:k])]
+            for t, n in zip(times[:k].tolist(), counts[:k].tolist()):
+                yield log(rule, user, stamp(t), n, None, seconds[rule], True)
             if k < len(times):
                 last, signals, old, held, timer = self._held()
                 t, at = np.unique(np.concatenate([old, times[k:]]), return_inverse=True)
                 n = np.bincount(at, np.concatenate([held, counts[k:]]), len(t)).astype(np.int64)
                 alerts = raised(last, signals, t, n, step)
                 since = stamp(alerts[0][0])
-                out += [(rule, user, stamp(a), c, since, seconds[rule], False) for a, c in alerts]
                 self._settle((last, signals, t, n, timer), horizon, step)
+                for a, c in alerts:
+                    yield log(rule, user, stamp(a), c, since, seconds[rule], False)
             if untimed:
-                out.append((rule, user, pd.NaT, untimed, pd.NaT, seconds[rule], False))
-            yield pd.DataFrame(out, columns=columns)
+                yield log(rule, user, None, untimed, None, seconds[rule], False)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-            held = self._held()
-            self._settle((*held[:4], None), self._horizon(timerValues), seconds[key[0]] * 1_000_000)
+            self._settle(self._held(), self._horizon(timerValues), seconds[key[0]] * 1_000_000, fired=True)
             return iter(())
 
         def close(self):
@@ -157,7 +163,7 @@ def cooldown_alerts(signals: DataFrame, cooldowns: dict[str, int], lateness: str
     Signals without a time form one alert of their own, which only grows.
     """
     marked = signals.withWatermark("ts", lateness).select("rule", "key", "micros")
-    return marked.groupBy("rule", "key").transformWithStateInPandas(_processor(dict(cooldowns)), LOG, "Update", "EventTime")
+    return marked.groupBy("rule", "key").transformWithState(_processor(dict(cooldowns)), LOG, "Update", "EventTime")
 
 
 def _log(spark: SparkSession, table: str) -> DataFrame:
