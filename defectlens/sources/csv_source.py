@@ -110,8 +110,8 @@ def upsert_dimension(current: DataFrame | None, new: DataFrame, key: str = "spri
     return u.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "_seq")
 
 
-def write_issue_csv(df: DataFrame, path: str, header_names: dict[str, str]) -> None:
+def write_issue_csv(df: DataFrame, path: str, header_names: dict[str, str], mode: str = "overwrite") -> None:
     """CSV sink with custom header names (used to produce test inputs)."""
     out = df.select(*[F.col(c).alias(h) for c, h in header_names.items()])
-    out.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"') \
+    out.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"') \
         .option("quoteAll", False).csv(path)

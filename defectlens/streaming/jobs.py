@@ -2,9 +2,9 @@
 
 T1  auto-refresh: issue files arriving in a folder -> the A1 sprint roll-up,
     kept current with ``complete`` output (state = one row per sprint).
-T2  upload -> load -> rebuild: CSV files arriving in a folder are parsed
-    (S1-S3, N4), appended to the issue table and the sprint dimension is
-    upserted (S10) inside ``foreachBatch``.
+T2  upload -> load -> rebuild: CSV files arriving in a folder are backed up
+    as cells, read by their own headers (S1-S3, N4), appended to the issue
+    table; roll-up and sprint dimension (S10) follow inside ``foreachBatch``.
 T3  alert cooldown: events become alert signals; after an alert its
     (rule, key) is silent for the cooldown of its severity.  The state is
     bounded by the lateness allowed (``cooldown.py``).
@@ -26,7 +26,8 @@ from pyspark.sql import types as T
 from defectlens import config as C
 from defectlens.operators import rollups as R
 from defectlens.session import scratch_path
-from defectlens.sources.csv_source import canonical_issues, sprint_dimension, upsert_dimension
+from defectlens.sources import header_map as HM
+from defectlens.sources.csv_source import sprint_dimension, upsert_dimension
 from defectlens.streaming.cooldown import (LATENESS, ROCKSDB, alert_signals, cooldown_alerts, current_alerts, late_signals,  # noqa: F401
                                            rule_signals, settled_alerts)
 
@@ -62,15 +63,21 @@ def _start(spark: SparkSession, writer, state_partitions: int | None, settings:
 
 def sprint_rollup_stream(spark: SparkSession, source_dir: str, schema: T.StructType, sink: str,
                          checkpoint: str, available_now: bool = True, max_files: int = 1,
-                         state_partitions: int | None = None, rollup=R.issues_by_sprint):
+                         state_partitions: int | None = None, rollup=R.issues_by_sprint, versioned: bool = False):
     """A1 (or another one-aggregate ``rollup``: A2, A8) over an issue file
     stream; each micro-batch overwrites the sink with the current roll-up
-    (complete mode; state = the roll-up's groups)."""
+    (complete mode; state = the roll-up's groups).  ``versioned`` writes each
+    roll-up as an epoch of its own and keeps the one before, so that a reader
+    (``read_latest_epoch``) never finds the sink empty or half written."""
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source_dir))
     agg = rollup(stream)
 
-    def publish(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(sink)
+    def publish(batch: DataFrame, epoch: int) -> None:
+        if not versioned:
+            batch.write.mode("overwrite").parquet(sink)
+            return
+        _write_epoch(batch, sink, epoch)
+        _drop_epochs(spark, sink, epoch - 1)
 
     w = agg.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(publish)
     return _start(spark, _trigger(w, available_now), state_partitions)
@@ -84,6 +91,16 @@ def _write_epoch(df: DataFrame, root: str, epoch: int) -> None:
        .option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(root))
 
 
+def _drop_epochs(spark: SparkSession, root: str, before: int) -> None:
+    """Delete the epochs of a versioned table that came before ``before``."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    for s in fs.listStatus(p):
+        name = s.getPath().getName()
+        if name.startswith("epoch=") and int(name[len("epoch="):]) < before:
+            fs.delete(s.getPath(), True)
+
+
 def read_epochs(spark: SparkSession, root: str) -> DataFrame:
     """All rows of an epoch-partitioned sink (the epoch column dropped)."""
     return spark.read.parquet(root).drop("epoch")
@@ -100,32 +117,62 @@ def read_latest_epoch(spark: SparkSession, root: str, before: int | None = None)
 
 
 def csv_ingest_stream(spark: SparkSession, source_dir: str, table: str, dim: str, checkpoint: str,
-                      available_now: bool = True, max_files: int = 1):
+                      available_now: bool = True, max_files: int = 1, raw: str | None = None, rejected: str | None = None,
+                      rollup: str | None = None):
     """CSV drop folder -> canonical issues appended to ``table``; the
     sprint dimension is upserted (S10) into a new version of ``dim`` per
-    epoch.  Both sinks are epoch-partitioned and written idempotently, so a
-    replayed batch after a failure neither duplicates issues nor loses
-    dimension rows (the previous version stays intact until the next one is
-    committed)."""
-    header = spark.read.option("header", True).csv(source_dir).schema
-    stream = (spark.readStream.schema(header).option("header", True).option("multiLine", True)
-              .option("quote", '"').option("escape", '"').option("maxFilesPerTrigger", max_files).csv(source_dir))
-    from defectlens.functions.text import normalize_header
-    stream = stream.toDF(*[normalize_header(c) for c in stream.columns])
+    epoch.  Every file is read by its own header (``header_map``).
+
+    A micro-batch first lands as cells in ``raw`` (the backup of the upload,
+    parsed once), then its issues, the files rejected with their reason, its
+    part of the sprint roll-up (A1; ``summed_rollup`` adds the parts up) and
+    the dimension are written.  All sinks are epoch-partitioned and written
+    idempotently, so a replayed batch after a failure neither duplicates
+    issues nor loses dimension rows (the previous version stays intact until
+    the next one is committed).  Sinks not named stand beside ``table``."""
+    raw, rejected, rollup = raw or f"{table}_raw", rejected or f"{table}_rejected", rollup or f"{table}_rollup"
 
     def load(batch: DataFrame, epoch: int) -> None:
-        _write_epoch(canonical_issues(batch), table, epoch)
-        # the dimension reads the rows just written, so the CSV is parsed once
-        issues = spark.read.parquet(table).filter(F.col("epoch") == epoch).drop("epoch")
+        _write_epoch(HM.in_file_order(batch), raw, epoch)
+        if not path_exists(spark, f"{raw}/epoch={epoch}"):
+            return  # no file of the batch has a row
+        rows = _epoch(spark, raw, epoch)
+        headers = HM.file_headers(rows)
+        _write_epoch(HM.issues_of(rows, headers), table, epoch)
+        _write_epoch(HM.rejected_files(headers), rejected, epoch)
+        if not path_exists(spark, f"{table}/epoch={epoch}"):
+            return  # all files rejected, or headers alone
+        issues = _epoch(spark, table, epoch)
+        _write_epoch(R.issues_by_sprint(issues), rollup, epoch)
         new_dim = sprint_dimension(issues)
         # Only a table that does not exist yet is a first batch; any other error fails it.
         cur = read_latest_epoch(spark, dim, before=epoch) if path_exists(spark, dim) else None
         _write_epoch(upsert_dimension(cur, new_dim), dim, epoch)
 
+    stream = HM.stream_cells(spark, source_dir, max_files)
     w = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(load)
     return _trigger(w, available_now).start()
 
 
+def _epoch(spark: SparkSession, root: str, epoch: int) -> DataFrame:
+    """The rows of one epoch; other epochs' folders are not listed."""
+    return spark.read.parquet(f"{root}/epoch={epoch}")
+
+
+def read_rejected(spark: SparkSession, root: str) -> DataFrame:
+    """Files that were not loaded: file, reason, header; none before the first."""
+    empty = spark.createDataFrame([], "file string, reason string, header string")
+    if not path_exists(spark, root):
+        return empty
+    return spark.read.schema("file string, reason string, header string, epoch long").parquet(root).drop("epoch")
+
+
+def summed_rollup(spark: SparkSession, root: str) -> DataFrame:
+    """A1 over all loads: the epochs' parts added up (their counts are sums)."""
+    parts = read_epochs(spark, root)
+    return parts.groupBy("sprint").agg(*[F.sum(c).alias(c) for c in parts.columns if c != "sprint"])
+
+
 def cooldown_stream(spark: SparkSession, stream: DataFrame, table: str, checkpoint: str, rules: list[tuple[str, str, str]],
                     available_now: bool = True, state_partitions: int | None = None, lateness: str = LATENESS):
     """T3 as a stream over events: ``rules`` are (rule, event type, severity);
