@@ -49,6 +49,8 @@ LENGTH = 400
 GRAM = 128
 SHARD = 1000
 BATCH_BYTES = 1 << 20
+#: Parts that the copies of one text are dealt to.
+SALTS = 16
 _PLACE = np.uint64((1 << 24) - 1)
 #: Windows handled at once; longer texts are cut into overlapping parts.
 PART = 1 << 22
@@ -300,55 +302,66 @@ def _placed(segments: DataFrame) -> DataFrame:
     return dealt
 
 
-def cut_texts(joined: DataFrame, length: int, with_text: bool = False) -> DataFrame:
-    """n_removed, n_spans, kept_sha256 (and kept) of rows with doc_id, key, text and spans."""
+CUT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, text string"
+
+
+def cut_texts(joined: DataFrame, length: int) -> DataFrame:
+    """``CUT`` columns of rows with doc_id, text, ``whole`` (all of it goes) and ``spans`` (of first and last starts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            removed, spans_, digests, kept = [], [], [], []
-            for text, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist()):
-                raw = np.frombuffer(text.encode(), np.uint8)
-                gone = np.zeros(len(raw) + 1, np.int64)
-                at = np.array([(x["s"], x["e"] + length) for x in spans], np.int64).reshape(-1, 2)
-                np.add.at(gone, at[:, 0], 1)
-                np.subtract.at(gone, at[:, 1], 1)
-                flags = np.cumsum(gone[:-1]) > 0
-                left = raw[~flags].tobytes()
-                removed.append(int(flags.sum()))
-                spans_.append(len(runs_of(flags)[0]))
-                digests.append(hashlib.sha256(left).hexdigest())
-                kept.append(left)
-            arrays = [b.column("doc_id"), b.column("key"), pa.array(removed, pa.int64()), pa.array(spans_, pa.int64()), pa.array(digests)]
-            names = ["doc_id", "key", "n_removed", "n_spans", "kept_sha256"]
-            yield pa.RecordBatch.from_arrays(arrays + ([pa.array(kept, pa.binary())] if with_text else []), names + (["kept"] if with_text else []))
-
-    return in_arrow(joined, run, "doc_id bigint, key bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept binary" if with_text else ""))
+            out = []
+            for text, whole, spans in zip(*(b.column(c).to_pylist() for c in ("text", "whole", "spans"))):
+                raw = text.encode()
+                if whole:
+                    out.append((len(raw), len(raw), 1, hashlib.sha256(b"").hexdigest(), ""))
+                elif spans is None:
+                    out.append((len(raw), 0, 0, hashlib.sha256(raw).hexdigest(), text))
+                else:
+                    gone = np.zeros(len(raw) + 1, np.int64)
+                    at = np.array([(x["s"], x["e"] + length) for x in spans], np.int64).reshape(-1, 2)
+                    np.add.at(gone, at[:, 0], 1)
+                    np.subtract.at(gone, at[:, 1], 1)
+                    flags = np.cumsum(gone[:-1]) > 0
+                    left = np.frombuffer(raw, np.uint8)[~flags].tobytes()
+                    out.append((len(raw), int(flags.sum()), len(runs_of(flags)[0]), hashlib.sha256(left).hexdigest(), left.decode(errors="ignore")))
+            columns = list(zip(*out)) or [()] * 5
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string()), pa.array(columns[4], pa.string())],
+                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
+
+    return in_arrow(joined, run, CUT)
+
+
+def copied_texts(source: DataFrame, length: int) -> DataFrame:
+    """(doc_id, key) of texts of ``length`` bytes or more that occur in several rows: all of them occurs elsewhere.
+
+    Only digests that occur twice are joined, under ``SALTS`` numbers, so that
+    the copies of one text are spread over as many tasks.
+    """
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
+    index = staged(source.filter(F.octet_length("text") >= length).select("doc_id", "key", F.sha2("text", 256).alias("sha"), salt.alias("salt")), "suffix-index")
+    several = index.groupBy("sha").agg(F.count("*").alias("copies")).filter("copies > 1")
+    several = several.select("sha", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")).alias("salt"))
+    return index.join(several, ["sha", "salt"], "left_semi").select("doc_id", "key").distinct()
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, keep: str = "none", gram: int = GRAM, shard: int = SHARD) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the remaining ``text`` of every row.
+
+    The digest is that of the remaining bytes.  Where a cut splits a character,
+    ``text`` leaves its other bytes out.
+    """
     text = text_or_empty()
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
-    index = staged(source.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "suffix-index")
-    spans = staged(removed_spans(source, length, keep, gram, shard), "suffix-spans")
+    changed = removed_spans(source, length, keep, gram, shard).withColumn("whole", F.lit(False))
     if keep == "none":
-        # copies of a whole text: all of it occurs elsewhere, no text is needed
-        copies = index.groupBy("sha").agg(F.count("*").alias("copies"))
-        index = index.join(copies, "sha")
-        single = index.filter("copies = 1").select(F.col("doc_id").alias("i"), F.col("key").alias("k"))
-        spans = spans.join(single, spans["doc_id"].eqNullSafe(single["i"]) & (spans["key"] == single["k"]), "left_semi")
-    else:
-        index = index.withColumn("copies", F.lit(1))
-    wanted = spans.select(F.col("doc_id").alias("i"), F.col("key").alias("k"), "spans")
-    joined = source.join(wanted, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("i"))).select("doc_id", "key", "text", "spans")
-    cut = cut_texts(joined, length).dropDuplicates(["doc_id", "key"])
-    cut = cut.select(F.col("doc_id").alias("i"), F.col("key").alias("k"), "n_removed", "n_spans", "kept_sha256")
-    all_ = index.join(cut, (index["key"] == cut["k"]) & index["doc_id"].eqNullSafe(cut["i"]), "left")
-    whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
-    return all_.select(
-        "doc_id", "n_bytes", F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"))
+        copies = staged(copied_texts(source, length).withColumn("whole", F.lit(True)), "suffix-copies")
+        same = changed["doc_id"].eqNullSafe(copies["doc_id"]) & (changed["key"] == copies["key"])
+        changed = changed.join(copies, same, "left_anti").unionByName(copies, allowMissingColumns=True)
+    changed = staged(changed.select(F.col("doc_id").alias("i"), F.col("key").alias("k"), "whole", "spans"), "suffix-spans")
+    joined = source.join(changed, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("i")), "left")
+    return cut_texts(joined.select("doc_id", "text", "whole", "spans"), length)
 
 
 def suffix_report(docs: DataFrame) -> DataFrame:

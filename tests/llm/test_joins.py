@@ -178,6 +178,23 @@ def test_suffix_dedup_of_null_and_repeated_ids(make_docs):
     assert suffixes.suffix_report(make_docs([])).count() == 0
 
 
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_suffix_dedup_returns_the_rest(make_docs, monkeypatch, keep):
+    """The remaining text is the bytes of the digest; a split character is left out."""
+    rng = random.Random(8)
+    rows = repeated_texts(rng)
+    got = suffixes.dedup(make_docs(rows), 40, keep, 12).collect()
+    texts = dict(rows)
+    for r in got:
+        kept = r["text"].encode()
+        assert r["n_bytes"] - r["n_removed"] - len(kept) in (0, 1, 2)
+        if not r["n_removed"]:
+            assert r["text"] == (texts[r["doc_id"]] or "")
+        if r["n_bytes"] - r["n_removed"] == len(kept):
+            assert hashlib.sha256(kept).hexdigest() == r["kept_sha256"]
+    assert any(r["n_removed"] for r in got)
+
+
 def test_texts_longer_than_a_part(make_docs, monkeypatch):
     monkeypatch.setattr(suffixes, "PART", 64)
     rows = repeated_texts(random.Random(6))[:20]
