@@ -10,10 +10,15 @@ whole thousandths of a bit, so a score is an exact integer sum.
 Labelled samples: random are the values that the base patterns find in all
 texts (distinct, the first ``MAX_SAMPLES`` in md5 order) and
 ``GENERATED`` seeded digests in three alphabets; ordinary are the other words,
-too short to be judged themselves, of the first ``SAMPLE_DOCS`` documents in md5 order of their id (distinct, the
-first ``MAX_SAMPLES`` in md5 order).  The bounds limit the fit only: every
+too short to be judged themselves, of the first ``SAMPLE_DOCS`` distinct ids in md5 order (null: an id; of a repeated
+id the text with the least md5), distinct, the first ``MAX_SAMPLES`` in md5 order.  The bounds limit the fit only: every
 document is scanned.
 
+A text's spans are found without a growing accumulator (it would be copied at
+each step): places are prefix sums in chunks of ``CHUNK``, overlaps come from
+prefix maxima over the sorted spans, and texts are cut by byte offsets kept
+beside the code points.
+
 Edge cases: null text counts as empty; a text without a secret has empty
 spans and the digest of the empty string; repeated rows are scanned one by
 one; an empty table gives an empty result; other columns are carried by
@@ -44,7 +49,34 @@ GENERATED = 2000
 SMOOTHING = 20
 THRESHOLD = 20000
 MASK = "[REDACTED]"
-_SPAN = "array<struct<s:int,k:int,e:int,v:string>>"
+#: Values that a prefix sum adds up directly; whole chunks are added up before.
+CHUNK = 64
+#: Start, kind, end (code points), matched text, start and end in bytes.
+_SPAN = "array<struct<s:int,k:int,e:int,v:string,bs:int,be:int>>"
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` over a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _before(values: Column, op) -> Column:
+    """For each of an array of integers, ``op`` over those before it (0 for the first)."""
+    fold = lambda x: F.aggregate(x, F.lit(0), lambda a, b: op(a, b))
+
+    def placed(v: Column) -> Column:
+        chunks = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / CHUNK).cast("int"))
+        totals = F.transform(chunks, lambda c: fold(F.slice(v, c * CHUNK + 1, F.lit(CHUNK))))
+        starts = _let(totals, lambda t: F.transform(chunks, lambda c: fold(F.slice(t, F.lit(1), c))))
+        at = lambda i: F.floor(i / CHUNK).cast("int")
+        return _let(starts, lambda st: F.transform(v, lambda x, i: op(
+            F.get(st, at(i)), fold(F.slice(v, at(i) * CHUNK + 1, i % CHUNK)))))
+
+    return _let(values, lambda v: F.when(F.size(v) > 0, placed(v)).otherwise(F.array().cast("array<int>")))
+
+
+def _add(a: Column, b: Column) -> Column:
+    return a + b
 
 
 def _spans(t: Column, pattern: str, kind: int, keep) -> Column:
@@ -53,17 +85,22 @@ def _spans(t: Column, pattern: str, kind: int, keep) -> Column:
     The pieces between the matches and the matches themselves add up to the
     text; their running length gives each start.
     """
-    parts = F.zip_with(F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(pattern), F.lit(0)),
-                       lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    parts = F.filter(F.zip_with(F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda gap, hit: F.struct(
+        F.length(gap).alias("gap"), F.octet_length(gap).alias("bytes"), hit.alias("hit"),
+        F.length(hit).alias("n"), F.octet_length(hit).alias("nb"))), lambda x: x["hit"].isNotNull())
+
+    def spans(p: Column) -> Column:
+        chars, octets = _before(F.transform(p, lambda x: x["gap"] + x["n"]), _add), _before(F.transform(p, lambda x: x["bytes"] + x["nb"]), _add)
+        at = F.arrays_zip(p.alias("p"), chars.alias("c"), octets.alias("o"))
 
-    def add(a: Column, x: Column) -> Column:
-        s = a["at"] + x["gap"]
-        e = s + F.length(x["hit"])
-        span = F.struct(s.alias("s"), F.lit(kind).alias("k"), e.alias("e"), x["hit"].alias("v"))
-        return F.struct(e.alias("at"), F.when(keep(x["hit"]), F.array_append(a["out"], span)).otherwise(a["out"]).alias("out"))
+        def span(x: Column) -> Column:
+            s, bs = x["c"] + x["p"]["gap"], x["o"] + x["p"]["bytes"]
+            return F.struct(s.alias("s"), F.lit(kind).alias("k"), (s + x["p"]["n"]).alias("e"), x["p"]["hit"].alias("v"),
+                            bs.alias("bs"), (bs + x["p"]["nb"]).alias("be"))
 
-    return F.aggregate(F.filter(parts, lambda x: x["hit"].isNotNull()), start, add, lambda a: a["out"])
+        return F.filter(F.transform(at, span), lambda x: keep(x["v"]))
+
+    return _let(parts, spans)
 
 
 def base_spans(t: Column) -> Column:
@@ -107,6 +144,15 @@ def first_by_digest(df: DataFrame, digest: str, limit: int, n: int) -> DataFrame
     return df.orderBy(digest).limit(limit)
 
 
+def some_ids(texts: DataFrame, n: int) -> DataFrame:
+    """One text of each of the first ``SAMPLE_DOCS`` of ``n`` distinct id digests ``o``."""
+    share = min(1.0, 2.0 * SAMPLE_DOCS / max(n, 1)) if n > 2 * SAMPLE_DOCS else 1.0
+    if share < 1.0:
+        texts = texts.filter(F.col("o") < F.lit(format(int(share * (1 << 32)), "08x")))
+    one = texts.groupBy("o").agg(F.min_by("t", F.md5(F.col("t").cast("binary"))).alias("t"))
+    return one.orderBy("o").limit(SAMPLE_DOCS)
+
+
 def labelled_samples(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     """(value, label): see the module's text for where they come from."""
     found = (scanned.select(F.explode("base").alias("x"))
@@ -114,7 +160,7 @@ def labelled_samples(docs: DataFrame, scanned: DataFrame) -> DataFrame:
              .distinct().withColumn("o", F.md5(F.col("value").cast("binary"))))
     found = first_by_digest(found, "o", MAX_SAMPLES, found.count()).drop("o")
     some = docs.select(text_or_empty().alias("t"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("o"))
-    some = first_by_digest(some, "o", SAMPLE_DOCS, docs.count())
+    some = some_ids(some, some.select("o").distinct().count())
     words = (some.select(F.explode(F.regexp_extract_all("t", F.lit(f"[{RUN_CHARS}]+"), F.lit(0))).alias("value"))
              .filter(F.length("value").between(4, MIN_RUN - 1)).distinct()
              .join(found, "value", "left_anti").orderBy(F.md5(F.col("value").cast("binary"))).limit(MAX_SAMPLES))
@@ -155,20 +201,35 @@ def ratio(value: Column, weights: Column) -> Column:
     """Log-likelihood ratio of a run, random against ordinary."""
     n = len(ALPHABET)
     codes = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
-    return F.aggregate(
-        F.transform(F.sequence(F.lit(1), F.length(value) - 1), lambda i: F.struct(
-            F.instr(F.lit(ALPHABET), F.substring(value, i, F.lit(1))).alias("a"),
-            F.instr(F.lit(ALPHABET), F.substring(value, i + 1, F.lit(1))).alias("b"))),
-        F.lit(0).cast("long"),
-        lambda s, x: s + F.element_at(weights, (x["a"] - 1) * n + x["b"]))
+    return _let(codes, lambda c: F.aggregate(
+        F.sequence(F.lit(1), F.length(value) - 1), F.lit(0).cast("long"),
+        lambda s, i: s + F.element_at(weights, F.get(c, i - 1) * n + F.get(c, i) + 1)))
+
+
+def _apart(runs: Column, base: Column) -> Column:
+    """The runs that no base span overlaps, by one sweep over both in the order of their starts.
+
+    Runs lie apart from each other, so a span that starts inside a run comes
+    right after it; one that starts before reaches into it if the furthest end
+    so far does.
+    """
+    def sweep(both: Column) -> Column:
+        reach = _before(F.transform(both, lambda x: F.when(x["k"] < 3, x["e"]).otherwise(0)), F.greatest)
+        follows = F.transform(both, lambda x, i: F.get(both, i + 1))
+        seen = F.arrays_zip(both.alias("x"), reach.alias("reach"), follows.alias("next"))
+        hit = lambda p: ((p["reach"] > p["x"]["s"])
+                         | F.coalesce((p["next"]["k"] < 3) & (p["next"]["s"] < p["x"]["e"]), F.lit(False)))
+        return F.transform(F.filter(seen, lambda p: (p["x"]["k"] == 3) & ~hit(p)), lambda p: p["x"])
+
+    return _let(F.array_sort(F.concat(base, runs)), sweep)
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """``row`` (all input columns), ``base`` spans and ``runs`` to be judged."""
     t = text_or_empty(text)
-    runs = F.filter("runs0", lambda r: ~F.exists("base", lambda b: (b["s"] < r["e"]) & (r["s"] < b["e"])))
     return (docs.select(F.struct("*").alias("row"), base_spans(t).alias("base"), run_spans(t).alias("runs0"))
-            .withColumn("runs", F.when(F.size("runs0") > 0, runs).otherwise(F.col("runs0"))).drop("runs0"))
+            .withColumn("runs", F.when((F.size("runs0") > 0) & (F.size("base") > 0), _apart(F.col("runs0"), F.col("base")))
+                        .otherwise(F.col("runs0"))).drop("runs0"))
 
 
 def all_spans(scanned: DataFrame, model: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -202,17 +263,16 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     model = staged(train(labelled_samples(plain, full)), "secret-model")
     df = all_spans(full, model)
     t = F.col(f"row.`{text}`")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def add(a: Column, x: Column) -> Column:
-        gap = F.substring(t, a["at"] + 1, F.greatest(x["s"] - a["at"], F.lit(0)))
-        return F.struct(F.greatest(a["at"], x["e"]).alias("at"),
-                        F.when(x["e"] <= a["at"], a["out"])
-                        .when(x["s"] < a["at"], a["out"])
-                        .otherwise(F.concat(a["out"], F.array(gap, F.lit(MASK)))).alias("out"))
+    def masked_text(raw: Column) -> Column:
+        ends = _before(F.transform("spans", lambda x: x["be"]), F.greatest)
+        cut = F.arrays_zip(F.col("spans").alias("x"), ends.alias("at"))
+        piece = lambda p: F.concat(F.substring(raw, p["at"] + 1, p["x"]["bs"] - p["at"]).cast("string"), F.lit(MASK))
+        pieces = F.transform(F.filter(cut, lambda p: p["x"]["bs"] >= p["at"]), piece)
+        last = F.array_max(F.transform("spans", lambda x: x["be"]))
+        return F.concat(F.array_join(pieces, ""), F.substring(raw, last + 1, F.octet_length(raw)).cast("string"))
 
-    masked = F.aggregate("spans", start, add, lambda a: F.concat(
-        F.array_join(a["out"], ""), F.substring(t, a["at"] + 1, F.length(t))))
+    masked = _let(t.cast("binary"), masked_text)
     return df.select(*[F.when(F.size("spans") > 0, masked).otherwise(t).alias(c) if c == text
                        else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
@@ -242,7 +302,7 @@ WITH d AS (
 ), found AS (
   SELECT DISTINCT val AS v FROM base ORDER BY md5(val) LIMIT 50000
 ), chosen AS (
-  SELECT t FROM d ORDER BY md5(coalesce(doc_id::VARCHAR, '')), t LIMIT 2000
+  SELECT arg_min(t, md5(t)) AS t FROM d GROUP BY md5(coalesce(doc_id::VARCHAR, '')) ORDER BY md5(coalesce(doc_id::VARCHAR, '')) LIMIT 2000
 ), words AS (
   SELECT v FROM (SELECT DISTINCT unnest(regexp_extract_all(t, '[A-Za-z0-9+/_-]+')) AS v FROM chosen)
   WHERE length(v) BETWEEN 4 AND 19 AND v NOT IN (SELECT v FROM found) ORDER BY md5(v) LIMIT 50000

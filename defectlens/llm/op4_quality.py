@@ -8,11 +8,12 @@ that loses too large a part of its word characters is rejected:
   tenth of them;
 * navigation: three or more separators (a bar, a bullet, a guillemet between
   spaces);
-* boilerplate: the line holds one of the listed phrases (any case) and has
-  fewer than ``SHORT_WORDS`` words, or the phrases are at least half of its
-  word characters.  A longer line that mentions a phrase is content.  The SQL
-  below fails such a line too; it agrees where phrases stand in short lines,
-  as in the test tables.
+* boilerplate: the line holds one of the listed phrases (any case; "released
+  under the" only in a line that names a licence) and has fewer than
+  ``SHORT_WORDS`` words, or the phrases are at least half of its word
+  characters.  A longer line that mentions a phrase is content.
+
+All patterns run in time linear in the line, however long its words are.
 
 Edge cases: null text counts as empty; lines without a word are left alone
 and weigh nothing; a document without words has n_words = 0 and fails the
@@ -30,9 +31,13 @@ from defectlens.llm.common import text_or_empty
 SPACES = "[ \\t-\\r]+"
 SYMBOLS = "[#*$%&|<>]"
 SEPARATORS = "[ \\t][|\u2022\u00b7\u00bb][ \\t]"
-_LICENCE = "(?=.*\\b(?:licen[cs]es?|[al]?gpl|mit|bsd|apache|creative commons|public domain)\\b)"
-PHRASES = ("(?<![a-z])(?:all rights reserved|licensed under|released under the" + _LICENCE + "|this work is licensed|"
-           "cookie policy|privacy policy|terms of use|terms of service|click here|sign up|log in)(?![a-z])")
+_LICENCE = "licen[cs]es?|[al]?gpl|mit|bsd|apache|creative commons|public domain"
+_PHRASES = ("all rights reserved|licensed under|this work is licensed|cookie policy|privacy policy|terms of use|terms of service|"
+            "click here|sign up|log in")
+_RELEASED = "released under the"
+LICENCE = f"(?<![a-z])(?:{_LICENCE})(?![a-z])"
+PHRASES = f"(?<![a-z])(?:{_PHRASES})(?![a-z])"
+LICENCE_PHRASES = f"(?<![a-z])(?:{_PHRASES}|{_RELEASED})(?![a-z])"
 SHORT_WORDS = 20
 PHRASE_PERCENT = 50
 WINDOW = 8
@@ -63,20 +68,17 @@ def line_fails(line: Column) -> Column:
                    | ((marks >= MARKS) & (marks * 100 > solid * MARK_PERCENT)))
     navigation = _count(line, SEPARATORS) >= MIN_SEPARATORS
     low = F.lower(line)
-    rest = _solid(F.regexp_replace(low, PHRASES, " "))
-    few = ~line.rlike(f"(?:[^ \\t-\\r]+{SPACES}){{{SHORT_WORDS - 1}}}[^ \\t-\\r]")
-    boilerplate = low.rlike(PHRASES) & (few | ((_solid(low) - rest) * 100 >= _solid(low) * PHRASE_PERCENT))
+    found = F.when(low.contains(_RELEASED) & low.rlike(LICENCE), F.regexp_replace(low, LICENCE_PHRASES, " ")).otherwise(
+        F.regexp_replace(low, PHRASES, " "))
+    few = _count(line, "[^ \\t-\\r]+") < SHORT_WORDS
+    named = low.rlike(LICENCE_PHRASES)  # asked first: most lines hold no phrase
+    boilerplate = named & (found != low) & (few | ((_solid(low) - _solid(found)) * 100 >= _solid(low) * PHRASE_PERCENT))
     return punctuation | navigation | boilerplate  # each needs a word character
 
 
-def _repeat_words(h: Column) -> Column:
-    """Words in windows found twice or more, from the window fingerprints.
-
-    Equal fingerprints are neighbours once sorted; the positions of such
-    windows, in order, each cover eight words less the overlap with the next.
-    """
-    ranked = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-    return ranked
+def _ranked(h: Column) -> Column:
+    """Window fingerprints with their places, sorted: equal ones are neighbours."""
+    return F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
 
 
 def judged(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -90,7 +92,8 @@ def judged(docs: DataFrame, text: str = "text") -> DataFrame:
         F.slice("wh", 1, n - (WINDOW - 1)),
         lambda x, i: F.xxhash64(x, *[F.get("wh", i + k) for k in range(1, WINDOW)]))).otherwise(F.array().cast("array<bigint>")))
     df = df.withColumn("repeats", F.size(F.array_distinct("h")) < F.size("h"))
-    df = df.withColumn("ranked", F.when(F.col("repeats"), _repeat_words(F.col("h"))))
+    df = df.withColumn("ranked", F.when(F.col("repeats"), _ranked(F.col("h"))))
+    # the places of windows found twice, in order: each covers eight words less the overlap with the next
     df = df.withColumn("at", F.when(F.col("repeats"), F.sort_array(F.transform(
         F.filter("ranked", lambda x, i: ((i > 0) & (x["h"] == F.get("ranked", i - 1)["h"]))
                  | F.coalesce(x["h"] == F.get("ranked", i + 1)["h"], F.lit(False))),
@@ -134,6 +137,9 @@ def quality_report(docs: DataFrame) -> DataFrame:
         "base_failed", "kept", "lost_chars")
 
 
+# Neither engine's longest common pattern language looks around, so the SQL doubles every character but
+# a-z: a phrase may then take one copy on each side and leaves the other to its neighbours.
+_DOUBLED = (_PHRASES + "|" + _RELEASED).replace(" ", "  ")
 ORACLE = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents
@@ -153,13 +159,18 @@ WITH d AS (
     length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) AS n_sym,
     length(line) - length(regexp_replace(line, '[!?]', '', 'g')) AS n_mark,
     len(regexp_extract_all(line, '[ \t][|•·»][ \t]')) AS n_sep,
-    regexp_matches(lower(line), '(?:^|[^a-z])(?:all rights reserved|licensed under|released under the|this work is licensed|cookie policy|privacy policy|terms of use|terms of service|click here|sign up|log in)') AS phrase
+    length(regexp_replace(lower(line), '[\x20\x09-\x0D]', '', 'g')) AS low_solid, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n_line_words,
+    list_filter(regexp_extract_all(' ' || regexp_replace(lower(line), '([^a-z])', '\1\1', 'g') || ' ', '[^a-z](@doubled)[^a-z]', 1),
+      lambda p: p <> 'released  under  the' OR regexp_matches(lower(line), '(?:^|[^a-z])(?:@licence)(?:$|[^a-z])')) AS phrases
   FROM ln
+), lines AS (
+  SELECT *, len(phrases) > 0 AND (n_line_words < 20
+    OR length(replace(array_to_string(phrases, ''), ' ', '')) * 100 >= low_solid * 50) AS phrase FROM solid
 ), l AS (
   SELECT rid, count(*) - count(DISTINCT line) AS n_dup,
     sum(CASE WHEN n_sym * 100 > n_solid * 10 OR (n_mark >= 4 AND n_mark * 100 > n_solid * 10)
               OR n_sep >= 3 OR phrase THEN n_solid ELSE 0 END) AS lost
-  FROM solid WHERE n_solid > 0 GROUP BY rid
+  FROM lines WHERE n_solid > 0 GROUP BY rid
 ), m AS (
   SELECT w.doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
     (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
@@ -171,4 +182,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lost
   (n_words < 20 OR n_repeat_words * 100 > n_words * 30) AS base_failed,
   NOT (n_words < 20 OR n_repeat_words * 100 > n_words * 30) AND lost_chars * 100 <= word_chars * 50 AS kept
 FROM m
-"""
+""".replace("@doubled", _DOUBLED).replace("@licence", _LICENCE)
