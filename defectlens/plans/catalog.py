@@ -48,5 +48,5 @@ def register(name: str, operators: str, sql: str | None = None):
 
 def load_all() -> dict[str, QuerySpec]:
     # Import for the side effect of registration (order = catalog order).
-    from defectlens.plans import q_rollups, q_kpis, q_trends, q_rules, q_more, q_filters, q_io  # noqa: F401
+    from defectlens.plans import q_rollups, q_kpis, q_trends, q_rules, q_more, q_filters, q_io, q_tables  # noqa: F401
     return REGISTRY

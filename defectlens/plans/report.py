@@ -70,18 +70,20 @@ class QualityReport:
 
     def rule_recommendations(self, rules=None, user_rules: DataFrame | None = None) -> DataFrame:
         """The rule table evaluated on this report's metrics.
-        ``user_rules`` (metric, condition, text, priority; old or new metric
-        names) replace the defaults of the metrics they mention.  The merged
-        rule table is code-sized (tens of rows), so it is brought to the
-        driver once and compiled into one CASE."""
+        ``user_rules`` (rule_id, metric, condition, text, priority; old or new
+        metric names) replace the defaults of the metrics they mention.  The
+        merged table may be of any length: its conditions become intervals and
+        are joined (``rule_intervals``), nothing of it comes to the driver."""
+        from defectlens.operators import rule_intervals as RI
         from defectlens.operators.rule_table import DEFAULT_RULES
         table = list(rules or DEFAULT_RULES)
-        if user_rules is not None:
-            eff = RU.effective_rules(RU.rules_frame(self.issues.sparkSession, table), user_rules)
-            table = [(r.metric, r.condition, r.text, r.priority) for r in eff.orderBy("rule_id").collect()]
         cyc = K.cycle_time(self.sprints, R.priority_breakdown(self.issues, self.by), self.by) \
             .select(*self.by, "cycle_time", "critical_days")
-        return RU.evaluate_rules(RU.metric_fields(self.kpis(), cyc, self.by), table, self.by)
+        metrics = RU.metric_fields(self.kpis(), cyc, self.by)
+        if user_rules is None:
+            return RU.evaluate_rules(metrics, table, self.by)
+        effective = RU.effective_rules(RU.rules_frame(self.issues.sparkSession, table), user_rules)
+        return RI.evaluate_rule_table(metrics, effective, self.by)
 
     def maturity(self) -> DataFrame:
         return K.maturity(self.kpis(), self.by)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from defectlens.operators.numbering import positions
 from defectlens.sources.aliases import MODULE_ALIASES
 
 
@@ -39,18 +40,20 @@ def pick_fields(df: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def view_sprint_rows(rows: DataFrame, label_cols=("sprint", "sprint_name"), num_cols=("sprint_num", "sprint_number"),
-                     order_col: str | None = None) -> DataFrame:
+                     order_col: str | list[str] | None = None) -> DataFrame:
     """Sprint rows from a view: number = first parsable of the number
-    columns, else the row position (by ``order_col``); numeric fields made
-    safe (``try_cast`` to double, non-numbers -> 0)."""
+    columns, else the row position (by ``order_col``, numbered in two passes
+    without one task; give columns that settle ties); numeric fields made safe
+    (``try_cast`` to double, non-numbers -> 0)."""
     present = set(rows.columns)
     nums = [F.col(c).cast("string").try_cast("int") for c in num_cols if c in present]
     if not nums and not order_col:
         raise ValueError("rows without a number column need order_col for their position")
-    # sprint rows only: one row a sprint of a view, so one task can number them
-    pos = F.row_number().over(Window.orderBy(order_col)) if order_col else F.lit(None).cast("int")
+    if order_col:
+        rows = positions(rows, [order_col] if isinstance(order_col, str) else order_col, column="_place")
+    pos = (F.col("_place") + 1).cast("int") if order_col else F.lit(None).cast("int")
     labels = [F.nullif(F.col(c).cast("string"), F.lit("")) for c in label_cols if c in present]
-    out = rows.withColumn("sprint_num", F.coalesce(*nums, pos) if nums else pos)
+    out = rows.withColumn("sprint_num", F.coalesce(*nums, pos) if nums else pos).drop("_place")
     return out.withColumn("sprint", F.coalesce(*labels, F.concat(F.lit("Sprint "),
                                                                 F.col("sprint_num").cast("string"))))
 
