@@ -3,14 +3,15 @@
 1. Documents are dealt out by ranges of doc_id and encoded to ids in that
    order (one end id after each text); the ids are written once.
 2. Counts of the ids over all documents give the code lengths (package-merge,
-   at most ``MAX_BITS`` bits); only the lengths are stored, the codes are
-   canonical: by length, then id.
+   at most ``MAX_BITS`` bits); only the lengths are stored, beside the blocks,
+   as the codes are canonical: by length, then id.
 3. Blocks of whole documents, about ``BLOCK_IDS`` ids each, are packed bit by
    bit.  A block is a row of the output files and can be read alone: its
    place, its documents, its first start, the bit offset of every
    ``STEP``-th id, and the bits.
 4. Reading back decodes all checkpoints of a block side by side through one
-   table indexed by the next ``MAX_BITS`` bits.
+   table indexed by the next ``MAX_BITS`` bits, ``SECTION`` checkpoints at a
+   time.  It needs the folder alone, in any session.
 
 On the driver: the counts by id (bounded by the vocabulary) and the ids of
 each range (one number a partition).
@@ -29,18 +30,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from defectlens.llm.common import in_arrow, staged, text_or_empty, wide_parallelism
 from defectlens.llm.tokens import encoder, with_end
+from defectlens.session import scratch_path
 
 MAX_BITS = 18
 BLOCK_IDS = 1 << 17
 STEP = 128
+SECTION = 1 << 14
 IDS_SCHEMA = "doc_id bigint, part int, seq bigint, at bigint, n bigint, ids binary"
 BLOCK_SCHEMA = ("part int, block int, start bigint, n_ids bigint, doc_ids array<bigint>, doc_sizes array<bigint>, "
                 "checkpoints binary, bits binary")
+LENGTHS_SCHEMA = "id int, bits int"
 
 
 def binary_column(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
@@ -161,7 +165,7 @@ def decode_table(lengths: np.ndarray) -> np.ndarray:
 def pack_bits(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes, np.ndarray]:
     """The ids' codes one after another, and the bit offset of every STEP-th id."""
     if not len(ids):
-        return b"", np.zeros(0, np.uint32)
+        return b"", np.zeros(0, np.uint64)
     size = lengths.astype(np.uint64)[ids]
     at = np.cumsum(size) - size
     word = at >> np.uint64(5)
@@ -173,14 +177,25 @@ def pack_bits(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[
     total = np.zeros(len(begin) + 1, np.uint64)
     total[:-1] = np.add.reduceat(shifted >> np.uint64(32), begin)
     total[1:] += np.add.reduceat(shifted & np.uint64(0xFFFFFFFF), begin)
-    return total.astype(">u4").tobytes(), at[::STEP].astype(np.uint32)
+    return total.astype(">u4").tobytes(), at[::STEP]
 
 
 def unpack_bits(bits: bytes, checkpoints: np.ndarray, n: int, table: np.ndarray) -> np.ndarray:
-    """All ids of a block; every checkpoint advances by one id a step."""
+    """All ids of a block, a section of checkpoints after the other."""
+    out = []
+    for a in range(0, len(checkpoints), SECTION):
+        some = checkpoints[a:a + SECTION]
+        low = int(some[0]) >> 3
+        high = int(checkpoints[a + SECTION]) // 8 + 1 if a + SECTION < len(checkpoints) else len(bits)
+        # places inside a section need 32 bits only
+        out.append(_unpack_section(bits[low:high], (some - np.uint64(8 * low)).astype(np.uint32), table))
+    return np.concatenate(out)[:n] if out else np.zeros(0, np.uint32)
+
+
+def _unpack_section(bits: bytes, at: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """STEP ids from every place ``at``; all places advance by one id a step."""
     raw = np.frombuffer(bits + b"\0" * 64, np.uint8).astype(np.uint32)
     ahead = (raw[:-3] << np.uint32(24)) | (raw[1:-2] << np.uint32(16)) | (raw[2:-1] << np.uint32(8)) | raw[3:]
-    at = checkpoints.copy()
     out = np.zeros((STEP, len(at)), np.uint32)
     mask, top, last = np.uint32((1 << MAX_BITS) - 1), np.uint32(32 - MAX_BITS), np.uint32(len(ahead) - 1)
     three, seven, five, low = np.uint32(3), np.uint32(7), np.uint32(5), np.uint32(31)
@@ -188,7 +203,7 @@ def unpack_bits(bits: bytes, checkpoints: np.ndarray, n: int, table: np.ndarray)
         found = table[(ahead[np.minimum(at >> three, last)] >> (top - (at & seven))) & mask]
         np.right_shift(found, five, out=out[k])
         at += found & low
-    return out.T.reshape(-1)[:n]
+    return out.T.reshape(-1)
 
 
 def encode_blocks(ids: DataFrame, lengths: np.ndarray, bases: dict[int, int], dtype: str) -> DataFrame:
@@ -236,17 +251,28 @@ def encode_blocks(ids: DataFrame, lengths: np.ndarray, bases: dict[int, int], dt
     return in_arrow(ids, encode, BLOCK_SCHEMA)
 
 
-def decode_blocks(blocks: DataFrame, lengths: np.ndarray, digest: bool = False) -> DataFrame:
+def stored_lengths(spark: SparkSession, folder: str) -> np.ndarray:
+    """The code lengths of a folder, by id (at most one a word of the vocabulary)."""
+    rows = spark.read.schema(LENGTHS_SCHEMA).parquet(f"{folder}/lengths").collect()
+    lengths = np.zeros(max((r["id"] for r in rows), default=0) + 1, np.uint8)
+    for r in rows:
+        lengths[r["id"]] = r["bits"]
+    return lengths
+
+
+def decode_blocks(spark: SparkSession, folder: str, digest: bool = False) -> DataFrame:
     """(doc_id, start, ids): every document back from the files, as little-endian 32-bit ids.
 
     With ``digest`` n_tokens and the ids' checksum take the place of the ids.
     """
+    lengths = stored_lengths(spark, folder)
+    blocks = spark.read.schema(BLOCK_SCHEMA).parquet(f"{folder}/blocks")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = decode_table(lengths)
         for b in batches:
             for r in b.to_pylist():
-                ids = unpack_bits(r["bits"], np.frombuffer(r["checkpoints"], np.uint32), r["n_ids"], table).astype("<u4")
+                ids = unpack_bits(r["bits"], np.frombuffer(r["checkpoints"], np.uint64), r["n_ids"], table).astype("<u4")
                 offsets = np.concatenate([[0], np.cumsum(r["doc_sizes"])]).astype(np.int64)
                 own = [pa.array(r["doc_ids"], pa.int64()), pa.array(r["start"] + offsets[:-1])]
                 if digest:
@@ -260,9 +286,9 @@ def decode_blocks(blocks: DataFrame, lengths: np.ndarray, digest: bool = False)
     return in_arrow(blocks, decode, "doc_id bigint, start bigint, " + ("n_tokens bigint, ids_crc32 bigint" if digest else "ids binary"))
 
 
-def write_huffman(docs: DataFrame, path: str, cut: str = "space", end_id: int = 2) -> tuple[DataFrame, np.ndarray]:
-    """Encode ``docs``; the written blocks and the stored code lengths."""
-    dtype = encoder(path, cut).dtype
+def write_huffman(docs: DataFrame, path: str, folder: str, cut: str = "space", end_id: int = 2) -> None:
+    """Encode ``docs`` into ``folder``: ``lengths`` (a row an id that occurs) and ``blocks``."""
+    spark, dtype = docs.sparkSession, encoder(path, cut).dtype
     ids = staged(token_ids(docs, path, cut, end_id), "token-ids")
     counts = {r["id"]: r["n"] for r in id_counts(ids, dtype).collect()}  # bounded by the vocabulary
     table = np.zeros(max(counts, default=0) + 1, np.int64)
@@ -271,10 +297,13 @@ def write_huffman(docs: DataFrame, path: str, cut: str = "space", end_id: int =
     sizes = dict(sorted((r["part"], r["n"]) for r in ids.groupBy("part").agg(F.sum("n").alias("n")).collect()))
     starts = np.cumsum([0, *sizes.values()])
     bases = {part: int(x) for part, x in zip(sizes, starts)}  # one number a partition
-    return staged(encode_blocks(ids, lengths, bases, dtype), "huffman-blocks"), lengths
+    used = [(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)]
+    spark.createDataFrame(used, LENGTHS_SCHEMA).coalesce(1).write.parquet(f"{folder}/lengths")
+    encode_blocks(ids, lengths, bases, dtype).write.parquet(f"{folder}/blocks")
 
 
 def huffman_report(docs: DataFrame, path: str) -> DataFrame:
     """Per document, from the files: its start, its ids and their checksum."""
-    blocks, lengths = write_huffman(docs, path)
-    return decode_blocks(blocks, lengths, digest=True)
+    folder = scratch_path(docs.sparkSession, "huffman")
+    write_huffman(docs, path, folder)
+    return decode_blocks(docs.sparkSession, folder, digest=True)

@@ -1,6 +1,9 @@
 """Token ids, Huffman files and packing against the library and each other."""
 
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -69,6 +72,36 @@ def test_bits_round_trip(n):
     assert huffman.unpack_bits(bits, at, n, huffman.decode_table(lengths)).tolist() == ids.tolist()
 
 
+def test_bits_in_sections(monkeypatch):
+    """Sections of few checkpoints give the same ids, at places beyond 32 bits of their own too."""
+    ids = (np.random.default_rng(9).zipf(1.3, 3001) % 3000).astype(np.uint32)
+    lengths = huffman.code_lengths(np.bincount(ids, minlength=3000))
+    bits, at = huffman.pack_bits(ids, lengths, huffman.canonical_codes(lengths))
+    assert at.dtype == np.uint64
+    for section in (1, 2, 7):
+        monkeypatch.setattr(huffman, "SECTION", section)
+        assert huffman.unpack_bits(bits, at, len(ids), huffman.decode_table(lengths)).tolist() == ids.tolist()
+
+
+def test_huffman_folder_alone(spark, make_docs, tmp_path):
+    """A new process with a new session reads the folder, with nothing from the writer but its path."""
+    texts = ODD + ["the same text of some words"] * 3
+    folder = str(tmp_path / "ids")
+    huffman.write_huffman(make_docs(list(enumerate(texts))), P.path("byte_bpe_50k.json"), folder)
+    code = ("import sys, numpy as np\n"
+            "from defectlens.session import build_session\n"
+            "from defectlens.llm.op2_huffman import decode_blocks\n"
+            "for r in decode_blocks(build_session(), sys.argv[1]).collect():\n"
+            "    print('row', r['doc_id'], np.frombuffer(r['ids'], '<u4').tolist())\n")
+    root = str(Path(__file__).resolve().parents[2])
+    out = subprocess.run([sys.executable, "-c", code, folder], cwd=root, capture_output=True, text=True, timeout=300, check=True).stdout
+    got = sorted(line for line in out.splitlines() if line.startswith("row "))
+    want = ids_by_library("byte_bpe_50k.json", texts)
+    assert got == sorted(f"row {k} {[*map(int, x), 2]}" for k, x in enumerate(want))
+    huffman.write_huffman(make_docs([]), P.path("byte_bpe_50k.json"), folder + "-empty")
+    assert huffman.decode_blocks(spark, folder + "-empty").count() == 0
+
+
 def test_huffman_files(spark, make_docs, monkeypatch):
     monkeypatch.setattr(huffman, "BLOCK_IDS", 50)
     texts = ODD + ["the same text of some words"] * 9 + ["long " * 3000]
