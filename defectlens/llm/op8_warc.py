@@ -12,7 +12,10 @@ the files; a file holds at most ``RECORDS`` records, so it has a size bound.
 Reading: records are parsed by their Content-Length.  Those in one piece are
 decoded at once; the others are grouped by origin, ordered by number, checked
 (numbers 1..n, total length) and joined.  The chunks are decoded and the
-payload's digest is compared with the record's.
+payload's digest is compared with the record's.  After a damaged record
+reading resumes at the next line that begins with ``WARC/``, so the other
+records of the file stay; a group that lacks a segment, the first one too, is
+one incomplete row under its origin's name.
 
 Edge cases: null html is an empty payload; a null url is written as an empty
 target; a null page_id is written as absent and read as null, such a row is a
@@ -25,6 +28,7 @@ gives no records; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -154,21 +158,43 @@ def write_warc(pages: DataFrame, path: str, segment: int = SEGMENT, min_bytes: i
      .write.option("lineSep", END).option("maxRecordsPerFile", RECORDS).text(path))
 
 
+def _fields(head: bytes) -> dict[str, str]:
+    """Header fields, names in lower case."""
+    fields = {}
+    for line in head.split(b"\r\n")[1:]:
+        k, _, v = line.decode("utf-8", "replace").partition(":")
+        fields[k.strip().lower()] = v.strip()
+    return fields
+
+
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    """Header fields (names in lower case) and block of each record; None for a block cut short."""
+    """Header fields (names in lower case) and block of each record.
+
+    A record is whole if its block of Content-Length bytes is followed by the
+    blank lines and then by the next record or the end of the file.  Otherwise
+    its block is None and reading resumes at the next line that begins with
+    ``WARC/``; bytes that belong to no record come as one record without fields.
+    """
     at = 0
     while at < len(data):
+        following = data.find(b"\nWARC/", at)
         end = data.find(b"\r\n\r\n", at)
-        if end < 0 or not data.startswith(b"WARC/", at):
-            return
-        fields = {}
-        for line in data[at:end].split(b"\r\n")[1:]:
-            k, _, v = line.decode("utf-8", "replace").partition(":")
-            fields[k.strip().lower()] = v.strip()
-        size = int(fields.get("content-length", "0"))
-        block = data[end + 4:end + 4 + size]
-        yield fields, block if len(block) == size else None
-        at = end + 4 + size + 4
+        if not data.startswith(b"WARC/", at) or end < 0 or 0 <= following < end:  # no record, or a header cut short
+            stop = following + 1 if following >= 0 else len(data)
+            yield _fields(data[at:stop]) if data.startswith(b"WARC/", at) else {}, None
+            at = stop
+            continue
+        fields = _fields(data[at:end])
+        size = _number(fields.get("content-length"))
+        stop = -1 if size is None else end + 4 + size
+        after = stop + len(END)
+        if end + 4 <= stop and data.startswith(END.encode(), stop) and (after == len(data) or data.startswith(b"WARC/", after)):
+            yield fields, data[end + 4:stop]
+            at = after
+        else:
+            yield fields, None
+            following = data.find(b"\nWARC/", end)
+            at = following + 1 if following >= 0 else len(data)
 
 
 def _payload(block: bytes | None) -> bytes | None:
@@ -182,7 +208,13 @@ def _payload(block: bytes | None) -> bytes | None:
 
 
 def _number(text: str | None) -> int | None:
-    return int(text) if text is not None else None
+    """A whole number of 64 bits; None for anything else."""
+    return int(text) if text is not None and re.fullmatch("-?[0-9]{1,18}", text) else None
+
+
+def _segment_number(text: str | None) -> int | None:
+    n = _number(text)
+    return n if n is not None and 0 < n < 1 << 31 else None
 
 
 def read_warc(spark, path: str) -> DataFrame:
@@ -201,7 +233,7 @@ def read_warc(spark, path: str) -> DataFrame:
                         "record_id": f.get("warc-record-id"), "page_id": _number(f.get("x-page-id")), "record_type": f.get("warc-type"),
                         "refers_to": _number(f.get("x-refers-to-page")), "digest": f.get("warc-payload-digest", "").removeprefix("sha256:"),
                         "length": _number(f.get("x-payload-length")), "origin": f.get("warc-segment-origin-id"),
-                        "number": _number(f.get("warc-segment-number")), "total": _number(f.get("warc-segment-total-length")), "block": block})
+                        "number": _segment_number(f.get("warc-segment-number")), "total": _number(f.get("warc-segment-total-length")), "block": block})
                     if len(rows) == 500:
                         yield pa.RecordBatch.from_pylist(rows, part_type)
                         rows = []
@@ -210,18 +242,19 @@ def read_warc(spark, path: str) -> DataFrame:
 
     parts = in_arrow(files, parse, PART_SCHEMA)
     columns = ["record_id", "page_id", "record_type", "refers_to", "digest", "length"]
-    whole = parts.filter("number IS NULL").select(*columns, "block")
+    key = F.coalesce("origin", "record_id")
+    whole = parts.filter(F.col("number").isNull() | key.isNull()).select(*columns, "block")
     # one group is one page, which was one row before
     piece = F.struct("number", "total", "block", *columns)
-    group = (parts.filter("number IS NOT NULL").groupBy(F.coalesce("origin", "record_id").alias("key"))
+    group = (parts.filter(F.col("number").isNotNull() & key.isNotNull()).groupBy(key.alias("key"))
              .agg(F.array_sort(F.collect_list(piece)).alias("s")))
     total = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + F.coalesce(F.octet_length(x["block"]), F.lit(0)))
     first, last = F.get("s", F.lit(0)), F.element_at("s", -1)
     numbered = F.forall(F.transform("s", lambda x, i: x["number"] == i + 1), lambda x: x)
-    sound = numbered & (last["total"] == total)
+    sound = numbered & F.forall("s", lambda x: x["block"].isNotNull()) & (last["total"] == total) & (first["record_id"] == F.col("key"))
     joined = F.aggregate("s", F.lit(b""), lambda a, x: F.concat(a, F.coalesce(x["block"], F.lit(b""))))
-    rejoined = group.filter(first["record_id"] == F.col("key")).select(
-        *[first[c].alias(c) for c in columns], F.when(sound, joined).alias("block"))
+    # a group without its first segment keeps the origin's name; what only the first segment tells is null
+    rejoined = group.select(F.col("key").alias("record_id"), *[first[c].alias(c) for c in columns[1:]], F.when(sound, joined).alias("block"))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -238,7 +271,7 @@ def read_warc(spark, path: str) -> DataFrame:
 
 
 def warc_report(pages: DataFrame) -> DataFrame:
-    """Write the pages, read the archives back, and describe every page."""
+    """Write the pages, read the archives back, and describe every page; raises if a page is damaged or lost."""
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
     write_warc(pages, path)
@@ -246,7 +279,12 @@ def warc_report(pages: DataFrame) -> DataFrame:
     sound = F.when(F.col("complete"), F.col("record_type")).otherwise(F.raise_error(F.concat(F.lit("damaged record "), "record_id")))
     body = F.when(F.col("record_type") == "response", F.octet_length("payload").cast("long")).otherwise(F.col("length"))
     digest = F.when(F.col("record_type") == "response", F.sha2("payload", 256)).otherwise(F.col("digest"))
-    return r.select("page_id", body.alias("payload_bytes"), digest.alias("payload_digest"), sound.alias("record_type"), "refers_to")
+    out = staged(r.select("page_id", body.alias("payload_bytes"), digest.alias("payload_digest"), sound.alias("record_type"), "refers_to"),
+                 "warc-report")
+    n, wanted = out.count(), pages.count()
+    if n != wanted:
+        raise ValueError(f"{n} records of {wanted} pages read back")
+    return out
 
 
 ORACLE = """

@@ -133,6 +133,33 @@ def test_warc_damage_is_told(spark, tmp_path):
     assert warc.unframed(warc.framed(body)) == body and warc.unframed(b"5\r\nabc\r\n0\r\n\r\n") is None and warc.unframed(b"zz") is None
 
 
+def test_warc_damaged_archives_keep_all_other_records(spark, tmp_path):
+    page = lambda k, body=None: warc.records_of(k, "u", body or f"body {k} é".encode(), None, None, f"{k}", 200)
+    joined = lambda *records: "".join(r + warc.END for r in records)
+    length = lambda r, text: re.sub("Content-Length: [0-9]+", "Content-Length: " + text, r)
+    (one,), (two,), (three,), (four,) = (page(k) for k in (1, 2, 3, 4))
+    long = page(9, b"z" * 900)
+    files = {
+        "short": joined(length(one, "5"), two, three), "over": joined(length(one, "100"), two, three),
+        "word": joined(length(one, "many"), two, three), "minus": joined(length(one, "-3"), two, three),
+        "huge": joined(length(one, "9" * 30), two, three), "none": joined(re.sub("Content-Length.*\r\n", "", one), two, three),
+        "header": joined(one.split(warc.END)[0], two, three).replace(warc.END, "\r\n", 1), "noise": "noise\r\n" + joined(two, three),
+        "cut": joined(two, three) + four[:-4], "middle": joined(two, length(one, "7"), three)}
+    for name, text in files.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.warc").write_text(text, newline="")
+        got = warc.read_warc(spark, str(tmp_path / name)).collect()
+        whole = {r["page_id"]: bytes(r["payload"]) for r in got if r["complete"]}
+        assert whole == {k: f"body {k} é".encode() for k in (2, 3)}, name
+        assert len(got) == 3 and [r["payload"] for r in got if not r["complete"]] == [None], name
+    for name, kept in (("first", long[1:]), ("one", long[:1]), ("twice", [*long, long[1]]), ("number", [long[0].replace("Number: 1", "Number: x"), *long[1:]])):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.warc").write_text(joined(two, *kept), newline="")
+        got = warc.read_warc(spark, str(tmp_path / name)).collect()
+        assert [r["page_id"] for r in got if r["complete"]] == [2] and len(got) == (3 if name == "number" else 2), name
+        assert not any(r["payload"] for r in got if not r["complete"]), name
+
+
 def plain_suffixes(rows, n, keep):
     raws = [(t or "").encode() for _, t in rows]
     seen: dict = {}
