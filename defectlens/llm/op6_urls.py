@@ -6,15 +6,18 @@ features: lengths, path depth, digit ratio, character entropy, parameter
 counts, hyphens and host labels, and the block rate of the host's suffix among
 the labelled urls.
 
-Training: the labelled urls, at most ``MAX_LABELLED`` (the first in md5 order
-of the url; the bound limits the fit only), are binned once.  Each level of a
+Training: the labelled urls are made distinct, each (url, label) with its
+number of rows as weight; at most ``MAX_LABELLED`` of these (the first in md5
+order of the url; the bound limits the fit only) are binned once.  Each level of a
 tree is one aggregation by (node, feature, bin) and a window over the bins
 that finds the best split, so a level sends at most 2^depth rows to the
 driver.  Gradients are whole millionths, so sums and splits do not depend on
 the order of rows.
 
-Without labels of their own, :func:`seed_labels` marks urls by words in the
-host; the words themselves are no feature.
+Without labels of their own (argument ``labelled``), :func:`seed_labels` marks
+urls by words in the host; the words themselves are no feature.
+:func:`held_out` fits on four fifths of labelled urls and counts the verdicts
+on the rest.
 
 Edge cases: a null url or one without ``://`` has an empty host and path, fits
 no rule and is judged on its (empty) features; repeated rows are judged one by
@@ -132,24 +135,26 @@ def _tree_value(tree: dict) -> Column:
 
 def train(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH) -> Trees:
     """Boosted trees from (url, label); label 1 is block."""
-    labelled = labelled.select("url", F.col("label").cast("int").alias("label")).filter("label IN (0, 1)")
-    # ask a digest bound first, so that the tasks send a few rows each to the one that orders them
-    share = 2.0 * MAX_LABELLED / max(labelled.count(), 1)
+    labelled = labelled.select(F.col("url").cast("string").alias("url"), F.col("label").cast("int").alias("label")).filter("label IN (0, 1)")
+    # ask a digest bound first, so that the tasks send a few rows each to the one that orders them; it asks for
+    # twice the bound, twenty times the estimate's error
+    share = 2.0 * MAX_LABELLED / max(labelled.agg(F.approx_count_distinct(F.struct("url", "label"))).first()[0], 1)
     sample = labelled.withColumn("o", F.md5(F.coalesce("url", F.lit("")).cast("binary")))
     if share < 1:
         sample = sample.filter(F.col("o") < F.lit(format(int(share * (1 << 32)), "08x")))
-    sample = sample.orderBy("o", "label").limit(MAX_LABELLED)
-    base = staged(lexical(sample).select("suffix", *FEATURES[:-1], F.col("row.label").alias("label")), "url-sample")
-    n, ones = base.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    sample = sample.groupBy("o", "url", "label").agg(F.count("*").alias("weight")).orderBy("o", F.col("url").asc_nulls_first(), "label").limit(MAX_LABELLED)
+    base = staged(lexical(sample).select("suffix", *FEATURES[:-1], F.col("row.label").alias("label"), F.col("row.weight").alias("weight")), "url-sample")
+    marked = F.sum(F.col("label") * F.col("weight"))
+    n, ones = base.agg(F.coalesce(F.sum("weight"), F.lit(0)), F.coalesce(marked, F.lit(0))).first()
     rate = (ones + 0.5) / (n + 1) if n else 0.0
     prior = int(1000 * ones / n) if n else 0
     suffixes = staged(base.groupBy("suffix").agg(
-        F.floor((F.sum("label") * 1000 + prior * PRIOR) / (F.count("*") + PRIOR)).cast("int").alias("suffix_permille")), "url-suffixes")
+        F.floor((marked * 1000 + prior * PRIOR) / (F.sum("weight") + PRIOR)).cast("int").alias("suffix_permille")), "url-suffixes")
     if not n or ones in (0, n):
         return Trees(1.0 if n and ones == n else -1.0, [], suffixes, prior)
     model = Trees(math.log(rate / (1 - rate)), [], suffixes, prior)
     # rows with the same features and label differ in nothing that the trees see
-    data = staged(model.with_suffix(base).groupBy(*FEATURES, "label").agg(F.count("*").alias("weight")).coalesce(2), "url-features")
+    data = staged(model.with_suffix(base).groupBy(*FEATURES, "label").agg(F.sum("weight").alias("weight")).coalesce(2), "url-features")
     levels = [i / BINS for i in range(1, BINS)]
     cuts = data.agg(*[F.percentile(f, F.array(*map(F.lit, levels)), F.col("weight")).alias(f) for f in FEATURES]).first()
     thresholds = {f: sorted({math.floor(x) for x in cuts[f]}) for f in FEATURES}  # BINS - 1 numbers a feature
@@ -200,9 +205,20 @@ def judged(urls: DataFrame, model: Trees, rules=RULES, url: str = "url") -> Data
     return df.select("row", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"))
 
 
-def url_report(pages: DataFrame) -> DataFrame:
+def held_out(labelled: DataFrame) -> DataFrame:
+    """(label, verdict, urls): verdicts of the trees alone on a fifth of the distinct urls, fitted on the others."""
+    labelled = labelled.select("url", "label").filter("label IN (0, 1)")
+    out = F.crc32(F.coalesce(F.col("url").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    model = train(labelled.filter(~out))
+    return (judged(labelled.filter(out).distinct(), model, rules=())
+            .groupBy(F.col("row.label").alias("label"), "verdict").agg(F.count("*").alias("urls")))
+
+
+def url_report(pages: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
+    """Every page's host, path, rule and verdict; the trees learn from ``labelled`` (url, label), else from seed labels."""
     pages = pages.select("page_id", "url")
-    return judged(pages, train(seed_labels(pages))).select(F.col("row.page_id").alias("page_id"), "host", "path", "rule", "verdict")
+    model = train(seed_labels(pages) if labelled is None else labelled)
+    return judged(pages, model).select(F.col("row.page_id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
 def keep_allowed(pages: DataFrame, labelled: DataFrame | None = None) -> DataFrame:

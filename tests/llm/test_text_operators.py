@@ -179,3 +179,20 @@ def test_url_trees_equal_a_plain_version(spark):
                 k = 2 * k + (r[f] > x)
             m += t["values"].get(k, 0.0)
         assert m == pytest.approx(r["m"])
+
+
+@pytest.mark.parametrize("hot", ["http://hot2.net/", "http://hot7.net/", "http://hot31.net/"])
+def test_one_url_with_most_rows_leaves_the_sample_whole(spark, monkeypatch, hot):
+    """Distinct urls fill the bound, whatever the digest of the url that holds most rows; its rows are its weight."""
+    monkeypatch.setattr(urls, "MAX_LABELLED", 300)
+    good = spark.range(2000).selectExpr("concat('http://site', id, '.net/a') AS url", "0 AS label")
+    bad = spark.range(1000).selectExpr("concat('http://x-', id, '-', id, '.net/a/b/c/d?p=', id) AS url", "1 AS label")
+    many = spark.range(5000).selectExpr(f"'{hot}' AS url", "0 AS label")
+    nulls = spark.createDataFrame([(None, 0), (None, None), ("http://x", 2)], "url string, label int")
+    model = urls.train(good.union(bad).union(many).union(nulls), trees=2)
+    assert len(model.trees) == 2 and all(t["splits"] for t in model.trees)
+    counts = {(r["label"], r["verdict"]): r["urls"] for r in urls.held_out(good.union(bad).union(many)).collect()}
+    right = counts.get((0, "allow"), 0) + counts.get((1, "block"), 0)
+    assert 500 < sum(counts.values()) < 700 and right / sum(counts.values()) > 0.98
+    pages = good.limit(3).withColumn("page_id", urls.F.monotonically_increasing_id())
+    assert {r["verdict"] for r in urls.url_report(pages, bad.union(good)).collect()} == {"allow"}
