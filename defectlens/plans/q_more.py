@@ -10,6 +10,7 @@ from defectlens.functions import pct as col_pct
 from defectlens.operators import kpis as K
 from defectlens.operators import rollups as R
 from defectlens.operators import rules as RU
+from defectlens.operators.cube import RollupCube
 from defectlens.operators.sprints import sprint_frame
 from defectlens.plans.catalog import register
 from defectlens.plans.q_kpis import inputs_cte, sprint_cte
@@ -75,8 +76,7 @@ LEFT JOIN (SELECT environment, assignee AS top_assignee, pending AS top_pending
            WHERE rn = 1) t ON g.environment = t.environment""", _DEVS_ENV))
 def q_team_findings(t):
     by = ["environment"]
-    devs = R.assignee_rollup(t.issues, by).select("environment", "assignee", "assigned", "resolved", "pending",
-                                                  "workload")
+    devs = RollupCube(t.issues, by).developers().select("environment", "assignee", "assigned", "resolved", "pending", "workload")
     return RU.team_findings(devs, by)
 
 
@@ -118,10 +118,8 @@ UNION ALL SELECT environment, 'warning', 'Módulo STANDARD Crítico', concat('El
     _DEVS_ENV, _MODS_ENV))
 def q_legacy_alerts(t):
     by = ["environment"]
-    iss = t.issues
-    prio = R.issues_by_priority(iss, by)
-    devs = R.assignee_pending(iss, by)
-    return RU.legacy_alerts(prio, devs, _mods_env(t), by, module_label="STANDARD")
+    cube = RollupCube(t.issues, by)
+    return RU.legacy_alerts(cube.priorities(), cube.pending(), cube.modules(), by, module_label="STANDARD")
 
 
 @register("sprint_source_priority", "U7 J9 (bug roll-up, else task roll-up, else all issues)", with_issue("""

@@ -8,6 +8,7 @@ from defectlens import config as C
 from defectlens.operators import kpis as K
 from defectlens.operators import rollups as R
 from defectlens.operators import rules as RU
+from defectlens.operators.cube import RollupCube
 from defectlens.operators.rule_table import DEFAULT_ICON, DEFAULT_RULES, PRIORITY_ICONS
 from defectlens.operators.sprints import sprint_frame
 from defectlens.plans.catalog import register
@@ -66,20 +67,19 @@ UNION ALL {head}concat('module-critical-', module), 'warning', concat(module, '
 
 
 def _alerts_frames(t, by):
-    iss = t.issues
-    kpi = K.kpis(sprint_frame(iss, [by]), [by])
-    devs = R.assignee_pending(iss, [by])
-    mods = R.share_breakdown(iss, "module", C.DEFAULT_MODULE_LABEL, [by], with_pending=False) \
-        .select(by, F.col("key").alias("module"), "percentage")
-    return kpi, devs, mods
+    cube = RollupCube(t.issues, [by])
+    return K.kpis(cube.sprints(), [by]), cube.pending(), cube.modules().select(by, "module", "percentage")
 
 
-@register("alerts_by_environment", "R1-R5 O6 O9 K8 K10 W1", kq("environment", """
+ALERTS_CTE = "alerts_all AS (SELECT * FROM (" + _alerts_sql().replace("WITH_ALERTS AS (", "", 1).rstrip()[:-1] + "))"
+ALERTS_BODY = """
 SELECT *, CAST(row_number() OVER (PARTITION BY environment ORDER BY priority, CASE WHEN alert_id = 'developer-overload' THEN 1 WHEN alert_id LIKE 'module-critical-%' THEN 2 ELSE 3 END) AS INTEGER) AS rank,
   row_number() OVER (PARTITION BY environment ORDER BY priority, CASE WHEN alert_id = 'developer-overload' THEN 1 WHEN alert_id LIKE 'module-critical-%' THEN 2 ELSE 3 END) <= 3 AS shown,
   greatest(count(*) OVER (PARTITION BY environment) - 3, 0) AS overflow
-FROM alerts_all""", _devs_cte("environment"), _mods_cte("environment"),
-    "alerts_all AS (SELECT * FROM (" + _alerts_sql().replace("WITH_ALERTS AS (", "", 1).rstrip()[:-1] + "))"))
+FROM alerts_all"""
+
+
+@register("alerts_by_environment", "R1-R5 O6 O9 K8 K10 W1", kq("environment", ALERTS_BODY, _devs_cte("environment"), _mods_cte("environment"), ALERTS_CTE))
 def q_alerts_by_environment(t):
     kpi, devs, mods = _alerts_frames(t, "environment")
     return RU.alerts(kpi, devs, mods, ["environment"])
@@ -87,14 +87,13 @@ def q_alerts_by_environment(t):
 
 @register("alerts_by_type", "A34 over R1-R5", kq("environment", """
 SELECT environment, type, count(*) AS alerts FROM alerts_all GROUP BY environment, type""",
-    _devs_cte("environment"), _mods_cte("environment"),
-    "alerts_all AS (SELECT * FROM (" + _alerts_sql().replace("WITH_ALERTS AS (", "", 1).rstrip()[:-1] + "))"))
+    _devs_cte("environment"), _mods_cte("environment"), ALERTS_CTE))
 def q_alerts_by_type(t):
     kpi, devs, mods = _alerts_frames(t, "environment")
     return RU.alerts_by_type(RU.alerts(kpi, devs, mods, ["environment"]), ["environment"])
 
 
-def _recs_sql(by="environment"):
+def _recs_body(by="environment"):
     dens = f"total_bugs / {truthy_or('tc_executed', '1')}"
     rows = [
         (1, "improve-test-coverage", "quality", "Improve Test Coverage", "high", "medium", 14, "testing",
@@ -110,14 +109,17 @@ def _recs_sql(by="environment"):
     parts = [f"SELECT k.{by}, {i} AS seq, '{rid}' AS rec_id, '{typ}' AS type, '{title}' AS title, '{imp}' AS impact, "
              f"'{eff}' AS effort, {days} AS estimated_days, '{cat}' AS category FROM kpi k LEFT JOIN ov ON k.{by} IS NOT DISTINCT FROM ov.{by} "
              f"WHERE {cond}" for i, rid, typ, title, imp, eff, days, cat, cond in rows]
-    return kq(by, f"""
+    return f"""
 SELECT {by}, rec_id, type, title, impact, effort, estimated_days, category,
   CAST(row_number() OVER (PARTITION BY {by} ORDER BY CASE impact WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC,
                          seq) AS INTEGER) AS rank
-FROM ({" UNION ALL ".join(parts)})""", _devs_cte(by), _ov_cte(by))
+FROM ({" UNION ALL ".join(parts)})"""
 
 
-@register("recommendations_by_environment", "R8 O7 O9", _recs_sql())
+RECS_BODY = _recs_body()
+
+
+@register("recommendations_by_environment", "R8 O7 O9", kq("environment", RECS_BODY, _devs_cte("environment"), _ov_cte("environment")))
 def q_recommendations(t):
     iss = t.issues
     by = ["environment"]
@@ -296,10 +298,9 @@ WHERE {case}""", cycle_cte("module"))
 @register("rule_table_eval", "R6 J6 R7 K24 K25 (compiled rule text)", _rules_sql())
 def q_rule_table_eval(t):
     by = ["module"]
-    iss = t.issues
-    sp = sprint_frame(iss, by)
-    kpi = K.kpis(sp, by)
-    cyc = K.cycle_time(sp, R.priority_breakdown(iss, by), by).select("module", "cycle_time", "critical_days")
+    cube = RollupCube(t.issues, by)
+    kpi = K.kpis(cube.sprints(), by)
+    cyc = K.cycle_time(cube.sprints(), cube.priorities(), by).select("module", "cycle_time", "critical_days")
     return RU.evaluate_rules(RU.metric_fields(kpi, cyc, by), DEFAULT_RULES, by)
 
 

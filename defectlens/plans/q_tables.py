@@ -10,9 +10,11 @@ from defectlens.operators import rule_intervals as RI
 from defectlens.operators import rules as RU
 from defectlens.operators.rule_table import DEFAULT_RULES
 from defectlens.plans.catalog import register
-from defectlens.plans.report import rollup_document
-from defectlens.plans.sqlfrag import lst, with_issue
+from defectlens.plans.q_rules import ALERTS_BODY, ALERTS_CTE, RECS_BODY, _devs_cte, _mods_cte, _ov_cte, kq
+from defectlens.plans.report import QualityReport, process_documents, rollup_document
+from defectlens.plans.sqlfrag import lst, pct, with_issue
 from defectlens.session import scratch_path
+from defectlens.sources import documents as D
 from defectlens.sources.merge import view_sprint_rows
 
 _DEFAULTS = ", ".join("({}, '{}', {}, '{}', '{}')".format(i, m, "NULL" if c == "default" else "'" + c + "'", t.replace("'", "''"), p)
@@ -107,3 +109,60 @@ def q_rollup_document(t):
                     F.transform("sprintData", lambda x: entry("sprint", x["sprint"], x["bugs"])),
                     F.array(*[entry("summary", F.lit(n), F.col(f"summary.{n}")) for n in ("totalBugs", "bugsClosed")]))
     return docs.select("environment", F.inline(rows))
+
+
+_FIGURES = ("n_sprints total_bugs bugs_closed tc_executed critical_total avg_test_cases_per_sprint resolution_efficiency defect_density "
+            "quality_index sprint_trend critical_count critical_ratio critical_pending avg_resolution_time test_execution_rate leakage_rate "
+            "escape_rate rework_rate first_pass_yield burndown_efficiency avg_bugs_per_sprint consistency prediction_confidence "
+            "maturity_score savings roi next_sprint_bugs quality_prediction").split()
+_PEND = f"count_if(status IN ({lst(C.PENDING_STATUS_PRIORITY_VIEW)}))"
+
+
+@register("report_all", "E1 (every part of the report of each environment from one cube: K1-K22 A1 A12 A13 A15 R1-R5 R8 K21-K23)", kq("environment", f"""
+SELECT environment, 'kpi' AS part, unnest([{", ".join(f"'{f}'" for f in _FIGURES)}]) AS key,
+  unnest([{", ".join(f"CAST({f} AS DOUBLE)" for f in _FIGURES)}]) AS value FROM kpi
+UNION ALL SELECT environment, 'sprint', sprint, CAST(bugs AS DOUBLE) FROM sprint
+UNION ALL SELECT environment, 'developer', assignee, CAST(pending AS DOUBLE) FROM (
+  SELECT environment, assignee, {_PEND} AS pending FROM issue WHERE assignee <> '' GROUP BY environment, assignee)
+UNION ALL SELECT environment, 'module', module, CAST(percentage AS DOUBLE) FROM mods
+UNION ALL SELECT e.environment, 'priority', l.label, CAST(coalesce(p.pending, 0) AS DOUBLE)
+  FROM (SELECT DISTINCT environment FROM issue) e CROSS JOIN (SELECT unnest([{lst(C.PRIORITY_LABELS)}]) AS label) l
+  LEFT JOIN (SELECT environment, priority, {_PEND} AS pending FROM issue GROUP BY ALL) p
+    ON e.environment IS NOT DISTINCT FROM p.environment AND p.priority = l.label
+UNION ALL SELECT environment, 'alert', alert_id, CAST(rank AS DOUBLE) FROM alerts_ranked
+UNION ALL SELECT environment, 'recommendation', rec_id, CAST(rank AS DOUBLE) FROM recs_ranked
+UNION ALL SELECT environment, 'prediction', unnest(['Bugs Próximo Sprint', 'Tiempo Resolución', 'Quality Index']),
+  unnest([CAST(prediction_confidence AS DOUBLE), 85.0::DOUBLE, CAST(prediction_confidence AS DOUBLE)]) FROM kpi""",
+    _devs_cte("environment"), _mods_cte("environment"), _ov_cte("environment"),
+    ALERTS_CTE, f"alerts_ranked AS ({ALERTS_BODY})", f"recs_ranked AS ({RECS_BODY})"))
+def q_report_all(t):
+    return QualityReport(t.issues, ["environment"]).all_rows()
+
+
+@register("processed_documents", "V6 V5 S4 S5 S6 N1 N2 (documents of each module: whole, without a summary, cut short)", with_issue(f"""
+SELECT coalesce(module, '-') AS module, kind, CASE kind WHEN 'whole' THEN total END AS total_bugs, CASE kind WHEN 'whole' THEN closed END AS bugs_closed,
+  CASE kind WHEN 'whole' THEN sprints END AS n_sprints, CASE kind WHEN 'whole' THEN {pct('closed', 'total')} END AS resolution_efficiency,
+  CASE kind WHEN 'whole' THEN developers END AS developers,
+  CASE kind WHEN 'cut' THEN 'corrupt JSON' WHEN 'bare' THEN 'Missing summary data' END AS errors
+FROM (SELECT module, count(*) AS total, count_if(status = 'Done') AS closed, count(DISTINCT sprint) AS sprints,
+        count(DISTINCT nullif(assignee, '')) AS developers FROM issue GROUP BY module), (VALUES ('whole'), ('bare'), ('cut')) AS k(kind)"""))
+def q_processed_documents(t):
+    """A file a document; the broken ones must reach the quarantine with their reasons, the others the KPIs."""
+    docs = rollup_document(t.issues, ["module"])
+    parts = [c for c in docs.columns if c != "module"]
+    whole, bare = F.to_json(F.struct(*parts)), F.to_json(F.struct(*[c for c in parts if c != "summary"]))
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in (
+        ("whole", whole), ("bare", bare), ("cut", F.substring(whole, 1, 40)))])
+    path = scratch_path(t.spark, "documents")
+    # folder names: an empty name would be read back as null
+    docs.select(F.coalesce(F.concat(F.lit("m:"), "module"), F.lit("-")).alias("module"), F.inline(kinds)).write.partitionBy("kind", "module").text(path)
+    read = D.read_documents(t.spark, path, labels="kind string, module string")
+    read = read.withColumn("doc_path", F.concat("kind", F.lit("/"), "module"))
+    out = process_documents(read)
+    developers = D.developer_rows(out["documents"]).groupBy("doc_path").agg(F.count(F.lit(1)).alias("developers"))
+    good = out["kpis"].select("doc_path", "total_bugs", "bugs_closed", "n_sprints", "resolution_efficiency").join(developers, "doc_path", "left")
+    bad = out["quarantine"].select("doc_path", F.array_join("errors", "; ").alias("errors"))
+    every = good.unionByName(bad, allowMissingColumns=True)
+    label = F.expr("substring(doc_path, instr(doc_path, '/') + 1)")
+    return every.select(F.regexp_replace(label, "^m:", "").alias("module"), F.split_part("doc_path", F.lit("/"), F.lit(1)).alias("kind"),
+                        *[c for c in every.columns if c != "doc_path"])

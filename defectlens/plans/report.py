@@ -1,13 +1,15 @@
 """Whole-report entry points (E1-E5): each returns a dict of lazy
-DataFrames that share one sprint roll-up, so a report costs one pass over
-the issue table plus small passes over roll-ups.
+DataFrames that share one roll-up cube, so a report costs one pass over
+the issue table plus small passes over the cube's sets.
 
-``cache_rollups=True`` persists the shared sprint roll-up when several
-outputs of a report are materialized together (as the dashboard does).
+``cache_rollups=True`` persists the sprint roll-up when several outputs of a
+report are materialized together (as the dashboard does); ``release()`` ends that.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from defectlens.operators import rules as RU
 from defectlens.operators import topk as TK
 from defectlens.operators import trends as TR
 from defectlens.operators import verify as V
+from defectlens.operators.cube import RollupCube
 from defectlens.operators.sprints import sprint_frame
 from defectlens.sources import documents as D
 
@@ -31,9 +34,14 @@ class QualityReport:
         self.issues = issues
         self.by = list(by or [])
         self.cfg = cfg if isinstance(cfg, C.Config) else C.Config.from_dict(cfg)
-        sp = sprint_frame(issues, self.by, self.cfg)
+        self.cube = RollupCube(issues, self.by, self.cfg)
+        sp = self.cube.sprints()
         self.sprints = sp.persist() if cache_rollups else sp
 
+    def release(self) -> None:
+        """Drop the persisted roll-up."""
+        self.sprints.unpersist()
+
     def kpis(self) -> DataFrame:
         return K.kpis(self.sprints, self.by, self.cfg)
 
@@ -44,13 +52,16 @@ class QualityReport:
         return TR.velocity_change(self.sprints, self.by)
 
     def developers(self) -> DataFrame:
-        return R.assignee_rollup(self.issues, self.by)
+        return self.cube.developers()
 
     def modules(self) -> DataFrame:
-        return R.module_breakdown(self.issues, self.by)
+        return self.cube.modules()
+
+    def priorities(self) -> DataFrame:
+        return self.cube.priorities()
 
     def alerts(self) -> DataFrame:
-        devs = R.assignee_pending(self.issues, self.by)
+        devs = self.cube.pending()
         if "module" in self.by:
             # R3 ranks modules inside a group; a module group has no sub-modules.
             mods = self.kpis().select(*self.by, F.lit(0).cast("long").alias("percentage")).filter(F.lit(False))
@@ -60,7 +71,7 @@ class QualityReport:
 
     def recommendations(self) -> DataFrame:
         th = self.cfg.thresholds["maxBugsDeveloper"]
-        devs = R.assignee_pending(self.issues, self.by)
+        devs = self.cube.pending()
         ov = RU.first_over(devs.filter(F.col("pending") > th), self.by, [F.desc("pending"), F.asc("assignee")]) \
             .select(*self.by, F.col("assignee").alias("overloaded_assignee"))
         return RU.recommendations(self.kpis(), ov, self.by, self.cfg)
@@ -77,7 +88,7 @@ class QualityReport:
         from defectlens.operators import rule_intervals as RI
         from defectlens.operators.rule_table import DEFAULT_RULES
         table = list(rules or DEFAULT_RULES)
-        cyc = K.cycle_time(self.sprints, R.priority_breakdown(self.issues, self.by), self.by) \
+        cyc = K.cycle_time(self.sprints, self.priorities(), self.by) \
             .select(*self.by, "cycle_time", "critical_days")
         metrics = RU.metric_fields(self.kpis(), cyc, self.by)
         if user_rules is None:
@@ -95,7 +106,25 @@ class QualityReport:
         return {"kpis": self.kpis(), "trends": self.trends(), "velocity": self.velocity(),
                 "alerts": self.alerts(), "recommendations": self.recommendations(),
                 "predictions": self.predictions(), "maturity": self.maturity(), "roi": self.roi(),
-                "rule_recommendations": self.rule_recommendations()}
+                "rule_recommendations": self.rule_recommendations(), "developers": self.developers(),
+                "modules": self.modules(), "priorities": self.priorities()}
+
+    def all_rows(self) -> DataFrame:
+        """E1 as one table (by, part, key, value): the figures of every part under names of their own."""
+        c = F.col
+        row = lambda part, key, value: F.struct(F.lit(part).alias("part"), key.alias("key"), value.cast("double").alias("value"))
+        kpis, bags = self.kpis(), []
+        figures = [f for f, t in kpis.dtypes if t in ("bigint", "double") and f not in self.by]
+        # a generator keeps one reading of the KPI record for all its figures
+        bags.append(kpis.select(*self.by, F.inline(F.array(*[row("kpi", F.lit(f), c(f)) for f in figures]))))
+        module = "label" if "module" in self.by else "module"
+        for part, frame, key, value in (
+                ("sprint", self.sprints, c("sprint"), c("bugs")), ("developer", self.developers(), c("assignee"), c("pending")),
+                ("module", self.modules(), c(module), c("percentage")), ("priority", self.priorities(), c("priority"), c("pending")),
+                ("alert", self.alerts(), c("alert_id"), c("rank")), ("recommendation", self.recommendations(), c("rec_id"), c("rank")),
+                ("prediction", self.predictions(), c("metric"), c("confidence"))):
+            bags.append(frame.select(*self.by, F.inline(F.array(row(part, key, value)))))
+        return reduce(DataFrame.unionByName, bags)
 
 
 def filtered_issues(issues: DataFrame, sprints_df: DataFrame | None = None, include_bugs: bool = False,
@@ -162,4 +191,4 @@ def process_documents(docs: DataFrame, cfg: C.Config | None = None) -> dict[str,
     sprints = sprints.withColumns({"critical_pending": F.lit(0), "res_days_sum": F.lit(0), "res_days_n": F.lit(0)})
     summ = D.summary_row(valid, cfg.critical_labels, C.CRITICAL_LABELS_ALL)
     quarantine = corrupt.select("doc_path", F.array(F.lit("corrupt JSON")).alias("errors")).unionByName(invalid)
-    return {"kpis": K.kpis(sprints, ["doc_path"], cfg, summary=summ), "sprints": sprints, "quarantine": quarantine}
+    return {"kpis": K.kpis(sprints, ["doc_path"], cfg, summary=summ), "sprints": sprints, "documents": valid, "quarantine": quarantine}

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from defectlens.operators.rollups import join_null_safe
+from defectlens.session import scratch_path
 from defectlens.sources.aliases import (DEVELOPER_ALIASES, DEVELOPER_TEXT, SPRINT_ALIASES, SPRINT_TEXT,
                                          resolve)
 
@@ -54,11 +55,13 @@ DOC_SCHEMA = T.StructType([
 ])
 
 
-def read_documents(spark: SparkSession, path, multi_line: bool = True) -> DataFrame:
+def read_documents(spark: SparkSession, path, multi_line: bool = True, labels: str = "") -> DataFrame:
     """S4 + S6: one row per document (a pretty-printed file holds one
     document: ``multi_line``; JSON Lines written by ``write_documents`` hold
-    one per line), with its file path and mtime."""
-    df = (spark.read.schema(DOC_SCHEMA).option("multiLine", multi_line).option("mode", "PERMISSIVE")
+    one per line), with its file path and mtime; ``labels`` are columns that
+    the folder names give (``kind=a/...``)."""
+    schema = T.StructType([*DOC_SCHEMA.fields, *(T.StructType.fromDDL(labels).fields if labels else [])])
+    df = (spark.read.schema(schema).option("multiLine", multi_line).option("mode", "PERMISSIVE")
           .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
     return df.withColumns({"doc_path": F.col("_metadata.file_path"),
                            "doc_mtime": F.col("_metadata.file_modification_time")})
@@ -68,10 +71,12 @@ def split_corrupt(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good documents, quarantined documents).
 
     Spark only lets a query read the corrupt-record column together with
-    the parsed result, so the parsed documents are persisted once (one row
-    per file) and both outputs are taken from that copy.
+    the parsed result, so the parsed documents are written once below
+    ``spark.checkpoint.dir`` and both outputs are taken from that copy.
     """
-    parsed = docs.persist()
+    path = scratch_path(docs.sparkSession, "parsed-documents")
+    docs.write.parquet(path)
+    parsed = docs.sparkSession.read.schema(docs.schema).parquet(path)
     bad = F.col("_corrupt_record").isNotNull()
     return parsed.filter(~bad), parsed.filter(bad).select("doc_path", "_corrupt_record")
 
