@@ -6,14 +6,19 @@ if the Jaccard similarity of their sets is 0.8 or more.
 
 1. Documents with equal sets form a class; only classes are compared.
 2. ``HASHES`` MinHash values a class; classes that agree on a whole band share
-   a bucket.  A bucket gives star edges to its smallest class, never pairs.
-3. The connected components of these edges hold every candidate pair.  A
-   component's classes are dealt into blocks by hash; a task gets two blocks
-   (or one, with itself).
-4. In a task the MinHash values are compared ``STEP`` at a time.  After k
-   values with m agreements the posterior probability that the similarity
-   reaches the threshold, from a uniform prior, is P(Bin(k + 1, t) <= m); the
-   pair is dropped when it falls below ``TOLERANCE``.
+   a bucket.  Candidates are the pairs that share a bucket, never more.  A bucket
+   gives star edges to its smallest class; their components only say which
+   classes are verified near each other.
+3. The MinHash values of a pair are compared ``STEP`` at a time.  After k values
+   with m agreements the posterior probability that the similarity reaches the
+   threshold, from a uniform prior, is P(Bin(k + 1, t) <= m); the pair is
+   dropped when it falls below ``TOLERANCE``.  A component of at most ``BLOCK``
+   classes is one task of this kind.  Larger components are compared bucket by
+   bucket on the MinHash values alone (buckets are dealt in blocks to pairs of
+   blocks, and a pair counts in its first common bucket only).
+4. The texts of the pairs that are left go to tasks (component, block, block), a
+   text to a task only if it has a pair there: the rows sent are at most two a
+   pair, and at most the blocks of its component a class.
 5. What is left is verified on the whole sets.  A task returns a row for each
    of its classes: the documents it is linked to, and one link to the smallest
    class it reaches.  Pairs are not written, however large a group is.
@@ -36,7 +41,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from defectlens.llm.common import (byte_words, doc_slices, in_arrow, keyed_groups, mix64, prefix_hash, small_batches,
@@ -157,7 +162,7 @@ def least_agreements(tolerance: float = TOLERANCE) -> tuple[int, ...]:
 
 def likely_pairs(left: np.ndarray, right: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs that survive the incremental comparison of MinHash values."""
-    least, out = least_agreements(), []
+    least, out = least_agreements(), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]  # one side may be empty
     strip = max(1, (1 << 18) // max(1, len(right)))
     for a in range(0, len(left), strip):
         rows = np.arange(a, min(a + strip, len(left)))
@@ -233,14 +238,68 @@ def _compared(rows: pa.Table) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links), pa.array(ids[root])], ["id", "links", "peer"])
 
 
-def _one_or_two_blocks(members: DataFrame) -> DataFrame:
-    """Rows of ``members`` (id, comp, size, ...) dealt to the tasks (comp, x, y), x <= y."""
-    n = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), n).cast("int")
-    other = F.explode(F.sequence(F.lit(0), n - 1))
-    return (members.withColumn("own", own).withColumn("other", other)
-            .withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
-            .withColumn("side", F.when(F.col("own") == F.col("x"), 0).otherwise(1)).drop("own", "other", "size"))
+def _in_blocks(size: str) -> Column:
+    """The block of a class among those of a group of ``size`` classes."""
+    return F.pmod(F.xxhash64("id"), F.ceil(F.col(size) / BLOCK).cast("int")).cast("int")
+
+
+def _bucket_tasks(rows: DataFrame) -> DataFrame:
+    """Rows of large buckets (bucket, n, ...) dealt to the tasks (bucket, bx, by), bx <= by."""
+    other = F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / BLOCK).cast("int") - 1))
+    return (rows.withColumn("own", _in_blocks("n")).withColumn("other", other)
+            .withColumn("bx", F.least("own", "other")).withColumn("by", F.greatest("own", "other"))
+            .withColumn("side", F.when(F.col("own") == F.col("bx"), 0).otherwise(1)).drop("own", "other", "n"))
+
+
+def first_shared(bands: np.ndarray, i: np.ndarray, j: np.ndarray, band: int) -> np.ndarray:
+    """Whether no band before ``band`` is common to the rows i[k] and j[k]."""
+    fresh = np.ones(len(i), bool)
+    for b in range(band):
+        fresh &= bands[i, b] != bands[j, b]
+    return fresh
+
+
+def _left_in_bucket(rows: pa.Table) -> pa.RecordBatch:
+    """(comp, x, y, id): where the classes of one task of a bucket have a pair to verify."""
+    ids, block, side = (rows.column(c).to_numpy() for c in ("id", "block", "side"))
+    signature = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint32).reshape(-1, HASHES)
+    bands = band_values(signature)
+    band = int(np.flatnonzero(bands[0].view(np.int64) == rows.column("bucket")[0].as_py())[0])
+    left = np.flatnonzero(side == 0)
+    two = bool((side == 1).any())
+    right = np.flatnonzero(side == 1) if two else left
+    i, j = likely_pairs(signature[left], signature[right], not two)
+    i, j = left[i], right[j]
+    fresh = first_shared(bands, i, j, band)
+    i, j = i[fresh], j[fresh]
+    x, y = np.minimum(block[i], block[j]), np.maximum(block[i], block[j])
+    places = np.unique(np.stack([np.tile(x, 2), np.tile(y, 2), np.concatenate([i, j])], axis=1), axis=0)
+    comp = np.full(len(places), rows.column("comp")[0].as_py(), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(comp), pa.array(places[:, 0].astype(np.int32)), pa.array(places[:, 1].astype(np.int32)),
+                                       pa.array(ids[places[:, 2]])], ["comp", "x", "y", "id"])
+
+
+def _places(members: DataFrame, buckets: DataFrame) -> DataFrame:
+    """(comp, x, y, side, id): the tasks that need the text of a class, each once.
+
+    ``members``: (id, comp, size, signature); ``buckets``: (bucket, n, id), n > 1.
+    """
+    spark = members.sparkSession
+    small = members.filter(F.col("size") <= BLOCK).select("comp", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("side"), "id")
+    large = members.filter(F.col("size") > BLOCK).select("id", "comp", _in_blocks("size").alias("block"), "signature")
+    if not large.take(1):
+        return small
+    tasks = _bucket_tasks(buckets.select("bucket", "n", "id").join(large, "id"))
+    dealt = (tasks.select("bucket", "bx", "by", "side", "id", "comp", "block", "signature")
+             .repartition(wide_parallelism(spark), "bucket", "bx", "by").sortWithinPartitions("bucket", "bx", "by"))
+
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in keyed_groups(batches, ["bucket", "bx", "by"]):
+            yield _left_in_bucket(group)
+
+    found = in_arrow(dealt, left, "comp bigint, x int, y int, id bigint").distinct().join(large.select("id", "block"), "id")
+    side = F.when(F.col("block") == F.col("x"), 0).otherwise(1)
+    return small.unionByName(found.select("comp", "x", "y", side.alias("side"), "id"))
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -255,21 +314,23 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     grouped = (rows.filter("n_set > 0").groupBy("f1", "f2")
                .agg(F.count("*").alias("n_docs"), F.min("key").alias("rep"), F.any_value("signature").alias("signature")))
     classes = staged(grouped.withColumn("id", F.monotonically_increasing_id()), "jaccard-classes")
-    buckets = _buckets(classes)
-    shared = buckets.groupBy("bucket").agg(F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    stars = buckets.join(shared, "bucket").select(F.col("id").alias("u"), F.col("least").alias("v")).filter("u <> v")
-    near = components(stars)
+    shared = _buckets(classes)
+    shared = shared.groupBy("bucket").agg(F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1").join(shared, "bucket")
+    buckets = staged(shared.select("bucket", "n", "id", "least"), "jaccard-buckets")
+    near = components(buckets.select(F.col("id").alias("u"), F.col("least").alias("v")).filter("u <> v"))
     sizes = near.groupBy("root").agg(F.count("*").alias("size"))
     members = staged(near.join(sizes, "root").withColumnRenamed("root", "comp")
-                     .join(classes.select(F.col("id").alias("node"), "f1", "f2", "rep", "n_docs"), "node")
+                     .join(classes.select(F.col("id").alias("node"), "f1", "f2", "rep", "n_docs", "signature"), "node")
                      .withColumnRenamed("node", "id"), "jaccard-members")
+    places = _places(members.select("id", "comp", "size", "signature"), buckets)
+    places = staged(places.join(members.select("id", "f1", "f2", "rep", "n_docs"), "id"), "jaccard-places")
     # one text of each class: by its key, then checked against the class (keys may repeat or be null)
-    source = docs.select(F.col(key).cast("long").alias("rep"), F.lower(text_or_empty(text)).alias("text"))
-    # always a sorted merge: the members grow with the documents, and the plan is the same at every size
-    texts = members.join(source.hint("merge"), members["rep"].eqNullSafe(source["rep"])).select("id", "comp", "size", "n_docs", "f1", "f2", "text")
-    texts = _of_class(texts).dropDuplicates(["id"]) if _repeats(rows) else texts.drop("f1", "f2")
-    tasks = _one_or_two_blocks(texts)
-    dealt = tasks.repartition(wide_parallelism(spark), "comp", "x", "y").sortWithinPartitions("comp", "x", "y")
+    source = docs.select(F.col(key).cast("long").alias("key"), F.lower(text_or_empty(text)).alias("text"))
+    # always a sorted merge: the places grow with the documents, and the plan is the same at every size
+    task = ["comp", "x", "y", "side", "id"]
+    texts = places.join(source.hint("merge"), places["rep"].eqNullSafe(source["key"])).select(*task, "n_docs", "f1", "f2", "text")
+    texts = _of_class(texts).dropDuplicates(task) if _repeats(rows) else texts.drop("f1", "f2")
+    dealt = texts.repartition(wide_parallelism(spark), "comp", "x", "y").sortWithinPartitions("comp", "x", "y")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in keyed_groups(batches, ["comp", "x", "y"]):
@@ -294,7 +355,7 @@ def _repeats(rows: DataFrame) -> bool:
 
 def _of_class(texts: DataFrame) -> DataFrame:
     """The rows whose text has the fingerprint of its class."""
-    columns = ["id", "comp", "size", "n_docs", "text"]
+    columns = ["comp", "x", "y", "side", "id", "n_docs", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

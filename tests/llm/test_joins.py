@@ -70,6 +70,47 @@ def test_keep_one_of_each_group(make_docs):
     assert jaccard.join(make_docs([])).count() == 0
 
 
+def test_chain_sends_rows_by_bucket_pairs(make_docs, monkeypatch):
+    """Texts that slide along one word list: neighbours at 0.76, one long component, no link."""
+    seen, places = [], jaccard._places
+
+    def spied(members, buckets):
+        seen.append((buckets, members, places(members, buckets)))
+        return seen[-1][-1]
+
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(jaccard, "_places", spied)
+    sent = []
+    for n in (200, 800):
+        rows = [(k, " ".join(f"w{k * 3 + m}" for m in range(26))) for k in range(n)]
+        assert {(r["class_id"] == r["key"], r["n_links"]) for r in jaccard.join(make_docs(rows)).collect()} == {(True, 0)}
+        buckets, members, dealt = seen[-1]
+        ids = {}
+        for r in buckets.collect():
+            ids.setdefault(r["bucket"], []).append(r["id"])
+        pairs = {(a, b) for group in ids.values() for a in group for b in group if a < b}
+        got = dealt.collect()
+        in_large = {r["id"] for r in members.filter("size > 16").collect()}
+        assert len(got) == len(set(got)) and len(in_large) > n / 2
+        assert sum(r["id"] in in_large for r in got) <= 2 * len(pairs)
+        sent.append(len(got))
+    assert sent[1] <= 5 * sent[0]
+
+
+def test_large_group_counts_each_pair_once(make_docs, monkeypatch):
+    """Near copies of one text over many blocks: every link once, though most pairs share many buckets."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    rng = random.Random(5)
+    base = words(rng, 120)
+    rows = []
+    for k in range(60):
+        w = list(base)
+        w[rng.randrange(120)] = f"x{k % 40}"
+        rows.append((k, " ".join(w)))
+    got = jaccard.join(make_docs(rows)).collect()
+    assert sorted((str(r["key"]), str(r["class_id"]), r["n_links"], r["n_equal"]) for r in got) == plain_join(rows)
+
+
 def test_posterior_bound():
     least = jaccard.least_agreements()
     assert least[8] <= 1 and 50 <= least[96] <= 65 and list(least) == sorted(least)
