@@ -1,7 +1,9 @@
 """PII: keyed, type-consistent surrogates.
 
 1. Mentions are found in every text; the distinct entities (kind and normal
-   form) are kept.
+   form) are kept.  A name is found after a title; each of its parts is then a
+   mention wherever it stands in the same text as a whole word with a capital,
+   unless the text also has the word in lower case.
 2. An entity's surrogate is derived from a keyed hash of its normal form and
    an attempt number: letters for letters, digits for digits, valid octets,
    a valid check digit where the original has one, names of the same script
@@ -12,14 +14,15 @@
    smallest keeps it, and a surrogate that is an original of its kind is not
    used; the others go to their next attempt until all are distinct.
 4. The texts are written again, each mention in its own format (spacing,
-   brackets, case).  Equal entities get equal surrogates in all documents.
+   brackets, case, hyphens and apostrophes).  Equal entities get equal surrogates in all documents.
 
 Only entities beyond their first attempt or of a gender found elsewhere must be looked up.  Up to
 ``SENT_EXCEPTIONS`` of them are sent to the tasks; more are joined to the
 documents that mention them.
 
 Edge cases: null text counts as empty (and stays null in :func:`replace`);
-overlapping mentions: the leftmost, on ties the kind listed first; repeated
+overlapping mentions: the leftmost, on ties the kind listed first; a part that is
+a given name of one name and a surname of another stands alone for the surname; repeated
 rows are handled one by one; an empty table gives an empty result; other
 columns are carried by :func:`replace` unchanged.
 """
@@ -47,6 +50,9 @@ TITLES = {"Mr": "m", "Mister": "m", "Herr": "m", "Monsieur": "m", "Señor": "m",
           "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Señora": "f", "Sra": "f", "Doña": "f", "госпожа": "f",
           "Dr": "n", "Prof": "n"}
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+_HEX = r"[0-9A-Fa-f]{1,4}"
+#: Eight groups, or three at least around one ``::``.
+_IP6 = (rf"(?<![\w:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{2,6}}(?::{_HEX}){{1,5}}|{_HEX}:(?::{_HEX}){{2,6}})(?![\w:])")
 _LETTER = r"(?:[^\W\d_]|[\u0300-\u036f])"  # of any script, or a combining accent
 
 
@@ -75,14 +81,17 @@ _PHONES = (r"(?<![\w+])\+1[ .-]?(?:\([2-9][0-9]{2}\)|[2-9][0-9]{2})[ .-]?[0-9]{3
 #: Country codes of one and two digits; all others have three.
 _COUNTRY = re.compile(r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})")
 PATTERNS = {
-    "email": re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
-    "ip": re.compile(rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9])(?!\.[0-9])"),
+    "email": re.compile(r"(?<!\w)(?<!\w[.'%+-])\w[\w.'%+-]{0,255}@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}"),
+    "ip": re.compile(rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9])(?!\.[0-9])|{_IP6}"),
     "card": re.compile(r"(?<![0-9])[3-6](?:[ -]?[0-9]){12,18}(?![0-9])"),
     "ssn": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     "phone": re.compile("|".join(_PHONES)),
     "name": re.compile(rf"\b(?:{'|'.join(TITLES)})\.? ({_CAPITAL}(?: {_CAPITAL}){{0,2}})"),
 }
 _DIGITS = re.compile(r"[0-9][0-9. -]*[0-9]")
+_WORD = re.compile(rf"(?<![\w\u0300-\u036f])(?<!\w['’‐‑-]){_CAPITAL}")
+_MARK = re.compile("(['’‐‑-])")
+_SIXTEENS = re.compile(r"[0-9A-Fa-f]:[0-9A-Fa-f]*:")
 _TITLE = re.compile("|".join(f"{t}[. ]" for t in TITLES))
 _ONSETS = {"latin": ["b", "br", "c", "d", "f", "g", "gr", "h", "j", "k", "l", "m", "n", "p", "r", "s", "st", "t", "v", "w"],
            "cyrillic": ["б", "в", "г", "д", "ж", "з", "к", "л", "м", "н", "п", "р", "с", "т", "ф", "х"],
@@ -118,12 +127,14 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
     found = []
     if "@" in text:
         found += [(m.start(), m.end(), 0, "email") for m in PATTERNS["email"].finditer(text)]
-    if _DIGITS.search(text):
-        for k in ("ip", "card", "ssn", "phone"):
+    digits = _DIGITS.search(text)
+    if digits or _SIXTEENS.search(text):
+        for k in ("ip", "card", "ssn", "phone") if digits else ("ip",):
             found += [(m.start(), m.end(), KINDS.index(k), k) for m in PATTERNS[k].finditer(text)]
     if _TITLE.search(text):
-        found += [(m.start(1), m.end(1), KINDS.index("name"), "name:" + TITLES[text[m.start():m.end()].split(" ")[0].rstrip(".")])
-                  for m in PATTERNS["name"].finditer(text)]
+        names = [(m.start(1), m.end(1), KINDS.index("name"), "name:" + TITLES[text[m.start():m.end()].split(" ")[0].rstrip(".")])
+                 for m in PATTERNS["name"].finditer(text)]
+        found += names + _named_again(text, names)
     found.sort(key=lambda x: (x[0], x[2]))
     out, at = [], 0
     for a, z, _, kind in found:
@@ -133,6 +144,25 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
     return out
 
 
+def _part(word: str) -> str:
+    """The form of a name's part that all its spellings share."""
+    return unicodedata.normalize("NFC", word).replace("’", "'").casefold()
+
+
+def _named_again(text: str, names: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
+    """The words of ``text`` that are parts of ``names``, one mention a word; a word in a name sorts after it."""
+    known: dict[str, str] = {}
+    for a, z, _, kind in names:
+        *given, surname = text[a:z].split(" ")
+        known[_part(surname)] = "name:n"  # a surname tells no gender
+        for g in given:
+            if known.get(_part(g)) in (None, "name:n:given"):
+                known[_part(g)] = kind + ":given"
+    ordinary = set(re.findall(r"\w+", text))
+    known = {p: k for p, k in known.items() if p not in ordinary}
+    return [(m.start(), m.end(), len(KINDS), known[_part(m[0])]) for m in _WORD.finditer(text) if _part(m[0]) in known] if known else []
+
+
 def normal(kind: str, mention: str) -> str:
     if kind == "email":
         return mention.lower()
@@ -146,9 +176,10 @@ def entities_of(kind: str, form: str) -> list[tuple[str, str]]:
     """(kind, normal form) of what gets a surrogate of its own: the parts of a name, else the whole."""
     if not kind.startswith("name"):
         return [(kind, form)]
-    parts = [p.casefold() for p in unicodedata.normalize("NFC", form).replace("’", "'").split(" ")]
+    _, gender, *role = kind.split(":")
+    parts = [_part(p) for p in form.split(" ")] + [""] * bool(role)  # a given name alone has no surname
     script = "cyrillic" if re.search("[Ѐ-ԯ]", form) else "greek" if re.search("[Ͱ-Ͽἀ-῾]", form) else "latin"
-    return [(f"given:{kind[5:]}:{script}", p) for p in parts[:-1]] + [(f"surname:{script}", parts[-1])]
+    return [(f"given:{gender}:{script}", p) for p in parts[:-1]] + [(f"surname:{script}", p) for p in parts[-1:] if p]
 
 
 def surrogate(key: str, kind: str, form: str, attempt: int) -> str:
@@ -162,6 +193,8 @@ def surrogate(key: str, kind: str, form: str, attempt: int) -> str:
         swap = lambda t: "".join(chr(97 + s.below(26)) if c.isalpha() else str(s.below(10)) if c.isdigit() else c for c in t)
         grown = "".join(chr(97 + s.below(26)) for _ in range(attempt // 4))  # a short form may have no free surrogate left
         return f"{swap(local)}{grown}@{swap(names.split('.')[0])}.example.{top}"  # a reserved domain
+    if kind == "ip" and ":" in form:  # groups of the same length, the first digit of each not 0
+        return ":".join("".join("123456789abcdef"[s.below(15)] if i == 0 else f"{s.below(16):x}" for i in range(len(g))) for g in form.split(":"))
     if kind == "ip":
         return ".".join(str(1 + s.below(254)) for _ in range(4))
     if kind == "card":
@@ -175,18 +208,30 @@ def surrogate(key: str, kind: str, form: str, attempt: int) -> str:
         return country + slash + "".join(edge(c) if len(rest) >= 10 and kind == "phone" and i in (0, 1, 3, 4) else digit(c) for i, c in enumerate(rest))
     kind, _, rest = kind.partition(":")
     gender, script = rest.split(":") if kind == "given" else ("surname", rest)
-    syllables = "".join(_ONSETS[script][s.below(len(_ONSETS[script]))] + _VOWELS[script][s.below(5)] for _ in range(2 + attempt // 4))
-    return syllables + _ENDINGS[script][gender][s.below(len(_ENDINGS[script][gender]))]
+    syllables = lambda n: "".join(_ONSETS[script][s.below(len(_ONSETS[script]))] + _VOWELS[script][s.below(5)] for _ in range(n))
+    *before, _ = _MARK.split(form)  # pieces and the marks after them, then the last piece
+    start = "".join(x if _MARK.match(x) else syllables(1)[0] if len(x) == 1 else syllables(2) for x in before)
+    return start + syllables(2 + attempt // 4) + _ENDINGS[script][gender][s.below(len(_ENDINGS[script][gender]))]
+
+
+def _name_as(word: str, form: str) -> str:
+    """A name's surrogate with the marks and the case of each piece of ``word``."""
+    whole = len(word) > 1 and word.isupper()
+    pieces = zip(_MARK.split(word), _MARK.split(form))
+    return "".join(w if _MARK.match(w) else f.upper() if whole or len(w) > 1 and w.isupper() else f.capitalize() if w[:1] != w[:1].lower() else f
+                   for w, f in pieces)
 
 
 def in_format(kind: str, mention: str, forms: list[str]) -> str:
     """The surrogate written like the mention: its marks, its spacing, its case."""
     if kind.startswith("name"):
-        return " ".join(f.upper() if len(p) > 1 and p.isupper() else f.capitalize() for p, f in zip(mention.split(" "), forms))
+        return " ".join(_name_as(p, f) for p, f in zip(unicodedata.normalize("NFC", mention).split(" "), forms))
     form = forms[0]
     if kind in ("card", "ssn", "phone"):
         digits = (c for c in form if "0" <= c <= "9")
         return "".join(next(digits) if "0" <= c <= "9" else c for c in mention)
+    if kind == "ip":
+        return form.upper() if mention != mention.lower() else form
     if kind == "email":
         old_local, new_local = mention.partition("@")[0], form.partition("@")[0]
         return form.upper() if mention.isupper() else new_local.capitalize() + form[len(new_local):] if old_local.istitle() else form
