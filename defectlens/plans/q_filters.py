@@ -61,7 +61,7 @@ def q_sprints_for_test_type(t):
     return M.sprints_for_test_type(rows, labels, "uat")
 
 
-@register("team_analysis", "E3 A19 A22 U1", with_issue("""
+@register("team_analysis", "E3 (partial: label lists only) U1", with_issue("""
 SELECT 'status' AS section, status AS item FROM issue GROUP BY status
 UNION ALL SELECT 'issue_type', issue_type FROM issue GROUP BY issue_type
 UNION ALL SELECT 'top_developer', assignee FROM (SELECT assignee FROM issue WHERE lower(issue_type) = 'bug' GROUP BY assignee

@@ -267,7 +267,7 @@ def q_filtered_sprints(t):
         "sprint", "sprint_num", "bugs", "bugs_resolved", "test_cases")
 
 
-@register("sprint_year_totals", "A19 A20 A21 A33 A35 (sprint selection = one year of sprints)", with_issue(f"""
+@register("sprint_year_totals", "A19 A20 (partial: no fallback by priority label) A21 A33 (sprint selection = one year of sprints)", with_issue(f"""
 SELECT year, CAST(sum(bugs) AS BIGINT) AS total_bugs, CAST(sum(bugs_resolved) AS BIGINT) AS total_resolved,
        CAST(sum(test_cases) AS BIGINT) AS total_executed, CAST(sum({ft('test_planned', 'test_cases')}) AS BIGINT) AS total_planned,
        CAST(sum(critical_total) AS BIGINT) AS critical_total, CAST(sum(critical_pending) AS BIGINT) AS critical_pending,

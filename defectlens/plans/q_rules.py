@@ -208,7 +208,7 @@ def _cards_sql():
     return kq("module", " UNION ALL ".join(parts))
 
 
-@register("metric_cards", "K34 R9 K32 F16", _cards_sql())
+@register("metric_cards", "K34 R9 K32", _cards_sql())
 def q_metric_cards(t):
     by = ["module"]
     return RU.metric_cards(K.kpis(sprint_frame(t.issues, by), by), by)
@@ -395,7 +395,7 @@ def q_match_percentage(t):
     return V.reconciliation_summary(_rec_frames(t))
 
 
-@register("validate_records", "V5 N7 (row-level checks on the sprint roll-up)", with_issue("""
+@register("validate_records", "V5 (row-level checks on the sprint roll-up)", with_issue("""
 SELECT sprint, sprint_num, len(errs) = 0 AS is_valid, len(errs) AS n_errors, array_to_string(errs, '; ') AS errors
 FROM (SELECT sprint, sprint_num, list_filter([
     CASE WHEN sprint IS NULL OR trim(sprint) = '' THEN 'missing sprint label' END,
