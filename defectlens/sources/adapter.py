@@ -4,8 +4,9 @@ One issue = one lineitem.  The mapping is a star join; at scale lineitem and
 orders are the two big sides, so the plan joins them on the order key (one
 shuffle each side), enriches orders with customer geography first (customer is
 joined with the 25-row nation and 5-row region tables, which AQE broadcasts on
-their measured size), and joins part and supplier on their keys.  No hint
-forces a broadcast: ``spark.sql.autoBroadcastJoinThreshold`` and AQE decide on
+their measured size), and joins part and supplier on their keys.  The issue's
+labels, tags and numbers are derived after the joins.  No hint forces a
+broadcast: ``spark.sql.autoBroadcastJoinThreshold`` and AQE decide on
 measured sizes, with sort-merge join as the fallback beyond the threshold.
 """
 
@@ -33,56 +34,41 @@ def _sprint_num(ts):
     return ((F.year(ts) - F.lit(1995)) * F.lit(12) + F.month(ts)).cast("int")
 
 
-def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The issue frame with the canonical schema (see ``ISSUE_COLUMNS``).
+def _star_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per issue with the source columns that ``_finished`` derives the issue from.
 
-    Every field that depends on one dimension only is derived on that
-    dimension before the join (tags and labels on part, the assignee rule on
-    supplier, the environment on region, sprint and priority on orders), so
-    the lineitem-sized side only carries finished columns and the
-    interpreted higher-order tag functions run once per part, not per issue.
+    Only what cannot be derived later is carried: no label, tag list or
+    number that another column gives stands in a row that is still to be
+    shuffled, sorted or sent as a broadcast side.
     """
     li = read_table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.col("l_quantity").cast("long").alias("qty"),
         "l_returnflag", "l_linestatus", "l_shipdate")
-    op = F.col("o_orderpriority")
     orders = read_table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", F.col("o_orderdate").alias("created_at"),
-        _sprint_num(F.col("o_orderdate")).alias("sprint_num"),
-        F.when(F.col("o_orderkey") % 13 == 0, "Major")
-         .when(op == "1-URGENT", "Más alta").when(op == "2-HIGH", "Alta").when(op == "3-MEDIUM", "Media")
-         .when(op == "5-LOW", "Baja").otherwise("Más baja").alias("priority"))
-    part = read_table(spark, sf_dir, "part").select(
-        "p_partkey", F.when(F.col("p_partkey") % 31 == 0, F.lit(None).cast("string"))
-        .when(F.col("p_partkey") % 31 == 1, "").otherwise(F.col("p_type")).alias("module"), F.col("p_brand").alias("category"),
-        F.col("p_brand").alias("fix_version"),
-        split_tags(F.regexp_replace(F.col("p_name"), " ", ";")).alias("tags"),
-        F.when(F.col("p_partkey") % 17 == 0, F.concat("p_name", F.lit(" test case"))).otherwise(F.col("p_name")).alias("summary"))
-    cust = read_table(spark, sf_dir, "customer").select(
-        "c_custkey", "c_nationkey", F.col("c_mktsegment").alias("strategy"))
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
+    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand")
+    cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    rn = F.col("r_name")
-    region = read_table(spark, sf_dir, "region").select(
-        "r_regionkey",
-        F.when(rn == "EUROPE", "PROD").when(rn == "ASIA", "UAT").when(rn == "MIDDLE EAST", "UAT")
-         .when(rn == "AMERICA", "SIT").otherwise("DEV").alias("environment"))
-    # l_suppkey = s_suppkey on a match, and an unmatched row has no name
-    # either way, so the "every tenth supplier is unassigned" rule is a
-    # supplier-side column.
-    supp = read_table(spark, sf_dir, "supplier").select(
-        "s_suppkey", F.when(F.col("s_suppkey") % 10 == 0, F.lit(None).cast("string"))
-        .when(F.col("s_suppkey") % 10 == 1, "").otherwise(F.col("s_name")).alias("assignee"))
+    region = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    supp = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
 
     geo = (cust.join(nation, cust.c_nationkey == nation.n_nationkey)
            .join(region, F.col("n_regionkey") == region.r_regionkey)
-           .select("c_custkey", "strategy", "environment"))
-    o = orders.join(geo, orders.o_custkey == geo.c_custkey)
-    x = (li.join(o, li.l_orderkey == o.o_orderkey)
-         .join(part, li.l_partkey == part.p_partkey)
-         .join(supp, li.l_suppkey == supp.s_suppkey, "left"))
-
+           .select("c_custkey", "c_mktsegment", "r_name"))
+    o = orders.join(geo, orders.o_custkey == geo.c_custkey).drop("o_custkey", "c_custkey")
+    return (li.join(o, li.l_orderkey == o.o_orderkey).drop("o_orderkey")
+            .join(part, li.l_partkey == part.p_partkey).drop("p_partkey")
+            .join(supp, li.l_suppkey == supp.s_suppkey, "left").drop("l_suppkey")
+            .withColumn("sprint_num", _sprint_num(F.col("o_orderdate"))))
+
+
+def _finished(x: DataFrame) -> DataFrame:
+    """``_star_join`` rows -> the canonical schema (``ISSUE_COLUMNS``), row by row."""
+    op, rn, pk, sk = (F.col(c) for c in ("o_orderpriority", "r_name", "l_partkey", "s_suppkey"))
+    environment = (F.when(rn == "EUROPE", "PROD").when(rn == "ASIA", "UAT").when(rn == "MIDDLE EAST", "UAT")
+                   .when(rn == "AMERICA", "SIT").otherwise("DEV"))
     done = F.col("l_linestatus") == "F"
-    qty = F.col("l_quantity").cast("long")
+    qty = F.col("qty")
     iid = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     no_label = F.lit(None).cast("string")
     return x.select(
@@ -95,10 +81,19 @@ def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(iid % 29 == 0, "Reopened").when(iid % 29 == 1, "Resolved").when(iid % 29 == 2, "Tareas por hacer")
          .when(iid % 29 == 3, no_label).when(done, "Done").when(F.col("o_orderstatus") == "P", "In Development")
          .when(F.col("o_orderstatus") == "F", "Canceled").otherwise("To Do").alias("status"),
-        "priority",
+        F.when(F.col("l_orderkey") % 13 == 0, "Major")
+         .when(op == "1-URGENT", "Más alta").when(op == "2-HIGH", "Alta").when(op == "3-MEDIUM", "Media")
+         .when(op == "5-LOW", "Baja").otherwise("Más baja").alias("priority"),
         # one module holds most issues of one environment
-        F.when((F.col("environment") == "DEV") & (F.col("l_partkey") % 10 < 7), "CORE").otherwise(F.col("module")).alias("module"), "category", "assignee", "environment", "strategy", "fix_version", "tags",
-        "summary", "created_at",
+        F.when((environment == "DEV") & (pk % 10 < 7), "CORE").when(pk % 31 == 0, no_label).when(pk % 31 == 1, "")
+         .otherwise(F.col("p_type")).alias("module"),
+        F.col("p_brand").alias("category"),
+        # an unmatched supplier has no name either way
+        F.when(sk % 10 == 0, no_label).when(sk % 10 == 1, "").otherwise(F.col("s_name")).alias("assignee"),
+        environment.alias("environment"), F.col("c_mktsegment").alias("strategy"), F.col("p_brand").alias("fix_version"),
+        split_tags(F.regexp_replace(F.col("p_name"), " ", ";")).alias("tags"),
+        F.when(pk % 17 == 0, F.concat("p_name", F.lit(" test case"))).otherwise(F.col("p_name")).alias("summary"),
+        F.col("o_orderdate").alias("created_at"),
         F.when(done, F.col("l_shipdate")).alias("resolved_at"),
         qty.alias("cases_planned"),
         F.when(F.col("sprint_num") % 7 == 3, qty + 3)  # more executed than planned in some sprints
@@ -106,6 +101,11 @@ def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The issue frame with the canonical schema (see ``ISSUE_COLUMNS``)."""
+    return _finished(_star_join(spark, sf_dir))
+
+
 def raw_issue_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Second, independent path to the per-sprint facts: lineitem x orders only.
 
@@ -155,7 +155,7 @@ class Tables:
     @property
     def issues(self) -> DataFrame:
         if self.issue_path:
-            # Read (and list the sprint folders) once; the DataFrame keeps its
+            # Read (and list the files) once; the DataFrame keeps its
             # file index, so every query built from it skips the listing.
             if getattr(self, "_issue_df", None) is None:
                 self._issue_df = self.spark.read.parquet(self.issue_path)
@@ -167,21 +167,28 @@ class Tables:
         return raw_issue_facts(self.spark, self.sf_dir)
 
 
+#: Rows of one file of the issue table: what a reader's task or a stream's batch takes is not tied to the loading tasks.
+LOAD_ROWS = 200_000
+
+
+def load_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that the bulk load writes, in the tasks of the star join and sorted by sprint within each."""
+    rows = (_star_join(spark, sf_dir).withColumn("_id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+            .sortWithinPartitions("sprint_num", "_id"))
+    return with_filter_keys(_finished(rows))
+
+
 def materialize_issues(spark: SparkSession, sf_dir: str, path: str) -> str:
-    """Bulk load (S9): write the issue frame once, one folder per sprint.
-
-    ``partitionBy("sprint_num")`` gives directory-level pruning for sprint
-    filters.  The ``rebalance`` hint lets AQE size the write tasks from
-    runtime statistics (``spark.sql.adaptive.advisoryPartitionSizeInBytes``)
-    and split a skewed sprint into several tasks/files; unlike
-    ``repartitionByRange`` it needs no sampling job, so the star join runs
-    once.  The write is one atomic job commit; a lost executor only re-runs
-    its tasks.
+    """Bulk load (S9): write the issue frame once, each file in sprint order.
+
+    The rows stay in the tasks of the star join: no shuffle by sprint carries
+    the finished rows a second time.  A file's rows are sorted by sprint, so
+    that a filter on ``sprint_num`` skips pages by their column index, and a
+    large sprint is spread over all files.  The labels and tags are derived
+    after the sort, which holds source columns only.  The write is one
+    atomic job commit; a lost executor only re-runs its tasks.
     """
-    df = with_filter_keys(issues(spark, sf_dir))
-    (df.hint("rebalance", "sprint_num")
-       .sortWithinPartitions("sprint_num", "issue_id")
-       .write.mode("overwrite").partitionBy("sprint_num").parquet(path))
+    load_rows(spark, sf_dir).write.mode("overwrite").option("maxRecordsPerFile", LOAD_ROWS).parquet(path)
     return path
 
 
