@@ -28,11 +28,35 @@ def _row_hash(columns: Sequence[str], seed: int = 0) -> Column:
     return F.xxhash64(F.lit(seed), *[F.col(c) for c in columns], *[F.col(c).isNull() for c in columns])
 
 
-def write_snapshot(df: DataFrame, root: str, version: str, bucket: Column) -> None:
-    """Rows of ``version`` in bucket folders, then their fingerprints (which make the snapshot whole)."""
+def once_per_key(df: DataFrame, key: str, path: str, bucket: Column) -> DataFrame:
+    """One row per ``key`` with the least value of each other column, written in bucket folders at ``path`` and read again.
+
+    Only the keys are counted over all rows.  The rows of keys that repeat
+    (nulls are one key) are aggregated; the others are as they are.
+    """
+    twice = f"{path}-repeated"
+    df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col(key).alias("_key")).write.parquet(twice)
+    repeated = df.sparkSession.read.parquet(twice)
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    least = df.join(repeated, same, "left_semi").groupBy(key).agg(*[F.min(c).alias(c) for c in df.columns if c != key])
+    rows = df.join(repeated, same, "left_anti").unionByName(least)
+    _in_buckets(rows, bucket).write.partitionBy("bucket").parquet(path)
+    return df.sparkSession.read.parquet(path).drop("bucket")
+
+
+def _in_buckets(df: DataFrame, bucket: Column) -> DataFrame:
+    return df.withColumn("bucket", bucket).hint("rebalance", "bucket")  # splits a hot bucket
+
+
+def write_snapshot(df: DataFrame, root: str, version: str, bucket: Column, dealt: bool = False) -> None:
+    """Rows of ``version`` in bucket folders, then their fingerprints (which make the snapshot whole).
+
+    ``dealt``: ``df`` is read from folders of nearly the same buckets, so that
+    its tasks hold few of them each and need no shuffle.
+    """
     columns = sorted(df.columns)
     path = f"{root}/rows/version={version}"
-    df.withColumn("bucket", bucket).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(path)  # splits a hot bucket
+    (df.withColumn("bucket", bucket) if dealt else _in_buckets(df, bucket)).write.partitionBy("bucket").parquet(path)
     rows = df.sparkSession.read.parquet(path)
     total = lambda seed: F.sum(_row_hash(columns, seed).cast("decimal(38,0)"))
     rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), total(1).alias("a"), total(2).alias("b")).coalesce(1) \

@@ -231,7 +231,9 @@ FROM named WHERE fresh OR gone OR changes <> ''""", _DIFF_SQL))
 def q_snapshot_row_diff(t):
     """The newest sprint arrives; then part of it is withdrawn, triaged and takes issues of an older sprint.
     Of an issue id that stands in several rows, the least values are taken."""
-    issues = t.issues.groupBy("issue_id").agg(*[F.min(x).alias(x) for x in ("sprint_num", "status", "assignee", "priority", "issue_type")])
+    bucket = SR.bucket_of("sprint_num")
+    issues = SR.once_per_key(t.issues.select("issue_id", "sprint_num", "status", "assignee", "priority", "issue_type"), "issue_id",
+                             scratch_path(t.spark, "issues-once"), bucket)
     last = issues.select(F.max("sprint_num")).scalar()
     c = F.col
     v1 = issues.filter(c("sprint_num") < last).withColumn(
@@ -243,7 +245,7 @@ def q_snapshot_row_diff(t):
         "priority": F.when(untriaged & (c("priority") == "Baja"), "Media").otherwise(c("priority"))})
     root = scratch_path(t.spark, "row-snapshots")
     for name, df in (("1", v1), ("2", issues), ("3", v3)):
-        SR.write_snapshot(df.drop("issue_type"), root, name, SR.bucket_of("sprint_num"))
+        SR.write_snapshot(df.drop("issue_type"), root, name, bucket, dealt=True)
     diffs = [SR.row_diff(t.spark, root, a, b, ["issue_id"]).withColumn("step", F.lit(int(b))) for a, b in (("1", "2"), ("2", "3"))]
     dash = lambda x: F.coalesce(x, F.lit("-"))
     shown = F.array_join(F.transform("changes", lambda x: F.concat(x["column"], F.lit(":"), dash(x["before"]), F.lit(">"), dash(x["after"]))), " ")
