@@ -110,8 +110,12 @@ def upsert_dimension(current: DataFrame | None, new: DataFrame, key: str = "spri
     return u.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "_seq")
 
 
+#: Rows of one CSV file; a file with quoted line ends is read by one task.
+CSV_ROWS = 100_000
+
+
 def write_issue_csv(df: DataFrame, path: str, header_names: dict[str, str], mode: str = "overwrite") -> None:
-    """CSV sink with custom header names (used to produce test inputs)."""
+    """CSV sink with custom header names (used to produce test inputs): gzip files of at most ``CSV_ROWS`` rows."""
     out = df.select(*[F.col(c).alias(h) for c, h in header_names.items()])
     out.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"') \
-        .option("quoteAll", False).csv(path)
+        .option("quoteAll", False).option("compression", "gzip").option("maxRecordsPerFile", CSV_ROWS).csv(path)

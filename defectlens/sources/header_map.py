@@ -13,11 +13,14 @@ Files whose header names no issue field at all, or has more than
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from defectlens.functions.text import split_tags, sprint_number
+from defectlens.session import scratch_path
 from defectlens.sources.aliases import ISSUE_ALIASES
 
 #: Cells read of a row.
@@ -70,14 +73,27 @@ def _names(cells: Column) -> Column:
     return F.flatten(F.transform(F.array(plain), numbered))
 
 
-def file_headers(rows: DataFrame, columns: int = MAX_COLUMNS) -> DataFrame:
-    """The header table of ``in_file_order`` rows: file, first (its row), names, and the reason of a rejection or null."""
-    first = rows.groupBy("file").agg(F.min_by("cells", "row").alias("cells"), F.min("row").alias("first"))
+def _in_scratch(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, f"csv-{name}")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def file_headers(rows: DataFrame, columns: int = MAX_COLUMNS, land: Callable[[DataFrame, str], DataFrame] = _in_scratch) -> DataFrame:
+    """The header table of ``in_file_order`` rows: file, first (its row), names, and the reason of a rejection or null.
+
+    ``land`` writes a table of one row a file under a name and reads it again:
+    with a measured size, joins with the cells broadcast it if it is small,
+    and the cells are neither sorted nor shuffled.
+    """
+    least = land(rows.groupBy("file").agg(F.min("row").alias("first")), "firsts")
+    first = rows.join(least.withColumnRenamed("file", "_file"), (F.col("file") == F.col("_file")) & (F.col("row") == F.col("first"))) \
+        .select("file", "cells", "first")
     wide = F.get("cells", F.lit(columns)).isNotNull()
     named = first.withColumn("names", _names(F.col("cells")))
     known = F.arrays_overlap("names", F.array(*[F.lit(a) for a in _ALIASES]))
     reason = F.when(wide, f"more than {columns} columns").when(~known, "no issue field in the header")
-    return named.select("file", "first", "names", reason.alias("reason"))
+    return land(named.select("file", "first", "names", reason.alias("reason")), "headers")
 
 
 def rejected_files(headers: DataFrame) -> DataFrame:

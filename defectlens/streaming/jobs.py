@@ -91,6 +91,12 @@ def _write_epoch(df: DataFrame, root: str, epoch: int) -> None:
        .option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(root))
 
 
+def _landed_epoch(df: DataFrame, root: str, epoch: int) -> DataFrame:
+    """``df``, which has rows, written as an epoch and read again."""
+    _write_epoch(df, root, epoch)
+    return _epoch(df.sparkSession, root, epoch)
+
+
 def _drop_epochs(spark: SparkSession, root: str, before: int) -> None:
     """Delete the epochs of a versioned table that came before ``before``."""
     p = spark._jvm.org.apache.hadoop.fs.Path(root)
@@ -137,7 +143,7 @@ def csv_ingest_stream(spark: SparkSession, source_dir: str, table: str, dim: str
         if not path_exists(spark, f"{raw}/epoch={epoch}"):
             return  # no file of the batch has a row
         rows = _epoch(spark, raw, epoch)
-        headers = HM.file_headers(rows)
+        headers = HM.file_headers(rows, land=lambda df, name: _landed_epoch(df, f"{raw}_{name}", epoch))
         _write_epoch(HM.issues_of(rows, headers), table, epoch)
         _write_epoch(HM.rejected_files(headers), rejected, epoch)
         if not path_exists(spark, f"{table}/epoch={epoch}"):
