@@ -45,6 +45,29 @@ def test_random_texts_and_thinned_memo(name, cut, monkeypatch):
     check()
 
 
+@pytest.mark.parametrize("name,cut", VOCABULARIES)
+def test_each_word_is_merged_once(name, cut, monkeypatch):
+    """Words stay known when the pieces around them are thinned, and their own memo is bounded too."""
+    rng = np.random.default_rng(3)
+    words = ["".join(map(chr, rng.integers(97, 123, 6))) for _ in range(200)]
+    monkeypatch.setattr("defectlens.llm.tokens.MEMO_PIECES", 20)
+    batches = [[" ".join(w + mark for w in words)] for mark in (",", "!", "?")]
+
+    def merged():
+        enc, sent = PieceEncoder(P.path(name), cut), []
+        plain = enc._word_ids
+        monkeypatch.setattr(enc, "_word_ids", lambda new: sent.extend(new) or plain(new))
+        for texts in batches:
+            ids, at = enc.encode(texts)
+            assert [ids[a:z].tolist() for a, z in zip(at, at[1:])] == ids_by_library(name, texts)
+        return sent
+
+    sent = merged()
+    assert len(sent) == len(set(sent))
+    monkeypatch.setattr("defectlens.llm.tokens.MEMO_WORDS", 20)
+    assert len(merged()) > len(sent)
+
+
 def test_code_lengths_are_optimal_and_limited():
     rng = np.random.default_rng(1)
     counts = np.concatenate([rng.integers(0, 1000, 300), 2 ** np.arange(40)])
