@@ -263,6 +263,58 @@ def test_suffix_dedup_returns_the_rest(make_docs, monkeypatch, keep):
     assert any(r["n_removed"] for r in got)
 
 
+def plain_passages(rows, n):
+    words = [(t or "").encode().split() for _, t in rows]
+    seen: dict = {}
+    for k, w in enumerate(words):
+        for i in range(len(w) - n + 1):
+            seen.setdefault(tuple(w[i:i + n]), set()).add(k)
+    out = []
+    for k, w in enumerate(words):
+        hit = np.zeros(len(w), bool)
+        for i in range(len(w) - n + 1):
+            if len(seen[tuple(w[i:i + n])]) > 1:
+                hit[i:i + n] = True
+        out.append((str(rows[k][0]), int(hit.sum())))
+    return sorted(out)
+
+
+def repeated_passages(rng):
+    words = ["".join(rng.choices("abcdé", k=rng.randrange(1, 4))) for _ in range(300)]
+    shared = [rng.choices(words, k=n) for n in (5, 6, 7, 12, 30)]
+    rows = []
+    for k in range(60):
+        parts = [rng.choices(words, k=rng.randrange(15)) for _ in range(3)]
+        text = parts[0] + rng.choice(shared) + parts[1] + rng.choice(shared)[:rng.randrange(3, 9)] + parts[2]
+        rows.append((k, rng.choice([" ", "\n", " \t "]).join(text)))
+    own = rng.choices(words, k=8)
+    rows += [(60, " ".join(["a"] * 40)), (61, rows[0][1]), (61, rows[0][1]), (62, ""), (63, None), (64, "one two"),
+             (65, " ".join(own + ["x"] + own)), (None, " ".join(shared[3])), (None, " ".join(shared[3])), (66, "z" * 90 + " y")]
+    return rows
+
+
+@pytest.mark.parametrize("keep,shard,part,length", [("none", 1000, 1 << 22, 40), ("none", 2, 64, 40), ("none", 2, 1 << 22, 400),
+                                                    ("first", 1000, 1 << 22, 40)])
+def test_passages_of_words_equal_plain(make_docs, monkeypatch, keep, shard, part, length):
+    """Passages shorter than the removed strings are counted where another row has them, not within one text."""
+    monkeypatch.setattr(suffixes, "GRAM", 12)
+    monkeypatch.setattr(suffixes, "PART", part)
+    rows = repeated_passages(random.Random(4))
+    got = suffixes.dedup(make_docs(rows), length, keep, 12, shard, 6).collect()
+    assert sorted((str(r["doc_id"]), r["n_passage_words"]) for r in got) == plain_passages(rows, 6)
+    assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == plain_suffixes(rows, length, keep)
+    assert any(r["n_passage_words"] and not r["n_removed"] for r in got)
+
+
+def test_passage_below_the_removed_length(make_docs):
+    """51 words of fewer than 400 bytes in two texts; repeated within one text only; 50 words."""
+    words = [f"{k}w" for k in range(400)]
+    rows = [(1, " ".join(words[:80])), (2, "x " + " ".join(words[10:61]) + " y"), (3, " ".join(words[100:160] + ["q"] + words[100:160])),
+            (4, " ".join(words[200:250])), (5, "p " + " ".join(words[200:250]))]
+    got = {r["doc_id"]: (r["n_removed"], r["n_passage_words"]) for r in suffixes.suffix_report(make_docs(rows)).collect()}
+    assert got == {1: (0, 51), 2: (0, 51), 3: (0, 0), 4: (0, 0), 5: (0, 0)}
+
+
 def test_texts_longer_than_a_part(make_docs, monkeypatch):
     monkeypatch.setattr(suffixes, "PART", 64)
     rows = repeated_texts(random.Random(6))[:20]
