@@ -51,11 +51,19 @@ def label_or(c, default: str) -> Column:
 
 
 def split_tags(*cols) -> Column:
-    """Tags from up to N string columns: split on ``[;,|]``, trim, lower, drop blanks."""
-    parts = [F.transform(F.split(F.coalesce(_c(c), F.lit("")), "[;,|]"), lambda x: F.lower(F.trim(x)))
-             for c in cols]
+    """Tags from up to N string columns: split on ``[;,|]``, trim, lower, drop blanks.
+
+    Text without a space has nothing to trim; it is split by plain text, with
+    no pattern and no function a tag.
+    """
+    def tags(c) -> Column:
+        text = F.coalesce(_c(c), F.lit(""))
+        semicolons = F.replace(F.replace(F.lower(text), F.lit(","), F.lit(";")), F.lit("|"), F.lit(";"))
+        return F.when(F.contains(text, F.lit(" ")), F.transform(F.split(text, "[;,|]"), lambda x: F.lower(F.trim(x)))) \
+            .otherwise(F.split(semicolons, ";"))
+    parts = [tags(c) for c in cols]
     arr = parts[0] if len(parts) == 1 else F.concat(*parts)
-    return F.filter(arr, lambda x: x != F.lit(""))
+    return F.array_remove(arr, "")
 
 
 def initials(c) -> Column:

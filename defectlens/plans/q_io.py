@@ -69,10 +69,13 @@ def _mixed_csv_input(t) -> str:
 @register("csv_roundtrip", "S1 S2 S3 N4 N16 X7 (CSV of two header layouts with quotes/newlines -> A1)", with_issue(
     A1_SQL + ", count(*) AS multiline_rows, min(sprint_num) AS sprint_num, CAST(sum(len(tags)) AS BIGINT) AS tag_count FROM issue GROUP BY sprint"))
 def q_csv_roundtrip(t):
-    rows = HM.in_file_order(HM.read_cells(t.spark, _mixed_csv_input(t)))
     landed = scratch_path(t.spark, "csv-cells")
-    rows.write.parquet(landed)
-    rows = t.spark.read.parquet(landed)
+
+    def land(rows):
+        rows.write.mode("overwrite").parquet(landed)
+        return t.spark.read.schema(rows.schema).parquet(landed)
+
+    rows = HM.land_cells(t.spark, _mixed_csv_input(t), land)
     iss = HM.issues_of(rows, HM.file_headers(rows))
     is_in = lambda c, labels: F.col(c).isin(list(labels))
     return iss.groupBy("sprint").agg(

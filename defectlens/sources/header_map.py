@@ -26,27 +26,59 @@ from defectlens.sources.aliases import ISSUE_ALIASES
 #: Cells read of a row.
 MAX_COLUMNS = 100
 
+#: Cells of a row that are tried first (``land_cells``).
+COMMON_COLUMNS = 24
+
 _ALIASES = sorted({a for chain in ISSUE_ALIASES.values() for a in chain})
 
 
 def _options(reader, encoding: str, columns: int):
-    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(columns + 1)])
+    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(columns)])
     return (reader.schema(schema).option("header", False).option("multiLine", True).option("quote", '"')
             .option("escape", '"').option("mode", "PERMISSIVE").option("encoding", encoding))
 
 
-def _cells(raw: DataFrame) -> DataFrame:
-    return raw.select(F.col("_metadata.file_path").alias("file"), F.array(*[c for c in raw.columns]).alias("cells"))
+def _cells(raw: DataFrame, width: int) -> DataFrame:
+    return raw.select(F.col("_metadata.file_path").alias("file"), F.array(*raw.columns[:width]).alias("cells"))
 
 
 def read_cells(spark: SparkSession, path, encoding: str = "UTF-8", columns: int = MAX_COLUMNS) -> DataFrame:
     """All rows of the files, headers included: file, cells (one more than ``columns``)."""
-    return _cells(_options(spark.read, encoding, columns).csv(path))
+    return _cells(_options(spark.read, encoding, columns + 1).csv(path), columns + 1)
+
+
+def _read_narrow(spark: SparkSession, path, encoding: str, width: int) -> DataFrame:
+    """``read_cells`` of rows that have at most ``width`` cells; a row of more ends the job.
+
+    One more column is named than read, so the parser is told which to select
+    and gives rows of that length; without, Spark throws and catches an
+    exception for every cell that a row lacks.  A parser that selects misreads
+    quoted cells of other columns (SPARK-46862); with ``maxColumns`` there are none.
+    """
+    raw = _options(spark.read, encoding, width + 1).option("columnPruning", True).option("maxColumns", width).csv(path)
+    return _cells(raw, width)
+
+
+def land_cells(spark: SparkSession, path, land: Callable[[DataFrame], DataFrame], encoding: str = "UTF-8",
+               columns: int = MAX_COLUMNS) -> DataFrame:
+    """``in_file_order`` rows of the files as ``land`` writes and reads them again.
+
+    The cells are those of ``read_cells``; where no row has more than
+    ``COMMON_COLUMNS`` or ``columns`` + 1 cells, only so many are kept, as the
+    others are null.  ``land`` replaces what an attempt before has left.
+    """
+    for width in sorted({min(COMMON_COLUMNS, columns + 1), columns + 1}):
+        try:
+            return land(in_file_order(_read_narrow(spark, path, encoding, width)))
+        except Exception as e:
+            if not any(w in str(e) for w in ("TextParsingException", "FAILED_READ_FILE")):
+                raise
+    return land(in_file_order(read_cells(spark, path, encoding, columns)))
 
 
 def stream_cells(spark: SparkSession, path: str, max_files: int, encoding: str = "UTF-8", columns: int = MAX_COLUMNS) -> DataFrame:
     """``read_cells`` as a file stream; a file is in one micro-batch as a whole."""
-    return _cells(_options(spark.readStream, encoding, columns).option("maxFilesPerTrigger", max_files).csv(path))
+    return _cells(_options(spark.readStream, encoding, columns + 1).option("maxFilesPerTrigger", max_files).csv(path), columns + 1)
 
 
 def in_file_order(cells: DataFrame) -> DataFrame:
@@ -90,7 +122,8 @@ def file_headers(rows: DataFrame, columns: int = MAX_COLUMNS, land: Callable[[Da
     first = rows.join(least.withColumnRenamed("file", "_file"), (F.col("file") == F.col("_file")) & (F.col("row") == F.col("first"))) \
         .select("file", "cells", "first")
     wide = F.get("cells", F.lit(columns)).isNotNull()
-    named = first.withColumn("names", _names(F.col("cells")))
+    missing = F.array_repeat(F.lit(None).cast("string"), F.lit(columns + 1) - F.size("cells"))
+    named = first.withColumn("names", _names(F.concat("cells", missing)))
     known = F.arrays_overlap("names", F.array(*[F.lit(a) for a in _ALIASES]))
     reason = F.when(wide, f"more than {columns} columns").when(~known, "no issue field in the header")
     return land(named.select("file", "first", "names", reason.alias("reason")), "headers")
