@@ -13,6 +13,7 @@ Files whose header names no issue field at all, or has more than
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,9 +77,15 @@ def land_cells(spark: SparkSession, path, land: Callable[[DataFrame], DataFrame]
     return land(in_file_order(read_cells(spark, path, encoding, columns)))
 
 
-def stream_cells(spark: SparkSession, path: str, max_files: int, encoding: str = "UTF-8", columns: int = MAX_COLUMNS) -> DataFrame:
-    """``read_cells`` as a file stream; a file is in one micro-batch as a whole."""
-    return _cells(_options(spark.readStream, encoding, columns + 1).option("maxFilesPerTrigger", max_files).csv(path), columns + 1)
+def stream_files(spark: SparkSession, path: str, max_files: int) -> DataFrame:
+    """The files of a drop folder as a stream of their paths (their bytes are not read); ``file_list`` names those of a micro-batch."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    return spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", max_files).load(path).select("path")
+
+
+def file_list(batch: DataFrame) -> list[str]:
+    """Paths of a micro-batch of ``stream_files`` as a reader takes them: no character is a pattern."""
+    return sorted(re.sub(r"([{}\[\]*?\\])", r"\\\1", r.path) for r in batch.collect())
 
 
 def in_file_order(cells: DataFrame) -> DataFrame:

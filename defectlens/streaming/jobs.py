@@ -91,10 +91,11 @@ def _write_epoch(df: DataFrame, root: str, epoch: int) -> None:
        .option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(root))
 
 
-def _landed_epoch(df: DataFrame, root: str, epoch: int) -> DataFrame:
-    """``df``, which has rows, written as an epoch and read again."""
+def _landed_epoch(df: DataFrame, root: str, epoch: int) -> DataFrame | None:
+    """``df`` written as an epoch and read again; None if it has no row."""
     _write_epoch(df, root, epoch)
-    return _epoch(df.sparkSession, root, epoch)
+    path = f"{root}/epoch={epoch}"
+    return df.sparkSession.read.schema(df.schema).parquet(path) if path_exists(df.sparkSession, path) else None
 
 
 def _drop_epochs(spark: SparkSession, root: str, before: int) -> None:
@@ -129,7 +130,7 @@ def csv_ingest_stream(spark: SparkSession, source_dir: str, table: str, dim: str
     sprint dimension is upserted (S10) into a new version of ``dim`` per
     epoch.  Every file is read by its own header (``header_map``).
 
-    A micro-batch first lands as cells in ``raw`` (the backup of the upload,
+    A micro-batch is a list of files: they first land as cells in ``raw`` (the backup of the upload,
     parsed once), then its issues, the files rejected with their reason, its
     part of the sprint roll-up (A1; ``summed_rollup`` adds the parts up) and
     the dimension are written.  All sinks are epoch-partitioned and written
@@ -139,32 +140,25 @@ def csv_ingest_stream(spark: SparkSession, source_dir: str, table: str, dim: str
     raw, rejected, rollup = raw or f"{table}_raw", rejected or f"{table}_rejected", rollup or f"{table}_rollup"
 
     def load(batch: DataFrame, epoch: int) -> None:
-        _write_epoch(HM.in_file_order(batch), raw, epoch)
-        if not path_exists(spark, f"{raw}/epoch={epoch}"):
+        files = HM.file_list(batch)
+        rows = HM.land_cells(spark, files, lambda df: _landed_epoch(df, raw, epoch)) if files else None
+        if rows is None:
             return  # no file of the batch has a row
-        rows = _epoch(spark, raw, epoch)
         headers = HM.file_headers(rows, land=lambda df, name: _landed_epoch(df, f"{raw}_{name}", epoch))
-        _write_epoch(HM.issues_of(rows, headers), table, epoch)
+        issues = _landed_epoch(HM.issues_of(rows, headers), table, epoch)
         _write_epoch(HM.rejected_files(headers), rejected, epoch)
-        if not path_exists(spark, f"{table}/epoch={epoch}"):
+        if issues is None:
             return  # all files rejected, or headers alone
-        issues = _epoch(spark, table, epoch)
-        _write_epoch(R.issues_by_sprint(issues), rollup, epoch)
-        new_dim = sprint_dimension(issues)
+        new_dim = sprint_dimension(_landed_epoch(R.issues_by_sprint(issues), rollup, epoch))  # a row a sprint
         # Only a table that does not exist yet is a first batch; any other error fails it.
         cur = read_latest_epoch(spark, dim, before=epoch) if path_exists(spark, dim) else None
         _write_epoch(upsert_dimension(cur, new_dim), dim, epoch)
 
-    stream = HM.stream_cells(spark, source_dir, max_files)
+    stream = HM.stream_files(spark, source_dir, max_files)
     w = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(load)
     return _trigger(w, available_now).start()
 
 
-def _epoch(spark: SparkSession, root: str, epoch: int) -> DataFrame:
-    """The rows of one epoch; other epochs' folders are not listed."""
-    return spark.read.parquet(f"{root}/epoch={epoch}")
-
-
 def read_rejected(spark: SparkSession, root: str) -> DataFrame:
     """Files that were not loaded: file, reason, header; none before the first."""
     empty = spark.createDataFrame([], "file string, reason string, header string")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from defectlens.functions.text import split_tags
 from defectlens.session import scratch_path
 from defectlens.sources import header_map as HM
+from defectlens.streaming import jobs as J
 
 # quoted cells that a parser which skips columns reads wrong (SPARK-46862)
 ODD = ['"5"', '","', '"a ""b"" \nc"', "", '""', "x"]
@@ -52,6 +53,17 @@ def test_landed_cells_are_those_read(spark, widths, kept):
     assert all(len(r.names) == HM.MAX_COLUMNS + 1 for r in HM.file_headers(landed).collect())
 
 
+@pytest.mark.parametrize("widths,kept", [((4, 12, 4), {24}), ((4, 110), {24, 101})])
+def test_stream_keeps_cells_that_rows_have(spark, widths, kept):
+    d = J.new_dirs(spark, "t2-cells")
+    d["src"] = folder_of(spark, widths)
+    glob = d["src"].replace("[", "\\[").replace("]", "\\]").replace("{", "\\{").replace("}", "\\}")
+    J.run_to_completion(J.csv_ingest_stream(spark, glob, d["table"], d["dim"], d["ckpt"], max_files=1))
+    assert J.read_epochs(spark, d["table"]).count() == 5 * len(widths)
+    assert {r.n for r in J.read_epochs(spark, f"{d['table']}_raw").select(F.size("cells").alias("n")).distinct().collect()} == kept
+    assert sorted(r.sprint for r in J.read_latest_epoch(spark, d["dim"]).collect()) == [f"Sprint {i}" for i in range(5)]
+
+
 def test_tags_with_and_without_spaces(spark):
     rows = [("a;B|c,,", "É|b"), (" A ; b c |", "d"), ("", None), (None, ";,|"), ("ΑΣ|x\t", " ")]
     got = spark.createDataFrame(rows, "t string, u string").select(split_tags("t").alias("a"), split_tags("t", "u").alias("b"))
